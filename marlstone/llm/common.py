@@ -89,3 +89,20 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     else:
         raise RuntimeError("the components have not settled")
     return e.groupBy("v").agg(F.min("m").alias("root")).select(F.col("v").alias("node"), "root").union(e.select(F.col("m").alias("node"), F.col("m").alias("root")).distinct())
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, where: Column | None = None, columns=("doc_id", "text"), most_bytes: int = 1 << 20) -> DataFrame:
+    """At most per_class documents of label 0 and of label 1, the first by a hash of the id, with y (the label).
+
+    The ids are chosen on the labels alone; they are few (2 * per_class), so that they
+    can be sent to every task and the documents are read once, without a shuffle. A
+    text over most_bytes is not learned from. An id with both labels counts as 1.
+    """
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1))
+    known = known.where(where) if where is not None else known
+    known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+    order = F.xxhash64(F.col("doc_id"), F.lit(11))
+    picked = [known.where(F.col("y") == y).orderBy(order, "doc_id").limit(per_class) for y in (0, 1)]
+    ids = F.broadcast(picked[0].union(picked[1]).withColumnRenamed("doc_id", "_id"))
+    rows = docs.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= most_bytes)
+    return rows.select(*[F.col(c) for c in dict.fromkeys(("doc_id", *columns))]).join(ids, F.col("doc_id") == F.col("_id")).drop("_id")

@@ -73,12 +73,12 @@ def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw, at
 
 
-def chunks(column, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(column, limit: int = CHUNK_BYTES, most_rows: int = 1 << 14) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets from 0) of about limit bytes each."""
     raw, at = flat(column)
     n, lo = len(at) - 1, 0
     while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + limit, "right")) - 1)
+        hi = min(lo + most_rows, max(lo + 1, int(np.searchsorted(at, at[lo] + limit, "right")) - 1))
         yield lo, hi, raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo]
         lo = hi
 
