@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: query name: module of this subpackage that has a function of that name
 PLACES = {
+    "op2_nearest_centroid_language": "langid",
     "op4_weighted_fair_mix": "mixing",
+    "op5_subword_toxicity": "toxicity",
     "op6_line_crf_rules": "line_rules",
     "op8_vector_packed_shards": "sharding",
     "op10_superminhash_near_dup": "near_dup",
