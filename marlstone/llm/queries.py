@@ -13,6 +13,7 @@ PLACES = {
     "op4_weighted_fair_mix": "mixing",
     "op5_subword_toxicity": "toxicity",
     "op6_line_crf_rules": "line_rules",
+    "op7_license_templates": "licenses",
     "op8_vector_packed_shards": "sharding",
     "op10_superminhash_near_dup": "near_dup",
 }
