@@ -15,6 +15,7 @@ PLACES = {
     "op6_line_crf_rules": "line_rules",
     "op7_license_templates": "licenses",
     "op8_vector_packed_shards": "sharding",
+    "op9_quotation_threads": "quotes",
     "op10_superminhash_near_dup": "near_dup",
 }
 
