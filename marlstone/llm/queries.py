@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: query name: module of this subpackage that has a function of that name
 PLACES = {
+    "op1_cotrained_quality": "quality",
     "op2_nearest_centroid_language": "langid",
     "op4_weighted_fair_mix": "mixing",
     "op5_subword_toxicity": "toxicity",
