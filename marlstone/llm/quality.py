@@ -184,13 +184,13 @@ def score(docs: DataFrame, model: dict | None, carried: tuple[str, ...] = ()) ->
                     c = model["curves"]
                     found[1, lo:hi], found[2, lo:hi] = curve(z[0], c[0]), curve(z[1], c[1])
                     found[0, lo:hi] = curve(sum(a * s + d for s, (a, d) in zip(z, c[:2], strict=True)), c[2])
-            yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(c)) for c in out], *[pa.array(x) for x in found]], [*out, "_score", "_text", "_page"])
+            yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(c)) for c in out], *[pa.array(x) for x in found]], [*out, "_mk_score", "_mk_text", "_mk_page"])
 
     fields = ", ".join(f"`{c}` {frame.schema[c].dataType.simpleString()}" for c in out)
-    return frame.mapInArrow(run, f"{fields}, _score double, _text double, _page double")
+    return frame.mapInArrow(run, f"{fields}, _mk_score double, _mk_text double, _mk_page double")
 
 
 def op1_cotrained_quality(spark, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     found = score(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    return found.select("doc_id", F.col("_score").alias("score"), F.col("_text").alias("text_score"), F.col("_page").alias("page_score"), (F.col("_score") >= LEAST_SCORE).alias("kept"))
+    return found.select("doc_id", F.col("_mk_score").alias("score"), F.col("_mk_text").alias("text_score"), F.col("_mk_page").alias("page_score"), (F.col("_mk_score") >= LEAST_SCORE).alias("kept"))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 PLACES = {
     "op1_cotrained_quality": "quality",
     "op2_nearest_centroid_language": "langid",
+    "op3_latent_decontamination": "decontaminate",
     "op4_weighted_fair_mix": "mixing",
     "op5_subword_toxicity": "toxicity",
     "op6_line_crf_rules": "line_rules",

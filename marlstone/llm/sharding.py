@@ -17,7 +17,7 @@ columns are not looked at (assign) or kept as they are (shard_documents).
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -27,7 +27,8 @@ from .common import WORD, documents, stash
 ITEMS = 128
 #: A group over 1/SPLIT of a shard is split.
 SPLIT = 4
-DIMENSIONS = ("size", "tokens", "rows")
+DIMENSIONS = ("_mk_size", "_mk_tokens", "_mk_rows")
+UNIT = ("_mk_u1", "_mk_u2", "_mk_u3", "_mk_u4")
 
 
 def pack(vectors: np.ndarray, shards: int, weights=(8.0, 1.0, 1.0)) -> np.ndarray:
@@ -45,42 +46,68 @@ def pack(vectors: np.ndarray, shards: int, weights=(8.0, 1.0, 1.0)) -> np.ndarra
     return out
 
 
-def measured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, size (UTF-8 bytes plus 8), tokens, text_crc32 and a 128-bit key of the text, in two longs."""
+def measures(id_col: str, text_col: str) -> dict[str, Column]:
+    """Size (UTF-8 bytes plus 8), tokens, rows, CRC and a 128-bit key of the text in two longs, under names of our own."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     digest = F.md5(text.cast("binary"))
-    return docs.select(
-        F.col(id_col).alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("tokens"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit(1).cast("long").alias("rows"),
-        *[F.conv(F.substring(digest, at, 15), 16, 10).cast("long").alias(name) for name, at in (("g1", 1), ("g2", 16))],
-    )
+    key = lambda at: F.conv(F.substring(digest, at, 15), 16, 10).cast("long")
+    return {"_mk_id": F.col(id_col), "_mk_size": (F.octet_length(text) + 8).cast("long"), "_mk_tokens": F.regexp_count(text, F.lit(WORD)).cast("long"), "_mk_rows": F.lit(1).cast("long"), "_mk_crc": F.crc32(text.cast("binary")), "_mk_g1": key(1), "_mk_g2": key(16)}
+
+
+class Plan:
+    """Where each document goes: small tables that depend on the whole corpus, applied to any frame with the measures."""
+
+    def __init__(self, d: DataFrame, shards: int):
+        self.shards, spark = shards, d.sparkSession
+        total = d.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in DIMENSIONS]).first()
+        most = F.greatest(*[F.sum(x) / F.lit(max(total[x] / shards, 1e-9)) for x in DIMENSIONS])
+        heavy = d.groupBy("_mk_g1", "_mk_g2").agg(most.alias("most")).where(F.col("most") > 1 / ITEMS)
+        pieces = F.when(F.col("most") > 1 / SPLIT, F.ceil(F.col("most") * SPLIT)).otherwise(1).cast("long")
+        self.heavy = stash(heavy.select(F.col("_mk_g1").alias("_mk_h1"), F.col("_mk_g2").alias("_mk_h2"), pieces.alias("_mk_pieces")))
+        units = self.units(d).groupBy(*UNIT).agg(*[F.sum(x).alias(x) for x in DIMENSIONS]).orderBy(*UNIT).collect()
+        shard = pack(np.array([[r[x] for x in DIMENSIONS] for r in units], float).reshape(-1, 3), shards)
+        rows = [(*(r[x] for x in UNIT), int(k)) for r, k in zip(units, shard, strict=True)]
+        self.table = spark.createDataFrame(rows, "_mk_v1 long, _mk_v2 long, _mk_v3 long, _mk_v4 long, _mk_shard int")
+        self.parts = max(1, total["_mk_rows"] // (shards * 1000))
+        before = Window.partitionBy("_mk_shard").orderBy("_mk_part").rowsBetween(Window.unboundedPreceding, -1)
+        counts = self.sharded(d).groupBy("_mk_shard", "_mk_part").agg(F.count("*").alias("n"))
+        self.offsets = stash(counts.select(F.col("_mk_shard").alias("_mk_s"), F.col("_mk_part").alias("_mk_p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_mk_offset")))
+
+    def units(self, d: DataFrame) -> DataFrame:
+        """The packing item of each row: a large group's key and piece, or a bucket of small groups."""
+        # at most 3 * ITEMS * shards groups are heavy, whatever the corpus, so that the table can be sent to every task
+        d = d.join(F.broadcast(self.heavy), (F.col("_mk_g1") == F.col("_mk_h1")) & (F.col("_mk_g2") == F.col("_mk_h2")), "left")
+        light = F.col("_mk_pieces").isNull()
+        return d.withColumns({
+            "_mk_u1": F.when(light, 0).otherwise(F.col("_mk_g1")), "_mk_u2": F.when(light, 0).otherwise(F.col("_mk_g2")),
+            "_mk_u3": F.when(light, -1).otherwise(F.pmod(F.xxhash64(F.col("_mk_id"), F.lit(1)), F.col("_mk_pieces"))), "_mk_u4": F.when(light, F.pmod(F.xxhash64("_mk_g1", "_mk_g2"), F.lit(ITEMS * self.shards))).otherwise(-1),
+        })
+
+    def sharded(self, d: DataFrame) -> DataFrame:
+        on = [F.col(u) == F.col(v) for u, v in zip(UNIT, ("_mk_v1", "_mk_v2", "_mk_v3", "_mk_v4"), strict=True)]
+        return self.units(d).join(F.broadcast(self.table), on).withColumn("_mk_part", F.pmod(F.xxhash64(F.col("_mk_id"), F.lit(2)), F.lit(self.parts)))
+
+    def slotted(self, d: DataFrame) -> DataFrame:
+        """d with _mk_shard and _mk_slot; each window holds the thousand or so rows of a part of a shard."""
+        inner = Window.partitionBy("_mk_shard", "_mk_part").orderBy("_mk_id", "_mk_crc")
+        placed = self.sharded(d).withColumn("_mk_at", F.row_number().over(inner))
+        placed = placed.join(self.offsets, (F.col("_mk_shard") == F.col("_mk_s")) & (F.col("_mk_part") == F.col("_mk_p")))
+        return placed.withColumn("_mk_slot", (F.col("_mk_offset") + F.col("_mk_at") - 1).cast("long"))
 
 
 def assign(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, tokens, text_crc32, shard, slot (gapless from 0 in each shard)."""
-    d = stash(measured(docs, id_col, text_col))
-    total = d.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in DIMENSIONS]).first()
-    room = {x: max(total[x] / shards, 1e-9) for x in DIMENSIONS}
-    most = F.greatest(*[F.sum(x) / F.lit(room[x]) for x in DIMENSIONS])
-    heavy = d.groupBy("g1", "g2").agg(most.alias("most")).where(F.col("most") > 1 / ITEMS)
-    heavy = F.broadcast(stash(heavy.select("g1", "g2", F.when(F.col("most") > 1 / SPLIT, F.ceil(F.col("most") * SPLIT)).otherwise(1).cast("long").alias("pieces"))))
-    #: at most 3 * ITEMS * shards rows, whatever the corpus
-    split = d.join(heavy, ["g1", "g2"], "left").withColumn("piece", F.when(F.col("pieces").isNull(), -1).otherwise(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(1)), F.col("pieces"))))
-    split = split.withColumn("light", F.when(F.col("pieces").isNull(), F.pmod(F.xxhash64("g1", "g2"), F.lit(ITEMS * shards))))
-    unit = [F.when(F.col("light").isNull(), F.col("g1")).alias("u1"), F.when(F.col("light").isNull(), F.col("g2")).alias("u2"), F.col("piece").alias("u3"), F.coalesce("light", F.lit(-1)).alias("u4")]
-    split = split.select("doc_id", "size", "tokens", "text_crc32", "rows", *unit)
-    items = split.groupBy("u1", "u2", "u3", "u4").agg(*[F.sum(x).alias(x) for x in DIMENSIONS]).orderBy("u1", "u2", "u3", "u4").toPandas()
-    items["shard"] = pack(items[list(DIMENSIONS)].to_numpy(float), shards) if len(items) else np.zeros(0, np.int64)
-    spark = docs.sparkSession
-    rows = [(None if r.u4 >= 0 else int(r.u1), None if r.u4 >= 0 else int(r.u2), int(r.u3), int(r.u4), int(r.shard)) for r in items.itertuples()]
-    table = F.broadcast(spark.createDataFrame(rows, "v1 long, v2 long, v3 long, v4 long, shard int"))
-    placed = split.join(table, F.col("u1").eqNullSafe(F.col("v1")) & F.col("u2").eqNullSafe(F.col("v2")) & (F.col("u3") == F.col("v3")) & (F.col("u4") == F.col("v4")))
-    parts = max(1, total["rows"] // (shards * 1000))
-    placed = placed.select("doc_id", "size", "tokens", "text_crc32", "shard", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(2)), F.lit(parts)).alias("part"))
-    before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offset = placed.groupBy("shard", "part").agg(F.count("*").alias("n")).select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    inner = Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32")
-    placed = placed.withColumn("at", F.row_number().over(inner)).join(offset, ["shard", "part"])
-    return placed.select("doc_id", "size", "tokens", "text_crc32", "shard", (F.col("offset") + F.col("at") - 1).cast("long").alias("slot"))
+    d = stash(docs.select(*[c.alias(k) for k, c in measures(id_col, text_col).items()]))
+    found = Plan(d, shards).slotted(d)
+    return found.select(F.col("_mk_id").alias("doc_id"), F.col("_mk_size").alias("size"), F.col("_mk_tokens").alias("tokens"), F.col("_mk_crc").alias("text_crc32"), F.col("_mk_shard").alias("shard"), F.col("_mk_slot").alias("slot"))
+
+
+def shard_documents(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All columns of docs, then shard and slot (which replace columns of these names)."""
+    own = measures(id_col, text_col)
+    plan = Plan(stash(docs.select(*[c.alias(k) for k, c in own.items()])), shards)
+    keep = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
+    return plan.slotted(docs.select(*keep).withColumns(own)).select(*[F.col(f"`{c}`") for c in keep], F.col("_mk_shard").alias("shard"), F.col("_mk_slot").alias("slot"))
 
 
 def op8_vector_packed_shards(spark, sf_dir: str) -> DataFrame:
