@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
 
+from . import core_queries, format_queries
 
-def oracle_sql() -> dict:
-    return {}
+MODULES = (core_queries, format_queries)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: q for m in MODULES for name, q in m.QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
