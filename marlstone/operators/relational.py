@@ -104,7 +104,7 @@ def corroboration(claims: DataFrame, key: str, minimum: int) -> DataFrame:
 def wilson_lower(successes: Column, n: Column, z: float = Z) -> Column:
     """Lower bound of the Wilson interval; null without observations."""
     p, z2 = successes / n, z * z
-    return F.when(n > 0, (p + z2 / (2 * n) - z * F.sqrt((p * (1 - p) + z2 / (4 * n)) / n)) / (1 + z2 / n))
+    return F.when(n > 0, F.greatest(F.lit(0.0), (p + z2 / (2 * n) - z * F.sqrt((p * (1 - p) + z2 / (4 * n)) / n)) / (1 + z2 / n)))
 
 
 def receipt_states(receipts: DataFrame, probes: DataFrame, key: str = "source_id") -> DataFrame:

@@ -297,7 +297,7 @@ def receipt_staleness(receipt, probe):
     return relational.receipt_states(receipt, probe)
 
 
-WILSON = "CASE WHEN {n} > 0 THEN ({s}/{n} + 3.841458820694124::DOUBLE/(2*{n}) - 1.959963984540054::DOUBLE * sqrt(({s}/{n}*(1-{s}/{n}) + 3.841458820694124::DOUBLE/(4*{n}))/{n})) / (1 + 3.841458820694124::DOUBLE/{n}) END"
+WILSON = "CASE WHEN {n} > 0 THEN greatest(0.0::DOUBLE, ({s}/{n} + 3.841458820694124::DOUBLE/(2*{n}) - 1.959963984540054::DOUBLE * sqrt(({s}/{n}*(1-{s}/{n}) + 3.841458820694124::DOUBLE/(4*{n}))/{n})) / (1 + 3.841458820694124::DOUBLE/{n})) END"
 
 
 @query("trial", sql=f"""WITH g AS (SELECT case_key, CAST(count(*) FILTER (WHERE decision = expected) AS DOUBLE) AS s, CAST(count(*) AS DOUBLE) AS n FROM trial GROUP BY 1)
