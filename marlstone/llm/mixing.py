@@ -64,9 +64,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     limit = (limit or 0) * budget
     t = targets.select(F.col("src").alias("_src"), "source_size", "target")
     summed = running(d, ["src"], "bucket", [F.col("at"), F.col("size"), F.col("doc_id")], F.col("size"), "cum")
-    summed = stash(summed.join(t, F.col("src").eqNullSafe(F.col("_src"))).withColumn("finish", F.col("cum") / F.col("target")).drop("_src", "bucket"))
+    summed = stash(summed.join(t, F.col("src").eqNullSafe(F.col("_src"))).withColumn("finish", F.try_divide(F.col("cum"), F.col("target"))).drop("_src", "bucket"))
     queue = summed.where("size > 0").select("src", "at", "doc_id", "size", "target", "cum", "source_size", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))).alias("pass"))
-    queue = queue.withColumn("time", (F.col("cum") + F.col("pass") * F.col("source_size")) / F.col("target"))
+    queue = queue.withColumn("time", F.try_divide(F.col("cum") + F.col("pass") * F.col("source_size"), F.col("target")))
     queue = queue.withColumn("step", F.least(F.floor(F.col("time") * STEPS), F.lit(64 * STEPS)).cast("long"))
     steps = queue.groupBy("step").agg(F.sum("size").alias("n"))  # 64 * STEPS + 1 rows at most
     ahead = Window.partitionBy(F.lit(0)).orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
@@ -74,17 +74,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     step, before = (cut["step"], cut["before"]) if cut else (1 << 60, 0)
     line = Window.partitionBy(F.lit(0)).orderBy("time", F.col("src").asc_nulls_last(), "at", "pass", "size", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     edge = queue.where(F.col("step") == step).withColumn("to", F.sum("size").over(line) + F.lit(before)).where(F.col("to") <= F.lit(limit))
-    last = edge.agg(F.max(F.struct("time", F.struct(F.col("src").isNull().alias("none"), "src", "at", "pass", "size", "doc_id")))).first()[0]
-    position = lambda p: F.struct((F.col("cum") + p * F.col("source_size")) / F.col("target"), F.struct(F.col("src").isNull(), F.col("src"), F.col("at"), F.lit(p), F.col("size"), F.col("doc_id")))
+    # the place in the queue, under one type for both sides of the comparison
+    id_type = d.schema["doc_id"].dataType.simpleString()
+    shape = f"struct<time:double,none:boolean,src:string,at:string,pass:int,size:bigint,doc_id:{id_type}>"
+    place = lambda time, p: F.struct(time, F.col("src").isNull(), F.col("src").cast("string"), F.col("at"), p, F.col("size"), F.col("doc_id")).cast(shape)
+    last = edge.agg(F.max(place(F.col("time"), F.col("pass")))).first()[0]
     taken = F.lit(0)
     for p in range(passes):
-        time = (F.col("cum") + p * F.col("source_size")) / F.col("target")
+        time = F.try_divide(F.col("cum") + p * F.col("source_size"), F.col("target"))
         at = F.least(F.floor(time * STEPS), F.lit(64 * STEPS)).cast("long")
         inside = at < step
         if last is not None:
-            k = last[1]
-            end = F.struct(F.lit(last[0]), F.struct(F.lit(k[0]), F.lit(k[1]).cast("string"), F.lit(k[2]), F.lit(k[3]), F.lit(k[4]), F.lit(k[5]).cast(d.schema["doc_id"].dataType)))
-            inside = inside | ((at == step) & (position(p) <= end))
+            inside = inside | ((at == step) & (place(time, F.lit(p)) <= F.struct(*map(F.lit, last)).cast(shape)))
         taken = taken + F.when(inside & (F.col("size") > 0), F.col("size")).otherwise(0)
     return summed.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "finish")
 
