@@ -123,7 +123,7 @@ def train(texts: list[str], y: np.ndarray, seed: int = 3) -> dict | None:
     n1, n0 = max(1, (y[~held] == 1).sum()), max(1, (y[~held] == 0).sum())
     c1, c0 = (np.bincount(g[fit & (y[d] == v)], minlength=BUCKETS) for v in (1, 0))
     chance = (c1 + c0) * n1 / (n1 + n0)
-    known = ((c1 + c0 >= LEAST_DOCUMENTS) & (np.abs(c1 - chance) >= LEAST_SIGMAS * np.sqrt(np.maximum(chance, 1e-9))))[:, None]
+    known = ((c1 + c0 >= LEAST_DOCUMENTS) & (np.abs(c1 - chance) >= LEAST_SIGMAS * np.sqrt(np.maximum(chance * n0 / (n1 + n0), 1e-9))))[:, None]
     odds = np.log((c1 / n1 + 2 / n1) / (c0 / n0 + 2 / n1))
     table, out, bias = rng.normal(0, 0.02, (BUCKETS, WIDTH)), rng.normal(0, 0.2, (WIDTH, 2)), np.zeros(2)
     table[:, 0], out[0] = odds, (-1, 1)
