@@ -9,7 +9,8 @@ threshold, confirmed on the full sets; groups are the connected components.
 Work stays linear in the size of a group: equal sets are one class from the
 start; a bucket's members are first held against a few of its members (pivots),
 and only buckets whose members are still in different components are compared
-in full, in pairs of blocks of bounded size.
+in full, in pairs of blocks of bounded size; there a pair is read in the first of the
+buckets that it shares, and only if its signatures leave it possible.
 
 Rows with a null id are returned as kept and never linked; repeated rows are
 returned as often as they come; an empty table gives an empty result; columns
@@ -30,8 +31,10 @@ from .textkit import BASE, BLANKS, Words, chunks, mix, windows
 
 #: Hash functions of a signature.
 SLOTS = 100
-#: Members of a bucket that are compared in full in one task: twice this at most.
-BLOCK = 128
+#: Shingles of a bucket's members that are compared in full in one task: twice this at about.
+BLOCK_SHINGLES = 300_000
+#: Of a pair at the threshold, so many standard deviations fewer slots may agree before it is left out unread.
+SIGMAS = 5.0
 
 
 def bands_for(threshold: float, slots: int = SLOTS, miss: float = 2e-5) -> int:
@@ -69,9 +72,9 @@ def super_minhash(elements: np.ndarray, slots: int = SLOTS) -> np.ndarray:
     return best.view(np.uint64)
 
 
-def sets(column, shingle: int) -> Iterator[np.ndarray]:
+def sets(column, shingle: int, cache: dict | None = None) -> Iterator[np.ndarray]:
     """The sorted set of 64-bit shingle hashes of each text."""
-    cache: dict = {}
+    cache = {} if cache is None else cache
     for lo, hi, data, at in chunks(column):
         words = Words(data, at, BLANKS, lower=True)
         h = words.hash(cache)
@@ -93,14 +96,14 @@ def sets(column, shingle: int) -> Iterator[np.ndarray]:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, two 64-bit fingerprints of the set, and a key for each band."""
-    schema = "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>"
+    """doc_id, n_shingles, two 64-bit fingerprints of the set, a key for each band, and a byte of each slot."""
+    schema = "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>, sketch binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
         odd = np.arange(1, SLOTS // rows + 1, dtype=np.uint64)
         for b in batches:
-            sizes, one, two, keys = [], [], [], []
+            sizes, one, two, keys, sketch = [], [], [], [], []
             for s in sets(b.column(1), shingle):
                 sizes.append(len(s))
                 one.append(np.add.reduce(mix(s)) if len(s) else np.uint64(0))
@@ -110,11 +113,13 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, rows:
                     for k in range(rows):
                         band = mix(band * np.uint64(BASE) + sig[:, k])
                     keys.append(band.view(np.int64))
+                    sketch.append((mix(sig.ravel()) & np.uint64(255)).astype(np.uint8).tobytes())
                 else:
                     keys.append(np.zeros(0, np.int64))
+                    sketch.append(b"")
             ends = np.cumsum([0, *map(len, keys)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys) if keys else [], pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(np.array(one, np.uint64).view(np.int64)), pa.array(np.array(two, np.uint64).view(np.int64)), lists], ["doc_id", "n_shingles", "fp1", "fp2", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(np.array(one, np.uint64).view(np.int64)), pa.array(np.array(two, np.uint64).view(np.int64)), lists, pa.array(sketch, pa.binary())], ["doc_id", "n_shingles", "fp1", "fp2", "bands", "sketch"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
@@ -142,37 +147,67 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: float)
     return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def compared(members: DataFrame, texts: DataFrame, shingle: int, percent: float) -> DataFrame:
-    """Edges that join the components (root) of each bucket (key): every pair of members in different ones is compared.
+def compared(members: DataFrame, sig: DataFrame, texts: DataFrame, shingle: int, percent: float) -> DataFrame:
+    """Edges that join the components (root) of each bucket (key): members in different ones are compared.
 
-    A bucket is dealt out by blocks; each pair of blocks is a group of 2 * BLOCK members or so.
+    A bucket is dealt out by blocks, and each pair of blocks is a group. Members known
+    to be connected are not compared.
     """
-    import pandas as pd
+    least = SLOTS * percent / 100 - SIGMAS * (SLOTS * percent / 100 * (1 - percent / 100)) ** 0.5
+    names = ("key", "lo", "hi", "doc_id", "root", "block", "n_shingles")
+
+    def group(t: pa.Table, cache: dict) -> list[tuple[int, int]]:
+        key, lo, hi, ids, root, block, size = (t.column(n).to_numpy().copy() for n in names)
+        bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(ids), -1)
+        place, known, edges = int(np.flatnonzero(bands[0] == key[0])[0]), {}, []
+
+        def of(i: int) -> np.ndarray:
+            if i not in known:
+                known[i] = next(sets(t.column("text").slice(i, 1), shingle, cache))
+            return known[i]
+
+        for i in range(1, len(ids)):
+            j = np.flatnonzero(root[:i] != root[i])
+            j = j if lo[0] == hi[0] else j[block[j] != block[i]]
+            j = j[100 * np.minimum(size[j], size[i]) >= percent * np.maximum(size[j], size[i])]
+            if len(j) and place:
+                j = j[~(bands[j, :place] == bands[i, :place]).any(1)]  # else another bucket's pair
+            if len(j):
+                j = j[(sketch[j] == sketch[i]).sum(1) >= least]
+            for k in j.tolist():
+                if root[k] != root[i] and similar(of(i), of(k), percent):
+                    root[root == root[k]] = root[i]
+                    edges.append((int(ids[i]), int(ids[k])))
+        return edges
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by group; the last group of a batch waits for the next batch."""
         np.seterr(over="ignore")
-        ids, parent = group["doc_id"].tolist(), {r: r for r in group["root"]}
-        found = list(sets(pa.array(group["text"], pa.string()), shingle))
-
-        def top(x):
-            while parent[x] != x:
-                parent[x] = x = parent[parent[x]]
-            return x
-
-        roots, edges = group["root"].tolist(), []
-        block = group["block"].tolist()
-        for i in range(len(ids)):
-            for j in range(i):
-                if (block[i] != block[j] or group["alone"].iloc[0]) and top(roots[i]) != top(roots[j]) and similar(found[i], found[j], percent):
-                    parent[top(roots[i])] = top(roots[j])
-                    edges.append((ids[i], ids[j]))
-        return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
-
-    size = members.groupBy("key").agg(F.count("*").alias("n"))
-    dealt = members.join(size, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", "doc_id", "root", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), (F.col("block") == F.col("other")).alias("alone"))
-    return dealt.join(texts.select("doc_id", "text"), "doc_id").groupBy("key", "lo", "hi").applyInPandas(run, "a long, b long")
+        cache: dict = {}
+        rest: list[pa.RecordBatch] = []
+
+        def edges(t: pa.Table, last: bool) -> tuple[list, list]:
+            of = np.stack([t.column(n).to_numpy() for n in names[:3]], 1)
+            cuts = [0, *(np.flatnonzero((of[1:] != of[:-1]).any(1)) + 1).tolist(), *([len(of)] if last else [])]
+            return [e for a, b in zip(cuts, cuts[1:], strict=False) if b > a + 1 for e in group(t.slice(a, b - a), cache)], t.slice(cuts[-1]).combine_chunks().to_batches()
+
+        out: list[tuple[int, int]] = []
+        for b in batches:
+            found, rest = edges(pa.Table.from_batches([*rest, b]), last=False)
+            out += found
+        if rest:
+            out += edges(pa.Table.from_batches(rest), last=True)[0]
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+
+    known = sig.select("doc_id", "n_shingles", "bands", "sketch").join(members.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    rows = members.join(known.select("doc_id", "n_shingles"), "doc_id")
+    size = rows.groupBy("key").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    dealt = rows.join(size, "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", "doc_id", "root", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    full = dealt.join(known, "doc_id").join(texts.select("doc_id", "text"), "doc_id")
+    full = full.select(*names, "bands", "sketch", "text").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    return full.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -200,7 +235,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if rest.isEmpty():
             break
         if full_check:
-            more = stash(compared(rest, texts, shingle, percent))
+            more = stash(compared(rest, reps, texts, shingle, percent))
         else:  # the member with the most links is the likeliest centre of its bucket
             degree = edges.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("links"))
             hubs = rest.join(degree, "doc_id", "left").groupBy("key").agg(F.max(F.struct(F.coalesce("links", F.lit(0)), "doc_id")).getField("doc_id").alias("b"), F.max(F.struct(F.col("doc_id") == F.col("root"), F.xxhash64("doc_id"), F.col("doc_id"))).getField("doc_id").alias("c"))

@@ -47,7 +47,7 @@ def powers(n: int, base: int) -> np.ndarray:
 def power_tables(cache: dict, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of BASE and of its inverse, at least n of each; cache keeps them."""
     if cache.get("n", 0) < n:
-        size = max(n, CHUNK_BYTES + (1 << 16))
+        size = max(n, 2 * cache.get("n", 0), 1024)
         cache.update(n=size, pow=powers(size, BASE), inv=powers(size, pow(BASE, -1, 1 << 64)))
     return cache["pow"], cache["inv"]
 
