@@ -31,7 +31,7 @@ DIMENSIONS = ("_mk_size", "_mk_tokens", "_mk_rows")
 UNIT = ("_mk_u1", "_mk_u2", "_mk_u3", "_mk_u4")
 
 
-def pack(vectors: np.ndarray, shards: int, weights=(8.0, 1.0, 1.0)) -> np.ndarray:
+def pack(vectors: np.ndarray, shards: int, weights=(2.0, 1.0, 1.0)) -> np.ndarray:
     """The shard of each item, by the weighted dot product with the residual capacity (both as shares of a shard)."""
     total = vectors.sum(0)
     share = vectors * shards / np.where(total > 0, total, 1)
@@ -43,6 +43,23 @@ def pack(vectors: np.ndarray, shards: int, weights=(8.0, 1.0, 1.0)) -> np.ndarra
         gain = left @ (share[i] * by)
         out[i] = int(np.argmax(np.where(fits, gain, -np.inf) if fits.any() else gain))
         left[out[i]] -= share[i]
+    return levelled(vectors[:, 0], out, shards)
+
+
+def levelled(size: np.ndarray, out: np.ndarray, shards: int) -> np.ndarray:
+    """The packing after single items have gone from the fullest shard to the emptiest, as long as their bytes come closer."""
+    full = np.bincount(out, size, shards)
+    for _ in range(20 * shards):
+        high, low = int(full.argmax()), int(full.argmin())
+        own = np.flatnonzero(out == high)
+        gap = full[high] - full[low]
+        own = own[(size[own] > 0) & (size[own] < gap)]
+        if not len(own):
+            break
+        best = own[np.abs(size[own] - gap / 2).argmin()]
+        out[best] = low
+        full[high] -= size[best]
+        full[low] += size[best]
     return out
 
 
