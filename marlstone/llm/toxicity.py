@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, held_out, labelled_sample
-from .textkit import NOT_ALNUM, Words, chunks, mix, prefix
+from .textkit import CHUNK_BYTES, NOT_ALNUM, chunks, mix, prefix
 
 BUCKETS, WIDTH, WINDOW, SIZES = 1 << 18, 8, 12, (3, 4, 5, 6)
 #: Labelled documents of each class that are learned from at most, and their largest size in bytes.
@@ -38,9 +38,9 @@ STEPS, DROP, LEAST_DOCUMENTS, LEAST_SIGMAS = 60, 0.3, 3, 3.0
 THRESHOLD = 0.7
 
 
-def marked(column) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def marked(column, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Chunks of lower-cased code points, blank where not in a word, with a blank before and after every text; and the texts' offsets."""
-    for lo, hi, data, at in chunks(column):
+    for lo, hi, data, at in chunks(column, limit):
         raw = data.tobytes()
         low = [" " + raw[s:e].decode("utf-8", "replace").lower() + " " for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
         cp = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -97,7 +97,7 @@ def train(texts: list[str], y: np.ndarray, seed: int = 3) -> dict | None:
     cache: dict = {}
     seen: dict[int, int] = {}
     grams, words, docs = [], [], []
-    for lo, _, data, at in marked(pa.array(texts, pa.string())):
+    for lo, _, data, at in marked(pa.array(texts, pa.string()), 1 << 18):
         w, bucket, of, own = subwords(data, at, cache)
         order = np.argsort(of, kind="stable")
         bucket, ends = bucket[order], np.cumsum(np.bincount(of, minlength=len(own)))
@@ -106,30 +106,35 @@ def train(texts: list[str], y: np.ndarray, seed: int = 3) -> dict | None:
         for i, (h, f) in enumerate(zip(some.tolist(), first.tolist(), strict=True)):
             if h not in seen:
                 seen[h] = len(grams)
-                grams.append(bucket[ends[f - 1] if f else 0 : ends[f]])
+                grams.append(bucket[ends[f - 1] if f else 0 : ends[f]].astype(np.int32))
             ids[i] = seen[h]
         words.append(ids[back])
         docs.append(w + lo)
     word, doc, n = np.concatenate(words), np.concatenate(docs), len(texts)
     flat, length = np.concatenate(grams), np.array([len(g) for g in grams])
+    grams, n_words = None, len(grams)
     begin = np.concatenate([[0], np.cumsum(length)])[:-1]
     held = rng.random(n) < 0.2
-    distinct = np.unique(doc * len(grams) + word)
-    d, w = distinct // len(grams), distinct % len(grams)
-    k = length[w]
-    inside = np.unique(np.repeat(d, k) * BUCKETS + flat[np.repeat(begin[w], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)])
-    d, g = inside // BUCKETS, inside % BUCKETS
-    fit = ~held[d]
+    distinct = np.unique(doc * n_words + word)
+    d, w = distinct // n_words, distinct % n_words
     n1, n0 = max(1, (y[~held] == 1).sum()), max(1, (y[~held] == 0).sum())
-    c1, c0 = (np.bincount(g[fit & (y[d] == v)], minlength=BUCKETS) for v in (1, 0))
+    c1, c0 = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    cuts = np.searchsorted(d, np.arange(n + 1))
+    for i in np.flatnonzero(~held):  # one document's n-grams at a time
+        k = length[own := w[cuts[i] : cuts[i + 1]]]
+        inside = np.unique(flat[np.repeat(begin[own], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)])
+        (c1 if y[i] == 1 else c0)[inside] += 1
     chance = (c1 + c0) * n1 / (n1 + n0)
-    known = ((c1 + c0 >= LEAST_DOCUMENTS) & (np.abs(c1 - chance) >= LEAST_SIGMAS * np.sqrt(np.maximum(chance * n0 / (n1 + n0), 1e-9))))[:, None]
-    odds = np.log((c1 / n1 + 2 / n1) / (c0 / n0 + 2 / n1))
-    table, out, bias = rng.normal(0, 0.02, (BUCKETS, WIDTH)), rng.normal(0, 0.2, (WIDTH, 2)), np.zeros(2)
+    known = np.flatnonzero((c1 + c0 >= LEAST_DOCUMENTS) & (np.abs(c1 - chance) >= LEAST_SIGMAS * np.sqrt(np.maximum(chance * n0 / (n1 + n0), 1e-9))))
+    rows = len(known)  # the other buckets stay 0 and out of the training
+    row_of = np.full(BUCKETS, -1, np.int32)
+    row_of[known] = np.arange(rows)
+    odds = np.log((c1[known] / n1 + 2 / n1) / (c0[known] / n0 + 2 / n1))
+    table, out, bias = rng.normal(0, 0.02, (rows, WIDTH)), rng.normal(0, 0.2, (WIDTH, 2)), np.zeros(2)
     table[:, 0], out[0] = odds, (-1, 1)
-    table *= known
-    of_gram = np.repeat(np.arange(len(length)), length)[known[flat, 0]]
-    flat = flat[known[flat, 0]]
+    flat = row_of[flat]
+    some = flat >= 0
+    of_gram, flat = np.repeat(np.arange(len(length), dtype=np.int32), length)[some], flat[some]
     few = np.bincount(of_gram, minlength=len(length))
     begin = np.concatenate([[0], np.cumsum(few)])[:-1]
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (table, out, bias)]
@@ -168,7 +173,7 @@ def train(texts: list[str], y: np.ndarray, seed: int = 3) -> dict | None:
         p *= (weight * ~held)[:, None]
         d_bag = p @ out.T / size[:, None]
         d_vec = np.stack([np.bincount(back, d_bag[d, c], len(used)) for c in range(WIDTH)], 1) / k[:, None]
-        d_table = np.stack([np.bincount(g, d_vec[of, c], BUCKETS) for c in range(WIDTH)], 1) * known
+        d_table = np.stack([np.bincount(g, d_vec[of, c], rows) for c in range(WIDTH)], 1)
         for param, grad, (a, b), rate in zip((table, out, bias), (d_table, bag.T @ p + 1e-4 * out, p.sum(0)), state, (0.05, 0.05, 0.05), strict=True):
             a *= 0.9
             a += 0.1 * grad
@@ -179,7 +184,9 @@ def train(texts: list[str], y: np.ndarray, seed: int = 3) -> dict | None:
     z = most_toxic(s, doc, n) + bias[1] - bias[0]
     use = held if len(set(y[held].tolist())) == 2 else np.ones(n, bool)
     slope, shift = calibrated(z[use], y[use])
-    return {"logit": (table @ (out[:, 1] - out[:, 0])).astype(np.float32), "bias": float(bias[1] - bias[0]), "slope": slope, "shift": shift}
+    logit = np.zeros(BUCKETS, np.float32)
+    logit[known] = table @ (out[:, 1] - out[:, 0])
+    return {"logit": logit, "bias": float(bias[1] - bias[0]), "slope": slope, "shift": shift}
 
 
 def calibrated(z: np.ndarray, y: np.ndarray, steps: int = 400) -> tuple[float, float]:
