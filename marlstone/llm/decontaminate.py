@@ -147,7 +147,7 @@ def prepared(spark, docs: DataFrame, items: list[tuple[int, np.ndarray, np.ndarr
     vectors = (idf[:, None] * right).astype(np.float32)
     latent = np.stack([v @ right[c] for c, v in rows]).astype(np.float32)
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
-    return {"vocabulary": vocabulary, "vectors": vectors, "latent": latent, "need": min(3, min(len(k) for k in keys)), "items": [i for i, _, _ in items], "words": [w.tolist() for _, w, _ in items], "rare": [set(vocabulary[k].tolist()) for k in keys], "answers": [set(a.tolist()) for _, _, a in items]}
+    return {"vocabulary": vocabulary, "vectors": vectors, "latent": latent, "items": [i for i, _, _ in items], "words": [w.tolist() for _, w, _ in items], "rare": [set(vocabulary[k].tolist()) for k in keys], "answers": [set(a.tolist()) for _, _, a in items]}
 
 
 def candidates(w: Words, h: np.ndarray, model: dict) -> Iterator[tuple[int, int, int, int, float]]:
@@ -164,7 +164,7 @@ def candidates(w: Words, h: np.ndarray, model: dict) -> Iterator[tuple[int, int,
     start = w.first[text] + STEP * (np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each))
     end = np.minimum(start + WINDOW, w.first[text + 1])
     lo, hi = np.searchsorted(at, start), np.searchsorted(at, end)
-    some = np.flatnonzero(hi - lo >= model["need"])
+    some = np.flatnonzero(hi > lo)
     found = []
     for k in range(0, len(some), 512):
         part = some[k : k + 512]

@@ -144,6 +144,23 @@ def test_decontamination_answers_and_empty(spark, make):
     assert decontaminate.contaminated(make([]), b).collect() == []
 
 
+def test_copies_of_a_common_passage_at_every_offset(spark, make):
+    """Passages whose words over 2 % of documents hold keep few weighted words; no alignment with the windows loses a copy."""
+    r = random.Random(5)
+    items = {i: [f"p{i}w{j}" for j in range(48)] for i in range(12)}
+    other = lambda n: [f"h{r.randrange(30000)}" for _ in range(n)]
+    rows, want = [], {}
+    for i, words in items.items():
+        for offset in range(16):
+            want[len(rows)] = [i]
+            rows.append((len(rows), " ".join(other(64 + offset) + words + other(136 - offset))))
+        for _ in range(25):  # the words without their order: no copies
+            want[len(rows)] = []
+            rows.append((len(rows), " ".join(r.sample(words, 48))))
+    got = decontaminate.contaminated(make(rows), bench(spark, [(i, " ".join(w)) for i, w in items.items()])).collect()
+    assert {x.doc_id: x.item_ids for x in got} == want
+
+
 def test_common_subsequence():
     def plain(a, b):
         row = [0] * (len(b) + 1)
