@@ -50,7 +50,7 @@ ENTITIES: dict[str, tuple[tuple[str, ...], str]] = {
                CASE WHEN o_orderkey % 7 = 0 THEN '' WHEN o_orderkey % 3 = 0 THEN concat(CAST(o_custkey AS STRING), '-new') ELSE CAST(o_custkey AS STRING) END AS value
         FROM orders WHERE o_orderkey % 4 <> 0"""),
     "alias": (("part",), """
-        SELECT p_partkey AS from_id, CASE WHEN p_partkey % 50 = 0 THEN p_partkey - 2 ELSE p_partkey + 1 END AS to_id FROM part WHERE (p_partkey % 5 <> 4 OR p_partkey % 50 = 49) AND p_partkey < 200"""),
+        SELECT p_partkey AS from_id, CASE WHEN p_partkey % 50 = 0 THEN p_partkey - 2 ELSE p_partkey + 1 END AS to_id FROM part WHERE p_partkey % 5 <> 4 OR p_partkey % 50 = 49"""),
     "decision": (("orders",), """
         SELECT o_custkey AS proposal_id, o_orderkey AS receipt_id, o_orderdate AS decided_at, CASE o_orderstatus WHEN 'F' THEN 'approved' WHEN 'O' THEN 'rejected' ELSE 'changes-requested' END AS decision FROM orders"""),
     "trial": (("labels",), """

@@ -46,3 +46,20 @@ def test_access_filter_stands_before_the_text_is_used(spark, sf):
     """The plan reads no body for a catalog decision: the scan's columns don't have the text."""
     plan = QUERIES["access_subset"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "text#" not in plan
+
+
+def test_aliases_of_all_parts(spark, tmp_path):
+    """Chains and cycles of every part, against a walk."""
+    spark.range(1, 701).withColumnRenamed("id", "p_partkey").write.parquet(str(tmp_path / "part.parquet"))
+    to = {k: k - 2 if k % 50 == 0 else k + 1 for k in range(1, 701) if k % 5 != 4 or k % 50 == 49}
+    want = {}
+    for k in to:
+        at, seen = to[k], [k]
+        while at in to and at not in seen:
+            seen.append(at)
+            at = to[at]
+        want[k] = (at, len(seen), "cycle" if at in seen else "resolved")
+    got = {r.from_id: (r.to_id, r.hops, r.state) for r in QUERIES["alias_chain"](spark, str(tmp_path)).collect()}
+    assert got == want
+    cycles = {r.subject for r in QUERIES["lint_alias_cycles"](spark, str(tmp_path)).collect()}
+    assert cycles == {str(k) for k, (_, _, state) in want.items() if state == "cycle"}
