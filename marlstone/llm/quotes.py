@@ -3,9 +3,12 @@
 A line's quote level is the number of ``>`` it begins with (blanks between allowed).
 Runs of neighbouring lines of one level over 0 are quoted passages. Passages, the
 unquoted body of every message and each of its paragraphs (lines between empty lines)
-and lines are normalised (marks off, blanks collapsed, A-Z lower-cased) and hashed;
-a quoted passage belongs to the first earlier message of its conversation that holds
-it in its own words. A message replies to the message of its shallowest linked
+and lines are normalised (marks off, blanks collapsed, A-Z lower-cased) and hashed,
+as are those runs of an unquoted body's lines, and of its paragraphs, that begin with
+the first line or paragraph of a quoted passage and have as many (empty ones don't
+count); a quoted passage belongs to the first earlier message of its conversation that
+holds it in its own words. Part of a line is no passage, nor is part of a paragraph
+whose lines are broken elsewhere. A message replies to the message of its shallowest linked
 passage, the latest of these if there are several. Following replies gives the root
 of its thread (pointers are doubled, so that depth d takes log2 d joins).
 
@@ -50,23 +53,40 @@ def parsed(messages: DataFrame) -> DataFrame:
         quoted, F.array().cast("array<struct<end:int,level:int,text:string>>"),
         lambda acc, x: F.when(
             (F.size(acc) > 0) & (F.element_at(acc, -1)["end"] == x["i"] - 1) & (F.element_at(acc, -1)["level"] == x["level"]),
-            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(x["i"].cast("int").alias("end"), x["level"].cast("int").alias("level"), F.concat(F.element_at(acc, -1)["text"], F.lit(" "), x["quoted"]).alias("text")))),
+            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(x["i"].cast("int").alias("end"), x["level"].cast("int").alias("level"), F.concat(F.element_at(acc, -1)["text"], F.lit("\n"), x["quoted"]).alias("text")))),
         ).otherwise(F.concat(acc, F.array(F.struct(x["i"].cast("int").alias("end"), x["level"].cast("int").alias("level"), x["quoted"].alias("text"))))),
     )
     return m.select("conv_id", "turn", "role", "body", F.when(F.size(quoted) > 0, joined).otherwise(F.array().cast("array<struct<end:int,level:int,text:string>>")).alias("passages"), F.size(quoted).alias("n_quoted"))
 
 
+def units(text: Column) -> Column:
+    """The normalised lines of a text and its normalised paragraphs, without empty ones."""
+    return F.array(*[F.filter(F.transform(F.split(text, by), normal), lambda x: x != "") for by in ("\n", r"\n\s*\n")])
+
+
+def runs(known: DataFrame, asked: DataFrame) -> DataFrame:
+    """conv_id, turn, h of the runs of lines or paragraphs that begin like a quoted one and are as long."""
+    starts = asked.select("conv_id", F.explode("starts").alias("s")).select("conv_id", "s.*").where("n > 1").distinct()
+    bodies = known.join(starts.select("conv_id").distinct(), "conv_id", "left_semi").select("conv_id", "turn", units(F.col("body")).alias("units"))
+    heads = bodies.select("conv_id", "turn", F.posexplode("units").alias("kind", "unit")).select("conv_id", "turn", "kind", F.size("unit").alias("size"), F.posexplode("unit").alias("at", "head"))
+    places = heads.withColumn("head", F.md5(F.col("head").cast("binary"))).join(starts, ["conv_id", "kind", "head"]).where("at + n <= size")
+    places = places.groupBy("conv_id", "turn").agg(F.collect_set(F.struct("kind", "at", "n")).alias("places"))
+    found = bodies.join(places, ["conv_id", "turn"]).select("conv_id", "turn", "units", F.explode("places").alias("p"))
+    return found.select("conv_id", "turn", F.md5(F.array_join(F.slice(F.get("units", F.col("p.kind")), F.col("p.at") + 1, F.col("p.n")), " ").cast("binary")).alias("h"))
+
+
 def linked(parsed_messages: DataFrame) -> DataFrame:
     """conv_id, turn, reply_to: the message that each quoting message answers."""
     known = parsed_messages.where("conv_id is not null and turn is not null")
-    quotes = known.where("n_quoted > 0").select("conv_id", "turn", F.explode("passages").alias("p")).select("conv_id", "turn", F.col("p.level").alias("level"), F.md5(normal("p.text").cast("binary")).alias("h")).where(F.length(normal("p.text")) > 0)
+    starts = F.transform(units(F.col("p.text")), lambda u, kind: F.struct(kind.alias("kind"), F.md5(F.get(u, 0).cast("binary")).alias("head"), F.size(u).alias("n")))
+    quotes = known.where("n_quoted > 0").select("conv_id", "turn", F.explode("passages").alias("p")).where(F.length(normal("p.text")) > 0).select("conv_id", "turn", F.col("p.level").alias("level"), F.md5(normal("p.text").cast("binary")).alias("h"), starts.alias("starts"))
     asked = stash(quotes.distinct())
     if asked.isEmpty():
         return asked.select("conv_id", "turn", F.col("turn").alias("reply_to"))
     wanted = asked.select("conv_id", "h").distinct()
     parts = F.array_union(F.array(F.col("body")), F.array_union(F.split("body", r"\n\s*\n"), F.split("body", "\n")))
     own = known.join(asked.select("conv_id").distinct(), "conv_id", "left_semi").select("conv_id", "turn", F.explode(F.array_distinct(F.transform(parts, normal))).alias("part")).where("part <> ''")
-    first = own.select("conv_id", "turn", F.md5(F.col("part").cast("binary")).alias("h")).groupBy("conv_id", "h").agg(F.min("turn").alias("origin")).join(wanted, ["conv_id", "h"], "left_semi")
+    first = own.select("conv_id", "turn", F.md5(F.col("part").cast("binary")).alias("h")).union(runs(known, asked)).groupBy("conv_id", "h").agg(F.min("turn").alias("origin")).join(wanted, ["conv_id", "h"], "left_semi")
     found = asked.join(first, ["conv_id", "h"]).where("origin < turn")
     return found.groupBy("conv_id", "turn").agg(F.max(F.struct((-F.col("level")).alias("near"), "origin"))["origin"].alias("reply_to"))
 

@@ -205,6 +205,37 @@ def test_quotations(spark):
     assert quotes.conversations(spark.createDataFrame([], MESSAGES)).collect() == []
 
 
+def test_partial_quotes_of_several_lines(spark):
+    """Runs of lines or paragraphs of a message, whole bodies or not; lines that don't stand together in one earlier message link nothing."""
+    first, second = "one a\ntwo b\nthree c\n\nfour d\nfive e\n\nsix f", "lead\ntwo b\nthree c"
+    quoted = [
+        ("> one a\n> two b", 0), ("> one a\n> two b\n> three c\n>\n> four d\n> five e", 0), ("> Three  c\n>\n> four d", 0), ("> two b\n> three c", 0), ("> lead\n> two b", 1),
+        (">> two b\n>> three c\n>> four d", 0), ("> one a two b\n> three c\n>\n> four d five e", 0), ("> one a\n> three c", None), ("> six f\n> lead", None), ("> three c\n> two b", None), ("> seen\n> later", None),
+    ]
+    rows = [(1, 0, "u", first), (1, 1, "u", second)] + [(1, 2 + i, "u", f"{q}\nreply {i}") for i, (q, _) in enumerate(quoted)] + [(1, 90, "u", "x\nseen\nlater"), (2, 0, "u", second), (2, 1, "u", "> one a\n> two b")]
+    got = {(x.conv_id, x.turn): x.reply_to for x in quotes.conversations(spark.createDataFrame(rows + rows[:3], MESSAGES)).collect()}
+    assert [got[1, 2 + i] for i in range(len(quoted))] == [o for _, o in quoted] and got[2, 1] is None
+
+
+def test_partial_quotes_by_brute_force(spark):
+    r = random.Random(4)
+    rows, want = [], {}
+    for c in range(12):
+        own = []
+        for turn in range(12):
+            source = r.choice(own) if own else []
+            n = r.randrange(1, 5)
+            at = r.randrange(max(1, len(source)))
+            q = source[at : at + n] if r.random() < 0.7 else [r.choice("abcd") for _ in range(n)]
+            body = [r.choice("abcd") for _ in range(r.randrange(1, 9))]
+            lines = "".join(f"> {x}\n" + r.choice(["", "", ">\n"]) for x in q)
+            rows.append((c, turn, "u", lines + "".join(x + r.choice(["\n", "\n", "\n\n"]) for x in body)))
+            want[c, turn] = next((t for t, b in enumerate(own) if q and any(b[i : i + len(q)] == q for i in range(len(b)))), None)
+            own.append(body)
+    got = {(x.conv_id, x.turn): x.reply_to for x in quotes.conversations(spark.createDataFrame(rows, MESSAGES)).collect()}
+    assert got == want
+
+
 def test_a_long_thread_and_a_hot_passage(spark):
     """Every message quotes the one before; all of a second conversation quote its first, whose words many repeat."""
     rows = [(1, i, "u", (f"> message {i - 1}\n" if i else "") + f"message {i}") for i in range(40)] + [(2, i, "u", "> common words\nre" if i % 2 else "common words") for i in range(60)]
