@@ -2,11 +2,11 @@
 
 STAGES are (name, function); each function takes (spark, docs, sf_dir). All but the
 last return the columns of documents; the last adds shard and slot. A row keeps its
-place through its id, so ids are taken to be unique; rows of equal id share the
-decisions on that id.
+place through its id. The near-duplicate stage judges every row for itself, those of
+repeated or null ids too; in the mix, rows of equal id share the decisions on that id.
 
-Null ids are kept by every filter and mixed and placed like any other row. An empty
-table passes through every stage.
+Null ids are judged, mixed and placed like any other row. An empty table passes through
+every stage.
 """
 
 from __future__ import annotations
@@ -28,12 +28,25 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: five words, similarity 0.8."""
+    """One document of each group of near-duplicates stays: five words, similarity 0.8. Of rows of equal id and text, one is looked at."""
+    if not docs.groupBy("doc_id").count().where("doc_id is null or count > 1").isEmpty():
+        return near_duplicate_rows(docs)
     found = near_dup.near_duplicates(docs)
     gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_mk_gone"))
     return docs.join(gone, F.col("doc_id") == F.col("_mk_gone"), "left_anti")
 
 
+def near_duplicate_rows(docs: DataFrame) -> DataFrame:
+    """The same where ids repeat or are null: rows have a key of their own; a group keeps its smallest id, a null one only without others."""
+    keyed = stash(docs.withColumn("_mk_row", F.monotonically_increasing_id()))
+    first = stash(keyed.groupBy("doc_id", F.sha2("text", 256).alias("_mk_text")).agg(F.min("_mk_row").alias("_mk_row")).drop("_mk_text"))
+    rows = keyed.join(first.select("_mk_row"), "_mk_row", "left_semi")
+    found = near_dup.near_duplicates(rows, "_mk_row").select(F.col("doc_id").alias("_mk_row"), "component_id")
+    rank = F.struct(F.col("doc_id").isNull().alias("without"), F.col("doc_id").alias("id"), F.col("_mk_row").alias("row"))
+    kept = found.join(first, "_mk_row").groupBy("component_id").agg(F.min(rank)["row"].alias("_mk_row")).select("_mk_row")
+    return rows.join(kept, "_mk_row", "left_semi").select(*docs.columns)
+
+
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of the benchmark go."""
     found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carried=tuple(docs.columns))

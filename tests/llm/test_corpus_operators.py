@@ -286,6 +286,19 @@ def test_pipeline(spark, planted):
     assert all(sorted(v) == list(range(len(v))) for v in slots.values())
 
 
+def test_near_duplicates_of_repeated_and_null_ids(spark, make):
+    """One row of each group stays, whether its rows have ids of their own, one id or none."""
+    r = random.Random(8)
+    texts = [" ".join(f"t{r.randrange(5000)}" for _ in range(120)) for _ in range(7)]
+    rows = [(1, texts[0]), (1, texts[0]), (1, texts[0] + " tail"), (1, texts[1]), (None, texts[2]), (None, texts[2]), (None, texts[2] + " tail"), (None, texts[3]), (9, texts[3]), (8, texts[3]), (None, texts[4]), (5, "one"), (5, "one"), (None, None), (6, texts[5]), (7, texts[6])]
+    got = corpus_pipeline.near_duplicate_stage(spark, make(rows).repartition(5), "").collect()
+    group = {x: i for i, text in enumerate(texts) for x in (text, text + " tail")}
+    kept = Counter((x.doc_id, group.get(x.text, x.text)) for x in got)
+    assert kept == Counter([(1, 0), (1, 1), (None, 2), (8, 3), (None, 4), (5, "one"), (None, None), (6, 5), (7, 6)])
+    alone = corpus_pipeline.near_duplicate_stage(spark, make([(i, text) for i, (_, text) in enumerate(rows) if text]), "").collect()
+    assert Counter(group.get(x.text, x.text) for x in alone) == Counter([*range(7), "one"])
+
+
 def test_pipeline_of_odd_rows(spark, make, odd, tmp_path):
     for t in ("labels", "benchmark"):
         spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").write.parquet(str(tmp_path / f"{t}.parquet"))
