@@ -15,9 +15,11 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where it is unset."""
+    """The folder in spark.checkpoint.dir. Where it is unset, a local session gets one of its own; a cluster has to name one, as no other folder is seen by all its machines."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="marlstone-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -43,6 +45,27 @@ def _clean() -> None:
             return
 
 
+def place(df: DataFrame, name: str) -> int:
+    """The place of a column: the first of that name, else the first that differs in case only."""
+    low = [c.lower() for c in df.columns]
+    return df.columns.index(name) if name in df.columns else low.index(name.lower())
+
+
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores before them as no column of df has them, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """df with its columns named by their places (_mk_0, _mk_1, ...), whatever they were called."""
+    return df.toDF(*[f"_mk_{i}" for i in range(len(df.columns))])
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -95,8 +118,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     """At most per_class documents of label 0 and of label 1, the first by a hash of the id, with y (the label).
 
     The ids are chosen on the labels alone; they are few (2 * per_class), so that they
-    can be sent to every task and the documents are read once, without a shuffle. A
-    text over most_bytes is not learned from. An id with both labels counts as 1.
+    can be sent to every task and the documents are read once. A text over most_bytes is
+    not learned from. An id with both labels counts as 1; of the rows of an id the one
+    with the least text (then the least other columns) is learned from, so that the
+    sample has at most 2 * per_class rows however often an id repeats.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1))
     known = known.where(where) if where is not None else known
@@ -104,5 +129,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     order = F.xxhash64(F.col("doc_id"), F.lit(11))
     picked = [known.where(F.col("y") == y).orderBy(order, "doc_id").limit(per_class) for y in (0, 1)]
     ids = F.broadcast(picked[0].union(picked[1]).withColumnRenamed("doc_id", "_id"))
-    rows = docs.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= most_bytes)
-    return rows.select(*[F.col(c) for c in dict.fromkeys(("doc_id", *columns))]).join(ids, F.col("doc_id") == F.col("_id")).drop("_id")
+    names = list(dict.fromkeys(("doc_id", *columns)))
+    rows = docs.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= most_bytes).select(*names).join(ids, F.col("doc_id") == F.col("_id"))
+    rest = ["text", *[c for c in names if c not in ("doc_id", "text")]]
+    one = rows.groupBy("_id", "y").agg(F.min(F.struct("doc_id", *rest)).alias("_row"))
+    return one.select(*[F.col(f"_row.{c}").alias(c) for c in names], "y")
+
+
+def rolled_sample(docs: DataFrame, about: int, total: int, seed: int) -> DataFrame:
+    """About so many of docs' total rows, by a hash of id and text: equal ones count once, and there are never more than twice as many."""
+    text = F.xxhash64("text")
+    roll = F.pmod(F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(seed)), F.lit(1 << 30))
+    some = docs.withColumns({"_mk_roll": roll, "_mk_hash": text}).where(F.col("_mk_roll") < F.lit(int(min(1.0, about / max(1, total)) * (1 << 30))))
+    return some.dropDuplicates(["doc_id", "_mk_hash"]).orderBy("_mk_roll", "doc_id").limit(2 * about).drop("_mk_roll", "_mk_hash")

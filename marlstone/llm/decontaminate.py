@@ -10,9 +10,11 @@ passage, near the window, covers LEAST_LCS of the passage, and if the answer is
 the item's own answer where the benchmark has that column, else half of the passage's
 rare words.
 
-A null or empty text holds nothing; an item without words is not looked for; an empty
-benchmark leaves every document clean; repeated rows are returned as often as they
-come; null ids stay null; columns other than those named are not looked at.
+A null or empty text holds nothing; a very long one is read whole, a chunk of its own; an
+item without words is not looked for; an empty benchmark leaves every document clean, and
+an empty table gives an empty result; repeated rows are judged and returned as often as
+they come; null ids stay null; of equally good items all are named, and the shares are
+the best one's. Other columns, whatever their names, come along in ``flagged``.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, free, numbered, place
 from .textkit import NOT_ALNUM, Words, chunks
 
 #: Words of a passage and of a window, step of the windows, rank of the space and what is drawn beyond it.
@@ -215,12 +217,13 @@ def blocks(bench: DataFrame, id_col: str, text_col: str, answer_col: str | None)
             yield found
 
 
-def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", carried: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, item_ids (the items found, sorted), lcs_share and cosine (of the best one, else null); carried columns come along."""
-    spark = docs.sparkSession
+def flagged(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> tuple[DataFrame, list[str]]:
+    """docs with three more columns, and their names, which no column of docs has: the items found (sorted), and share and cosine of the best one (else null)."""
+    spark, n, at_text = docs.sparkSession, len(docs.columns), place(docs, text_col)
     answer = "answer" if "answer" in bench.columns else None
-    texts = docs.select(F.col(text_col).alias("text"))
-    found = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t"), *[F.col(c) for c in carried if c != id_col], F.array().cast("array<long>").alias("item_ids"), F.lit(None).cast("double").alias("lcs_share"), F.lit(None).cast("double").alias("cosine"))
+    texts = numbered(docs).select(F.col(f"_mk_{at_text}").alias("text"))
+    none = F.lit(None).cast("double")
+    found = numbered(docs).withColumns({"_mk_items": F.array().cast(f"array<{bench.schema[item_col].dataType.simpleString()}>"), "_mk_share": none, "_mk_cosine": none})
     for block in blocks(bench, item_col, item_text_col, answer):
         model = prepared(spark, texts, block)
 
@@ -228,20 +231,31 @@ def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text
             np.seterr(over="ignore")
             cache: dict = {}
             for b in batches:
-                at_ids = b.schema.get_field_index("item_ids")
-                before = [b.column(at_ids + k).to_pylist() for k in range(3)]
-                for lo, _, data, at in chunks(b.column(1)):
+                before = [b.column(n + k).to_pylist() for k in range(3)]
+                for lo, _, data, at in chunks(b.column(at_text)):
                     w = Words(data, at, NOT_ALNUM, lower=True)
                     for text, own in leaks(w, w.hash(cache), model).items():
                         share, cos = max(own.values())
                         before[0][lo + text] = sorted({*before[0][lo + text], *own})
                         if before[1][lo + text] is None or share > before[1][lo + text]:
                             before[1][lo + text], before[2][lo + text] = share, cos
-                columns = [*[b.column(k) for k in range(at_ids)], pa.array(before[0], pa.list_(pa.int64())), pa.array(before[1], pa.float64()), pa.array(before[2], pa.float64())]
+                columns = [*[b.column(k) for k in range(n)], pa.array(before[0], b.schema.field(n).type), pa.array(before[1], pa.float64()), pa.array(before[2], pa.float64())]
                 yield pa.RecordBatch.from_arrays(columns, b.schema.names)
 
         found = found.mapInArrow(run, found.schema)
-    return found.drop("_t")
+    names = free(docs, "item_ids", "lcs_share", "cosine")
+    return found.toDF(*docs.columns, *names), names
+
+
+def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """doc_id, item_ids, lcs_share and cosine of every document."""
+    return flagged(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), bench, "text", item_col, item_text_col)[0].drop("text")
+
+
+def clean(docs: DataFrame, bench: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that hold no passage of the benchmark."""
+    found, (items, *_) = flagged(numbered(docs), bench, f"_mk_{place(docs, text_col)}")
+    return found.where(F.size(items) == 0).select(*[f"_mk_{i}" for i in range(len(docs.columns))]).toDF(*docs.columns)
 
 
 def op3_latent_decontamination(spark, sf_dir: str) -> DataFrame:

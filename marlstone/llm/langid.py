@@ -8,9 +8,12 @@ k-means on a bounded sample of its documents. A document is as far from a langua
 as from its nearest centroid; beyond the language's radius (learned from the
 sample's own distances) the prediction is marked as rejected.
 
-A text that is null or has no letter is ``und`` with score 0, and so is every text if
-nothing can be learned; repeated rows are returned as often as they come; null ids
-stay null and count as the empty text in the split; other columns are not looked at.
+A text that is null, empty or without a letter is ``und`` with score 0, and so is every
+text if nothing can be learned; very long texts are read whole, in a block of their own;
+repeated rows are returned as often as they come and learned from once; null ids stay null
+and count as the empty text in the split; of equally near centroids the first in the
+languages' order counts; an empty table gives an empty result; other columns, whatever
+their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -21,13 +24,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import documents, held_out
 from .textkit import CHUNK_BYTES
 
 DIM = 4096
-#: Centroids of a language; documents that they are fitted on, over all languages, at about; rows of a dense block.
-CENTROIDS, FIT_DOCUMENTS, BLOCK_ROWS = 4, 2000, 256
+#: Centroids of a language; documents that they are fitted on, over all languages, and of each language at the least of these two; rows of a dense block.
+CENTROIDS, FIT_DOCUMENTS, LEAST_DOCUMENTS, BLOCK_ROWS = 4, 2000, 50, 256
 #: Radius of a language: this quantile of its sample's distances, and so much of the way from there to 1.
 QUANTILE, SLACK = 0.995, 0.25
 
@@ -136,9 +140,12 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
         return None
     total, df = frequencies(known)
     idf = (np.log((1 + total) / (1 + df)) + 1).astype(np.float32)
-    each = max(50, FIT_DOCUMENTS // len(sizes))
-    part = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(1.0, each / n))])
-    roll = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
+    each = max(LEAST_DOCUMENTS, FIT_DOCUMENTS // len(sizes))
+    part = F.create_map(*[F.lit(x) for lang, n in sorted(sizes.items()) for x in (lang, min(1.0, 2 * each / n))])
+    roll = F.pmod(F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
+    # equal rows count once, and of a language the first by the roll are taken, so that its number has a bound
+    some = known.withColumns({"roll": roll, "hash": F.xxhash64("text")}).where("text is not null").where(F.col("roll") < part[F.col("lang")]).dropDuplicates(["lang", "doc_id", "hash"])
+    sample = some.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("roll", "doc_id", "hash"))).where(F.col("place") <= each).select("doc_id", "lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table: dict = {}
@@ -146,15 +153,15 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
             for lo, texts in blocks(b.column(2)):
                 c, n = counts(texts, table)
                 keep = n > 0
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, DIM * (keep.sum() + 1), DIM), pa.int32()), pa.array(c[keep].astype(np.int32).ravel()))
-                yield pa.RecordBatch.from_arrays([b.column(k).slice(lo, len(texts)).filter(pa.array(keep)) for k in (0, 1)] + [lists], ["doc_id", "lang", "c"])
+                blobs = pa.array([row.tobytes() for row in vectors(c[keep], idf).astype(np.float16)], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(k).slice(lo, len(texts)).filter(pa.array(keep)) for k in (0, 1)] + [blobs], ["doc_id", "lang", "v"])
 
-    sample = known.where(roll < part[F.col("lang")]).select("doc_id", "lang", "text")
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = sorted(sample.mapInArrow(run, f"doc_id {kind}, lang string, c array<int>").collect(), key=lambda r: (r.lang, str(r.doc_id)))
+    rows = sorted(sample.mapInArrow(run, f"doc_id {kind}, lang string, v binary").collect(), key=lambda r: (r.lang, str(r.doc_id), bytes(r.v)))
     langs, at, centroids, radius = [], [], [], []
     for lang in sorted({r.lang for r in rows}):
-        v = vectors(np.array([r.c for r in rows if r.lang == lang]), idf)
+        v = np.array([np.frombuffer(r.v, np.float16) for r in rows if r.lang == lang], np.float32)
+        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
         c = clustered(v, CENTROIDS)
         far = float(np.quantile(1 - (v @ c.T).max(1), QUANTILE))
         at += [len(langs)] * len(c)

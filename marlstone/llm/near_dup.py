@@ -12,9 +12,13 @@ and only buckets whose members are still in different components are compared
 in full, in pairs of blocks of bounded size; there a pair is read in the first of the
 buckets that it shares, and only if its signatures leave it possible.
 
-Rows with a null id are returned as kept and never linked; repeated rows are
-returned as often as they come; an empty table gives an empty result; columns
-other than the id and the text are not looked at.
+Nodes are classes of equal sets with numbers of their own, and a row is told apart by a
+hash of its id and text, so that ids of any type may repeat or be null. A null id takes
+part; component_id is the smallest id that is not null, and null where all are null; a row
+is kept if its id is the component's. Rows of equal id and text are returned as often as
+they come (``survivors`` keeps one of them). Null, empty and blank texts have an empty
+set; a very long one is read whole, a chunk of its own. An empty table gives an empty
+result; columns other than the id and the text are not looked at.
 """
 
 from __future__ import annotations
@@ -23,10 +27,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, stash
+from .common import components, documents, numbered, place, stash
 from .textkit import BASE, BLANKS, Words, chunks, mix, windows
 
 #: Hash functions of a signature.
@@ -95,33 +99,41 @@ def sets(column, shingle: int, cache: dict | None = None) -> Iterator[np.ndarray
             begin = ends[i]
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, two 64-bit fingerprints of the set, a key for each band, and a byte of each slot."""
-    schema = "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>, sketch binary"
+def row_key(doc_id: Column, text: Column) -> list[Column]:
+    """A hash of 120 bits of a row's id and text, in two longs."""
+    digest = F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("\x01")), F.lit("\x00"), F.coalesce(text, F.lit("\x01"))).cast("binary"))
+    return [F.conv(F.substring(digest, at, 15), 16, 10).cast("long") for at in (1, 16)]
+
+
+def signatures(rows: DataFrame, shingle: int, band: int) -> DataFrame:
+    """doc_id, k1, k2 of rows that have these and text, then n_shingles, two 64-bit fingerprints of the set, a key for each band, and a byte of each slot."""
+    names = ["doc_id", "k1", "k2", "n_shingles", "fp1", "fp2", "bands", "sketch"]
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, k1 long, k2 long, n_shingles long, fp1 long, fp2 long, bands array<long>, sketch binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
-        odd = np.arange(1, SLOTS // rows + 1, dtype=np.uint64)
+        odd = np.arange(1, SLOTS // band + 1, dtype=np.uint64)
         for b in batches:
             sizes, one, two, keys, sketch = [], [], [], [], []
-            for s in sets(b.column(1), shingle):
+            for s in sets(b.column(3), shingle):
                 sizes.append(len(s))
                 one.append(np.add.reduce(mix(s)) if len(s) else np.uint64(0))
                 two.append(np.add.reduce(mix(s ^ np.uint64(BASE))) if len(s) else np.uint64(0))
                 if len(s):
-                    sig, band = super_minhash(s).reshape(-1, rows), odd
-                    for k in range(rows):
-                        band = mix(band * np.uint64(BASE) + sig[:, k])
-                    keys.append(band.view(np.int64))
+                    sig, key = super_minhash(s).reshape(-1, band), odd
+                    for k in range(band):
+                        key = mix(key * np.uint64(BASE) + sig[:, k])
+                    keys.append(key.view(np.int64))
                     sketch.append((mix(sig.ravel()) & np.uint64(255)).astype(np.uint8).tobytes())
                 else:
                     keys.append(np.zeros(0, np.int64))
                     sketch.append(b"")
             ends = np.cumsum([0, *map(len, keys)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys) if keys else [], pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(np.array(one, np.uint64).view(np.int64)), pa.array(np.array(two, np.uint64).view(np.int64)), lists, pa.array(sketch, pa.binary())], ["doc_id", "n_shingles", "fp1", "fp2", "bands", "sketch"])
+            found = [pa.array(sizes, pa.int64()), *[pa.array(np.array(x, np.uint64).view(np.int64)) for x in (one, two)], lists, pa.array(sketch, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(3)], *found], names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return rows.select("doc_id", "k1", "k2", "text").mapInArrow(run, schema)
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: float) -> bool:
@@ -142,25 +154,26 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: float)
             keep = pa.array(same, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
 
-    one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    one = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
+    two = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def compared(members: DataFrame, sig: DataFrame, texts: DataFrame, shingle: int, percent: float) -> DataFrame:
+def compared(members: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int, percent: float, sigmas: float | None = SIGMAS) -> DataFrame:
     """Edges that join the components (root) of each bucket (key): members in different ones are compared.
 
     A bucket is dealt out by blocks, and each pair of blocks is a group. Members known
-    to be connected are not compared.
+    to be connected are not compared. With sigmas None no pair is left out on its
+    signatures, only on its sets' sizes.
     """
-    least = SLOTS * percent / 100 - SIGMAS * (SLOTS * percent / 100 * (1 - percent / 100)) ** 0.5
-    names = ("key", "lo", "hi", "doc_id", "root", "block", "n_shingles")
+    least = -1.0 if sigmas is None else SLOTS * percent / 100 - sigmas * (SLOTS * percent / 100 * (1 - percent / 100)) ** 0.5
+    names = ("key", "lo", "hi", "node", "root", "block", "n_shingles")
 
     def group(t: pa.Table, cache: dict) -> list[tuple[int, int]]:
         key, lo, hi, ids, root, block, size = (t.column(n).to_numpy().copy() for n in names)
         bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
         sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(ids), -1)
-        place, known, edges = int(np.flatnonzero(bands[0] == key[0])[0]), {}, []
+        at, known, edges = int(np.flatnonzero(bands[0] == key[0])[0]), {}, []
 
         def of(i: int) -> np.ndarray:
             if i not in known:
@@ -171,8 +184,8 @@ def compared(members: DataFrame, sig: DataFrame, texts: DataFrame, shingle: int,
             j = np.flatnonzero(root[:i] != root[i])
             j = j if lo[0] == hi[0] else j[block[j] != block[i]]
             j = j[100 * np.minimum(size[j], size[i]) >= percent * np.maximum(size[j], size[i])]
-            if len(j) and place:
-                j = j[~(bands[j, :place] == bands[i, :place]).any(1)]  # else another bucket's pair
+            if len(j) and at:
+                j = j[~(bands[j, :at] == bands[i, :at]).any(1)]  # else another bucket's pair
             if len(j):
                 j = j[(sketch[j] == sketch[i]).sum(1) >= least]
             for k in j.tolist():
@@ -200,55 +213,90 @@ def compared(members: DataFrame, sig: DataFrame, texts: DataFrame, shingle: int,
             out += edges(pa.Table.from_batches(rest), last=True)[0]
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
 
-    known = sig.select("doc_id", "n_shingles", "bands", "sketch").join(members.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    rows = members.join(known.select("doc_id", "n_shingles"), "doc_id")
+    known = classes.select("node", "n_shingles", "bands", "sketch").join(members.select("node").distinct(), "node", "left_semi")
+    rows = members.join(known.select("node", "n_shingles"), "node")
     size = rows.groupBy("key").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    dealt = rows.join(size, "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", "doc_id", "root", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-    full = dealt.join(known, "doc_id").join(texts.select("doc_id", "text"), "doc_id")
+    dealt = rows.join(size, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", "node", "root", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    full = dealt.join(known, "node").join(texts, "node")
     full = full.select(*names, "bands", "sketch", "text").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
     return full.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest id the document reaches), kept (it is that document)."""
-    percent, rows = round(threshold * 100, 6), bands_for(threshold)
-    sig = stash(signatures(docs, id_col, text_col, shingle, rows))
-    full = sig.where("n_shingles > 0 and doc_id is not null")
-    classes = stash(full.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
-    reps = full.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    keys = reps.select("doc_id", F.explode("bands").alias("key"))
-    buckets = keys.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi")
-    members = stash(keys.join(buckets, "key").select("key", "doc_id", "lo", "hi"))
-    ids = members.select("doc_id").distinct()
-    texts = stash(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+def joined_roots(edges: DataFrame) -> DataFrame:
+    return stash(components(edges).withColumnsRenamed({"root": "top"}))
+
+
+def linked(classes: DataFrame, rows: DataFrame, shingle: int, percent: float, sigmas: float | None) -> DataFrame:
+    """node, root of every class that links with another. Each round works on the components that the last one left."""
+    keys = classes.select("node", F.explode("bands").alias("key"))
+    buckets = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
+    members = stash(keys.join(buckets, "key").select("key", "node", "lo", "hi"))
+    wanted = classes.select("node", F.col("picked.k1").alias("k1"), F.col("picked.k2").alias("k2")).join(members.select("node").distinct(), "node", "left_semi")
+    texts = stash(rows.select("k1", "k2", "text").join(wanted, ["k1", "k2"]).select("node", "text").dropDuplicates(["node"]))
 
     def against(pairs: DataFrame) -> DataFrame:
         return stash(confirmed(pairs.where("a <> b").distinct(), texts, shingle, percent))
 
-    edges = against(members.select(F.col("doc_id").alias("a"), F.explode(F.array("lo", "hi")).alias("b")))
+    edges = against(members.select(F.col("node").alias("a"), F.explode(F.array("lo", "hi")).alias("b")))
+    roots = joined_roots(edges).select("node", F.col("top").alias("root"))
     for full_check in (False, True):
-        roots = stash(components(edges))
-        placed = members.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("root", "doc_id").alias("root"))
+        placed = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
         still = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
         rest = stash(placed.join(still, "key", "left_semi"))
         if rest.isEmpty():
             break
         if full_check:
-            more = stash(compared(rest, reps, texts, shingle, percent))
+            more = stash(compared(rest, classes, texts, shingle, percent, sigmas))
         else:  # the member with the most links is the likeliest centre of its bucket
-            degree = edges.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("links"))
-            hubs = rest.join(degree, "doc_id", "left").groupBy("key").agg(F.max(F.struct(F.coalesce("links", F.lit(0)), "doc_id")).getField("doc_id").alias("b"), F.max(F.struct(F.col("doc_id") == F.col("root"), F.xxhash64("doc_id"), F.col("doc_id"))).getField("doc_id").alias("c"))
-            more = against(rest.join(hubs, "key").select(F.col("doc_id").alias("a"), F.explode(F.array("b", "c")).alias("b")))
-        edges = edges.union(more)
-    roots = stash(components(edges)) if not rest.isEmpty() else roots
-    named = classes.join(roots, F.col("rep") == F.col("node"), "left").select("fp1", "fp2", F.col("n_shingles").alias("n"), F.coalesce("root", "rep").alias("root"))
-    joined = sig.join(named, (sig.fp1 == named.fp1) & (sig.fp2 == named.fp2) & (sig.n_shingles == named.n), "left")
-    component = F.coalesce(named.root, sig.doc_id)
-    return joined.select(sig.doc_id, sig.n_shingles, F.when(sig.doc_id.isNotNull(), component).alias("component_id"), F.coalesce(sig.doc_id == component, F.lit(True)).alias("kept"))
+            degree = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
+            hubs = rest.join(degree, "node", "left").groupBy("key").agg(F.max(F.struct(F.coalesce("links", F.lit(0)), "node")).getField("node").alias("b"), F.max(F.struct(F.col("node") == F.col("root"), F.xxhash64("node"), F.col("node"))).getField("node").alias("c"))
+            more = against(rest.join(hubs, "key").select(F.col("node").alias("a"), F.explode(F.array("b", "c")).alias("b")))
+        # the new links join components, of which there are few: they alone are walked again
+        top = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+        lifted = more.join(top("a"), "a", "left").join(top("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).where("a <> b").distinct()
+        tops = joined_roots(lifted)
+        moved = roots.join(tops.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+        fresh = tops.join(roots.select("node"), "node", "left_anti").select("node", F.col("top").alias("root"))
+        roots = stash(moved.union(fresh))
+    return roots
+
+
+def grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, threshold: float, sigmas: float | None) -> tuple[DataFrame, DataFrame]:
+    """The rows as doc_id, k1, k2 and text; and each row's doc_id, k1, k2, n_shingles, root (null without a set) and component_id."""
+    percent, band = round(threshold * 100, 6), bands_for(threshold)
+    key = row_key(F.col(id_col), F.col(text_col))
+    rows = docs.select(F.col(id_col).alias("doc_id"), key[0].alias("k1"), key[1].alias("k2"), F.col(text_col).alias("text"))
+    sig = stash(signatures(rows, shingle, band))
+    full = sig.where("n_shingles > 0").groupBy("fp1", "fp2", "n_shingles")
+    classes = full.agg(F.min("doc_id").alias("least"), F.min(F.struct("k1", "k2")).alias("picked"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"))
+    classes = stash(classes.withColumn("node", F.monotonically_increasing_id()))
+    roots = linked(classes, rows, shingle, percent, sigmas)
+    named = stash(classes.select("node", "fp1", "fp2", "n_shingles", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("node"))
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = named.join(least, "root").select("fp1", "fp2", F.col("n_shingles").alias("n"), "root", "component_id")
+    found = sig.join(named, (sig.fp1 == named.fp1) & (sig.fp2 == named.fp2) & (sig.n_shingles == named.n), "left")
+    component = F.when(named.root.isNull(), sig.doc_id).otherwise(named.component_id)
+    return rows, found.select(sig.doc_id, sig.k1, sig.k2, sig.n_shingles, named.root, component.alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, sigmas: float | None = SIGMAS) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest id the document reaches), kept (it is that document)."""
+    found = grouped(docs, id_col, text_col, shingle, threshold, sigmas)[1]
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def op10_superminhash_near_dup(spark, sf_dir: str) -> DataFrame:
-    from .common import documents
+def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, sigmas: float | None = SIGMAS) -> DataFrame:
+    """The rows of docs, with all their columns, without near-duplicates: of each group the one of the smallest id (a null one only without others), of rows of equal id and text one."""
+    found = stash(grouped(docs, id_col, text_col, shingle, threshold, sigmas)[1])
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("k1").alias("k1"), F.col("k2").alias("k2"))
+    first = found.where("root is not null").groupBy("root").agg(F.min(rank).alias("r")).select(F.col("r.k1").alias("_mk_k1"), F.col("r.k2").alias("_mk_k2"))
+    kept = first.union(found.where("root is null").select("k1", "k2").distinct())
+    key = row_key(F.col(f"_mk_{place(docs, id_col)}"), F.col(f"_mk_{place(docs, text_col)}"))
+    keyed = numbered(docs).withColumns({"_mk_k1": key[0], "_mk_k2": key[1]})
+    out = keyed.dropDuplicates(["_mk_k1", "_mk_k2"]).join(kept, ["_mk_k1", "_mk_k2"], "left_semi")  # copies of a row meet before the shuffle
+    return out.select(*[f"_mk_{i}" for i in range(len(docs.columns))]).toDF(*docs.columns)
 
+
+def op10_superminhash_near_dup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), shingle=3, threshold=0.85)

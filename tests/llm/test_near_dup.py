@@ -84,16 +84,29 @@ def test_full_comparison_finds_links_between_components(spark):
             t[(13 * j) % 200] = f"x{j}"
         texts.append((i, " ".join(t)))
     rows = near_dup.bands_for(0.85)
-    docs = spark.createDataFrame(texts, "doc_id long, text string")
-    sig = near_dup.signatures(docs, "doc_id", "text", 3, rows).cache()
     from pyspark.sql import functions as F
 
-    members = sig.select("doc_id", F.explode("bands").alias("key"), F.col("doc_id").alias("root"))
-    roots = {x.node: x.root for x in components(near_dup.compared(members, sig, docs, 3, 85.0)).collect()}
-    assert {d: roots.get(d, d) for d, _ in texts} == {d: v[1] for d, v in brute(texts, 3, 85).items()}
+    docs = spark.createDataFrame(texts, "doc_id long, text string").withColumns({"k1": F.col("doc_id"), "k2": F.col("doc_id")})
+    sig = near_dup.signatures(docs, 3, rows).withColumnRenamed("doc_id", "node").cache()
+    members = sig.select("node", F.explode("bands").alias("key"), F.col("node").alias("root"))
+    for sigmas in (near_dup.SIGMAS, None):
+        edges = near_dup.compared(members, sig, docs.select(F.col("doc_id").alias("node"), "text"), 3, 85.0, sigmas)
+        roots = {x.node: x.root for x in components(edges).collect()}
+        assert {d: roots.get(d, d) for d, _ in texts} == {d: v[1] for d, v in brute(texts, 3, 85).items()}
     assert r
 
 
+def test_re_used_ids_with_other_texts(make):
+    """A row is told apart by id and text: an id's rows can be in several components, all of which have its number."""
+    rows = [(i % 7, t) for i, (_, t) in enumerate(corpus(3))]
+    got = near_dup.near_duplicates(make(rows), shingle=3, threshold=0.85).collect()
+    want = brute(list(enumerate(t for _, t in rows)), 3, 85)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[want[i][1]] = min(least.get(want[i][1], d), d)
+    assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got) == sorted((d, want[i][0], least[want[i][1]]) for i, (d, _) in enumerate(rows))
+
+
 def test_signature_agreement_is_the_similarity():
     rng = np.random.default_rng(0)
     with np.errstate(over="ignore"):

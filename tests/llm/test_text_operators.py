@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from marlstone.llm import langid, licenses, line_rules, quality, toxicity
+from marlstone.llm import common, langid, licenses, line_rules, quality, toxicity
 from marlstone.llm.queries import queries
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -150,13 +150,33 @@ def test_quality(spark, make, odd):
     docs, labels = known(spark)
     rows = queries()["op1_cotrained_quality"](spark, SF).collect()
     assert len(rows) == len(docs)
-    assert np.mean([r.kept == bool(labels[r.doc_id].quality) for r in rows if r.doc_id in labels]) > 0.97
-    assert np.mean([r.kept for r in rows if r.doc_id in labels and labels[r.doc_id].quality]) > 0.99
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = quality.fit(make(odd), none)
-    assert model is None and {r["_mk_score"] for r in quality.score(make(odd), None).collect()} == {1.0}
-    got = quality.score(make(odd), quality.fit(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")), carried=("text", "kept")).collect()
-    assert len(got) == len(odd) and all(0 <= r["_mk_score"] <= 1 and r.kept == "x" for r in got)
+    assert model is None and {r.score for r in quality.score(make(odd), None).collect()} == {1.0}
+    model = quality.fit(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"))
+    got = quality.score(make(odd), model).collect()
+    assert len(got) == len(odd) and all(0 <= r.score <= 1 and r.kept == (r.score >= quality.LEAST_SCORE) for r in got)
+    kept = quality.accepted(make(odd), model)
+    assert kept.columns == make(odd).columns and Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in got if r.kept)
+
+
+def test_quality_of_held_out_labels(spark):
+    """Learned from two thirds of the labels, scored on the rest; the rounds that count are no worse than none on the held-back rows."""
+    big = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
+    model = quality.fit(docs, labels.where("crc32(cast(cast(doc_id as string) as binary)) % 3 <> 1"))
+    assert model["losses"][model["round"]] == min(model["losses"])
+    marks = {r.doc_id: r.quality for r in labels.collect() if held(r.doc_id) and r.quality is not None}
+    got = [(r.kept, marks[r.doc_id]) for r in quality.score(docs, model).collect() if r.doc_id in marks]
+    assert np.mean([k for k, y in got if y == 1]) > 0.98 and np.mean([not k for k, y in got if y == 0]) > 0.97
+
+
+def test_samples_have_a_bound_however_often_rows_repeat(spark, make):
+    docs = make([(1, "a good text")] * 400 + [(2, "a bad text")] * 300 + [(None, f"t{i}") for i in range(900)] + [(3, "x")] * 900)
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    assert common.labelled_sample(docs, labels, "quality", 50).count() == 2
+    some = common.rolled_sample(docs, 100, docs.count(), 13).collect()
+    assert 0 < len(some) <= 200 and len({(r.doc_id, r.text) for r in some}) == len(some)
 
 
 def test_co_training_teaches_the_other_view():
