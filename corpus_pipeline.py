@@ -1,18 +1,19 @@
 """A training corpus from raw documents: five stages, each a DataFrame to a DataFrame.
 
 STAGES are (name, function); each function takes (spark, docs, sf_dir). All but the
-last return the columns of documents; the last adds shard and slot. A row keeps its
-place through its id. The near-duplicate stage judges every row for itself, those of
-repeated or null ids too; in the mix, rows of equal id share the decisions on that id.
-
-Null ids are judged, mixed and placed like any other row. An empty table passes through
-every stage.
+last return the columns of documents; the last adds shard and slot. Every stage judges
+rows, not ids, and carries their columns along.
+
+Rows of null or repeated ids are judged, mixed and placed like any others; of rows of equal
+id and text the near-duplicate stage keeps one. Null and empty texts pass the stages of
+duplicates and decontamination, and the mix takes none of them, as they have no words.
+Very long texts are read whole. Ties go by id and text. Extra columns, whatever their
+names, are carried; shard and slot are replaced. An empty table passes every stage.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from marlstone.llm import decontaminate, mixing, near_dup, quality, sharding
 from marlstone.llm.common import stash
@@ -22,42 +23,22 @@ SHARDS = 24
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier rejects go."""
-    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    found = quality.score(docs, model, carried=tuple(docs.columns))
-    return found.where(F.col("_mk_score") >= quality.LEAST_SCORE).select(*docs.columns)
+    return quality.accepted(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: five words, similarity 0.8. Of rows of equal id and text, one is looked at."""
-    if not docs.groupBy("doc_id").count().where("doc_id is null or count > 1").isEmpty():
-        return near_duplicate_rows(docs)
-    found = near_dup.near_duplicates(docs)
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_mk_gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("_mk_gone"), "left_anti")
-
-
-def near_duplicate_rows(docs: DataFrame) -> DataFrame:
-    """The same where ids repeat or are null: rows have a key of their own; a group keeps its smallest id, a null one only without others."""
-    keyed = stash(docs.withColumn("_mk_row", F.monotonically_increasing_id()))
-    first = stash(keyed.groupBy("doc_id", F.sha2("text", 256).alias("_mk_text")).agg(F.min("_mk_row").alias("_mk_row")).drop("_mk_text"))
-    rows = keyed.join(first.select("_mk_row"), "_mk_row", "left_semi")
-    found = near_dup.near_duplicates(rows, "_mk_row").select(F.col("doc_id").alias("_mk_row"), "component_id")
-    rank = F.struct(F.col("doc_id").isNull().alias("without"), F.col("doc_id").alias("id"), F.col("_mk_row").alias("row"))
-    kept = found.join(first, "_mk_row").groupBy("component_id").agg(F.min(rank)["row"].alias("_mk_row")).select("_mk_row")
-    return rows.join(kept, "_mk_row", "left_semi").select(*docs.columns)
+    """One document of each group of near-duplicates stays: five words, similarity 0.8."""
+    return near_dup.survivors(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of the benchmark go."""
-    found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carried=tuple(docs.columns))
-    return found.where(F.size("item_ids") == 0).select(*docs.columns)
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or twice."""
-    found = mixing.mix(docs).where("taken > 0").select(F.col("doc_id").alias("_mk_id"), F.col("source_size"), F.expr("cast(taken div size as int)").alias("_mk_times"))
-    times = found.groupBy("_mk_id").agg(F.max("_mk_times").alias("_mk_times"))
-    return docs.join(times, F.col("doc_id").eqNullSafe(F.col("_mk_id"))).withColumn("_mk_copy", F.explode(F.sequence(F.lit(1), F.col("_mk_times")))).select(*docs.columns)
+    return mixing.mixed(docs)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
