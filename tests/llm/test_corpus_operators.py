@@ -289,17 +289,19 @@ def test_quotations(spark):
         (1, 0, "user", "Hello there\nsecond line"), (1, 1, "assistant", "> hello  there\n>second line\nHi!"), (1, 2, "user", "other topic"), (1, 3, "user", ">> Hello there\n> > second line\n> Hi!\n\nThanks"), (1, 4, None, "> Thanks\nbye"),
         (1, 5, "user", "> never said\nhm"), (1, 6, "user", "> bye\n> other topic\n\n> hm\nok"), (1, 6, "user", "> bye\n> other topic\n\n> hm\nok"), (2, 0, "u", None), (2, 1, "u", "> Hello there"), (None, 1, "u", "> a"), (3, None, "u", "x"),
     ]
-    m = spark.createDataFrame(rows, MESSAGES).withColumn("depth", F.lit("clash"))
+    m = spark.createDataFrame(rows, MESSAGES).withColumns({c: F.lit("clash") for c in ("depth", "position", "formatted", "linked", "body", "levels", "n")})
     got = quotes.conversations(m)
     assert got.count() == len(rows)
     by = {(x.conv_id, x.turn): x for x in got.collect()}
-    assert {k: x.reply_to for k, x in by.items() if x.reply_to is not None} == {(1, 1): 0, (1, 3): 1, (1, 4): 3, (1, 6): 5}
-    assert (by[1, 4].thread_turn, by[1, 4].depth, by[1, 2].thread_turn, by[1, 6].thread_turn) == (0, 3, 2, 5)
+    assert {k: x.reply_to for k, x in by.items() if x.linked} == {(1, 1): 0, (1, 3): 1, (1, 4): 3, (1, 6): 5}
+    assert {k: x.reply_to for k, x in by.items() if not x.linked} == {(1, 0): None, (1, 2): 1, (1, 5): 4, (2, 0): None, (2, 1): 0, (None, 1): None, (3, None): None}
     assert [x.text for x in (by[1, 1], by[1, 3], by[1, 6], by[2, 0], by[2, 1])] == ["Hi!", "Thanks", "ok", "", ""]
     assert by[1, 1].formatted == "<|assistant|>\nHi!\n<|end|>" and by[1, 3].n_quoted == 3
-    chat = {(x.conv_id, x.thread_turn): x.chat for x in quotes.segments(got).collect()}
-    assert [line for line in chat[1, 0].split("\n") if not line.startswith("<|")] == ["Hello there", "second line", "Hi!", "Thanks", "bye"]
-    assert quotes.conversations(spark.createDataFrame([], MESSAGES)).collect() == []
+    chat = {(x.conv_id, tuple(x.turns)): x for x in quotes.segments(got).collect()}
+    assert set(chat) == {(1, (0, 1, 3, 4, 5, 6, 2)), (2, (0, 1)), (None, (1,)), (3, (None,))}
+    told = chat[1, (0, 1, 3, 4, 5, 6, 2)]
+    assert [line for line in told.chat.split("\n") if not line.startswith("<|")] == ["Hello there", "second line", "Hi!", "Thanks", "bye", "hm", "ok", "other topic"] and told.n_linked == 4
+    assert quotes.conversations(spark.createDataFrame([], MESSAGES)).collect() == [] and quotes.segments(quotes.conversations(spark.createDataFrame([], MESSAGES))).collect() == []
 
 
 def test_partial_quotes_of_several_lines(spark):
@@ -310,40 +312,100 @@ def test_partial_quotes_of_several_lines(spark):
         (">> two b\n>> three c\n>> four d", 0), ("> one a two b\n> three c\n>\n> four d five e", 0), ("> one a\n> three c", None), ("> six f\n> lead", None), ("> three c\n> two b", None), ("> seen\n> later", None),
     ]
     rows = [(1, 0, "u", first), (1, 1, "u", second)] + [(1, 2 + i, "u", f"{q}\nreply {i}") for i, (q, _) in enumerate(quoted)] + [(1, 90, "u", "x\nseen\nlater"), (2, 0, "u", second), (2, 1, "u", "> one a\n> two b")]
-    got = {(x.conv_id, x.turn): x.reply_to for x in quotes.conversations(spark.createDataFrame(rows + rows[:3], MESSAGES)).collect()}
+    got = {(x.conv_id, x.turn): x.reply_to if x.linked else None for x in quotes.conversations(spark.createDataFrame(rows + rows[:3], MESSAGES)).collect()}
     assert [got[1, 2 + i] for i in range(len(quoted))] == [o for _, o in quoted] and got[2, 1] is None
 
 
-def test_partial_quotes_by_brute_force(spark):
+def brute_conversation(messages):
+    """{turn: (origin by quotation or None, own lines)} of (turn, text) in turn order, and the turns in reply order, the plain way."""
+    own, origin, order = {}, {}, []
+    for turn, text in messages:
+        lines, runs, last = [], [], 0
+        for line in (text or "").split("\n"):
+            marks = re.match(r"[ \t]*((?:>[ \t]*)*)", line)
+            level, said = marks[1].count(">"), " ".join(line[marks.end():].lower().split())
+            if level == 0:
+                lines.append(said)
+            elif last == level:
+                runs[-1][1].append(said)
+            else:
+                runs.append((level, [said]))
+            last = level
+        found = []
+        for level, said in runs:
+            want = [x for x in said if x]
+            first = next((t for t, b in own.items() if want and any(b[i : i + len(want)] == want for i in range(len(b)))), None)
+            if first is not None:
+                found.append((-level, first))
+        origin[turn] = max(found)[1] if found else None
+        own[turn] = [x for x in lines if x]
+    turns = [t for t, _ in messages]
+    before = dict(zip(turns[1:], turns, strict=False))
+    up = {t: before.get(t) if origin[t] is None else origin[t] for t in turns}
+    todo = turns[:1]
+    while todo:
+        t = todo.pop()
+        order.append(t)
+        replies = [c for c in turns if c != turns[0] and up[c] == t]
+        todo += sorted(replies, key=lambda c: (before[c] != t, -c))
+    return origin, order
+
+
+def test_conversations_by_brute_force(spark):
+    """Generated quoting of whole and partial bodies at several levels: links, reply order and text."""
     r = random.Random(4)
-    rows, want = [], {}
-    for c in range(12):
-        own = []
-        for turn in range(12):
-            source = r.choice(own) if own else []
+    rows = []
+    for c in range(25):
+        own, shown = [], []
+        for turn in range(0, 40 if c < 2 else 12):
+            source = r.choice(shown) if shown and r.random() < 0.6 else []
             n = r.randrange(1, 5)
             at = r.randrange(max(1, len(source)))
             q = source[at : at + n] if r.random() < 0.7 else [r.choice("abcd") for _ in range(n)]
-            body = [r.choice("abcd") for _ in range(r.randrange(1, 9))]
-            lines = "".join(f"> {x}\n" + r.choice(["", "", ">\n"]) for x in q)
-            rows.append((c, turn, "u", lines + "".join(x + r.choice(["\n", "\n", "\n\n"]) for x in body)))
-            want[c, turn] = next((t for t, b in enumerate(own) if q and any(b[i : i + len(q)] == q for i in range(len(b)))), None)
+            body = [r.choice("abcdefgh") + r.choice("xyz") for _ in range(r.randrange(1, 9))]
+            mark = r.choice(["> ", ">", ">> ", "> > "])
+            lines = "".join(mark + x + "\n" + r.choice(["", "", mark.strip() + "\n"]) for x in q) if r.random() < 0.7 else ""
+            rows.append((c, 3 * turn + c % 2, "u", lines + "".join(x + r.choice(["\n", "\n", "\n\n"]) for x in body)))
             own.append(body)
-    got = {(x.conv_id, x.turn): x.reply_to for x in quotes.conversations(spark.createDataFrame(rows, MESSAGES)).collect()}
-    assert got == want
+            shown.append(body)
+    got = quotes.conversations(spark.createDataFrame(rows, MESSAGES))
+    by, told = defaultdict(list), {x.conv_id: x for x in quotes.segments(got).collect()}
+    for x in got.collect():
+        by[x.conv_id].append(x)
+    branched = 0
+    for c, found in by.items():
+        origin, order = brute_conversation([(t, text) for k, t, _, text in rows if k == c])
+        assert {x.turn: x.reply_to if x.linked else None for x in found} == origin
+        assert [x.turn for x in sorted(found, key=lambda x: x.position)] == order == told[c].turns
+        assert told[c].chat == "\n".join(next(x for x in found if x.turn == t).formatted for t in order) and told[c].n_linked == sum(v is not None for v in origin.values())
+        branched += order != sorted(order)
+    assert branched > 15
 
 
 def test_a_long_thread_and_a_hot_passage(spark):
-    """Every message quotes the one before; all of a second conversation quote its first, whose words many repeat."""
-    rows = [(1, i, "u", (f"> message {i - 1}\n" if i else "") + f"message {i}") for i in range(40)] + [(2, i, "u", "> common words\nre" if i % 2 else "common words") for i in range(60)]
-    got = {(x.conv_id, x.turn): x for x in quotes.conversations(spark.createDataFrame(rows, MESSAGES)).collect()}
-    assert all(got[1, i].depth == i and got[1, i].thread_turn == 0 for i in range(40))
-    assert all(got[2, i].reply_to == (0 if i % 2 else None) for i in range(60))
+    """Every message quotes the one before; all of a second conversation quote its first, whose words many repeat; one turn has very many messages."""
+    rows = [(1, i, "u", (f"> message {i - 1}\n" if i else "") + f"message {i}") for i in range(600)] + [(2, i, "u", "> common words\nre" if i % 2 else "common words") for i in range(60)] + [(3, 5, "u", f"text {i}") for i in range(2000)]
+    found = quotes.conversations(spark.createDataFrame(rows, MESSAGES))
+    got = {(x.conv_id, x.turn): x for x in found.collect()}
+    assert all(got[1, i].position == i and got[1, i].reply_to == (i - 1 if i else None) and got[1, i].linked == (i > 0) for i in range(600))
+    assert all(got[2, i].reply_to == (0 if i % 2 else i - 1) for i in range(1, 60)) and [got[2, i].position for i in (0, 1, 2, 3, 59)] == [0, 1, 2, 3, 59]
+    told = [x for x in quotes.segments(found).collect()]
+    assert [x.turns for x in sorted((x for x in told if x.conv_id == 1), key=lambda x: x.segment)] == [list(range(i, min(600, i + 256))) for i in (0, 256, 512)]
+    assert sum(x.n_messages for x in told if x.conv_id == 3) == 2000 and max(x.n_messages for x in told) <= 400
+
+
+def test_a_very_long_message(spark):
+    long = "\n".join(f"> line {i}" if i % 2 else f"own {i}" for i in range(20_000)) + " " * 200_000 + "\n" * 1000
+    got = {x.turn: x for x in quotes.conversations(spark.createDataFrame([(1, 0, "u", "line 7"), (1, 1, "u", long)], MESSAGES)).collect()}
+    assert got[1].n_quoted == 10_000 and got[1].reply_to == 0 and got[1].linked and got[1].text.endswith("own 19998")
 
 
 def test_whole_table_of_conversations(spark):
-    got = queries()["op9_quotation_threads"](spark, SF)
-    assert got.count() == spark.read.parquet(f"{SF}/conversations.parquet").count()
+    got = queries()["op9_quotation_threads"](spark, SF).collect()
+    rows = defaultdict(list)
+    for x in spark.read.parquet(f"{SF}/conversations.parquet").collect():
+        rows[x.conv_id].append((x.turn, f"<|{x.role}|>\n{x.text.strip()}\n<|end|>"))
+    assert {x.conv_id: (x.turns, x.chat) for x in got} == {c: ([t for t, _ in sorted(v)], "\n".join(y for _, y in sorted(v))) for c, v in rows.items()}
 
 
 @pytest.fixture(scope="module")
