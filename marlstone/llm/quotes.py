@@ -13,8 +13,8 @@ linked passage, the latest of these if there are several; a message that links t
 goes on from the turn before it, so that an ordinary chat is one thread.
 
 The reply order is the walk through this tree that takes, after each message, first the
-replies that quote it (by turn, each with all that follows from it) and then the message
-that goes on from it. Its places come from pointer doubling over the list of steps into
+replies that quote it (by turn, each with all that follows from it) and then the turn
+after it, if that quotes nothing. Its places come from pointer doubling over the list of steps into
 and out of each message: log2 of the longest conversation joins, on unique keys, and
 only for conversations that some quotation takes out of the order of turns. No task
 holds a whole conversation; ``segments`` writes rows of SEGMENT places of the order.
@@ -111,29 +111,29 @@ def neighbour(df: DataFrame, keys: list[str], value: str, name: str, back: bool
 
 
 def tree(parsed_messages: DataFrame) -> DataFrame:
-    """conv_id, turn, reply_to, linked (by a quotation), goes_on (from the turn before): a row a turn; the first turn of a conversation replies to none."""
+    """conv_id, turn, reply_to, linked (by a quotation), stray (not to the turn before): a row a turn; the first turn of a conversation replies to none."""
     nodes = parsed_messages.where("conv_id is not null and turn is not null").select("conv_id", "turn").distinct()
     quoting = linked(parsed_messages).withColumnRenamed("reply_to", "origin")
     t = neighbour(nodes, ["conv_id"], "turn", "before", back=True).join(quoting, ["conv_id", "turn"], "left")
     up = F.coalesce("origin", "before")
-    return stash(t.select("conv_id", "turn", up.alias("reply_to"), F.col("origin").isNotNull().alias("linked"), (up == F.col("before")).alias("goes_on")))
+    return stash(t.select("conv_id", "turn", up.alias("reply_to"), F.col("origin").isNotNull().alias("linked"), F.coalesce(up != F.col("before"), F.lit(False)).alias("stray")))
 
 
 def ordered(t: DataFrame) -> DataFrame:
     """conv_id, turn and position (from 0) in the reply order of a tree."""
-    branched = t.where(~F.col("goes_on")).select("conv_id").distinct()
+    branched = t.where("stray").select("conv_id").distinct()
     plain = t.join(branched, "conv_id", "left_anti").withColumn("_span", F.floor(F.col("turn") / SPAN))
     plain = running(plain, ["conv_id"], "_span", [F.col("turn")], F.lit(1).cast("long"), "position").select("conv_id", "turn", (F.col("position") - 1).alias("position"))
     if branched.isEmpty():
         return plain
     t = stash(t.join(branched, "conv_id", "left_semi"))
     children = t.where("reply_to is not null")
-    kids = children.groupBy("conv_id", F.col("reply_to").alias("turn")).agg(F.min(F.when(~F.col("goes_on"), F.col("turn"))).alias("quoter"), F.max(F.when(F.col("goes_on"), F.col("turn"))).alias("follower"))
-    beside = neighbour(children.where(~F.col("goes_on")).select("conv_id", "reply_to", "turn"), ["conv_id", "reply_to"], "turn", "beside").select("conv_id", "turn", "beside")
+    kids = children.groupBy("conv_id", F.col("reply_to").alias("turn")).agg(F.min(F.when(F.col("linked"), F.col("turn"))).alias("quoter"), F.max(F.when(~F.col("linked"), F.col("turn"))).alias("follower"))
+    beside = neighbour(children.where("linked").select("conv_id", "reply_to", "turn"), ["conv_id", "reply_to"], "turn", "beside").select("conv_id", "turn", "beside")
     j = t.join(kids, ["conv_id", "turn"], "left").join(beside, ["conv_id", "turn"], "left")
     j = j.join(kids.select("conv_id", F.col("turn").alias("reply_to"), F.col("follower").alias("last")), ["conv_id", "reply_to"], "left")
     into, out = (lambda c: F.col(c) * 2), (lambda c: F.col(c) * 2 + 1)
-    after = F.coalesce(into("beside"), F.when(~F.col("goes_on"), into("last")), out("reply_to"))
+    after = F.coalesce(into("beside"), F.when(F.col("linked"), into("last")), out("reply_to"))
     steps = j.select("conv_id", F.explode(F.array(
         F.struct(into("turn").alias("id"), F.coalesce(into("quoter"), into("follower"), out("turn")).alias("next"), F.lit(1).cast("long").alias("n")),
         F.struct(out("turn").alias("id"), after.alias("next"), F.lit(0).cast("long").alias("n")),

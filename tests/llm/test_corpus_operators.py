@@ -347,7 +347,7 @@ def brute_conversation(messages):
         t = todo.pop()
         order.append(t)
         replies = [c for c in turns if c != turns[0] and up[c] == t]
-        todo += sorted(replies, key=lambda c: (before[c] != t, -c))
+        todo += sorted(replies, key=lambda c: (origin[c] is not None, -c))
     return origin, order
 
 
