@@ -18,6 +18,11 @@ def is_instant(c: Column) -> Column:
     return F.coalesce(c.rlike(INSTANT), F.lit(False)) & ~F.coalesce(c.endswith("-00:00"), F.lit(False)) & is_date(F.substring(c, 1, 10))
 
 
+def is_utc(c: Column) -> Column:
+    """An instant of the calendar with a Z, leap seconds left out; null counts as none given, which is allowed."""
+    return c.isNull() | (F.coalesce(c.endswith("Z"), F.lit(False)) & is_instant(c))
+
+
 def instant(c: Column) -> Column:
     """The timestamp of a valid instant, else null."""
     return F.when(is_instant(c), F.try_to_timestamp(c))

@@ -7,7 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 # ASCII word boundaries stand for \b, which is ASCII in the contract's dialect and not in Java's.
 B, E = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
@@ -29,17 +29,58 @@ INJECTION_PATTERNS = (
 )
 
 
+# Characters under U+0300 that the compatibility form changes; the canonical form changes none of them by itself.
+COMPATIBLE = "\u00a0\u00a8\u00aa\u00af\u00b2-\u00b5\u00b8-\u00ba\u00bc-\u00be\u0132\u0133\u013f\u0140\u0149\u017f\u01c4-\u01cc\u01f1-\u01f3\u02b0-\u02b8\u02d8-\u02dd\u02e0-\u02e4"
+
+
 @F.pandas_udf(StringType())
-def nfc(s: pd.Series) -> pd.Series:
-    """NFC; Spark has no normalisation function."""
+def _nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
 @F.pandas_udf(StringType())
-def nfkc(s: pd.Series) -> pd.Series:
+def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
+def nfc(c: Column) -> Column:
+    """NFC. Spark has no normalisation function, so texts that it can change go to Python, and others stay where they are."""
+    return F.coalesce(_nfc(F.when(c.rlike("[^\u0000-\u02ff]"), c)), c)
+
+
+def nfkc(c: Column) -> Column:
+    """NFKC, in the same way."""
+    return F.coalesce(_nfkc(F.when(c.rlike(f"[^\u0000-\u02ff]|[{COMPATIBLE}]"), c)), c)
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def canonical_answers(s: pd.Series) -> pd.Series:
+    """canonical_answer of each text of a list."""
+    return s.map(lambda v: None if v is None else [" ".join(unicodedata.normalize("NFKC", x).split()) for x in v])
+
+
+def strict_text(raw: Column, normalise: bool = True) -> Column:
+    """Text of bytes that are UTF-8 without surrogates, in NFC; null for others."""
+    good = F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string"))
+    return nfc(good) if normalise else good
+
+
+def json_size(c: Column) -> Column:
+    """UTF-8 bytes of a text as a JSON string: quotes, short escapes and escapes of six bytes included."""
+    return F.octet_length(c) + 2 + F.regexp_count(c, F.lit('["\\\\\x08\t\n\x0c\r]')) + 5 * F.regexp_count(c, F.lit("[\\x00-\\x07\\x0b\\x0e-\\x1f]"))
+
+
+def has_term(text: Column, term: str) -> Column:
+    """Whether a lower-case text has a token; a search that stops at the first place, after a cheap one for the letters."""
+    return F.coalesce(text.contains(term) & text.rlike(f"(?<![\\p{{L}}\\p{{N}}_-])\\Q{term}\\E(?![\\p{{L}}\\p{{N}}_-])"), F.lit(False))
+
+
+def query_terms(query: str) -> list[str]:
+    """The distinct tokens of a query, as terms() has them."""
+    low = unicodedata.normalize("NFKC", query).lower()
+    return list(dict.fromkeys("".join(ch if ch in "_-" or unicodedata.category(ch)[0] in "LN" else " " for ch in low).split()))
+
+
 def byte_hash(c: Column) -> Column:
     """sha256:<hex> of the UTF-8 bytes."""
     return F.concat(F.lit("sha256:"), F.sha2(c.cast("binary"), 256))
@@ -65,8 +106,23 @@ def terms(c: Column, normalise: bool = True) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(nfkc(c) if normalise else c), F.lit(r"[\p{L}\p{N}_-]+"), F.lit(0)))
 
 
+# What a text with a secret of each code has in it, in lower case: a cheap test before the patterns.
+SECRET_STEMS = {"SECRET_PRIVATE_KEY": ("private key-----",), "SECRET_BEARER": ("bearer",), "SECRET_AWS_KEY": ("akia", "asia"), "SECRET_ASSIGNMENT": ("key", "secret", "password", "token")}
+
+
+def secret_hits(c: Column) -> dict[str, Column]:
+    """By code, whether a text has its pattern; the pattern is tried only where its stem stands."""
+    low, out = F.lower(c), {}
+    for code, pattern in SECRET_PATTERNS.items():
+        stem = F.lit(False)
+        for s in SECRET_STEMS[code]:
+            stem = stem | low.contains(s)
+        out[code] = F.coalesce(stem & c.rlike(pattern), F.lit(False))
+    return out
+
+
 def secret_codes(c: Column) -> Column:
-    return F.array_compact(F.array(*[F.when(c.rlike(p), F.lit(code)) for code, p in SECRET_PATTERNS.items()]))
+    return F.array_compact(F.array(*[F.when(hit, F.lit(code)) for code, hit in secret_hits(c).items()]))
 
 
 def injection_codes(c: Column) -> Column:
@@ -98,8 +154,15 @@ def links(c: Column) -> Column:
 
 
 def living_reference(c: Column) -> Column:
-    """A reference without its revision (the first @...)."""
-    return F.regexp_replace(c, r"^([^@]*)@[^/]+/(.*)$", "$1/$2")
+    """A reference without its first revision (@... up to the next slash)."""
+    return F.regexp_replace(c, r"(?s)^(.*?)@[^/]+/(.*)$", "$1/$2")
+
+
+def clean_concept_id(c: Column) -> Column:
+    """A percent-decoded concept path without .md; null if it leaves its root, has an empty part, a backslash or a NUL, or can't be decoded."""
+    plain = F.when(~c.rlike(r"%(?![0-9A-Fa-f]{2})"), F.try_url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))))
+    bad = (plain == "") | plain.startswith("/") | plain.contains("\\") | plain.contains("\0") | F.exists(F.split(plain, "/"), lambda x: x.isin("", ".", ".."))
+    return F.nullif(F.when(~bad, F.regexp_replace(plain, r"[.]md$", "")), F.lit(""))
 
 
 def kb_reference(c: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.canonical import canonical_json
 from marlstone.functions.temporal import instant, is_date, is_instant, utc_date
+from marlstone.operators.stage import written
 
 # Which built-in sensor runs at which gate.
 GATE_SENSORS = {
@@ -49,14 +50,17 @@ class Registry:
             raise ValueError(f"the sensor {sensor.id} is there already")
         self.sensors[sensor.id] = sensor
 
-    def run(self, frame: DataFrame, ids: list[str], twice: bool = False) -> DataFrame:
-        """sensor, severity, blocking, subject, code. With twice, a sensor whose two runs differ is an error."""
+    def run(self, frame: DataFrame, ids: list[str], twice: bool = True) -> DataFrame:
+        """sensor, severity, blocking, subject, code. Every sensor runs twice, and one whose two runs differ, in either direction, is an error."""
         out = None
         for i in ids:
             s = self.sensors[i]
             found = s.evaluate(frame).select("subject", "code")
-            if twice and not found.exceptAll(s.evaluate(frame).select("subject", "code")).isEmpty():
-                raise RuntimeError(f"the sensor {i} is not deterministic")
+            if twice:
+                first, second = written(found), written(s.evaluate(frame).select("subject", "code"))
+                if not first.exceptAll(second).union(second.exceptAll(first)).isEmpty():
+                    raise RuntimeError(f"the sensor {i} is not deterministic")
+                found = first
             found = found.select(F.lit(i).alias("sensor"), F.lit(s.severity).alias("severity"), F.lit(s.blocking).alias("blocking"), "subject", "code")
             out = found if out is None else out.union(found)
         return out

@@ -3,29 +3,16 @@
 from __future__ import annotations
 
 import graphlib
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.functions.text import directory_title, markdown_text
+from marlstone.functions.text import directory_title, links, markdown_text, redirects_out
+from marlstone.operators.stage import written
 
 MOST_HOPS = 16
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df written to the shared folder of spark.checkpoint.dir and read again, so that lineage ends."""
-    spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not where:
-        where = tempfile.mkdtemp(prefix="marlstone-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    path = f"{where.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def closure(seeds: DataFrame, edges: DataFrame, most: int = 1000) -> DataFrame:
     """node, depth: all nodes that depend on a seed, directly or not. edges: node, depends_on. Each edge is followed once."""
     e = edges.where("depends_on is not null").select("node", "depends_on").distinct()
@@ -54,6 +41,79 @@ def resolved_aliases(aliases: DataFrame, most: int = MOST_HOPS) -> DataFrame:
     return now.select("from_id", "to_id", "hops", "state")
 
 
+def impact_seeds(surfaces: DataFrame, source: DataFrame) -> DataFrame:
+    """node: surfaces that hold a source by its id or by its hash (source: source_id, source_hash); two equi-joins, each surface once."""
+    by = lambda lists, key: surfaces.select(F.col("surface_id").alias("node"), F.explode(lists).alias(key)).join(source.select(key).distinct(), key, "left_semi").select("node")
+    return by("source_ids", "source_id").union(by("source_hashes", "source_hash")).distinct()
+
+
+def stage_levels(stages: DataFrame, most: int = 1000) -> DataFrame:
+    """stage, level: the longest way down to a stage that needs none; stages: stage, needs (a row an edge, null for none). An edge in a cycle, or to a stage that isn't there, is an error."""
+    every = written(stages.select("stage").distinct())
+    edges = written(stages.where("needs is not null").select("stage", "needs").distinct())
+    done = written(every.join(edges.select("stage"), "stage", "left_anti").withColumn("level", F.lit(0)))
+    total, before = every.count(), 0
+    for level in range(1, most):
+        if (now := done.count()) == total:
+            return done
+        if now == before:
+            break
+        before = now
+        open_ = edges.join(done.select("stage"), "stage", "left_anti")
+        blocked = open_.join(done.select(F.col("stage").alias("needs")), "needs", "left_anti").select("stage")
+        ready = open_.select("stage").distinct().join(blocked, "stage", "left_anti")
+        done = done.union(written(ready.withColumn("level", F.lit(level))))
+    raise ValueError("the stages have a cycle, or need one that is missing")
+
+
+def cyclic(edges: DataFrame, most: int = 64) -> DataFrame:
+    """node of every cycle: what still has both a way in and a way out after all that has not is peeled off, and reaches itself. edges: node, depends_on."""
+    e = written(edges.where("depends_on is not null").select("node", "depends_on").distinct())
+    while True:
+        inner = e.join(e.select(F.col("depends_on").alias("node")).distinct(), "node", "left_semi").join(e.select(F.col("node").alias("depends_on")).distinct(), "depends_on", "left_semi").select("node", "depends_on")
+        now = written(inner)
+        if now.count() == e.count():
+            break
+        e = now
+    reach = e
+    for _ in range(most):  # paths of doubled length: what lies on a cycle reaches itself
+        further = written(reach.union(reach.join(reach.select(F.col("node").alias("depends_on"), F.col("depends_on").alias("to")), "depends_on").select("node", F.col("to").alias("depends_on"))).distinct())
+        if further.count() == reach.count():
+            return further.where("node = depends_on").select("node").distinct()
+        reach = further
+    raise RuntimeError("the cycles have not settled")
+
+
+def traversed(files: DataFrame, most_indexes: int = 10_000, most_concepts: int = 100_000) -> DataFrame:
+    """path, depth, state of what the index tree reaches from index.md, breadth first: concept, index, or what is wrong with a link (unsafe, broken).
+
+    files: path, content (text; only that of index files is used). A link to a directory
+    leads to its index.md. Over a limit it is an error, not a cut.
+    """
+    base = F.when(F.col("path").contains("/"), F.regexp_replace("path", "[^/]*$", "")).otherwise("")
+    raw = files.where(F.col("path").rlike("(^|/)index[.]md$")).select("path", base.alias("base"), F.explode(links(F.col("content"))).alias("link"))
+    to = F.regexp_replace(F.when(F.col("link").startswith("/"), F.substring("link", 2, 1 << 20)).otherwise(F.concat("base", F.regexp_replace("link", r"^(\./)+", ""))), "/$", "")
+    folders = files.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("path", "/"))), lambda n: F.struct(F.array_join(F.slice(F.split("path", "/"), 1, n), "/").alias("to"), (n < F.size(F.split("path", "/"))).alias("folder")))).alias("x")).select("x.*").distinct()
+    edges = raw.select("path", to.alias("to")).distinct().join(folders, "to", "left")
+    kind = F.when(redirects_out(F.col("to")), "unsafe").when(F.col("folder"), "index").when(F.col("folder").isNull() | ~F.col("to").endswith(".md") | F.col("to").rlike("(^|/)index[.]md$"), "broken").otherwise("concept")
+    edges = written(edges.select("path", F.when(kind == "index", F.concat("to", F.lit("/index.md"))).otherwise(F.col("to")).alias("to"), kind.alias("state")))
+    have = files.where(F.col("path").rlike("(^|/)index[.]md$")).select(F.col("path").alias("to"), F.lit(True).alias("there"))
+    seen = written(files.where("path = 'index.md'").select("path", F.lit(0).alias("depth"), F.lit("index").alias("state")))
+    if seen.isEmpty():
+        raise ValueError("there is no index.md")
+    front, depth = seen, 0
+    while not front.isEmpty():
+        depth += 1
+        step = edges.join(front.where("state = 'index'").select("path"), "path", "left_semi").join(have, "to", "left")
+        step = step.select(F.col("to").alias("path"), F.lit(depth).alias("depth"), F.when((F.col("state") == "index") & F.col("there").isNull(), "broken").otherwise(F.col("state")).alias("state")).distinct()
+        front = written(step.join(seen.select("path", "state"), ["path", "state"], "left_anti").select("path", "depth", "state"))
+        seen = written(seen.union(front))
+        sizes = {r.state: r.n for r in seen.groupBy("state").agg(F.count("*").alias("n")).collect()}
+        if sizes.get("index", 0) > most_indexes or sizes.get("concept", 0) > most_concepts:
+            raise ValueError("the index tree is over its limits")
+    return seen
+
+
 def stage_order(stages: dict[str, list[str]]) -> list[str]:
     """Stages after all that they need; an error names a cycle. A workflow's stages are few."""
     return list(graphlib.TopologicalSorter(stages).static_order())

@@ -95,9 +95,14 @@ def claim_buckets(claims: DataFrame, key: str) -> DataFrame:
 
 
 def corroboration(claims: DataFrame, key: str, minimum: int) -> DataFrame:
-    """key, n_sources (distinct ids), consequential, codes of falsehood findings."""
-    g = claims.groupBy(key).agg(F.count_distinct("source_id").alias("n_sources"), F.bool_or("consequential").alias("consequential"), F.bool_or(F.col("compromised") | (F.col("disposition") == "conflict")).alias("conflict"))
-    codes = F.array_compact(F.array(F.when(F.col("conflict"), "FALSEHOOD_CONFLICT_UNRESOLVED"), F.when(F.col("consequential") & (F.col("n_sources") < minimum), "FALSEHOOD_CORROBORATION_REQUIRED")))
+    """key, n_sources (distinct ids), consequential, codes of falsehood findings.
+
+    A source that claims authority (source_class, if the claims have that column) needs the
+    policy that gives it (authority_policy_ref).
+    """
+    spoofed = (F.col("source_class") == "authoritative") & F.col("authority_policy_ref").isNull() if "source_class" in claims.columns else F.lit(False)
+    g = claims.groupBy(key).agg(F.count_distinct("source_id").alias("n_sources"), F.bool_or("consequential").alias("consequential"), F.bool_or(F.col("compromised") | (F.col("disposition") == "conflict")).alias("conflict"), F.coalesce(F.bool_or(spoofed), F.lit(False)).alias("spoofed"))
+    codes = F.array_compact(F.array(F.when(F.col("spoofed"), "AUTHORITY_METADATA_UNTRUSTED"), F.when(F.col("conflict"), "FALSEHOOD_CONFLICT_UNRESOLVED"), F.when(F.col("consequential") & (F.col("n_sources") < minimum), "FALSEHOOD_CORROBORATION_REQUIRED")))
     return g.select(key, "n_sources", "consequential", F.array_join(F.array_sort(codes), ",").alias("codes"))
 
 
@@ -117,7 +122,7 @@ def receipt_states(receipts: DataFrame, probes: DataFrame, key: str = "source_id
 
 def routed(concepts: DataFrame, explicit: Column, owner: Column, by_type: Column, default: Column, writable: DataFrame) -> DataFrame:
     """target and action of each write: explicit, else owner, else the type's route, else the default; none is ambiguous."""
-    t = concepts.withColumn("target", F.coalesce(explicit, owner, by_type, default)).join(F.broadcast(writable.select(F.col("mount_id").alias("target"), "mode")), "target", "left")
+    t = concepts.withColumn("target", F.coalesce(explicit, owner, by_type, default)).join(writable.select(F.col("mount_id").alias("target"), "mode"), "target", "left")
     action = F.when(F.col("target").isNull(), "ambiguous").when(F.col("mode").isNull(), "unknown").when(F.col("mode").isin("propose", "read-only"), "proposal").otherwise("write")
     return t.withColumn("action", action).drop("mode")
 
@@ -128,7 +133,92 @@ def coverage(discovered: DataFrame, represented: DataFrame, key: str) -> DataFra
 
 
 def tree_hash(files: DataFrame, key: str, path: str, content: str) -> DataFrame:
-    """One digest a key over its files in path order; the files' own digests are what is gathered."""
+    """key, n_files, tree_hash: one digest a key over its files in path order.
+
+    The files are dealt to 4,096 parts by a hash of the path; each part has a digest over
+    its lines in order, and the key's digest is that of its parts' digests in order, so
+    that no task gathers a key's whole listing.
+    """
     line = F.concat(F.col(path), F.lit("\0"), F.sha2(F.col(content).cast("binary"), 256))
-    g = files.groupBy(key).agg(F.array_sort(F.collect_list(line)).alias("lines"), F.count("*").alias("n_files"))
-    return g.select(key, "n_files", F.concat(F.lit("sha256:"), F.sha2(F.array_join("lines", "\n").cast("binary"), 256)).alias("tree_hash"))
+    rows = files.select(F.col(key), F.substring(F.sha2(F.col(path).cast("binary"), 256), 1, 3).alias("part"), line.alias("line"))
+    digest = lambda lines: F.sha2(F.array_join(F.array_sort(F.collect_list(lines)), "\n").cast("binary"), 256)
+    parts = rows.groupBy(key, "part").agg(digest("line").alias("d"), F.count("*").alias("n"))
+    return parts.groupBy(key).agg(F.sum("n").alias("n_files"), F.concat(F.lit("sha256:"), digest(F.concat("part", F.lit(":"), "d"))).alias("tree_hash"))
+
+
+def superseded(history: DataFrame, key: str, order: list[str], entry: str) -> DataFrame:
+    """Each entry of a key's history with the one that came after it (null for the active one)."""
+    return history.withColumn("superseded_by", F.lead(entry).over(Window.partitionBy(key).orderBy(*order)))
+
+
+def within_caps(items: DataFrame, keys: list[str], order: str, size: Column, most_bytes: int, most_items: int) -> DataFrame:
+    """keys, items, bytes, within: how many of a key's items, in order, stay under both caps together.
+
+    Sums run in spans of the order, and the spans' totals give the offsets, so that a key
+    with very many items is never one window.
+    """
+    d = items.select(*keys, F.col(order).alias("_o"), F.floor(F.col(order) / 4096).alias("_span"), size.cast("long").alias("_b"))
+    totals = d.groupBy(*keys, "_span").agg(F.sum("_b").alias("b"), F.count("*").alias("n"))
+    ahead = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*keys, "_span", F.coalesce(F.sum("b").over(ahead), F.lit(0)).alias("b0"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("n0"))
+    inside = Window.partitionBy(*keys, "_span").orderBy("_o").rowsBetween(Window.unboundedPreceding, 0)
+    r = d.withColumns({"_rb": F.sum("_b").over(inside), "_rn": F.count("*").over(inside)}).join(offsets, [*keys, "_span"])
+    good = (F.col("_rb") + F.col("b0") <= most_bytes) & (F.col("_rn") + F.col("n0") <= most_items)
+    return r.groupBy(*keys).agg(F.count("*").alias("items"), F.sum("_b").alias("bytes"), F.count_if(good).alias("within"))
+
+
+def bounded(df: DataFrame, most: int, what: str) -> DataFrame:
+    """df, or an error when it is used if it has more rows: a list's bound fails and never cuts."""
+    if df.count() > most:
+        raise ValueError(f"more than {most} {what}")
+    return df
+
+
+def health(diagnostics: DataFrame, key: str) -> DataFrame:
+    """key, checks, failing, healthy: nothing that was checked fails. diagnostics: key, status (pass, warn, fail)."""
+    return diagnostics.groupBy(key).agg(F.count("*").alias("checks"), F.count_if(F.col("status") == "fail").alias("failing"), (~F.bool_or(F.col("status") == "fail")).alias("healthy"))
+
+
+def appended(log: DataFrame, events: DataFrame, key: str = "stream", idempotency: str = "idempotency_key", payload: str = "payload") -> DataFrame:
+    """key, idempotency key, payload, sequence, state of each new event: appended with the next numbers of its stream, a repeat (the same payload is there) or a conflict.
+
+    log: key, idempotency key, payload, sequence. Of events with one idempotency key the
+    first payload counts.
+    """
+    keys = [key, idempotency]
+    one = events.groupBy(*keys).agg(F.min(payload).alias(payload), (F.min(payload) != F.max(payload)).alias("_split"))
+    j = one.join(log.select(*keys, F.col(payload).alias("_was"), F.col("sequence").alias("_at")), keys, "left")
+    state = F.when(F.col("_split") | (F.col("_was") != F.col(payload)), "conflict").when(F.col("_was").isNotNull(), "repeat").otherwise("appended")
+    last = log.groupBy(key).agg(F.max("sequence").alias("_last"))
+    j = j.withColumn("state", state).join(last, key, "left")
+    number = F.row_number().over(Window.partitionBy(key, "state").orderBy(idempotency))
+    return j.select(*keys, payload, F.when(F.col("state") == "appended", F.coalesce("_last", F.lit(0)) + number).when(F.col("state") == "repeat", F.col("_at")).alias("sequence"), "state")
+
+
+def acquired(leases: DataFrame, requests: DataFrame, now: Column) -> DataFrame:
+    """resource, owner, fence, state of each request for a resource: acquired (free, expired or one's own; the fence rises) or busy; of several requests the first owner gets it.
+
+    leases: resource, owner, fence, expires_at; requests: resource, owner.
+    """
+    j = requests.distinct().join(leases.select("resource", F.col("owner").alias("_owner"), F.col("fence").alias("_fence"), "expires_at"), "resource", "left")
+    can = F.col("_owner").isNull() | (F.col("expires_at") <= now) | (F.col("_owner") == F.col("owner"))
+    first = j.where(can).groupBy("resource").agg(F.min("owner").alias("_first"))
+    j = j.withColumn("_can", can).join(first, "resource", "left")
+    wins = F.coalesce(F.col("_can") & (F.col("owner") == F.col("_first")), F.lit(False))
+    return j.select("resource", "owner", F.when(wins, F.coalesce("_fence", F.lit(0)) + 1).alias("fence"), F.when(wins, "acquired").otherwise("busy").alias("state"))
+
+
+def revised(current: DataFrame, requests: DataFrame, states: dict[str, tuple[str, ...]]) -> DataFrame:
+    """id, state, revision, outcome of requests for a new state: applied if the expected revision is the current one and the move is allowed; else stale, denied or unknown.
+
+    current: id, state, revision; requests: id, expected_revision, to. Of several that
+    could be applied the first state by name is, and the others are stale.
+    """
+    j = requests.join(current.select("id", F.col("state").alias("_state"), F.col("revision").alias("_revision")), "id", "left")
+    moves = F.create_map(*[F.lit(x) for k, v in states.items() for x in (k, ",".join(v))])
+    fresh, may = F.col("_revision") == F.col("expected_revision"), F.coalesce(F.array_contains(F.split(moves[F.col("_state")], ","), F.col("to")), F.lit(False))
+    first = j.where(fresh & may).groupBy("id").agg(F.min("to").alias("_first"))
+    j = j.join(first, "id", "left")
+    outcome = F.when(F.col("_state").isNull(), "unknown").when(~fresh, "stale").when(~may, "denied").when(F.col("to") != F.col("_first"), "stale").otherwise("applied")
+    done = outcome == "applied"
+    return j.select("id", F.when(done, F.col("to")).otherwise(F.col("_state")).alias("state"), F.when(done, F.col("_revision") + 1).otherwise(F.col("_revision")).alias("revision"), outcome.alias("outcome"))

@@ -9,16 +9,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marlstone.functions.canonical import version_satisfies
+from marlstone.functions.canonical import replaced_json, version_satisfies
 from marlstone.functions.policy import CLASSIFICATIONS, SEVERITIES, TRUST_TIERS, rank
-from marlstone.functions.temporal import instant
-from marlstone.functions.text import byte_hash, is_byte_hash
+from marlstone.functions.temporal import instant, is_date, is_instant
+from marlstone.functions.text import byte_hash, is_byte_hash, redirects_out, short_id
 from marlstone.operators.graph import closure
 
 # Where in a policy path a changed leaf has which rule, and what counts as done with a copy.
 BOUNDARY_WORDS = ("network", "execute", "macro", "subprocess", "credential", "permission", "security", "filesystem", "access", "rights", "resource", "memory", "cpu", "output", "budget", "limit")
 DATED_WORDS = ("fresh", "stale", "retention", "policy", "waiver")
 SURFACE_WORDS = ("configuration", "profile", "scope", "sensor", "normalizer", "template")
+BOUNDARIES = ("credential", "filesystem", "network", "resources")
 ERASED_STATES = ("purged", "crypto-shredded", "tombstoned")
 
 
@@ -62,7 +63,7 @@ def promoted(publications: DataFrame) -> DataFrame:
 
 
 def contract_errors(frame: DataFrame, key: str, contract: Mapping[str, Mapping]) -> DataFrame:
-    """key, path, rule of every breach. contract: by column, required, enum, pattern, minimum, maximum, max_length, unique."""
+    """key, path, rule of every breach. contract: by column, required, const, enum, pattern, minimum, maximum, min_length, max_length, min_items, max_items, unique, format (date, date-time), needs (a column that has to be there too)."""
     checks = []
     for name, rules in contract.items():
         c = F.col(name)
@@ -71,17 +72,24 @@ def contract_errors(frame: DataFrame, key: str, contract: Mapping[str, Mapping])
             "enum": ~c.isin(*rules["enum"]) if "enum" in rules else F.lit(False), "pattern": ~c.rlike(rules["pattern"]) if "pattern" in rules else F.lit(False),
             "minimum": c < rules["minimum"] if "minimum" in rules else F.lit(False), "maximum": c > rules["maximum"] if "maximum" in rules else F.lit(False),
             "max_length": F.length(c) > rules["max_length"] if "max_length" in rules else F.lit(False), "unique": F.size(F.array_distinct(c)) < F.size(c) if rules.get("unique") else F.lit(False),
+            "min_length": F.length(c) < rules["min_length"] if "min_length" in rules else F.lit(False), "const": ~(c == rules["const"]) if "const" in rules else F.lit(False),
+            "min_items": F.size(c) < rules["min_items"] if "min_items" in rules else F.lit(False), "max_items": F.size(c) > rules["max_items"] if "max_items" in rules else F.lit(False),
+            "format": ~(is_date(c) if rules["format"] == "date" else is_instant(c)) & c.isNotNull() if rules.get("format") in ("date", "date-time") else F.lit(False),
+            "needs": c.isNotNull() & F.col(rules["needs"]).isNull() if "needs" in rules else F.lit(False),
         }
         checks += [F.when(F.coalesce(b, F.lit(False)), F.struct(F.lit(name).alias("path"), F.lit(rule).alias("rule"))) for rule, b in bad.items() if rule in rules]
     return frame.select(key, F.explode(F.array_compact(F.array(*checks))).alias("e")).select(key, "e.*")
 
 
-def project_errors(mounts: DataFrame, routes: DataFrame) -> DataFrame:
-    """code, subject: names that stand twice, writable mounts without exactly one primary, routes to what isn't mounted."""
+def project_errors(mounts: DataFrame, routes: DataFrame, settings: DataFrame | None = None) -> DataFrame:
+    """code, subject: names that stand twice, writable mounts without exactly one primary, routes to what isn't mounted, and risk-based approval (settings: name, approval_policy, risk_policy) without a policy."""
     twice = mounts.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select(F.lit("MOUNT_DUPLICATE").alias("code"), F.col("name").alias("subject"))
     primary = mounts.agg(F.count_if(F.col("mode") != "read-only").alias("w"), F.count_if(F.col("role") == "primary").alias("p")).where("w > 0 and p <> 1").select(F.lit("PRIMARY_COUNT"), F.col("p").cast("string"))
     lost = routes.join(mounts.select(F.col("name").alias("target")), "target", "left_anti").select(F.lit("ROUTE_UNKNOWN"), "target")
-    return twice.union(primary).union(lost)
+    found = twice.union(primary).union(lost)
+    if settings is None:
+        return found
+    return found.union(settings.where("approval_policy = 'risk-based' and risk_policy is null").select(F.lit("RISK_POLICY_MISSING"), F.col("name")))
 
 
 def glob_pattern(glob: str) -> str:
@@ -96,17 +104,24 @@ def glob_pattern(glob: str) -> str:
     return f"^{out}$"
 
 
-def permitted(requests: DataFrame, roles: Mapping[str, Mapping[str, tuple[str, ...]]]) -> DataFrame:
-    """requests (role, action, path) with allowed: a glob of the role's action matches a safe path."""
+def permitted(requests: DataFrame, roles: Mapping[str, Mapping[str, tuple[str, ...]]], reviewers: tuple[str, ...] = ()) -> DataFrame:
+    """requests (role, action, path) with allowed: a glob of the role's action matches a safe path. Reviewers never write, whatever their globs."""
     ok = F.lit(False)
     for role, actions in roles.items():
         for action, globs in actions.items():
             for g in globs:
                 ok = ok | ((F.col("role") == role) & (F.col("action") == action) & F.col("path").rlike(glob_pattern(g)))
     safe = F.col("path").rlike(r"^[A-Za-z0-9._@+-]+(/[A-Za-z0-9._@+-]+)*$") & ~F.col("path").rlike(r"(^|/)\.\.?(/|$)")
+    ok = ok & ~(F.col("role").isin(*reviewers) & (F.col("action") == "write")) if reviewers else ok
     return requests.withColumn("allowed", F.coalesce(ok & safe, F.lit(False)))
 
 
+def scoped(requests: DataFrame, scopes: DataFrame) -> DataFrame:
+    """requests (scope, operation) with allowed: the scope has that operation; an unknown scope has none."""
+    s = scopes.select("scope", "operation", F.lit(True).alias("_in")).distinct()
+    return requests.join(s, ["scope", "operation"], "left").withColumn("allowed", F.coalesce("_in", F.lit(False))).drop("_in")
+
+
 def provenance_failures(concepts: DataFrame, sources: DataFrame, sidecar: DataFrame) -> DataFrame:
     """path, code: source ids that stand twice, malformed hashes, claims of unknown sources or of another hash."""
     twice = sources.groupBy("path", "id").agg(F.count("*").alias("n")).where("n > 1").select("path", F.lit("SOURCE_DUPLICATE").alias("code"))
@@ -122,7 +137,7 @@ def provenance_failures(concepts: DataFrame, sources: DataFrame, sidecar: DataFr
 
 def model_routes(requests: DataFrame, routes: DataFrame) -> DataFrame:
     """requests (provider, model, required) with allowed: a route exists, is allowed and as high as the material; unknown denies."""
-    j = requests.join(F.broadcast(routes.select("provider", "model", F.col("allowed").alias("_allowed"), "max_classification")), ["provider", "model"], "left")
+    j = requests.join(routes.select("provider", "model", F.col("allowed").alias("_allowed"), "max_classification"), ["provider", "model"], "left")
     ok = F.col("_allowed").eqNullSafe(True) & (rank(F.col("required"), CLASSIFICATIONS) <= rank(F.col("max_classification"), CLASSIFICATIONS))
     return j.withColumn("allowed", F.coalesce(ok, F.lit(False))).drop("_allowed", "max_classification")
 
@@ -204,13 +219,13 @@ def plugin_errors(lock: DataFrame, scans: DataFrame, needs: DataFrame) -> DataFr
 # --- evaluation, drafting, views ----------------------------------------------------------------
 
 
-def usable_evidence(cases: DataFrame, evidence: DataFrame) -> DataFrame:
-    """case_key, source_id of evidence in force at the case's time, with a label of its principal, and not revoked by then."""
+def usable_evidence(cases: DataFrame, evidence: DataFrame, carried: list[str] | None = None) -> DataFrame:
+    """case_key, carried columns and source_id of evidence in force at the case's time (its last instant included), with a label of its principal, and not revoked by then."""
     j = cases.join(evidence, "case_key")
     at = instant(F.col("query_time"))
-    inside = (instant(F.col("valid_from")) <= at) & (F.col("valid_until").isNull() | (at < instant(F.col("valid_until"))))
+    inside = (instant(F.col("valid_from")) <= at) & (F.col("valid_until").isNull() | (at <= instant(F.col("valid_until"))))
     revoked = F.coalesce(instant(F.col("revoked_at")) <= at, F.lit(False))
-    return j.where(F.coalesce(inside, F.lit(False)) & F.arrays_overlap("access_labels", "permitted_labels") & ~revoked).select("case_key", "source_id")
+    return j.where(F.coalesce(inside, F.lit(False)) & F.arrays_overlap("access_labels", "permitted_labels") & ~revoked).select("case_key", *(carried or []), "source_id")
 
 
 def drafting_slice(units: DataFrame, first: int, last: int) -> DataFrame:
@@ -245,3 +260,138 @@ def sidecar_lines(claims: DataFrame) -> Column:
 def sidecar_hash(claims: DataFrame) -> DataFrame:
     """path, sidecar_hash of the canonical sidecar."""
     return claims.groupBy("path").agg(byte_hash(F.concat(sidecar_lines(claims), F.lit("\n"))).alias("sidecar_hash"))
+
+
+# --- jobs, recordings, kits, publication -------------------------------------------------------
+
+
+def created_jobs(jobs: DataFrame, requests: DataFrame) -> DataFrame:
+    """idempotency_key, job_id, outcome of each distinct request to create a job: created, existing (the same input) or conflict (another input under the key).
+
+    jobs: idempotency_key, job_id, input_hash; requests: idempotency_key, input_hash. A
+    new job's id follows from its key.
+    """
+    one = requests.groupBy("idempotency_key").agg(F.min("input_hash").alias("input_hash"), (F.min("input_hash") != F.max("input_hash")).alias("_split"))
+    j = one.join(jobs.select("idempotency_key", "job_id", F.col("input_hash").alias("_was")), "idempotency_key", "left")
+    outcome = F.when(F.col("_split") | (F.col("_was") != F.col("input_hash")), "conflict").when(F.col("_was").isNotNull(), "existing").otherwise("created")
+    return j.select("idempotency_key", F.when(outcome == "created", short_id("job", F.col("idempotency_key"))).when(outcome == "existing", F.col("job_id")).alias("job_id"), outcome.alias("outcome"))
+
+
+def cancelled(jobs: DataFrame, requests: DataFrame) -> DataFrame:
+    """job_id, state, checkpoint of jobs after requests to cancel: at once where nothing runs, at its next checkpoint where one does; what has ended stays.
+
+    jobs: job_id, state, checkpoint.
+    """
+    j = jobs.join(requests.select("job_id", F.lit(True).alias("_asked")).distinct(), "job_id", "left")
+    state = F.when(F.col("_asked") & F.col("state").isin("queued", "parked", "awaiting_input"), "cancelled").when(F.col("_asked") & (F.col("state") == "running"), "cancelling").otherwise(F.col("state"))
+    return j.select("job_id", state.alias("state"), "checkpoint")
+
+
+def replayed(recordings: DataFrame, task: str, inputs: DataFrame) -> DataFrame:
+    """recording_id, state, output of recorded model outputs: replayed if the task and every input hash are those of the run, else drift; an output whose proposals name claims that it lacks, or twice, is invalid.
+
+    recordings: recording_id, task, input_hash, claim_ids, proposal_claim_ids, output;
+    inputs: recording_id, input_hash. A stand-in for a model that gives the same each time.
+    """
+    j = recordings.join(inputs.select("recording_id", F.col("input_hash").alias("_now")), "recording_id", "left")
+    claims, wanted = F.col("claim_ids"), F.col("proposal_claim_ids")
+    bad = (F.size(F.array_distinct(claims)) < F.size(claims)) | (F.size(F.array_distinct(wanted)) < F.size(wanted)) | (F.size(F.array_except(wanted, claims)) > 0)
+    state = F.when((F.col("task") != task) | ~F.col("input_hash").eqNullSafe(F.col("_now")), "drift").when(bad, "invalid").otherwise("replayed")
+    return j.select("recording_id", state.alias("state"), F.when(state == "replayed", F.col("output")).alias("output"))
+
+
+def recorded_claims(claims: DataFrame, replays: DataFrame, units: DataFrame) -> DataFrame:
+    """recording_id, claim_id, state of the claims of replayed recordings: bound (its source, hash and locator are a unit's) or unanchored."""
+    c = claims.join(replays.where("state = 'replayed'").select("recording_id"), "recording_id", "left_semi")
+    j = c.join(units.select("source_id", "source_hash", "locator", F.lit(True).alias("_there")).distinct(), ["source_id", "source_hash", "locator"], "left")
+    return j.select("recording_id", "claim_id", F.when(F.col("_there"), "bound").otherwise("unanchored").alias("state"))
+
+
+def drafting_kit(units: DataFrame, titles: DataFrame, most_units: int = 200) -> DataFrame:
+    """path, kind, content of a kit's files for each source: its evidence, a template to fill in and the locators with excerpts of 120 UTF-16 units. Beyond most_units a kit is asked for in slices, so that is an error."""
+    u = units.where(F.coalesce(F.col("text"), F.lit("")) != "")
+    if not u.groupBy("source_id").agg(F.count("*").alias("n")).where(F.col("n") > most_units).isEmpty():
+        raise ValueError(f"a kit has at most {most_units} units")
+    wide = F.octet_length(F.encode(F.col("text"), "UTF-16LE")) / 2
+    cut = F.decode(F.substring(F.encode(F.col("text"), "UTF-16LE"), 1, 240), "UTF-16LE")
+    excerpt = F.when(wide <= 120, F.col("text")).otherwise(F.regexp_replace(cut, "\ufffd$", ""))
+    g = u.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("order", F.col("text").alias("t"), "locator", excerpt.alias("e")))).alias("x")).join(titles, "source_id", "left")
+    lines = lambda f: F.array_join(F.transform("x", f), "\n")
+    files = {"evidence": ("evidence.txt", lines(lambda x: x["t"])), "template": ("template.md", F.concat(F.lit("---\ntype: \ntitle: "), F.coalesce("title", F.lit("")), F.lit("\nstatus: draft\n---\n"))), "locators": ("locators.txt", lines(lambda x: F.concat(x["locator"], F.lit("\t"), x["e"])))}
+    rows = F.array(*[F.struct(F.concat(F.lit("kits/"), F.col("source_id").cast("string"), F.lit(f"/{name}")).alias("path"), F.lit(kind).alias("kind"), content.alias("content")) for kind, (name, content) in files.items()])
+    return g.select(F.explode(rows).alias("f")).select("f.*")
+
+
+def scaffold(projects: DataFrame) -> DataFrame:
+    """path, content of a project's first files (name, title, knowledge_base_id); names that can't be a path are an error."""
+    name, kb = F.col("name"), F.col("knowledge_base_id")
+    bad = projects.where(~(name.rlike("^[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?$") & kb.rlike("^[a-z0-9](?:[a-z0-9.-]*[a-z0-9])?$") & kb.contains(".")))
+    if not bad.isEmpty():
+        raise ValueError("a project's name or its knowledge base's id is invalid")
+    quote = lambda c: F.concat(F.lit('"'), F.regexp_replace(c, r'(["\\\\])', r"\\$1"), F.lit('"'))
+    files = {
+        "knowledge-project.yaml": F.concat(F.lit("kind: Project\nname: "), quote(name), F.lit("\ntitle: "), quote(F.col("title")), F.lit("\nknowledge_bases:\n  - name: primary\n    uri: ./knowledge/primary\n    mode: maintain\n    role: primary\n")),
+        "knowledge/primary/index.md": F.lit("<!-- generated; do not edit -->\n# Knowledge Index\n"),
+        "knowledge/primary/knowledge-base.yaml": F.concat(F.lit("kind: KnowledgeBase\nid: "), quote(kb), F.lit("\nname: primary\naccess:\n  classification: internal\n")),
+        "purpose.md": F.concat(F.lit("# "), F.col("title"), F.lit("\n\nDescribe the purpose and scope.\n")),
+    }
+    rows = F.array(*[F.struct(F.concat(name, F.lit(f"/{path}")).alias("path"), content.alias("content")) for path, content in files.items()])
+    return projects.select(F.explode(rows).alias("f")).select("f.*")
+
+
+def placed(files: DataFrame, existing: DataFrame, overwrite: bool = False) -> DataFrame:
+    """files (path, content) with state: written, or refused where a file is there already and may not be overwritten, or the path leaves its root."""
+    j = files.join(existing.select("path", F.lit(True).alias("_there")).distinct(), "path", "left")
+    there = F.col("_there") & F.lit(not overwrite)
+    return j.withColumn("state", F.when(redirects_out(F.col("path")) | F.coalesce(there, F.lit(False)), "refused").otherwise("written")).drop("_there")
+
+
+def published(catalog: DataFrame, publications: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The catalog after publications, and their states: (path, title, description, byte_hash), (path, state).
+
+    publications: path, title, description, content, creates. One that creates refuses to
+    overwrite, one that updates needs its concept, and of several for a path none is taken
+    (ambiguous). Indexes follow from the new catalog.
+    """
+    one = publications.groupBy("path").agg(F.count("*").alias("_n"), F.first("title").alias("title"), F.first("description").alias("description"), F.first("content").alias("content"), F.first("creates").alias("creates"))
+    j = one.join(catalog.select("path", F.lit(True).alias("_there")), "path", "left")
+    state = F.when(F.col("_n") > 1, "ambiguous").when(F.col("creates") & F.coalesce("_there", F.lit(False)), "exists").when(~F.col("creates") & F.col("_there").isNull(), "missing").otherwise("published")
+    j = j.withColumn("state", state)
+    done = j.where("state = 'published'").select("path", "title", "description", byte_hash(F.col("content")).alias("byte_hash"))
+    return catalog.select("path", "title", "description", "byte_hash").join(done.select("path"), "path", "left_anti").unionByName(done), j.select("path", "state")
+
+
+def elided(envelopes: DataFrame, arrays: list[str]) -> DataFrame:
+    """envelopes with each list replaced by its number of members."""
+    return envelopes.withColumns({c: F.coalesce(F.size(F.coalesce(F.col(c), F.array())), F.lit(0)) for c in arrays})
+
+
+def sandbox_gaps(wanted: Column, given: Column) -> Column:
+    """Sorted names of what an executable wants and a sandbox doesn't enforce or grant.
+
+    wanted: struct<isolation, filesystem array<struct<root, access>>, network, credentials, subprocess, macros, memory, cpu, output>;
+    given: struct<effective, enforced, filesystem, network, credentials, subprocess, macros, memory, cpu, output>.
+    """
+    covers = lambda grant, need: (grant["root"] == need["root"]) & ((grant["access"] == "write") | (grant["access"] == need["access"]))
+    beyond = lambda k: F.size(F.array_except(wanted[k], given[k])) > 0
+    gaps = F.concat(
+        F.transform(F.array_except(F.array(*map(F.lit, BOUNDARIES)), given["enforced"]), lambda x: x),
+        F.array_compact(F.array(
+            F.when(F.exists(wanted["filesystem"], lambda need: ~F.exists(given["filesystem"], lambda grant: covers(grant, need))), "filesystem-scope"), F.when(beyond("network"), "network-scope"), F.when(beyond("credentials"), "credential-scope"),
+            F.when(wanted["subprocess"] & ~given["subprocess"], "subprocess-scope"), F.when(wanted["macros"] & ~given["macros"], "macro-scope"),
+            *[F.when(wanted[k] > given[k], f"{k}-ceiling") for k in ("memory", "cpu", "output")],
+        )),
+    )
+    return F.when(wanted["isolation"] != "sandboxed", F.array(F.lit("isolation"))).when(~given["effective"], F.array(F.lit("effective-sandbox"))).otherwise(F.array_sort(F.array_distinct(gaps)))
+
+
+def migrated(files: DataFrame, operations: DataFrame, confirmed: bool, waived: bool = False) -> DataFrame:
+    """path, content, state of files after a migration's replacements, a row a file: replaced, unchanged, precondition (another value is there), or unconfirmed and downgrade where the preview isn't confirmed or a weakening isn't waived.
+
+    files: path, content (JSON); operations: path, pointer, before, after (JSON), weakening.
+    """
+    j = files.join(operations, "path", "left")
+    new = replaced_json(F.col("content"), F.col("pointer"), F.col("before"), F.col("after"))
+    state = F.when(F.col("pointer").isNull(), "unchanged").when(F.lit(not confirmed), "unconfirmed").when(F.col("weakening") & F.lit(not waived), "downgrade").when(F.col("_new").isNull(), "precondition").otherwise("replaced")
+    j = j.withColumn("_new", new).withColumn("state", state)
+    return j.select("path", F.when(F.col("state") == "replaced", F.col("_new")).otherwise(F.col("content")).alias("content"), "state")

@@ -39,7 +39,7 @@ def query(*entities: str, sql: str | None = None):
 
 def source_like(c: DataFrame) -> DataFrame:
     none = F.lit(None).cast("string")
-    return c.withColumn("source_like", F.col("area").startswith("references/sources")).withColumn("tags", F.lit(None).cast("array<string>")).withColumn("description", none).withColumn("compartments", F.when(F.col("compartment").isNotNull(), F.array("compartment")).otherwise(F.array().cast("array<string>")))
+    return c.withColumn("source_like", retrieval.source_like(F.concat("area", F.lit("/"), "path"), none)).withColumn("tags", F.lit(None).cast("array<string>")).withColumn("description", none).withColumn("compartments", F.when(F.col("compartment").isNotNull(), F.array("compartment")).otherwise(F.array().cast("array<string>")))
 
 
 def mounts(c: DataFrame) -> DataFrame:
@@ -62,14 +62,14 @@ SCORED = f"""
 
 @query("concept", sql=f"WITH {SCORED} SELECT mount_id, concept_id, title, CAST(score AS INTEGER) AS score, round(normalized, 6) AS normalized, CAST(place AS INTEGER) AS place FROM top")
 def search_topk_normalized(concept):
-    found = retrieval.search(source_like(concept), mounts(concept), SEARCH, today=TODAY, normalise=False)
+    found = retrieval.search(source_like(concept), mounts(concept), SEARCH, today=TODAY)
     return found.select("mount_id", "concept_id", "title", F.col("score").cast("int").alias("score"), F.round("normalized", 6).alias("normalized"), "place")
 
 
 @query("concept", sql=f"""WITH {SCORED.replace("status IN ('stable', 'deprecated')", "status IN ('stable', 'deprecated') AND tier = 'human-reviewed' AND stale_after = '2030-06-01'")}
 SELECT mount_id, concept_id, CAST(place AS INTEGER) AS place FROM top""")
 def search_trusted_fresh(concept):
-    found = retrieval.search(source_like(concept), mounts(concept), SEARCH, mode="trusted-only", stale_behavior="exclude", today=TODAY, normalise=False)
+    found = retrieval.search(source_like(concept), mounts(concept), SEARCH, mode="trusted-only", stale_behavior="exclude", today=TODAY)
     return found.select("mount_id", "concept_id", "place")
 
 
@@ -80,7 +80,7 @@ SELECT mount_id, concept_id, CAST(place AS INTEGER) AS place FROM top
 UNION ALL SELECT mount_id, concept_id, CAST((SELECT max(place) FROM top) + row_number() OVER (ORDER BY via, mount_id, concept_id) AS INTEGER) FROM more""")
 def search_conflict_expansion(concept, relation):
     c = source_like(concept)
-    top = retrieval.search(c, mounts(concept), SEARCH, today=TODAY, normalise=False)
+    top = retrieval.search(c, mounts(concept), SEARCH, today=TODAY)
     eligible = c.where(retrieval.in_mode("wiki-only", F.col("source_like"), F.col("status"))).select("mount_id", "concept_id", F.lit(None).cast("double").alias("normalized"))
     return retrieval.expanded(top, eligible, relation).select("mount_id", "concept_id", F.col("place").cast("int").alias("place"))
 
@@ -120,21 +120,24 @@ def byte_hash_duplicates(documents):
     return relational.duplicates(documents.where("text is not null").select(text.byte_hash(F.col("text")).alias("byte_hash")), "byte_hash")
 
 
-@query("documents", sql=r"SELECT doc_id, 'sha256:' || sha256(rtrim(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)) || chr(10)) AS canonical_hash FROM documents")
+# every text gets a letter and its accent apart, and line ends of all kinds
+@query("documents", sql=r"SELECT doc_id, 'sha256:' || sha256(rtrim(replace(nfc_normalize(text || 'e' || chr(769)), chr(13), chr(10)), chr(10)) || chr(10) || 'x' || chr(10) || 'y' || chr(10)) AS canonical_hash FROM documents")
 def canonical_text_hash(documents):
-    return documents.select("doc_id", text.byte_hash(text.canonical_text(F.col("text"), normalise=False)).alias("canonical_hash"))
+    raw = F.concat("text", F.lit("e\u0301\r\nx\ry\n\n"))
+    return documents.select("doc_id", text.byte_hash(text.canonical_text(raw)).alias("canonical_hash"))
 
 
-@query("documents", sql=f"SELECT doc_id, len({sql_terms('text')}) AS n_terms FROM documents")
+# every text gets words in compatibility forms
+@query("documents", sql=f"""SELECT doc_id, len({sql_terms("text || ' fine abc 1 12'")}) AS n_terms FROM documents""")
 def term_distinct_counts(documents):
-    return documents.select("doc_id", F.size(text.terms(F.col("text"), normalise=False)).cast("long").alias("n_terms"))
+    return documents.select("doc_id", F.size(text.terms(F.concat("text", F.lit(" \ufb01ne \uff21\uff22c \u2460 1\u00b2")))).cast("long").alias("n_terms"))
 
 
 @query("documents", sql=r"""WITH codes(code, p) AS (VALUES ('SECRET_PRIVATE_KEY', '-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----'), ('SECRET_BEARER', '(?i)\b(?:authorization\s*[:=]\s*)?bearer\s+[A-Za-z0-9._~+/=-]{12,}'),
  ('SECRET_AWS_KEY', '\b(?:AKIA|ASIA)[A-Z0-9]{16}\b'), ('SECRET_ASSIGNMENT', '(?i)\b(?:api[_-]?key|client[_-]?secret|password|token)\s*[:=]\s*["'']?[A-Za-z0-9._~+/=-]{12,}'))
 SELECT code, count(*) FILTER (WHERE regexp_matches(d.text, p)) AS n_documents FROM codes, documents d GROUP BY 1""")
 def secret_findings_by_code(documents):
-    hits = documents.agg(*[F.count_if(F.coalesce(F.col("text").rlike(p), F.lit(False))).alias(code) for code, p in text.SECRET_PATTERNS.items()])
+    hits = documents.agg(*[F.count_if(hit).alias(code) for code, hit in text.secret_hits(F.col("text")).items()])
     return hits.select(F.explode(F.array(*[F.struct(F.lit(c).alias("code"), F.col(c).alias("n_documents")) for c in text.SECRET_PATTERNS])).alias("x")).select("x.*")
 
 
@@ -208,9 +211,7 @@ def latest_decision(decision):
 
 @query("decision", sql="SELECT proposal_id, receipt_id, lead(receipt_id) OVER (PARTITION BY proposal_id ORDER BY decided_at, receipt_id) AS superseded_by FROM decision")
 def supersession_chain(decision):
-    from pyspark.sql.window import Window
-
-    return decision.select("proposal_id", "receipt_id", F.lead("receipt_id").over(Window.partitionBy("proposal_id").orderBy("decided_at", "receipt_id")).alias("superseded_by"))
+    return relational.superseded(decision, "proposal_id", ["decided_at", "receipt_id"], "receipt_id").select("proposal_id", "receipt_id", "superseded_by")
 
 
 @query("documents", sql="SELECT doc_id FROM documents WHERE NOT (doc_id % 4 <> 0 AND doc_id % 10 <> 3)")
@@ -280,7 +281,7 @@ def alias_chain(alias):
 SELECT directory, count(*) AS n_rows, '<!-- generated; do not edit -->' || chr(10) || '# ' || CASE WHEN directory = '' THEN 'Knowledge Index' ELSE upper(split_part(directory, '/', -1)[1]) || split_part(directory, '/', -1)[2:] END || chr(10) || chr(10) || string_agg('* [' || title || '](' || path || ')', chr(10) ORDER BY lower(title), path) || chr(10) AS index_text FROM r GROUP BY 1""")
 def directory_index(documents):
     c = documents.select(F.concat("source", F.lit("/"), "lang", F.lit("/doc-"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.lit(None).cast("string").alias("title"), F.lit("").alias("description"))
-    return graph.directory_indexes(c, normalise=False).select("directory", F.col("n_rows").cast("long").alias("n_rows"), "index_text")
+    return graph.directory_indexes(c).select("directory", F.col("n_rows").cast("long").alias("n_rows"), "index_text")
 
 
 @query("concept", sql="""SELECT concept_id, t AS target, CASE WHEN t IS NULL THEN 'ambiguous' WHEN t IN ('src0', 'src1') THEN 'write' WHEN t = 'src2' THEN 'proposal' ELSE 'unknown' END AS action
@@ -340,11 +341,18 @@ def inventory_coverage(documents):
     return relational.coverage(documents.where("doc_id % 3 = 0"), documents.where("doc_id % 2 = 0"), "doc_id").select("doc_id", "side")
 
 
-@query("documents", sql="""SELECT source, count(*) AS n_files, 'sha256:' || sha256(string_agg(CAST(doc_id AS VARCHAR) || chr(9) || sha256(text), chr(10) ORDER BY CAST(doc_id AS VARCHAR) || chr(9) || sha256(text))) AS tree_hash FROM documents GROUP BY 1""")
+TREE = """ f AS (SELECT source, concat(lang, '/doc-', CAST(doc_id AS VARCHAR), '.md') AS path, text FROM documents),
+ p AS (SELECT source, sha256(path)[1:3] AS part, sha256(string_agg(path || chr(0) || sha256(text), chr(10) ORDER BY path || chr(0) || sha256(text))) AS d, count(*) AS n FROM f GROUP BY 1, 2),
+ t AS (SELECT source, CAST(sum(n) AS BIGINT) AS n_files, 'sha256:' || sha256(string_agg(part || ':' || d, chr(10) ORDER BY part || ':' || d)) AS tree_hash FROM p GROUP BY 1)"""
+
+
+def tree_files(documents):
+    return documents.select("source", F.concat("lang", F.lit("/doc-"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), "text")
+
+
+@query("documents", sql=f"WITH {TREE} SELECT * FROM t")
 def tree_hashes(documents):
-    line = F.concat(F.col("doc_id").cast("string"), F.lit("\t"), F.sha2(F.col("text").cast("binary"), 256))
-    g = documents.groupBy("source").agg(F.count("*").alias("n_files"), F.array_sort(F.collect_list(line)).alias("lines"))
-    return g.select("source", "n_files", text.byte_hash(F.array_join("lines", "\n")).alias("tree_hash"))
+    return relational.tree_hash(tree_files(documents), "source", "path", "text")
 
 
 @query("concept", sql=r"""WITH k AS (SELECT path, lower(trim(regexp_replace(title, '\s+', ' ', 'g'))) AS k FROM concept) SELECT path AS subject, 'DUPLICATE_CANDIDATE' AS code FROM k WHERE k <> '' AND k IN (SELECT k FROM k GROUP BY 1 HAVING count(*) > 1)""")
@@ -401,9 +409,10 @@ def parsed_references(part):
     return part.select("p_partkey", text.kb_reference(ref).alias("r")).where("r is not null").select("p_partkey", "r.*")
 
 
-@query("nation", "customer", sql="""SELECT n_nationkey, count(*) AS jobs, count(*) FILTER (WHERE c_acctbal < 0) AS failing, NOT bool_or(c_acctbal < 0) AS healthy FROM nation JOIN customer ON n_nationkey = c_nationkey GROUP BY 1""")
+@query("nation", "customer", sql="""SELECT n_nationkey, count(*) AS checks, count(*) FILTER (WHERE c_acctbal < 0) AS failing, NOT bool_or(c_acctbal < 0) AS healthy FROM nation JOIN customer ON n_nationkey = c_nationkey GROUP BY 1""")
 def health(nation, customer):
-    return nation.join(customer, F.col("n_nationkey") == F.col("c_nationkey")).groupBy("n_nationkey").agg(F.count("*").alias("jobs"), F.count_if(F.col("c_acctbal") < 0).alias("failing"), (~F.bool_or(F.col("c_acctbal") < 0)).alias("healthy"))
+    d = nation.join(customer, F.col("n_nationkey") == F.col("c_nationkey")).select("n_nationkey", F.when(F.col("c_acctbal") < 0, "fail").when(F.col("c_acctbal") < 1000, "warn").otherwise("pass").alias("status"))
+    return relational.health(d, "n_nationkey")
 
 
 @query("decision", "orders", sql="SELECT o.o_custkey AS proposal_id, count(*) AS pending FROM orders o WHERE o.o_custkey NOT IN (SELECT proposal_id FROM decision WHERE decision = 'approved') GROUP BY 1")
@@ -412,12 +421,10 @@ def pending_reviews(decision, orders):
     return relational.unbound(p, decision.where("decision = 'approved'"), ["proposal_id"]).groupBy("proposal_id").agg(F.count("*").alias("pending"))
 
 
-@query("documents", sql="SELECT source, lang, CAST(sum(CASE WHEN b <= 20000 THEN 1 ELSE 0 END) AS BIGINT) AS within FROM (SELECT source, lang, sum(strlen(text)) OVER (PARTITION BY source, lang ORDER BY doc_id) AS b FROM documents) GROUP BY 1, 2")
+@query("documents", sql="""SELECT source, lang, count(*) AS items, CAST(max(b) AS BIGINT) AS bytes, count(*) FILTER (WHERE b <= 20000 AND n <= 15) AS within
+FROM (SELECT source, lang, sum(strlen(text)) OVER w AS b, count(*) OVER w AS n FROM documents WINDOW w AS (PARTITION BY source, lang ORDER BY doc_id)) GROUP BY 1, 2""")
 def cumulative_caps(documents):
-    from pyspark.sql.window import Window
-
-    b = F.sum(F.octet_length("text")).over(Window.partitionBy("source", "lang").orderBy("doc_id"))
-    return documents.select("source", "lang", b.alias("b")).groupBy("source", "lang").agg(F.count_if(F.col("b") <= 20000).alias("within"))
+    return relational.within_caps(documents, ["source", "lang"], "doc_id", F.octet_length("text"), 20000, 15)
 
 
 @query("orders", sql="""WITH p AS (SELECT o_orderkey AS proposal_id, o_orderkey % 2 = 0 AS has, o_orderkey % 3 = 0 AS moved, o_orderkey % 5 = 0 AS lost FROM orders)

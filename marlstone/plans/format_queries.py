@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from marlstone.functions import canonical
 from marlstone.sources import normalizers
 from marlstone.sources.tables import table
 
@@ -33,46 +32,3 @@ SELECT CAST(doc_id AS VARCHAR) AS source_id, count(*) AS n_lines, max('Part ' ||
 def heading_scope(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("# Part "), F.col("doc_id").cast("string"), F.lit("\n"), "text").alias("text"))
     return normalizers.headings(normalizers.line_units(docs, "doc_id", "text")).groupBy("source_id").agg(F.count("*").alias("n_lines"), F.max("heading").alias("heading"))
-
-
-@query(r"""SELECT page_id, len(regexp_extract_all(html, '(?is)<h[1-6][^>]*>')) AS n_headings FROM pages""")
-def html_heading_tags(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.regexp_count("html", F.lit(r"(?is)<h[1-6][^>]*>")).cast("long").alias("n_headings"))
-
-
-@query()
-def html_units(spark, sf_dir):
-    files = table(spark, sf_dir, "pages").select(F.col("page_id").alias("source_id"), F.lit("page.html").alias("filename"), F.col("html").cast("binary").alias("content"))
-    return normalizers.normalize(files)
-
-
-@query()
-def canonical_json_hash(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", canonical.artifact_hash_column(F.col("props")).alias("artifact_hash"))
-
-
-@query()
-def policy_diff(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    after = F.concat(F.lit('{"k": '), F.col("event_id").cast("string"), F.lit(', "gates": [{"id": "a"}]}'))
-    return e.select("event_id", F.explode(canonical.json_differences(F.col("props"), after)).alias("d")).select("event_id", "d.*")
-
-
-@query()
-def eml_units(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations")
-    mail = F.concat(F.lit("From: "), "role", F.lit("@example.org\r\nSubject: =?utf-8?q?Gr=C3=BC=C3=9Fe?=\r\nContent-Type: text/plain; charset=utf-8\r\n\r\n"), "text")
-    return normalizers.normalize(c.select(F.concat_ws("-", "conv_id", "turn").alias("source_id"), F.lit("m.eml").alias("filename"), mail.cast("binary").alias("content")))
-
-
-@query()
-def csv_ranges(spark, sf_dir):
-    lines = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(",", "n_nationkey", "n_name"))), "\n").alias("t"))
-    return normalizers.normalize(lines.select(F.col("n_regionkey").alias("source_id"), F.lit("n.csv").alias("filename"), F.concat(F.lit("key,name\n"), "t", F.lit("\n")).cast("binary").alias("content")))
-
-
-@query()
-def version_ranges(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
-    v = F.concat_ws(".", (F.col("p_partkey") % 3).cast("string"), (F.col("p_partkey") % 7).cast("string"), F.col("p_size").cast("string"))
-    return p.select("p_partkey", v.alias("version"), canonical.version_satisfies(v, F.lit("^1.2.0 || ~2.3.0")).alias("ok"))

@@ -95,14 +95,13 @@ def migration_weakening(customer):
     return workflow.weakening(customer.select("c_custkey", d.alias("d")).select("c_custkey", "d.*")).select("c_custkey", "rule", "weakening")
 
 
-@query("events", sql="""SELECT e.event_id AS case_key, e2.event_id AS source_id FROM events e JOIN events e2 ON e.event_id % 100 = e2.event_id AND e2.event_id < 100 WHERE e2.event_id % 4 = 0 AND (e2.event_id % 3 <> 0) AND e.event_id % 5 <> 0""")
+@query("events", sql="""WITH e AS (SELECT event_id, user_id, event_id % 4 AS q, event_id % 3 AS r, event_id % 5 AS a FROM events)
+SELECT c.event_id AS case_key, v.event_id AS source_id FROM e c JOIN e v ON c.user_id = v.user_id WHERE v.q = 0 AND v.r <> 0 AND c.a <> 0""")
 def usable_evidence(events):
-    z = F.lit("2026-01-01T00:00:00Z")
-    cases = events.select(F.col("event_id").alias("case"), (F.col("event_id") % 100).alias("case_key"), z.alias("query_time"), F.when(F.col("event_id") % 5 == 0, F.array(F.lit("x"))).otherwise(F.array(F.lit("a"))).alias("access_labels"))
-    k = F.col("event_id")
-    evidence = events.where("event_id < 100").select(k.alias("case_key"), k.alias("source_id"), F.when(k % 4 == 0, "2025-01-01T00:00:00Z").otherwise("2027-01-01T00:00:00Z").alias("valid_from"), F.lit(None).cast("string").alias("valid_until"), F.array(F.lit("a"), F.lit("b")).alias("permitted_labels"), F.when(k % 3 == 0, "2025-06-01T00:00:00Z").alias("revoked_at"))
-    j = workflow.usable_evidence(cases.withColumn("case_key", F.col("case_key")), evidence)
-    return cases.select("case", "case_key", "access_labels").join(j.select("case_key", "source_id").distinct(), "case_key").where(F.array_contains("access_labels", "a")).select(F.col("case").alias("case_key"), "source_id")
+    z, k = F.lit("2026-01-01T00:00:00Z"), F.col("event_id")
+    cases = events.select(k.alias("case"), F.col("user_id").alias("case_key"), z.alias("query_time"), F.when(k % 5 == 0, F.array(F.lit("x"))).otherwise(F.array(F.lit("a"))).alias("access_labels"))
+    evidence = events.select(F.col("user_id").alias("case_key"), k.alias("source_id"), F.when(k % 4 == 0, "2025-01-01T00:00:00Z").otherwise("2027-01-01T00:00:00Z").alias("valid_from"), F.when(k % 8 == 0, "2026-01-01T00:00:00Z").alias("valid_until"), F.array(F.lit("a"), F.lit("b")).alias("permitted_labels"), F.when(k % 3 == 0, "2025-06-01T00:00:00Z").alias("revoked_at"))
+    return workflow.usable_evidence(cases, evidence, ["case"]).select(F.col("case").alias("case_key"), "source_id")
 
 
 @query("lineitem", sql="SELECT l_orderkey AS source_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS n, CAST(l_linenumber AS VARCHAR) AS unit_id FROM lineitem QUALIFY n BETWEEN 2 AND 3")

@@ -19,21 +19,27 @@ import html.parser
 import io
 import json
 import re
+import resource
+import signal
+import threading
 import urllib.parse
 import xml.etree.ElementTree as ET
 import zipfile
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
+from pathlib import Path
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marlstone.functions.text import short_id
+from marlstone.sources import pdf
 
 # Limits of one document, and extensions and locator kinds by format.
-LIMITS = {"source_bytes": 25_000_000, "expanded_bytes": 100_000_000, "sheets": 100, "rows": 100_000, "slides": 500, "shapes": 50_000, "frames": 500, "depth": 256}
+LIMITS = {"source_bytes": 25_000_000, "expanded_bytes": 100_000_000, "pages": 500, "sheets": 100, "rows": 100_000, "slides": 500, "shapes": 50_000, "frames": 500, "depth": 256, "processing_ms": 30_000, "output_bytes": 50_000_000, "memory_bytes": 512 << 20}
 FORMATS = {
     "markdown": ((".md",), ("line-range", "heading")), "text": ((".txt",), ("line-range",)), "csv": ((".csv",), ("row", "cell", "range")), "pdf": ((".pdf",), ("page", "page-bbox")),
     "docx": ((".docx",), ("part-paragraph", "part-table")), "xlsx": ((".xlsx",), ("sheet-cell", "sheet-range")), "pptx": ((".pptx",), ("slide", "slide-shape")), "vsdx": ((".vsdx",), ("visio-page", "visio-shape")),
@@ -439,7 +445,7 @@ def msg_units(raw: bytes) -> Iterator[tuple]:
 
 
 def pdf_units(raw: bytes) -> Iterator[tuple]:
-    """No PDF reader is at hand: unsafe and encrypted files are told apart, others are unsupported."""
+    """A unit a page, and one a line of text with its place; encrypted, active and linking files are told apart, and filters without a reader are unsupported."""
     if b"/Encrypt" in raw:
         raise Quarantine("encrypted")
     if re.search(rb"/(URI|Launch|GoToR|SubmitForm)\b", raw):
@@ -448,30 +454,82 @@ def pdf_units(raw: bytes) -> Iterator[tuple]:
         raise Quarantine("unsafe-active-content")
     if b"%%EOF" not in raw[-2048:]:
         raise Quarantine("malformed")
-    raise Quarantine("unsupported")
-    yield  # a generator like the others
+    try:
+        doc = pdf.Document(raw)
+        pages = doc.pages()
+        if len(pages) > LIMITS["pages"]:
+            raise Quarantine("limit-exceeded")
+        for i, page in enumerate(pages, 1):
+            blocks = list(pdf.page_blocks(doc, page))
+            yield "pdf-page", {"kind": "page", "page": i}, "\n".join(t for _, _, t in blocks), {"blocks": len(blocks)}
+            for x, y, text in blocks:
+                yield "block", {"kind": "page-bbox", "page": i, "x": x, "y": y}, text, None
+    except pdf.Malformed as e:
+        raise Quarantine("unsupported" if str(e).startswith("a filter") else "malformed") from None
+    except OverflowError:
+        raise Quarantine("limit-exceeded") from None
 
 
 EXTRACTORS = {"markdown": markdown_units_of, "text": text_units, "csv": csv_units, "pdf": pdf_units, "docx": docx_units, "xlsx": xlsx_units, "pptx": pptx_units, "vsdx": vsdx_units, "drawio": drawio_units, "gif": gif_units, "html": html_units, "msg": msg_units, "eml": eml_units}
 
 
-def units_of(source_id: str, filename: str, raw: bytes | None, declared_hash: str | None = None, settings: dict | None = None) -> list[dict]:
+def tightened(limits: dict | None) -> dict:
+    """The limits of a document, any of which may be made smaller and none larger."""
+    out = dict(LIMITS)
+    for k, v in (limits or {}).items():
+        if k not in LIMITS or not isinstance(v, int) or not 0 < v <= LIMITS[k]:
+            raise ValueError(f"the limit {k} can't be {v}")
+        out[k] = v
+    return out
+
+
+@contextmanager
+def restricted(limits: dict) -> Iterator[None]:
+    """Time and memory for one document, where the worker runs it in its main thread; beyond them it is quarantined and the worker goes on."""
+    if threading.current_thread() is not threading.main_thread():
+        yield
+        return
+
+    def late(*_):
+        raise Quarantine("limit-exceeded")
+
+    before, kept = signal.signal(signal.SIGALRM, late), resource.getrlimit(resource.RLIMIT_DATA)
+    have = int(Path("/proc/self/statm").read_text().split()[5]) * resource.getpagesize() if Path("/proc/self/statm").exists() else None
+    signal.setitimer(signal.ITIMER_REAL, limits["processing_ms"] / 1000)
+    try:
+        if have is not None and (kept[0] == resource.RLIM_INFINITY or have + limits["memory_bytes"] < kept[0]):
+            resource.setrlimit(resource.RLIMIT_DATA, (have + limits["memory_bytes"], kept[1]))
+        yield
+    except MemoryError:
+        raise Quarantine("limit-exceeded") from None
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+        resource.setrlimit(resource.RLIMIT_DATA, kept)
+
+
+def units_of(source_id: str, filename: str, raw: bytes | None, declared_hash: str | None = None, settings: dict | None = None, limits: dict | None = None) -> list[dict]:
     """All units of one document, or one quarantine row."""
-    raw = bytes(raw or b"")
+    raw, limits = bytes(raw or b""), limits or LIMITS
     digest = "sha256:" + hashlib.sha256(raw).hexdigest()
     base = {"source_id": source_id, "source_hash": digest, "format": None, "status": "quarantined", "code": None, "unit_id": None, "order": None, "kind": None, "locator": None, "text": None, "structured_data": None}
     try:
-        if len(raw) > LIMITS["source_bytes"]:
+        if len(raw) > limits["source_bytes"]:
             raise Quarantine("limit-exceeded")
         if declared_hash and declared_hash != digest:
             raise Quarantine("source-hash-mismatch")
         base["format"] = sniff(raw, filename or "")
         extra = {"delimiter": settings["delimiter"]} if base["format"] == "csv" and (settings or {}).get("delimiter") else {}
-        out = []
-        for i, (kind, locator, text, data) in enumerate(EXTRACTORS[base["format"]](raw, **extra)):
-            where = json.dumps(locator, sort_keys=True, ensure_ascii=False)
-            key = hashlib.sha256(f"{digest}\0{i}\0{kind}\0{where}".encode("utf-8", "surrogatepass")).hexdigest()[:16]
-            out.append(base | {"status": "partial" if (data or {}).get("partial") else "complete", "unit_id": f"unit_{key}", "order": i, "kind": kind, "locator": where, "text": text, "structured_data": None if data is None else json.dumps(data, sort_keys=True, ensure_ascii=False)})
+        out, size = [], 0
+        with restricted(limits):
+            for i, (kind, locator, text, data) in enumerate(EXTRACTORS[base["format"]](raw, **extra)):
+                where = json.dumps(locator, sort_keys=True, ensure_ascii=False)
+                more = None if data is None else json.dumps(data, sort_keys=True, ensure_ascii=False)
+                size += len((text or "").encode("utf-8", "surrogatepass")) + len((more or "").encode("utf-8", "surrogatepass"))
+                if size > limits["output_bytes"]:
+                    raise Quarantine("limit-exceeded")
+                key = hashlib.sha256(f"{digest}\0{i}\0{kind}\0{where}".encode("utf-8", "surrogatepass")).hexdigest()[:16]
+                out.append(base | {"status": "partial" if (data or {}).get("partial") else "complete", "unit_id": f"unit_{key}", "order": i, "kind": kind, "locator": where, "text": text, "structured_data": more})
         return out
     except Quarantine as q:
         return [base | {"code": q.code}]
@@ -479,17 +537,107 @@ def units_of(source_id: str, filename: str, raw: bytes | None, declared_hash: st
         return [base | {"code": "malformed"}]
 
 
-def normalize(files: DataFrame, settings: dict | None = None) -> DataFrame:
-    """Units of every file. files: source_id, filename, content, and declared_hash if it is there."""
+COLUMNS = ("source_id", "source_hash", "format", "status", "code", "unit_id", "order", "kind", "locator", "text", "structured_data")
+#: Units of one batch to Spark, at about: a batch ends with the document that reaches it.
+BATCH_UNITS = 4096
+
+
+def batched(rows: list[dict]) -> pa.RecordBatch:
+    kinds = {"order": pa.int64()}
+    clean = lambda v: v.encode("utf-8", "replace").decode() if isinstance(v, str) else v
+    return pa.RecordBatch.from_arrays([pa.array([clean(r[c]) for r in rows], kinds.get(c, pa.string())) for c in COLUMNS], list(COLUMNS))
+
+
+def normalize(files: DataFrame, settings: dict | None = None, limits: dict | None = None) -> DataFrame:
+    """Units of every file. files: source_id, filename, content, and declared_hash if it is there; limits (see LIMITS) can only be tightened."""
     declared = F.col("declared_hash") if "declared_hash" in files.columns else F.lit(None).cast("string")
-    columns = ["source_id", "source_hash", "format", "status", "code", "unit_id", "order", "kind", "locator", "text", "structured_data"]
+    bounds = tightened(limits)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[dict] = []
         for b in batches:
-            for r in b.itertuples(index=False):  # a document's units at a time
-                yield pd.DataFrame(units_of(r.source_id, r.filename, r.content, r.declared_hash, settings), columns=columns).astype({"order": "Int64"})
+            for r in zip(*[b.column(i).to_pylist() for i in range(4)], strict=True):
+                out += units_of(*r, settings, bounds)
+                if len(out) >= BATCH_UNITS:
+                    yield batched(out)
+                    out = []
+        if out:
+            yield batched(out)
+
+    return files.select(F.col("source_id").cast("string"), "filename", F.col("content").cast("binary").alias("content"), declared.alias("declared_hash")).mapInArrow(run, SCHEMA)
+
+
+# The keys of a request line, and its largest size in bytes.
+REQUEST_KEYS = ("id", "filename", "bytes_base64", "source_hash", "delimiter")
+MOST_LINE = 40_000_000
+
+
+def requests(lines: DataFrame) -> DataFrame:
+    """Requests as JSON lines (value) to rows for normalize (source_id, filename, content, declared_hash) with error: malformed, unknown-key, too-long or null. A bad line is a row, never a failure."""
+
+    def read(line: str | None) -> tuple:
+        if line is None or len(line.encode("utf-8", "surrogatepass")) > MOST_LINE:
+            return (None, None, None, None, "malformed" if line is None else "too-long")
+        try:
+            r = json.loads(line)
+            if not isinstance(r, dict):
+                raise ValueError("not an object")
+            if set(r) - set(REQUEST_KEYS):
+                return (str(r.get("id")), None, None, None, "unknown-key")
+            return (str(r["id"]), str(r["filename"]), base64.b64decode(r["bytes_base64"], validate=True), r.get("source_hash"), None)
+        except (ValueError, KeyError, TypeError):
+            return (None, None, None, None, "malformed")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [read(x) for x in b.column(0).to_pylist()]
+            kinds = (pa.string(), pa.string(), pa.binary(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["source_id", "filename", "content", "declared_hash", "error"])
+
+    return lines.select("value").mapInArrow(run, "source_id string, filename string, content binary, declared_hash string, error string")
+
+
+def descriptors(spark: SparkSession) -> DataFrame:
+    """format, extension, locator_kind: what each format accepts and points with."""
+    return spark.createDataFrame([(f, e, k) for f, (extensions, kinds) in FORMATS.items() for e in extensions for k in kinds], "format string, extension string, locator_kind string")
+
+
+def sniffed(files: DataFrame) -> DataFrame:
+    """source_id, format (null where none is known): signatures before extensions. Only archives are opened, in Python; the rest is decided on the first bytes."""
+
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def one(raw, name):
+            try:
+                return None if raw is None else sniff(raw, name or "")
+            except Quarantine:
+                return None
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([one(r, n) for r, n in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)], pa.string())], ["source_id", "format"])
+
+    head = F.hex(F.substring("content", 1, 8))
+    zipped = F.coalesce(head.startswith("504B0304"), F.lit(False))
+    by_name = F.lit(None).cast("string")
+    for f, (extensions, _) in FORMATS.items():
+        for e in extensions:
+            by_name = F.when(F.lower("filename").endswith(e), f).otherwise(by_name)
+    start = F.regexp_replace(F.decode(F.substring("content", 1, 200), "ISO-8859-1"), r"^\s+", "")
+    form = F.when(head.startswith("255044462D"), "pdf").when(head.startswith("474946383761") | head.startswith("474946383961"), "gif").when(head == "D0CF11E0A1B11AE1", "msg").when(start.startswith("<mxfile") | start.startswith("<mxGraphModel"), "drawio").otherwise(by_name)
+    plain = files.where(~zipped).select(F.col("source_id").cast("string").alias("source_id"), form.alias("format"))
+    return plain.union(files.where(zipped).select(F.col("source_id").cast("string").alias("source_id"), "content", "filename").mapInArrow(inside, "source_id string, format string"))
+
+
+def portable_manifest(units: DataFrame) -> DataFrame:
+    """source_id, source_hash, n_units, manifest_hash: the digest of a document's units in order, as they are written. A document's units are gathered as digests."""
+    line = F.sha2(F.to_json(F.struct("kind", "locator", "order", "structured_data", "text", "unit_id")).cast("binary"), 256)
+    g = units.where("unit_id is not null").groupBy("source_id", "source_hash").agg(F.array_sort(F.collect_list(F.struct("order", line.alias("d")))).alias("x"))
+    return g.select("source_id", "source_hash", F.size("x").cast("long").alias("n_units"), F.concat(F.lit("sha256:"), F.sha2(F.array_join(F.transform("x", lambda r: r["d"]), "\n").cast("binary"), 256)).alias("manifest_hash"))
+
 
-    return files.select(F.col("source_id").cast("string"), "filename", F.col("content").cast("binary").alias("content"), declared.alias("declared_hash")).mapInPandas(run, SCHEMA)
+def mutated(stored: DataFrame, units: DataFrame) -> DataFrame:
+    """source_id, source_hash of stored manifests that the units now don't have: anything was changed, added or taken away."""
+    now = portable_manifest(units).select("source_id", "source_hash", F.col("manifest_hash").alias("_now"))
+    return stored.join(now, ["source_id", "source_hash"], "left").where(~F.col("manifest_hash").eqNullSafe(F.col("_now"))).select("source_id", "source_hash")
 
 
 def manifest(units: DataFrame) -> DataFrame:
@@ -517,5 +665,6 @@ def with_probabilistic(units: DataFrame, model_units: DataFrame, allowed: DataFr
 
 def write_portable(units: DataFrame, path: str) -> None:
     """Accepted units by source and hash as JSON lines; quarantined documents apart."""
+    portable_manifest(units).write.mode("errorifexists").json(f"{path}/manifests")
     units.where("code is null").write.mode("errorifexists").partitionBy("source_id", "source_hash").json(f"{path}/normalized")
     units.where("code is not null").select("source_id", "source_hash", "format", "code").write.mode("errorifexists").json(f"{path}/quarantine")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from marlstone.functions.canonical import parse_concept
 from marlstone.functions.temporal import is_instant
 from marlstone.functions.text import byte_hash, is_byte_hash, redirects_out, secret_looking
+from marlstone.operators.stage import written
 
 # Directories that a scan skips, providers with their kinds of revision, and the other closed sets.
 SKIPPED = ("node_modules", "knowledge", "workflow", "mounts")
@@ -26,8 +27,13 @@ def files(spark: SparkSession, root: str, extensions: tuple[str, ...] = ()) -> D
     inner = re.escape(re.sub(r"^[a-z0-9]+:/+", "/", root).rstrip("/"))
     path = F.regexp_replace("path", rf"^.*?{inner}/", "")
     f = f.select(path.alias("path"), "content", "length")
-    f = f.where(~F.col("path").rlike(r"(^|/)\.") & ~F.col("path").rlike(rf"(^|/)({'|'.join(SKIPPED)})/"))
-    return f.where(F.lower("path").rlike(rf"({'|'.join(e.replace('.', '[.]') for e in extensions)})$")) if extensions else f
+    return f.where(walkable(F.col("path"), extensions))
+
+
+def walkable(path: Column, extensions: tuple[str, ...] = ()) -> Column:
+    """Whether a scan takes a relative path: it stays in its root, nothing of it is hidden or skipped, and its extension is wanted."""
+    ok = ~redirects_out(path) & ~path.rlike(r"(^|/)\.") & ~path.rlike(rf"(^|/)({'|'.join(SKIPPED)})/")
+    return ok & F.lower(path).rlike(rf"({'|'.join(e.replace('.', '[.]') for e in extensions)})$") if extensions else ok
 
 
 def ingested(found: DataFrame, ledger: DataFrame | None = None, force: bool = False) -> DataFrame:
@@ -148,3 +154,37 @@ def acquired(spark: SparkSession, requests: list[tuple[str, Callable[[], dict]]]
         except SourceError as e:
             rows.append((source_id, None, None, None, None, None, None, e.code))
     return spark.createDataFrame(rows, "source_id string, remote_id string, revision_kind string, revision_value string, visibility string, filename string, content binary, error string")
+
+
+def access_context(scope: Column) -> Column:
+    """What a library's sharing scope makes visible: to anyone, within the organisation, to those invited; nothing known without one."""
+    return F.when(scope == "anonymous", "public").when(scope == "organization", "internal").when(scope == "users", "restricted").otherwise("unknown")
+
+
+def readiness_rows(needs: DataFrame, env: DataFrame) -> DataFrame:
+    """connector, missing, ready: by connector, how many of the variables that it names (connector, name) aren't set (env: name of those that are)."""
+    j = needs.join(env.select("name", F.lit(True).alias("_set")).distinct(), "name", "left")
+    return j.groupBy("connector").agg(F.count_if(F.col("_set").isNull()).alias("missing")).withColumn("ready", F.col("missing") == 0)
+
+
+def ingest(spark: SparkSession, root: str, ledger: DataFrame | None, extensions: tuple[str, ...] = (), force: bool = False, descriptors: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One run of an ingestion: (units, receipts, the ledger after it). New and changed files are normalised; receipts bind remote descriptors (source_id, content_hash, ...) to the bytes that came; a quarantined file isn't in the ledger, so that it is tried again.
+
+    With remote descriptors the ledger is never used to skip.
+    """
+    from marlstone.sources.normalizers import normalize
+
+    new = ingested(files(spark, root, extensions), ledger, force or descriptors is not None)
+    units = written(normalize(new))
+    receipts = bound_receipts(descriptors, new) if descriptors is not None else new.select("source_id", "content_hash", F.octet_length("content").alias("byte_length"))
+    done = units.where("code is null").select("source_id", F.col("source_hash").alias("content_hash")).distinct()
+    after = done if ledger is None else ledger.select("source_id", "content_hash").join(done.select("source_id"), "source_id", "left_anti").unionByName(done)
+    return units, receipts, after
+
+
+def sidecar_claims(files_: DataFrame, schema: str) -> DataFrame:
+    """path, line, claim, code: the claims of JSON-lines sidecars (path, content as text), blank lines left out; a line that isn't an object of the schema is a row with CLAIM_SIDECAR_INVALID."""
+    rows = files_.select("path", F.posexplode(F.split("content", r"\r?\n")).alias("line", "json")).where(F.trim("json") != "")
+    claim = F.from_json("json", schema, {"mode": "PERMISSIVE"})
+    valid = F.coalesce(F.schema_of_variant(F.try_parse_json("json")).startswith("OBJECT"), F.lit(False))
+    return rows.select("path", F.col("line").cast("long").alias("line"), F.when(valid, claim).alias("claim"), F.when(~valid, "CLAIM_SIDECAR_INVALID").alias("code"))
