@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Bytes of a batch of rows to Python.
+BATCH_BYTES = 4 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 _written: list[tuple[SparkSession, str]] = []
 
@@ -66,6 +68,14 @@ def numbered(df: DataFrame) -> DataFrame:
     return df.toDF(*[f"_mk_{i}" for i in range(len(df.columns))])
 
 
+def in_batches(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(run, schema) over batches of BATCH_BYTES at about, unless the session says otherwise: a batch of thousands of long texts would stand in the JVM and in Python at once."""
+    spark = df.sparkSession
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") in ("67108864b", "64MB"):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, free, numbered, place
+from .common import documents, free, in_batches, numbered, place
 from .textkit import NOT_ALNUM, Words, chunks
 
 #: Words of a passage and of a window, step of the windows, rank of the space and what is drawn beyond it.
@@ -78,7 +78,7 @@ def frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[int, np.ndarra
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(df[some], total))], ["word", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    rows = in_batches(docs.select("text"), run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     df = np.zeros(len(vocabulary) + 1, np.int64)
     for r in rows:
         df[r.word] = r.n
@@ -242,7 +242,7 @@ def flagged(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col:
                 columns = [*[b.column(k) for k in range(n)], pa.array(before[0], b.schema.field(n).type), pa.array(before[1], pa.float64()), pa.array(before[2], pa.float64())]
                 yield pa.RecordBatch.from_arrays(columns, b.schema.names)
 
-        found = found.mapInArrow(run, found.schema)
+        found = in_batches(found, run, found.schema)
     names = free(docs, "item_ids", "lcs_share", "cosine")
     return found.toDF(*docs.columns, *names), names
 

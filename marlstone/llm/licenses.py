@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, in_batches
 from .textkit import NOT_ALNUM, Words, chunks, one_hash
 
 # The base phrases and their labels.
@@ -241,7 +241,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, id_col: str = "doc_id", text_col:
             columns = [pa.array(x, t) for x, t in zip((n_words, n_base, first, last, base, labels, score, matches), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "matches"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return in_batches(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, schema)
 
 
 def op7_license_templates(spark, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import documents, free, labelled_sample, numbered, place, rolled_sample
+from .common import documents, free, in_batches, labelled_sample, numbered, place, rolled_sample
 from .line_rules import per_span, copies
 from .textkit import BLANKS, Words, chunks, mix, one_hash, span_hash
 from .toxicity import calibrated
@@ -173,7 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(5).slice(lo, hi - lo), *blobs], ["doc_id", "y", "t", "p"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = [r for part in (sample, pool) for r in part.mapInArrow(run, f"doc_id {kind}, y int, t binary, p binary").collect()]
+    rows = [r for part in (sample, pool) for r in in_batches(part, run, f"doc_id {kind}, y int, t binary, p binary").collect()]
     known = {r.doc_id for r in rows if r.y >= 0}
     rows.sort(key=lambda r: (r.y, str(r.doc_id), bytes(r.t)))
     back = lambda chosen: [np.array([np.frombuffer(r[k], np.float16) for r in chosen], np.float32).reshape(len(chosen), dim) for k, dim in (("t", TEXT_DIM), ("p", PAGE_DIM))]
@@ -203,7 +203,7 @@ def judged(docs: DataFrame, model: dict | None) -> tuple[DataFrame, list[str]]:
 
     schema = StructType([*frame.schema.fields, *[StructField(c, DoubleType()) for c in ("_mk_score", "_mk_text", "_mk_page")]])
     names = free(docs, "score", "text_score", "page_score")
-    return frame.mapInArrow(run, schema).toDF(*docs.columns, *names), names
+    return in_batches(frame, run, schema).toDF(*docs.columns, *names), names
 
 
 def score(docs: DataFrame, model: dict | None) -> DataFrame:

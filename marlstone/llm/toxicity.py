@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, held_out, labelled_sample
+from .common import documents, held_out, in_batches, labelled_sample
 from .textkit import CHUNK_BYTES, NOT_ALNUM, chunks, mix, prefix
 
 BUCKETS, WIDTH, WINDOW, SIZES = 1 << 18, 8, 12, (3, 4, 5, 6)
@@ -225,7 +225,7 @@ def score(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out)], ["doc_id", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    found = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
+    found = in_batches(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, f"doc_id {kind}, score double")
     return found.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
