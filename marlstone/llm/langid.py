@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import documents, held_out
+from .common import documents, held_out, in_batches
 from .textkit import CHUNK_BYTES
 
 DIM = 4096
@@ -58,10 +58,9 @@ def counts(texts: list[str | None], table: dict) -> tuple[np.ndarray, np.ndarray
     text = np.repeat(np.arange(n), [len(t) for t in low])
     is_letter = letters(cp, table)
     keep = is_letter.copy()
-    keep[1:] |= is_letter[:-1]
-    keep[:-1] |= is_letter[1:]
-    gap = ~is_letter
-    keep[1:] &= ~(gap[1:] & gap[:-1] & (text[1:] == text[:-1]))  # a mark after a mark
+    keep[1:] |= is_letter[:-1]  # the mark of a run is the place after its letter
+    at = np.flatnonzero(is_letter)
+    keep[at[np.concatenate([[True], text[at][1:] != text[at][:-1]])] - 1 if len(at) else at] = True  # and, before a text's first letter, the place before it
     c = np.where(is_letter, cp, np.uint32(32))[keep]
     text, some = text[keep], is_letter[keep]
     sums = np.bincount(text[some], minlength=n)
@@ -110,7 +109,7 @@ def frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
                 total += int((n > 0).sum())
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, DIM)), pa.array(np.concatenate([[total], df]))], ["dim", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "dim long, n long").groupBy("dim").agg(F.sum("n").alias("n")).collect()
+    rows = in_batches(docs.select("text"), run, "dim long, n long").groupBy("dim").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(DIM + 1, np.int64)
     for r in rows:
         out[r.dim + 1] = r.n
@@ -157,7 +156,7 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([b.column(k).slice(lo, len(texts)).filter(pa.array(keep)) for k in (0, 1)] + [blobs], ["doc_id", "lang", "v"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = sorted(sample.mapInArrow(run, f"doc_id {kind}, lang string, v binary").collect(), key=lambda r: (r.lang, str(r.doc_id), bytes(r.v)))
+    rows = sorted(in_batches(sample, run, f"doc_id {kind}, lang string, v binary").collect(), key=lambda r: (r.lang, str(r.doc_id), bytes(r.v)))
     langs, at, centroids, radius = [], [], [], []
     for lang in sorted({r.lang for r in rows}):
         v = np.array([np.frombuffer(r.v, np.float16) for r in rows if r.lang == lang], np.float32)
@@ -195,7 +194,7 @@ def predict(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(far, pa.bool_())], ["doc_id", "lang_pred", "score", "rejected"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, rejected boolean")
+    return in_batches(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, f"doc_id {kind}, lang_pred string, score double, rejected boolean")
 
 
 def op2_nearest_centroid_language(spark, sf_dir: str) -> DataFrame:

@@ -6,10 +6,13 @@ document's label; Viterbi decoding then labels the lines of every whole text, an
 document is kept if the share of its words in content lines reaches ``SHARE`` and
 the base rules hold.
 
-A null or empty text has no words and no lines and fails the base rules; a table
-without labels of both kinds leaves all lines content, so that the base rules alone
-decide; repeated rows are returned as often as they come; null ids stay null; columns
-other than doc_id and text are not looked at.
+A null or empty text has no words and no lines and fails the base rules; a very long one
+is decoded whole, a chunk of its own, and learned from in FIT_LINES lines spread over it; a
+table without labels of both kinds leaves all lines content, so that the base rules alone
+decide; of equally likely labels a line takes boilerplate, and a share of just SHARE is
+kept; an empty table gives an empty result; repeated rows are returned as often as they
+come and learned from once; null ids stay null; columns other than doc_id and text,
+whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -21,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, labelled_sample
+from .common import documents, in_batches, labelled_sample
 from .textkit import BLANKS, Words, chunks, mix, span_hash, windows
 
-#: Labelled documents of each class that the chain is fitted on, at most, and steps of the fit.
-FIT_PER_CLASS, FIT_STEPS = 500, 150
+#: Labelled documents of each class that the chain is fitted on, at most, lines of each of them that it learns from (spread evenly over the text), and steps of the fit.
+FIT_PER_CLASS, FIT_LINES, FIT_STEPS = 500, 600, 150
 #: The least share of words in content lines.
 SHARE = 0.5
 SYMBOLS = np.zeros(256, bool)
@@ -204,17 +207,22 @@ def fit_chain(docs: DataFrame, labels: DataFrame, per_class: int = FIT_PER_CLASS
         np.seterr(over="ignore")
         cache: dict = {}
         for b in batches:
-            found = [[] for _ in range(b.num_rows)]
+            found = [b""] * b.num_rows
             for lo, hi, _, text, _, f in measured(b.column(1), cache):
                 ends = np.searchsorted(text, np.arange(hi - lo + 1))
                 for i in range(hi - lo):
-                    found[lo + i] = f[ends[i] : ends[i + 1]].ravel()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.float32())), b.column(2)], ["doc_id", "f", "y"])
+                    own = f[ends[i] : ends[i + 1]]
+                    if len(own) > FIT_LINES:  # stretches of 100 lines, so that neighbours stay neighbours
+                        begin = np.linspace(0, len(own) - 100, FIT_LINES // 100).astype(int)
+                        own = np.concatenate([own[k : k + 100] for k in begin])
+                    found[lo + i] = own.tobytes()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x or b"" for x in found], pa.binary()), b.column(2)], ["doc_id", "f", "y"])
 
-    rows = sample.select("doc_id", "text", "y").mapInArrow(lines, "doc_id long, f array<float>, y int").orderBy("doc_id").collect()
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = sorted(in_batches(sample.select("doc_id", "text", "y"), lines, f"doc_id {kind}, f binary, y int").collect(), key=lambda r: (str(r.doc_id), bytes(r.f)))
     if len({r.y for r in rows if r.f}) < 2:
         return None
-    return fit([np.array(r.f, np.float64).reshape(-1, len(FEATURES)) for r in rows], [r.y for r in rows])
+    return fit([np.frombuffer(r.f, np.float32).astype(np.float64).reshape(-1, len(FEATURES)) for r in rows], [r.y for r in rows])
 
 
 def label_lines(docs: DataFrame, chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -236,15 +244,20 @@ def label_lines(docs: DataFrame, chain, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(np.concatenate(parts[k]) if parts[k] else np.zeros(0, np.int64)) for k in names]], ["doc_id", *names])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, ", ".join([f"doc_id {kind}", *[f"{k} long" for k in names]]))
+    return in_batches(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, ", ".join([f"doc_id {kind}", *[f"{k} long" for k in names]]))
 
 
-def rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE) -> DataFrame:
-    """The base counts, content_share, base_failed and kept of every document."""
-    found = label_lines(docs, fit_chain(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), labels), id_col, text_col)
+def verdicts(labelled: DataFrame, share: float = SHARE) -> DataFrame:
+    """labelled with content_share, base_failed and kept."""
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     part = F.when(F.col("n_words") > 0, F.col("content_words") / F.col("n_words")).otherwise(0.0)
-    return found.withColumn("content_share", part).withColumn("base_failed", failed).withColumn("kept", ~failed & (part >= share))
+    return labelled.withColumn("content_share", part).withColumn("base_failed", failed).withColumn("kept", ~failed & (part >= share))
+
+
+def rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE) -> DataFrame:
+    """The base counts, content_share, base_failed and kept of every document."""
+    chain = fit_chain(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), labels)
+    return verdicts(label_lines(docs, chain, id_col, text_col), share)
 
 
 def op6_line_crf_rules(spark, sf_dir: str) -> DataFrame:

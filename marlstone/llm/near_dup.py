@@ -10,7 +10,11 @@ Work stays linear in the size of a group: equal sets are one class from the
 start; a bucket's members are first held against a few of its members (pivots),
 and only buckets whose members are still in different components are compared
 in full, in pairs of blocks of bounded size; there a pair is read in the first of the
-buckets that it shares, and only if its signatures leave it possible.
+buckets that it shares, and only if its signatures leave it possible (with sigmas None,
+every pair that the sizes leave possible). A bucket of more than WIDE blocks is not
+compared as such: its members are dealt out by the rarest shingles of each, so many that
+two similar sets must share one of them (prefix filtering, which is exact), so that texts
+that are all nearly but not quite similar meet only where they share something rare.
 
 Nodes are classes of equal sets with numbers of their own, and a row is told apart by a
 hash of its id and text, so that ids of any type may repeat or be null. A null id takes
@@ -30,13 +34,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, documents, numbered, place, stash
+from .common import components, documents, in_batches, numbered, place, stash
 from .textkit import BASE, BLANKS, Words, chunks, mix, windows
 
 #: Hash functions of a signature.
 SLOTS = 100
 #: Shingles of a bucket's members that are compared in full in one task: twice this at about.
 BLOCK_SHINGLES = 300_000
+#: Blocks of a bucket beyond which its members are dealt out by their rarest shingles; counters of how often shingles occur.
+WIDE, COUNTERS = 32, 1 << 20
 #: Of a pair at the threshold, so many standard deviations fewer slots may agree before it is left out unread.
 SIGMAS = 5.0
 
@@ -133,7 +139,7 @@ def signatures(rows: DataFrame, shingle: int, band: int) -> DataFrame:
             found = [pa.array(sizes, pa.int64()), *[pa.array(np.array(x, np.uint64).view(np.int64)) for x in (one, two)], lists, pa.array(sketch, pa.binary())]
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(3)], *found], names)
 
-    return rows.select("doc_id", "k1", "k2", "text").mapInArrow(run, schema)
+    return in_batches(rows.select("doc_id", "k1", "k2", "text"), run, schema)
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: float) -> bool:
@@ -156,7 +162,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: float)
 
     one = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     two = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return in_batches(pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b"), run, "a long, b long")
 
 
 def compared(members: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int, percent: float, sigmas: float | None = SIGMAS) -> DataFrame:
@@ -173,7 +179,7 @@ def compared(members: DataFrame, classes: DataFrame, texts: DataFrame, shingle:
         key, lo, hi, ids, root, block, size = (t.column(n).to_numpy().copy() for n in names)
         bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
         sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(ids), -1)
-        at, known, edges = int(np.flatnonzero(bands[0] == key[0])[0]), {}, []
+        at, known, edges = next(iter(np.flatnonzero(bands[0] == key[0]).tolist()), 0), {}, []  # 0: dealt by a shingle
 
         def of(i: int) -> np.ndarray:
             if i not in known:
@@ -220,14 +226,62 @@ def compared(members: DataFrame, classes: DataFrame, texts: DataFrame, shingle:
     dealt = dealt.select("key", "node", "root", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
     full = dealt.join(known, "node").join(texts, "node")
     full = full.select(*names, "bands", "sketch", "text").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    return full.mapInArrow(run, "a long, b long")
+    return in_batches(full, run, "a long, b long")
+
+
+def prefixed(texts: DataFrame, shingle: int, percent: float) -> DataFrame:
+    """node, key: the rarest shingles of each set, as many as it takes for two similar sets to share one.
+
+    The order needs no exact counts, only to be the same everywhere: shingles are ordered
+    by a table of COUNTERS sums, whose size doesn't depend on the data, and by their hash.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        np.seterr(over="ignore")
+        n = np.zeros(COUNTERS, np.int64)
+        for b in batches:
+            for s in sets(b.column(0), shingle):
+                n += np.bincount((s & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["at", "n"])
+
+    often = np.zeros(COUNTERS, np.int64)
+    for r in in_batches(texts.select("text"), count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        often[r.at] = r.n
+    rank = often.argsort(kind="stable").argsort(kind="stable").astype(np.int32)
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        np.seterr(over="ignore")
+        for b in batches:
+            nodes, keys = [], []
+            for node, s in zip(b.column(0).to_pylist(), sets(b.column(1), shingle), strict=True):
+                k = len(s) - -int(-percent * len(s) // 100) + 1
+                first = s[np.lexsort((s, rank[(s & np.uint64(COUNTERS - 1)).astype(np.int64)]))][:k]
+                nodes.append(np.full(len(first), node))
+                keys.append(first.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else [], pa.int64()) for x in (nodes, keys)], ["node", "key"])
+
+    return in_batches(texts.select("node", "text"), rarest, "node long, key long")
+
+
+def narrowed(rest: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int, percent: float, wide: int) -> DataFrame:
+    """rest (key, node, root) with the buckets of more than wide blocks dealt out anew, by rare shingles that more than one member has."""
+    sizes = rest.join(classes.select("node", "n_shingles"), "node").groupBy("key").agg(F.sum("n_shingles").alias("n"))
+    large = stash(sizes.where(F.col("n") > wide * BLOCK_SHINGLES).select("key"))
+    if large.isEmpty():
+        return rest
+    members = stash(rest.join(large, "key", "left_semi").select("node", "root").distinct())
+    keys = stash(prefixed(texts.join(members.select("node"), "node", "left_semi"), shingle, percent))
+    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    anew = keys.join(shared, "key", "left_semi").join(members, "node").select("key", "node", "root")
+    return stash(rest.join(large, "key", "left_anti").select("key", "node", "root").union(anew))
 
 
 def joined_roots(edges: DataFrame) -> DataFrame:
     return stash(components(edges).withColumnsRenamed({"root": "top"}))
 
 
-def linked(classes: DataFrame, rows: DataFrame, shingle: int, percent: float, sigmas: float | None) -> DataFrame:
+def linked(classes: DataFrame, rows: DataFrame, shingle: int, percent: float, sigmas: float | None, wide: int = WIDE) -> DataFrame:
     """node, root of every class that links with another. Each round works on the components that the last one left."""
     keys = classes.select("node", F.explode("bands").alias("key"))
     buckets = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
@@ -247,7 +301,7 @@ def linked(classes: DataFrame, rows: DataFrame, shingle: int, percent: float, si
         if rest.isEmpty():
             break
         if full_check:
-            more = stash(compared(rest, classes, texts, shingle, percent, sigmas))
+            more = stash(compared(narrowed(rest, classes, texts, shingle, percent, wide), classes, texts, shingle, percent, sigmas))
         else:  # the member with the most links is the likeliest centre of its bucket
             degree = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
             hubs = rest.join(degree, "node", "left").groupBy("key").agg(F.max(F.struct(F.coalesce("links", F.lit(0)), "node")).getField("node").alias("b"), F.max(F.struct(F.col("node") == F.col("root"), F.xxhash64("node"), F.col("node"))).getField("node").alias("c"))

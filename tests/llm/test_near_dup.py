@@ -140,3 +140,54 @@ def test_sets_are_exact():
 def test_components(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (8, 7), (7, 9), (5, 5), (20, 3)], "a long, b long")
     assert {r.node: r.root for r in components(e).collect()} == {1: 1, 2: 1, 3: 1, 20: 1, 7: 7, 8: 7, 9: 7}
+
+
+def test_wide_buckets_are_dealt_by_rare_shingles(spark, monkeypatch):
+    """Every open bucket is taken as a wide one: the links are those of brute force."""
+    monkeypatch.setattr(near_dup, "BLOCK_SHINGLES", 1)
+    near_dup.linked.__defaults__, kept = (0,), near_dup.linked.__defaults__
+    try:
+        for seed in (1, 5):
+            rows = corpus(seed)
+            r = random.Random(seed)
+            base = [f"b{i}" for i in range(160)]
+            for i in range(40):  # about at the threshold of a common origin, so that pivots leave the bucket open
+                t = list(base)
+                for j in r.sample(range(160), 4 + i % 4):
+                    t[j] = f"y{i}x{j}"
+                rows.append((9000 + i, " ".join(t)))
+            got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=3, threshold=0.85).collect()
+            want = brute(rows, 3, 85)
+            assert {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in got} == want
+    finally:
+        near_dup.linked.__defaults__ = kept
+
+
+def test_rare_shingles_of_similar_sets_meet(spark):
+    """Texts of one boilerplate: those that are similar share a key, and the boilerplate itself deals nobody together."""
+    r = random.Random(7)
+    common = [f"c{i}" for i in range(300)]
+    texts = [(i, " ".join(common + [f"u{i}w{j}" for j in range(90)])) for i in range(400)]  # similarity 0.6 to each other
+    near = [(1000 + i, t.replace("c150 ", f"z{r.random()} ")) for i, t in texts[:50]]
+    docs = spark.createDataFrame(texts + near, "node long, text string")
+    keys = {}
+    for x in near_dup.prefixed(docs, 3, 85.0).collect():
+        keys.setdefault(x.key, set()).add(x.node)
+    together = {(a, b) for v in keys.values() if len(v) > 1 for a in v for b in v if a < b}
+    assert together >= {(i, 1000 + i) for i in range(50)} and len(together) < 200
+
+
+def test_prefixes_are_long_enough(spark):
+    """Random sets at every similarity: a pair at or above the threshold shares a rare shingle."""
+    r = random.Random(3)
+    rows = []
+    for i in range(60):
+        base = [f"w{r.randrange(400)}" for _ in range(r.randrange(8, 120))]
+        other = [w if r.random() > 0.03 * (i % 4) else f"q{r.randrange(400)}" for w in base]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(other))]
+    keys = {}
+    for x in near_dup.prefixed(spark.createDataFrame(rows, "node long, text string"), 3, 80.0).collect():
+        keys.setdefault(x.node, set()).add(x.key)
+    sets = {d: shingles(t, 3) for d, t in rows}
+    similar = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert len(similar) > 15 and all(keys[a] & keys[b] for a, b in similar)

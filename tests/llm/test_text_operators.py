@@ -58,6 +58,38 @@ def test_line_rules_follow_the_labels(spark):
     assert np.mean([r.kept for r in sure if labels[r.doc_id].quality]) > 0.98
 
 
+def test_line_rules_of_held_out_documents_and_mixed_ones(spark, make):
+    """Fitted on two thirds of the labels; the rest, and texts spliced from good and bad ones, go by the share of content."""
+    big = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
+    chain = line_rules.fit_chain(docs, labels.where("crc32(cast(cast(doc_id as string) as binary)) % 3 <> 1"))
+    marks = {r.doc_id: r.quality for r in labels.collect() if held(r.doc_id) and r.quality is not None}
+    known_docs = docs.join(spark.createDataFrame([(k,) for k in marks], "doc_id long"), "doc_id", "left_semi").cache()
+    got = line_rules.verdicts(line_rules.label_lines(known_docs, chain)).collect()
+    sure = [(r.kept, marks[r.doc_id]) for r in got if not r.base_failed]
+    assert np.mean([k for k, y in sure if y == 1]) > 0.97 and np.mean([not k for k, y in sure if y == 0]) > 0.9
+    share = {r.doc_id: r.content_share for r in got}
+    texts = {r.doc_id: r.text for r in known_docs.collect()}
+    bad = [d for d in texts if marks[d] == 0 and share[d] == 0 and "\n" in texts[d] and 100 < len(texts[d]) < 4000][:8]
+    good = [d for d in texts if marks[d] == 1 and share[d] == 1 and 2000 < len(texts[d]) < 4000][:8]
+    assert len(bad) == len(good) == 8
+    n = lambda t: len(WORD.findall(t))
+    rows = []
+    for i, (b, g) in enumerate(zip(bad, good, strict=True)):
+        junk = "\n".join([texts[b]] * max(1, round(3 * n(texts[g]) / n(texts[b]))))
+        rows += [(2 * i, texts[g] + "\n" + texts[b]), (2 * i + 1, texts[g] + "\n" + junk)]
+    mixed = {r.doc_id: r for r in line_rules.label_lines(make(rows), chain).collect()}
+    part = lambda i: mixed[i].content_words / mixed[i].n_words
+    assert sum(part(2 * i) > part(2 * i + 1) for i in range(8)) >= 7
+    assert sum(0 < part(i) < 1 for i in range(16)) >= 10
+
+
+def test_verdicts_at_the_share(spark):
+    rows = [(1, 100, 0, 50), (2, 100, 0, 49), (3, 100, 51, 100), (4, 49, 0, 49), (5, 0, 0, 0), (6, 100, 50, 100)]
+    d = spark.createDataFrame(rows, "doc_id long, n_words long, n_repeat_words long, content_words long")
+    assert {r.doc_id: (r.base_failed, r.kept) for r in line_rules.verdicts(d).collect()} == {1: (False, True), 2: (False, False), 3: (True, False), 4: (True, False), 5: (True, False), 6: (False, True)}
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(0)
     lines = [0, 5, 1, 8, 3]
@@ -87,6 +119,47 @@ def test_language(spark, make, odd):
     assert {r.lang_pred for r in langid.predict(make(odd), None).collect()} == {"und"}
 
 
+def plain_grams(text):
+    """Letters, and one mark for each run of anything else beside one, hashed by the same polynomial, one n-gram at a time."""
+    seq = []
+    for ch in " " + (text or "").lower() + " ":
+        if ch.isalpha():
+            seq.append(ord(ch))
+        elif not seq or seq[-1] != 32:
+            seq.append(32)
+    seq = seq if any(c != 32 for c in seq) else []
+    out = Counter()
+    for i in range(len(seq)):
+        h = 0
+        for k in range(min(3, len(seq) - i)):
+            h = (h * 0x01000193 + seq[i + k] * 0x9E3779B1 + k) & 0xFFFFFFFF
+            d = ((h ^ (h >> 15)) * 0x85EBCA6B) & 0xFFFFFFFF
+            out[(d ^ (d >> 13)) & (langid.DIM - 1)] += 1
+    return out
+
+
+def test_language_by_brute_force(spark, make, odd):
+    """Counts, document frequencies, cosines and rejection, a document and a centroid at a time."""
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).collect()] + [(5000 + i, t, None) for i, (_, t) in enumerate(odd) if len(t or "") < 10_000]
+    docs = make(rows)
+    model = langid.fit(docs, langid.F.lit(True))
+    learned = [plain_grams(t) for _, t, lang in rows if lang is not None and any(c.isalpha() for c in t or "")]
+    df = Counter(d for g in learned for d in g)
+    assert np.allclose(model["idf"], [np.log((1 + len(learned)) / (1 + df[d])) + 1 for d in range(langid.DIM)], atol=1e-5)
+    got = {r.doc_id: r for r in langid.predict(docs, model).collect()}
+    for doc_id, t, _ in rows:
+        r, g = got[doc_id], plain_grams(t)
+        if not any(c.isalpha() for c in t or ""):
+            assert (r.lang_pred, r.score, r.rejected) == ("und", 0.0, True)
+            continue
+        v = {d: np.log1p(n) * model["idf"][d] for d, n in g.items()}
+        norm = sum(x * x for x in v.values()) ** 0.5
+        cos = [sum(x * c[d] for d, x in v.items()) / norm for c in model["centroids"]]
+        best = int(np.argmax(cos))
+        assert abs(r.score - cos[best]) < 1e-4 and r.lang_pred in [model["langs"][model["at"][k]] for k, c in enumerate(cos) if c > cos[best] - 1e-5]
+        assert abs(1 - cos[best] - model["radius"][model["at"][best]]) < 1e-4 or r.rejected == (1 - cos[best] > model["radius"][model["at"][best]])
+
+
 def test_language_does_not_read_held_out_labels(spark):
     from pyspark.sql import functions as F
 
@@ -117,6 +190,39 @@ def test_toxicity(spark, make, odd):
     assert {r.score for r in toxicity.score(make(odd), None).collect()} == {0.0}
 
 
+def test_toxicity_by_brute_force(make, odd):
+    """The score of a document: every word's n-grams and itself hashed one by one, windows averaged one by one, the largest taken."""
+    rng = np.random.default_rng(4)
+    model = {"logit": rng.normal(size=toxicity.BUCKETS).astype(np.float32), "bias": 0.3, "slope": 2.0, "shift": -0.1}
+    base, m64 = toxicity.prefix.__globals__["BASE"], (1 << 64) - 1
+
+    def mix(h):
+        for k in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            h = ((h ^ (h >> 33)) * k) & m64
+        return h ^ (h >> 33)
+
+    def span(chars):
+        return sum((c + 1) * pow(base, i, 1 << 64) for i, c in enumerate(chars)) & m64
+
+    def plain(text):
+        low = " " + (text or "").lower() + " "
+        words = re.findall(r"[0-9a-z\u0080-\U0010ffff]+", low)
+        scores = []
+        for w in words:
+            marked = [32, *map(ord, w), 32]
+            buckets = [mix(span(map(ord, w)))]
+            buckets += [mix((span(marked[i : i + n]) + n) & m64) for n in toxicity.SIZES for i in range(len(marked) - n + 1)]
+            scores.append(sum(float(model["logit"][b & (toxicity.BUCKETS - 1)]) for b in buckets) / len(buckets))
+        windows = [scores[i : i + toxicity.WINDOW] for i in range(max(1, len(scores) - toxicity.WINDOW + 1))] if scores else []
+        z = max((sum(x) / len(x) for x in windows), default=0.0) + model["bias"]
+        return 1 / (1 + np.exp(-(model["slope"] * z + model["shift"])))
+
+    rows = [(i, t) for i, (_, t) in enumerate(odd) if len(t or "") < 10_000] + [(100 + i, " ".join("".join(chr(97 + int(c)) for c in rng.integers(0, 26, rng.integers(1, 9))) for _ in range(n))) for i, n in enumerate((1, 5, 12, 13, 40))] + [(200, "a-b_c É é1 ÀÉ"), (201, "x")]
+    got = {r.doc_id: r.score for r in toxicity.score(make(rows), model).collect()}
+    for doc_id, t in rows:
+        assert abs(got[doc_id] - plain(t)) < 1e-5, t
+
+
 def base_places(text):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     hits = [(i, label) for phrase, label in (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")) for p in [phrase.split()] for i in range(len(w) - len(p) + 1) if w[i : i + len(p)] == p]
