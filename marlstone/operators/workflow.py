@@ -312,9 +312,10 @@ def drafting_kit(units: DataFrame, titles: DataFrame, most_units: int = 200) ->
     u = units.where(F.coalesce(F.col("text"), F.lit("")) != "")
     if not u.groupBy("source_id").agg(F.count("*").alias("n")).where(F.col("n") > most_units).isEmpty():
         raise ValueError(f"a kit has at most {most_units} units")
-    wide = F.octet_length(F.encode(F.col("text"), "UTF-16LE")) / 2
-    cut = F.decode(F.substring(F.encode(F.col("text"), "UTF-16LE"), 1, 240), "UTF-16LE")
-    excerpt = F.when(wide <= 120, F.col("text")).otherwise(F.regexp_replace(cut, "\ufffd$", ""))
+    width = lambda x: F.when(F.octet_length(x) == 4, 2).otherwise(1)  # noqa: E731 - UTF-16 units of a character
+    add = lambda acc, x: F.when(acc["n"] + width(x) <= 120, F.struct((acc["n"] + width(x)).alias("n"), F.concat(acc["s"], x).alias("s"))).otherwise(F.struct(F.lit(121).alias("n"), acc["s"].alias("s")))
+    short = F.aggregate(F.filter(F.split(F.substring("text", 1, 120), ""), lambda x: x != ""), F.struct(F.lit(0).alias("n"), F.lit("").alias("s")), add)["s"]
+    excerpt = F.when(F.octet_length("text") <= 120, F.col("text")).otherwise(short)
     g = u.groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("order", F.col("text").alias("t"), "locator", excerpt.alias("e")))).alias("x")).join(titles, "source_id", "left")
     lines = lambda f: F.array_join(F.transform("x", f), "\n")
     files = {"evidence": ("evidence.txt", lines(lambda x: x["t"])), "template": ("template.md", F.concat(F.lit("---\ntype: \ntitle: "), F.coalesce("title", F.lit("")), F.lit("\nstatus: draft\n---\n"))), "locators": ("locators.txt", lines(lambda x: F.concat(x["locator"], F.lit("\t"), x["e"])))}
