@@ -7,6 +7,7 @@ import graphlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.functions.canonical import reference_list
 from marlstone.functions.text import directory_title, links, markdown_text, redirects_out
 from marlstone.operators.stage import written
 
@@ -41,6 +42,13 @@ def resolved_aliases(aliases: DataFrame, most: int = MOST_HOPS) -> DataFrame:
     return now.select("from_id", "to_id", "hops", "state")
 
 
+def provenance_inventory(files: DataFrame) -> DataFrame:
+    """path, kind (id, hash), value: every reference to a source in governed JSON files (path, content), at any depth; a file that isn't JSON is told with kind unreadable."""
+    found = files.select("path", reference_list(F.col("content")).alias("refs"))
+    refs = found.select("path", F.explode("refs").alias("r")).select("path", F.regexp_extract("r", "^([a-z]+):", 1).alias("kind"), F.regexp_replace("r", "^[a-z]+:", "").alias("value")).distinct()
+    return refs.union(found.where("refs is null").select("path", F.lit("unreadable"), F.lit(None).cast("string")))
+
+
 def impact_seeds(surfaces: DataFrame, source: DataFrame) -> DataFrame:
     """node: surfaces that hold a source by its id or by its hash (source: source_id, source_hash); two equi-joins, each surface once."""
     by = lambda lists, key: surfaces.select(F.col("surface_id").alias("node"), F.explode(lists).alias(key)).join(source.select(key).distinct(), key, "left_semi").select("node")

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from typing import Protocol
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions.canonical import artifact_hash_column, canonical_json_column
 from marlstone.functions.policy import CLASSIFICATIONS, rank
 from marlstone.functions.temporal import instant, is_instant
-from marlstone.functions.text import byte_hash
+from marlstone.functions.text import byte_hash, is_byte_hash
+from marlstone.operators.governance import retention, treatment
+from marlstone.operators.graph import closure, impact_seeds
 
 DECISIONS = ("approved", "rejected", "changes-requested")
 _true = lambda c: F.coalesce(c, F.lit(False))
@@ -159,3 +163,60 @@ def drifted_surfaces(planned: DataFrame, current: DataFrame) -> DataFrame:
     j = planned.select("surface_id", F.col("identity_hash").alias("_a")).join(current.select("surface_id", F.col("identity_hash").alias("_b")), "surface_id", "full_outer")
     state = F.when(F.col("_b").isNull(), "missing").when(F.col("_a").isNull(), "added").when(F.col("_a") != F.col("_b"), "changed")
     return j.select("surface_id", state.alias("state")).where("state is not null")
+
+
+def revocation_plan(surfaces: DataFrame, source: DataFrame, holds: DataFrame, action: str, now: Column, immediate: bool = False) -> DataFrame:
+    """surface_id, kind, depth, blocked_by, state: what a revocation or an erasure of a source reaches (by id or hash, then by dependency), and what becomes of it.
+
+    surfaces: surface_id, kind, source_ids, source_hashes, depends_on (array),
+    retained_until; source: one row of source_id, source_hash; holds: source_id, kinds,
+    active. A revocation is never blocked; an erasure leaves what a hold or a retention
+    keeps. A source that no surface holds is an error.
+    """
+    edges = surfaces.select(F.col("surface_id").alias("node"), F.explode("depends_on").alias("depends_on"))
+    reached = closure(impact_seeds(surfaces, source), edges)
+    if reached.isEmpty():
+        raise ValueError("no surface holds the source")
+    hit = surfaces.join(reached.select(F.col("node").alias("surface_id"), "depth"), "surface_id").select("surface_id", "kind", "depth", "retained_until").crossJoin(F.broadcast(source.select("source_id")))  # one row
+    if action == "revoke":
+        kept = hit.select("surface_id", F.lit(None).cast("string").alias("blocked_by"))
+    else:
+        kept = retention(hit, holds, now, immediate).select("surface_id", "blocked_by")
+    j = hit.join(kept, "surface_id")
+    return j.select("surface_id", "kind", "depth", "blocked_by", F.when(F.col("blocked_by").isNull(), treatment(F.col("kind"), action)).otherwise("kept").alias("state"))
+
+
+class ExternalProcessor(Protocol):
+    """What deletes copies outside: it lists them, deletes one by its id and tells whether it is gone. Its transport and credentials are its own."""
+
+    def inventory(self, source_id: str) -> list[str]: ...
+
+    def delete(self, object_id: str) -> None: ...
+
+    def verify(self, object_id: str) -> bool: ...
+
+
+def external_treatments(spark: SparkSession, processors: dict[str, ExternalProcessor], source_id: str) -> DataFrame:
+    """processor, object_id, state (deleted, remains, failed) of a source's copies with external processors; each is called from the driver, object by object, and a failure is a row."""
+    rows = []
+    for name, p in processors.items():
+        for object_id in p.inventory(source_id):
+            try:
+                p.delete(object_id)
+                rows.append((name, object_id, "deleted" if p.verify(object_id) else "remains"))
+            except Exception:  # noqa: BLE001 - what a processor raises is its own; the copy counts as there
+                rows.append((name, object_id, "failed"))
+    return spark.createDataFrame(rows, "processor string, object_id string, state string")
+
+
+def citation_records(sources: DataFrame) -> DataFrame:
+    """concept_id, id, resource, source_hash of sources that can be cited: an id, a resource and, if there is a hash, a whole one."""
+    ok = F.col("id").isNotNull() & F.col("resource").isNotNull() & (F.col("source_hash").isNull() | is_byte_hash(F.col("source_hash")))
+    return sources.where(ok).select("concept_id", "id", "resource", "source_hash")
+
+
+def shown_packets(packets: DataFrame, claims: DataFrame, units: DataFrame) -> DataFrame:
+    """proposal_id, packet_hash, excerpts: a packet with the text behind each of its claims (source_id, locator), null where no unit has it, in the claims' order."""
+    first = units.groupBy("source_id", "locator").agg(F.min("text").alias("text"))
+    c = claims.join(first, ["source_id", "locator"], "left").groupBy("proposal_id").agg(F.array_sort(F.collect_list(F.struct("claim_id", "text"))).alias("x"))
+    return packets.select("proposal_id", "packet_hash").join(c, "proposal_id", "left").select("proposal_id", "packet_hash", F.transform("x", lambda r: r["text"]).alias("excerpts"))

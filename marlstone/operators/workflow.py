@@ -9,11 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marlstone.functions.canonical import replaced_json, version_satisfies
+from marlstone.functions.canonical import json_differences, replaced_json, version_satisfies
 from marlstone.functions.policy import CLASSIFICATIONS, SEVERITIES, TRUST_TIERS, rank
 from marlstone.functions.temporal import instant, is_date, is_instant
 from marlstone.functions.text import byte_hash, is_byte_hash, redirects_out, short_id
 from marlstone.operators.graph import closure
+from marlstone.operators.relational import tree_hash
 
 # Where in a policy path a changed leaf has which rule, and what counts as done with a copy.
 BOUNDARY_WORDS = ("network", "execute", "macro", "subprocess", "credential", "permission", "security", "filesystem", "access", "rights", "resource", "memory", "cpu", "output", "budget", "limit")
@@ -396,3 +397,41 @@ def migrated(files: DataFrame, operations: DataFrame, confirmed: bool, waived: b
     state = F.when(F.col("pointer").isNull(), "unchanged").when(F.lit(not confirmed), "unconfirmed").when(F.col("weakening") & F.lit(not waived), "downgrade").when(F.col("_new").isNull(), "precondition").otherwise("replaced")
     j = j.withColumn("_new", new).withColumn("state", state)
     return j.select("path", F.when(F.col("state") == "replaced", F.col("_new")).otherwise(F.col("content")).alias("content"), "state")
+
+
+def migration_preview(operations: DataFrame) -> DataFrame:
+    """migration_id, leaves, weakening, preview_hash of migrations before they run: every changed leaf with its rule, and one hash over all of them that a confirmation has to name.
+
+    operations: migration_id, path, pointer, before, after (JSON).
+    """
+    d = operations.select("migration_id", F.col("path").alias("file"), "pointer", F.explode(json_differences(F.col("before"), F.col("after"))).alias("d"))
+    leaves = weakening(d.select("migration_id", "file", F.concat("pointer", "d.path").alias("path"), F.col("d.before").alias("before"), F.col("d.after").alias("after")))
+    line = F.concat_ws("\0", "file", "path", "rule", F.coalesce("before", F.lit("-")), F.coalesce("after", F.lit("-")))
+    g = leaves.groupBy("migration_id").agg(F.count("*").alias("leaves"), F.bool_or("weakening").alias("weakening"), F.array_sort(F.collect_list(line)).alias("x"))
+    return g.select("migration_id", "leaves", "weakening", byte_hash(F.array_join("x", "\n")).alias("preview_hash"))
+
+
+def contribution_errors(contributions: DataFrame, policy: DataFrame) -> DataFrame:
+    """plugin, id, code of contributions that set what the policy fixes for their type otherwise (POLICY_DOWNGRADE), or have an id that another plug-in's contribution of the type has (CONTRIBUTION_CONFLICT).
+
+    contributions: plugin, type, id, setting, value; policy: type, setting, value.
+    """
+    weak = contributions.join(policy.select("type", "setting", F.col("value").alias("_fixed")), ["type", "setting"]).where("value <> _fixed").select("plugin", "id", F.lit("POLICY_DOWNGRADE").alias("code"))
+    owners = contributions.select("plugin", "type", "id").distinct()
+    twice = owners.groupBy("type", "id").agg(F.count("*").alias("n")).where("n > 1")
+    return weak.union(owners.join(twice, ["type", "id"], "left_semi").select("plugin", "id", F.lit("CONTRIBUTION_CONFLICT"))).distinct()
+
+
+def install_report(plugins: DataFrame, errors: DataFrame, gaps: DataFrame) -> DataFrame:
+    """plugin, allowed, codes: a plug-in may be installed if nothing was found (errors: plugin, code) and its sandbox has no gap (gaps: plugin, gap)."""
+    found = errors.select("plugin", "code").union(gaps.select("plugin", F.concat(F.lit("SANDBOX_"), "gap"))).groupBy("plugin").agg(F.array_join(F.array_sort(F.collect_set("code")), ",").alias("codes"))
+    j = plugins.select("plugin").distinct().join(found, "plugin", "left")
+    return j.select("plugin", F.col("codes").isNull().alias("allowed"), F.coalesce("codes", F.lit("")).alias("codes"))
+
+
+def package_scans(files: DataFrame, declared: DataFrame) -> DataFrame:
+    """plugin, n_files, package_hash, codes: the digest of a package's files (plugin, path, content, mode), and files with unsafe paths, links, or executables that it doesn't declare (plugin, path)."""
+    j = files.join(declared.select("plugin", "path", F.lit(True).alias("_said")).distinct(), ["plugin", "path"], "left")
+    code = F.when(redirects_out(F.col("path")), "PACKAGE_PATH_UNSAFE").when(F.col("mode") == "link", "PACKAGE_LINK").when((F.col("mode") == "executable") & F.col("_said").isNull(), "EXECUTABLE_UNDECLARED")
+    found = j.groupBy("plugin").agg(F.array_join(F.array_sort(F.collect_set(code)), ",").alias("codes"))
+    return tree_hash(files, "plugin", "path", "content").join(found, "plugin").select("plugin", "n_files", F.col("tree_hash").alias("package_hash"), "codes")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marlstone.functions import canonical, policy, temporal, text
-from marlstone.operators import evaluation, governance, graph, relational, retrieval, review, workflow
+from marlstone.operators import evaluation, governance, graph, lint, relational, retrieval, review, workflow
 from marlstone.sources import store
 
 from . import core_queries as core
@@ -702,3 +702,80 @@ def verified_tiers(customer):
     event = lambda by, at: F.struct(by.alias("by"), F.lit(at).alias("at"))
     verified = F.array(event(pick(k, "human:ann", "process:ci", "someone"), "2025-01-01T00:00:00Z"), event(F.lit("human:bob"), "2027-01-01T00:00:00Z"), event(F.lit("human:eve"), "2025-13-01T00:00:00Z"))
     return customer.select("c_custkey", policy.trust_tier(verified, now()).alias("tier"))
+
+
+# --- composites --------------------------------------------------------------------------------
+
+
+@query("surface", sql=f"""{core.CLOSED}, m AS (SELECT node, min(depth) AS depth FROM reach GROUP BY 1) SELECT s.surface_id, s.kind, m.depth, CASE WHEN s.kind = 'cache' THEN 'hold' WHEN s.retained_until > '2026-01-01T00:00:00Z' THEN 'retention' END AS blocked_by, CASE WHEN s.kind = 'cache' OR s.retained_until > '2026-01-01T00:00:00Z' THEN 'kept' ELSE 'purged' END AS state FROM m JOIN surface s ON m.node = s.surface_id""")
+def erasure_plan(surface):
+    s = surface.select("surface_id", "kind", F.when(F.col("kind") == "source", F.array("surface_id")).otherwise(F.array().cast("array<string>")).alias("source_ids"), F.array().cast("array<string>").alias("source_hashes"), F.when(F.col("depends_on").isNotNull(), F.array("depends_on")).otherwise(F.array().cast("array<string>")).alias("depends_on"), "retained_until")
+    session = surface.sparkSession
+    return review.revocation_plan(s, session.createDataFrame([("region:1", "h")], "source_id string, source_hash string"), session.createDataFrame([("region:1", ["cache"], True), ("region:2", [], True)], "source_id string, kinds array<string>, active boolean"), "erase", now())
+
+
+@query("surface", sql=f"""{core.CLOSED}, m AS (SELECT node, min(depth) AS depth FROM reach GROUP BY 1) SELECT s.surface_id, m.depth, CASE WHEN s.kind = 'concept' THEN 'review-required' ELSE 'invalidated' END AS state FROM m JOIN surface s ON m.node = s.surface_id""")
+def revocation_plan(surface):
+    s = surface.select("surface_id", "kind", F.array().cast("array<string>").alias("source_ids"), F.when(F.col("surface_id") == "region:1", F.array(F.lit("h"))).otherwise(F.array().cast("array<string>")).alias("source_hashes"), F.when(F.col("depends_on").isNotNull(), F.array("depends_on")).otherwise(F.array().cast("array<string>")).alias("depends_on"), "retained_until")
+    session = surface.sparkSession
+    return review.revocation_plan(s, session.createDataFrame([("none", "h")], "source_id string, source_hash string"), session.createDataFrame([("none", [], True)], "source_id string, kinds array<string>, active boolean"), "revoke", now()).select("surface_id", "depth", "state")
+
+
+@query("documents", sql="""SELECT 'g/' || CAST(doc_id AS VARCHAR) AS path, kind, value FROM (SELECT doc_id, unnest(CASE WHEN doc_id % 5 = 0 THEN ['unreadable'] ELSE ['id', 'hash'] END) AS kind, unnest(CASE WHEN doc_id % 5 = 0 THEN [NULL] ELSE [source, 'h:' || lang] END) AS value FROM documents)""")
+def provenance_inventory(documents):
+    content = F.when(F.col("doc_id") % 5 == 0, "{not json").otherwise(F.concat(F.lit('{"a":[{"source_id":"'), "source", F.lit('"}],"source_hashes":["h:'), "lang", F.lit('","h:'), "lang", F.lit('"]}')))
+    return graph.provenance_inventory(documents.select(F.concat(F.lit("g/"), F.col("doc_id").cast("string")).alias("path"), content.alias("content")))
+
+
+@query("documents", sql="SELECT doc_id AS concept_id, CAST(doc_id AS VARCHAR) AS id, 'r' AS resource, CASE WHEN doc_id % 4 = 1 THEN 'sha256:' || sha256(text) END AS source_hash FROM documents WHERE doc_id % 4 IN (0, 1)")
+def citation_records(documents):
+    k = F.col("doc_id")
+    return review.citation_records(documents.select(k.alias("concept_id"), k.cast("string").alias("id"), F.when(k % 4 != 2, "r").alias("resource"), F.when(k % 4 == 1, text.byte_hash(F.col("text"))).when(k % 4 == 3, "sha256:zz").alias("source_hash")))
+
+
+@query("claim", sql="""SELECT CAST(proposal_id AS VARCHAR) AS proposal_id, 'k' AS packet_hash, list(t ORDER BY claim_id, t NULLS FIRST) AS excerpts FROM (SELECT *, CASE WHEN part_id % 3 <> 0 THEN 't' || CAST(part_id AS VARCHAR) END AS t FROM claim) GROUP BY 1""")
+def shown_packets(claim):
+    c = claim.select(F.col("proposal_id").cast("string").alias("proposal_id"), "claim_id", "source_id", F.col("part_id").cast("string").alias("locator"), "part_id")
+    units = c.where("part_id % 3 <> 0").select("source_id", "locator", F.concat(F.lit("t"), "locator").alias("text"))
+    return review.shown_packets(c.select("proposal_id", F.lit("k").alias("packet_hash")).distinct(), c, units)
+
+
+@query("part", sql="""SELECT p_partkey AS migration_id, 2 AS leaves, p_partkey % 2 = 0 AS weakening, 'sha256:' || sha256('c.json' || chr(0) || '/limits/memory' || chr(0) || 'permission-boundary' || chr(0) || '10' || chr(0) || CASE WHEN p_partkey % 2 = 0 THEN '20' ELSE '5' END || chr(10) || 'c.json' || chr(0) || '/title' || chr(0) || 'content' || chr(0) || '"a"' || chr(0) || '"b' || CAST(p_partkey AS VARCHAR) || '"') AS preview_hash FROM part""")
+def migration_previews(part):
+    k = F.col("p_partkey")
+    after = F.concat(F.lit('{"limits":{"memory":'), F.when(k % 2 == 0, "20").otherwise("5"), F.lit('},"title":"b'), k.cast("string"), F.lit('"}'))
+    ops = part.select(k.alias("migration_id"), F.lit("c.json").alias("path"), F.lit("").alias("pointer"), F.lit('{"title":"a","limits":{"memory":10}}').alias("before"), after.alias("after"))
+    return workflow.migration_preview(ops).withColumn("leaves", F.col("leaves").cast("int"))
+
+
+@query("supplier", sql="""SELECT s_suppkey AS plugin, CAST(s_suppkey AS VARCHAR) AS id, 'POLICY_DOWNGRADE' AS code FROM supplier WHERE s_suppkey % 3 = 0 UNION ALL SELECT s_suppkey, 'shared', 'CONTRIBUTION_CONFLICT' FROM supplier WHERE s_suppkey % 5 = 0 AND (SELECT count(*) FROM supplier WHERE s_suppkey % 5 = 0) > 1""")
+def contribution_errors(supplier):
+    k = F.col("s_suppkey")
+    c = supplier.select(k.alias("plugin"), F.lit("normalizer").alias("type"), k.cast("string").alias("id"), F.lit("network").alias("setting"), F.when(k % 3 == 0, "true").otherwise("false").alias("value")).union(supplier.where("s_suppkey % 5 = 0").select(k, F.lit("sensor"), F.lit("shared"), F.lit("note"), F.lit("x")))
+    return workflow.contribution_errors(c, supplier.sparkSession.createDataFrame([("normalizer", "network", "false"), ("sensor", "blocking", "true")], "type string, setting string, value string"))
+
+
+@query("supplier", sql="""SELECT s_suppkey AS plugin, s_suppkey % 3 <> 0 AND s_suppkey % 4 <> 0 AS allowed, concat_ws(',', CASE WHEN s_suppkey % 3 = 0 THEN 'LOCK_MISMATCH' END, CASE WHEN s_suppkey % 4 = 0 THEN 'SANDBOX_network-scope' END) AS codes FROM supplier""")
+def install_reports(supplier):
+    k = F.col("s_suppkey").alias("plugin")
+    return workflow.install_report(supplier.select(k), supplier.where("s_suppkey % 3 = 0").select(k, F.lit("LOCK_MISMATCH").alias("code")), supplier.where("s_suppkey % 4 = 0").select(k, F.lit("network-scope").alias("gap")))
+
+
+@query("documents", sql=f"WITH {core.TREE} SELECT source AS plugin, n_files, tree_hash AS package_hash, codes FROM t JOIN (SELECT source, concat_ws(',', CASE WHEN bool_or(doc_id % 2 = 0 AND doc_id % 3 = 0) THEN 'EXECUTABLE_UNDECLARED' END, CASE WHEN bool_or(doc_id % 2 = 1 AND doc_id % 7 = 0) THEN 'PACKAGE_LINK' END) AS codes FROM documents GROUP BY 1) USING (source)")
+def package_scans(documents):
+    k = F.col("doc_id")
+    path = F.concat("lang", F.lit("/doc-"), k.cast("string"), F.lit(".md")).alias("path")
+    files = documents.select(F.col("source").alias("plugin"), path, F.col("text").alias("content"), F.when(k % 2 == 0, "executable").when(k % 7 == 0, "link").otherwise("regular").alias("mode"))
+    return workflow.package_scans(files, documents.where("doc_id % 3 <> 0").select(F.col("source").alias("plugin"), path))
+
+
+DIRECTORIES = "SELECT DISTINCT unnest(['', source, source || '/' || lang]) AS d FROM documents"
+
+
+@query("documents", sql=f"""SELECT CASE WHEN d = '' THEN 'index.md' ELSE d || '/index.md' END AS subject, CASE WHEN d LIKE '%/de' THEN 'INDEX_MISSING' ELSE 'INDEX_DRIFT' END AS code FROM ({DIRECTORIES}) WHERE d LIKE '%/de' OR d LIKE 'src1/%'""")
+def lint_indexes(documents):
+    path = F.concat("source", F.lit("/"), "lang", F.lit("/doc-"), F.col("doc_id").cast("string"), F.lit(".md"))
+    c = documents.select(path.alias("path"), F.lit(None).cast("string").alias("title"), F.lit("").alias("description"))
+    d = F.col("directory")
+    files = graph.directory_indexes(c).where(~d.endswith("/de")).select(F.when(d == "", "index.md").otherwise(F.concat(d, F.lit("/index.md"))).alias("path"), F.when(d.startswith("src1/"), F.concat("index_text", F.lit("* more"))).otherwise(F.col("index_text")).alias("content"))
+    return lint.indexes(c, files)

@@ -180,3 +180,31 @@ def test_a_cluster_has_to_name_its_folder(spark, monkeypatch):
         shared_folder(session)
     session.sparkContext.master = "local[2]"
     assert shared_folder(session) == conf["spark.checkpoint.dir"]
+
+
+def test_external_processors(spark):
+    class Store:
+        def __init__(self, *objects, stuck=(), broken=()):
+            self.objects, self.stuck, self.broken = list(objects), stuck, broken
+
+        def inventory(self, source_id):
+            return list(self.objects)
+
+        def delete(self, object_id):
+            if object_id in self.broken:
+                raise OSError("away")
+            if object_id not in self.stuck:
+                self.objects.remove(object_id)
+
+        def verify(self, object_id):
+            return object_id not in self.objects
+
+    got = review.external_treatments(spark, {"a": Store("x", "y", stuck=("y",)), "b": Store("z", broken=("z",)), "c": Store()}, "s1")
+    assert {(r.processor, r.object_id, r.state) for r in got.collect()} == {("a", "x", "deleted"), ("a", "y", "remains"), ("b", "z", "failed")}
+
+
+def test_plans_of_unknown_sources_are_errors(spark):
+    s = spark.createDataFrame([("a", "cache", ["x"], [], [], None)], "surface_id string, kind string, source_ids array<string>, source_hashes array<string>, depends_on array<string>, retained_until string")
+    holds = spark.createDataFrame([], "source_id string, kinds array<string>, active boolean")
+    with pytest.raises(ValueError):
+        review.revocation_plan(s, spark.createDataFrame([("y", "h")], "source_id string, source_hash string"), holds, "erase", F.lit("2026-01-01").cast("timestamp"))
