@@ -5,7 +5,7 @@ frequencies being counted over all documents; very common words weigh nothing. A
 randomised SVD of the passages, whose products are summed over partitions, gives the
 latent space. Windows of every document are projected into it and compared with all
 passages by cosine (the benchmark is a stated query set, taken in blocks of bounded
-size). A candidate is a leak if the longest common subsequence of its words with the
+size, several in one pass; one pass counts the words of all). A candidate is a leak if the longest common subsequence of its words with the
 passage, near the window, covers LEAST_LCS of the passage, and if the answer is there:
 the item's own answer where the benchmark has that column, else half of the passage's
 rare words.
@@ -34,8 +34,8 @@ PASSAGE, WINDOW, STEP, RANK, EXTRA = 48, 32, 16, 128, 16
 #: Words in more than this share of documents weigh nothing; yet each passage keeps LEAST_RARE words, its rarest.
 COMMON_SHARE, COMMON_LEAST, LEAST_RARE = 0.02, 20, 4
 LEAST_COSINE, LEAST_LCS, LEAST_ANSWER = 0.33, 0.6, 0.5
-#: Bytes of benchmark text that are searched for at once.
-BLOCK_BYTES = 1 << 20
+#: Bytes of benchmark text that share a latent space, blocks that one pass of Python over the corpus holds, and words that one pass counts.
+BLOCK_BYTES, BLOCKS_AT_ONCE, WORDS_AT_ONCE = 1 << 20, 4, 1 << 22
 
 
 def hashed(column) -> list[np.ndarray]:
@@ -127,10 +127,16 @@ def common_subsequence(a: list[int], b: list[int]) -> int:
     return len(a) - row.bit_count()
 
 
-def prepared(spark, docs: DataFrame, items: list[tuple[int, np.ndarray, np.ndarray]]) -> dict:
-    """Vocabulary, word vectors, passage vectors and rare words of a block of passages."""
+def counted(docs: DataFrame, words: np.ndarray) -> tuple[int, np.ndarray]:
+    """The number of documents, and of those with each word, of a vocabulary of any size: a pass over the corpus for each WORDS_AT_ONCE words, so mostly one."""
+    parts = [frequencies(docs, words[k : k + WORDS_AT_ONCE]) for k in range(0, len(words), WORDS_AT_ONCE)]
+    return parts[0][0], np.concatenate([df for _, df in parts])
+
+
+def prepared(spark, items: list[tuple[int, np.ndarray, np.ndarray]], total: int, words: np.ndarray, counts: np.ndarray) -> dict:
+    """Vocabulary, word vectors, passage vectors and rare words of a block of passages, by the counts of the whole benchmark's words."""
     vocabulary = np.unique(np.concatenate([w for _, w, _ in items]))
-    total, df = frequencies(docs, vocabulary)
+    df = counts[np.searchsorted(words, vocabulary)]
     idf = np.log((1 + total) / (1 + df)) + 1
     rare = df <= max(COMMON_LEAST, COMMON_SHARE * total)
     for _, words, _ in items:
@@ -224,25 +230,37 @@ def flagged(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col:
     texts = numbered(docs).select(F.col(f"_mk_{at_text}").alias("text"))
     none = F.lit(None).cast("double")
     found = numbered(docs).withColumns({"_mk_items": F.array().cast(f"array<{bench.schema[item_col].dataType.simpleString()}>"), "_mk_share": none, "_mk_cosine": none})
+    words = np.zeros(0, np.uint64)
     for block in blocks(bench, item_col, item_text_col, answer):
-        model = prepared(spark, texts, block)
+        words = np.union1d(words, np.concatenate([w for _, w, _ in block]))
+    total, counts = counted(texts, words) if len(words) else (0, words)
+    waiting: list[dict] = []
 
-        def run(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
+    def searched(found: DataFrame, models: list[dict]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             np.seterr(over="ignore")
             cache: dict = {}
             for b in batches:
                 before = [b.column(n + k).to_pylist() for k in range(3)]
                 for lo, _, data, at in chunks(b.column(at_text)):
                     w = Words(data, at, NOT_ALNUM, lower=True)
-                    for text, own in leaks(w, w.hash(cache), model).items():
-                        share, cos = max(own.values())
-                        before[0][lo + text] = sorted({*before[0][lo + text], *own})
-                        if before[1][lo + text] is None or share > before[1][lo + text]:
-                            before[1][lo + text], before[2][lo + text] = share, cos
+                    h = w.hash(cache)
+                    for model in models:
+                        for text, own in leaks(w, h, model).items():
+                            share, cos = max(own.values())
+                            before[0][lo + text] = sorted({*before[0][lo + text], *own})
+                            if before[1][lo + text] is None or share > before[1][lo + text]:
+                                before[1][lo + text], before[2][lo + text] = share, cos
                 columns = [*[b.column(k) for k in range(n)], pa.array(before[0], b.schema.field(n).type), pa.array(before[1], pa.float64()), pa.array(before[2], pa.float64())]
                 yield pa.RecordBatch.from_arrays(columns, b.schema.names)
 
-        found = in_batches(found, run, found.schema)
+        return in_batches(found, run, found.schema)
+
+    for block in blocks(bench, item_col, item_text_col, answer):
+        waiting.append(prepared(spark, block, total, words, counts))
+        if len(waiting) == BLOCKS_AT_ONCE:
+            found, waiting = searched(found, waiting), []
+    found = searched(found, waiting) if waiting else found
     names = free(docs, "item_ids", "lcs_share", "cosine")
     return found.toDF(*docs.columns, *names), names
 

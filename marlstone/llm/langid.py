@@ -30,8 +30,8 @@ from .common import documents, held_out, in_batches
 from .textkit import CHUNK_BYTES
 
 DIM = 4096
-#: Centroids of a language; documents that they are fitted on, over all languages, and of each language at the least of these two; rows of a dense block.
-CENTROIDS, FIT_DOCUMENTS, LEAST_DOCUMENTS, BLOCK_ROWS = 4, 2000, 50, 256
+#: Centroids of a language; documents that they are fitted on, over all languages, and of each language at least; languages at most; rows of a dense block.
+CENTROIDS, FIT_DOCUMENTS, LEAST_DOCUMENTS, MOST_LANGUAGES, BLOCK_ROWS = 4, 2000, 50, 1000, 256
 #: Radius of a language: this quantile of its sample's distances, and so much of the way from there to 1.
 QUANTILE, SLACK = 0.995, 0.25
 
@@ -137,6 +137,8 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
     sizes = {r.lang: r.n for r in known.where("text is not null").groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
     if not sizes:
         return None
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages: the column is something else")
     total, df = frequencies(known)
     idf = (np.log((1 + total) / (1 + df)) + 1).astype(np.float32)
     each = max(LEAST_DOCUMENTS, FIT_DOCUMENTS // len(sizes))

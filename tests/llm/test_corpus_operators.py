@@ -213,6 +213,21 @@ def test_recall_of_paraphrases_by_rate(spark, make, replaced, least):
     assert np.mean([got[d] == [d // 2] for d in range(120)]) >= least and not any(got[d] for d in range(120, 300))
 
 
+def test_a_benchmark_of_many_blocks(spark, make, monkeypatch):
+    """Blocks of a few items, several in a pass, words counted in parts: the same leaks as in one."""
+    r = random.Random(12)
+    word = lambda: f"v{int(8000 ** r.random())}"
+    items = [[word() for _ in range(r.randrange(20, 90))] for _ in range(40)]
+    rows = [(d, " ".join([word() for _ in range(60)] + (items[d % 40] if d % 2 else []) + (items[(d + 7) % 40] if d % 6 == 5 else []) + [word() for _ in range(60)])) for d in range(120)]
+    b = bench(spark, [(i, " ".join(w)) for i, w in enumerate(items)])
+    want = {d: sorted({d % 40} | ({(d + 7) % 40} if d % 6 == 5 else set())) if d % 2 else [] for d in range(120)}
+    for size, at_once, words in ((1 << 20, 4, 1 << 22), (2000, 3, 500)):
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
+        monkeypatch.setattr(decontaminate, "BLOCKS_AT_ONCE", at_once)
+        monkeypatch.setattr(decontaminate, "WORDS_AT_ONCE", words)
+        assert {x.doc_id: x.item_ids for x in decontaminate.contaminated(make(rows), b).collect()} == want
+
+
 CLASHES = ("item_ids", "cosine", "lcs_share", "_t", "_mk_score", "_mk_row", "_mk_k1", "_mk_text", "row", "at", "taken", "src", "key", "node", "root", "k1", "page_score", "_score", "a.b")
 
 
