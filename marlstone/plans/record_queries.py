@@ -649,39 +649,36 @@ CATEGORIES = ("source", "contradiction", "temporal", "ambiguity", "restriction",
 SELECT o_orderkey, CASE WHEN v = 0 THEN '' WHEN v = 1 THEN name || '-context-incomplete' WHEN v = 2 THEN 'non-answer-discloses' ELSE 'answer-unbound,assertion-unsupported,citation-unsupported,' || name || '-context-incomplete' END AS codes FROM n""")
 def gold_semantics(orders):
     """All twelve kinds of context, each sound, incomplete, disclosing, and answering without evidence."""
-    category, v = pick(F.col("o_orderkey"), *CATEGORIES), F.expr("o_orderkey div 12") % 4
-    sound = v.isin(0, 2)
-    s = lambda *fields: F.struct(*[(x if hasattr(x, "alias") else F.lit(x)).alias(name) for name, x in fields])
-    strings = lambda *xs: F.array(*map(F.lit, xs)).cast("array<string>")
-    none = F.lit(None).cast("string")
 
     def evidence(source, **o):
-        claims = F.array(s(("predicate", o.get("predicate", "is")), ("object", o.get("object", "one"))))
-        return s(("source_id", source), ("authority", o.get("authority", "secondary")), ("locator", "l1"), ("locator_kind", o.get("kind", "line")), ("language", o.get("language", "en")), ("valid_from", o.get("since", "2025-01-01T00:00:00Z")), ("valid_until", F.lit(o["until"]) if "until" in o else none), ("labels", strings(o.get("label", "a"))),
-            ("state", o.get("state", "active")), ("effective_at", F.lit(o["effective"]) if "effective" in o else none), ("barrier_at", F.lit(o["barrier"]) if "barrier" in o else none), ("instructs", F.lit(o.get("instructs", False))), ("normalized", F.lit(o.get("normalized", False))), ("claims", claims))
+        return {
+            "source_id": source, "authority": o.get("authority", "secondary"), "locator": "l1", "locator_kind": o.get("kind", "line"), "language": o.get("language", "en"), "valid_from": o.get("since", "2025-01-01T00:00:00Z"), "valid_until": o.get("until"), "labels": [o.get("label", "a")], "state": o.get("state", "active"),
+            "effective_at": o.get("effective"), "barrier_at": o.get("barrier"), "instructs": o.get("instructs", False), "normalized": o.get("normalized", False), "claims": [{"predicate": o.get("predicate", "is"), "object": o.get("object", "one")}],
+        }
 
-    sets = {
+    sound = {
         "source": [evidence("s1", authority="authoritative")], "contradiction": [evidence("s1", authority="equal-authority"), evidence("s2", authority="equal-authority", object="two")], "temporal": [evidence("s1", until="2025-06-01T00:00:00Z")], "ambiguity": [evidence("s1")],
         "restriction": [evidence("s1", label="z")], "prompt-injection": [evidence("s1", instructs=True)], "falsehood": [evidence("s1")], "format": [evidence("s1", normalized=True, kind="table-cell")],
         "revocation": [evidence("s1", state="revoked", effective="2025-02-01T00:00:00Z", barrier="2025-03-01T00:00:00Z")], "multilingual-answer": [evidence("s1", language="es")], "multilingual-restriction": [evidence("s1", language="ja", label="z")], "human-edit": [evidence("s1")],
     }
-    broken = {"falsehood": [evidence("s1", predicate="encrypts", state="revoked")], "temporal": [evidence("s1", since="2027-01-01T00:00:00Z")]}
-    poor = F.array(evidence("s9", since="2027-01-01T00:00:00Z"))
-    full = rest = F.array(evidence("s1"))
-    for name, members in sets.items():
-        full = F.when(category == name, F.array(*members)).otherwise(full)
-        rest = F.when(category == name, F.array(*broken[name]) if name in broken else poor).otherwise(rest)
-    entity = lambda i, owner: s(("entity_id", i), ("name", "n"), ("owner", owner))
-    policies = ("unresolved_equal_authority_is_conflict", "current_sources_only", "source_instructions_are_data", "complete_evidence_set", "stable_requires_reconciliation")
-    answers = v == 3
-    given = F.when(v >= 2, strings("one")).otherwise(strings())
-    pair = lambda a, b: F.array(F.struct(F.lit("is" if a == "predicate" else "s8").alias(a), F.lit("two" if b == "object" else "l1").alias(b)))
-    case = F.struct(
-        category.alias("category"), F.when(answers, "answer").otherwise("abstain").alias("decision"), given.alias("accepted"), F.when(v >= 2, pair("predicate", "object")).otherwise(F.slice(pair("predicate", "object"), 1, 0)).alias("assertions"), F.when(v >= 2, pair("source_id", "locator")).otherwise(F.slice(pair("source_id", "locator"), 1, 0)).alias("citations"),
-        F.lit(NOW).alias("at"), strings("a").alias("labels"), F.struct(*[F.lit(True).alias(p) for p in policies]).alias("policy"), F.when(sound, F.array(entity("e1", "o1"), entity("e2", "o2"))).otherwise(F.array(entity("e1", "o1"), entity("e1", "o1"))).alias("entities"),
-        s(("approved_hash", "h"), ("current_hash", F.when(sound, "h2").otherwise("h")), ("reconciliation_receipt", none)).alias("artifact"), F.when(sound, full).otherwise(rest).alias("evidence"),
-    )
-    return orders.select("o_orderkey", F.array_join(evaluation.gold_failures(case), ",").alias("codes"))
+    broken = {"falsehood": [evidence("s1", predicate="encrypts", state="revoked")]}
+    rows = []
+    for i, name in enumerate(CATEGORIES):
+        for v in range(4):
+            good, given = v in (0, 2), v >= 2
+            rows.append((i, v, {
+                "category": name, "decision": "answer" if v == 3 else "abstain", "accepted": ["one"] if given else [], "assertions": [{"predicate": "is", "object": "two"}] if given else [], "citations": [{"source_id": "s8", "locator": "l1"}] if given else [], "at": NOW, "labels": ["a"],
+                "policy": dict.fromkeys(("unresolved_equal_authority_is_conflict", "current_sources_only", "source_instructions_are_data", "complete_evidence_set", "stable_requires_reconciliation"), True),
+                "entities": [{"entity_id": "e1", "name": "n", "owner": "o1"}, {"entity_id": "e2" if good else "e1", "name": "n", "owner": "o2" if good else "o1"}],
+                "artifact": {"approved_hash": "h", "current_hash": "h2" if good else "h", "reconciliation_receipt": None}, "evidence": sound[name] if good else broken.get(name, [evidence("s9", since="2027-01-01T00:00:00Z")]),
+            }))
+    pairs = "array<struct<predicate:string,object:string>>"
+    flags = ",".join(f"{p}:boolean" for p in ("unresolved_equal_authority_is_conflict", "current_sources_only", "source_instructions_are_data", "complete_evidence_set", "stable_requires_reconciliation"))
+    shape = f"category:string,decision:string,accepted:array<string>,assertions:{pairs},citations:array<struct<source_id:string,locator:string>>,at:string,labels:array<string>,policy:struct<{flags}>,entities:array<struct<entity_id:string,name:string,owner:string>>,artifact:struct<approved_hash:string,current_hash:string,reconciliation_receipt:string>," + (
+        f"evidence:array<struct<source_id:string,authority:string,locator:string,locator_kind:string,language:string,valid_from:string,valid_until:string,labels:array<string>,state:string,effective_at:string,barrier_at:string,instructs:boolean,normalized:boolean,claims:{pairs}>>")
+    cases = orders.sparkSession.createDataFrame(rows, f"c long, v long, x struct<{shape}>")
+    o = orders.select("o_orderkey", (F.col("o_orderkey") % 12).alias("c"), (F.expr("o_orderkey div 12") % 4).alias("v")).join(F.broadcast(cases), ["c", "v"])  # 48 rows
+    return o.select("o_orderkey", F.array_join(evaluation.gold_failures(F.col("x")), ",").alias("codes"))
 
 
 @query("documents", sql="SELECT 'sha256:' || sha256(string_agg('sha256:' || sha256(text || chr(10)), chr(10) ORDER BY doc_id)) AS capture_set_hash FROM documents")
