@@ -29,8 +29,8 @@ INJECTION_PATTERNS = (
 )
 
 
-# Characters under U+0300 that the compatibility form changes; the canonical form changes none of them by itself.
-COMPATIBLE = "\u00a0\u00a8\u00aa\u00af\u00b2-\u00b5\u00b8-\u00ba\u00bc-\u00be\u0132\u0133\u013f\u0140\u0149\u017f\u01c4-\u01cc\u01f1-\u01f3\u02b0-\u02b8\u02d8-\u02dd\u02e0-\u02e4"
+# The characters under U+0300 that the compatibility form leaves alone, in ranges; the canonical form leaves all of those alone, if none from U+0300 on follows.
+INERT = "\u0000-\u009f\u00a1-\u00a7\u00a9\u00ab-\u00ae\u00b0\u00b1\u00b6\u00b7\u00bb\u00bf-\u0131\u0134-\u013e\u0141-\u0148\u014a-\u017e\u0180-\u01c3\u01cd-\u01f0\u01f4-\u02af\u02b9-\u02d7\u02de\u02df\u02e5-\u02ff"
 
 
 @F.pandas_udf(StringType())
@@ -45,12 +45,12 @@ def _nfkc(s: pd.Series) -> pd.Series:
 
 def nfc(c: Column) -> Column:
     """NFC. Spark has no normalisation function, so texts that it can change go to Python, and others stay where they are."""
-    return F.coalesce(_nfc(F.when(c.rlike("[^\u0000-\u02ff]"), c)), c)
+    return F.coalesce(_nfc(F.when((F.octet_length(c) > F.length(c)) & c.rlike("[^\u0000-\u02ff]"), c)), c)
 
 
 def nfkc(c: Column) -> Column:
     """NFKC, in the same way."""
-    return F.coalesce(_nfkc(F.when(c.rlike(f"[^\u0000-\u02ff]|[{COMPATIBLE}]"), c)), c)
+    return F.coalesce(_nfkc(F.when((F.octet_length(c) > F.length(c)) & c.rlike(f"[^{INERT}]"), c)), c)
 
 
 @F.pandas_udf(ArrayType(StringType()))
@@ -70,9 +70,10 @@ def json_size(c: Column) -> Column:
     return F.octet_length(c) + 2 + F.regexp_count(c, F.lit('["\\\\\x08\t\n\x0c\r]')) + 5 * F.regexp_count(c, F.lit("[\\x00-\\x07\\x0b\\x0e-\\x1f]"))
 
 
-def has_term(text: Column, term: str) -> Column:
-    """Whether a lower-case text has a token; a search that stops at the first place, after a cheap one for the letters."""
-    return F.coalesce(text.contains(term) & text.rlike(f"(?<![\\p{{L}}\\p{{N}}_-])\\Q{term}\\E(?![\\p{{L}}\\p{{N}}_-])"), F.lit(False))
+def has_term(low: Column, term: str) -> Column:
+    """Whether a lower-case text has a token: between blanks, else anywhere. The pattern begins with the term itself, so that its neighbours are looked at only where it stands."""
+    token, quoted = r"[a-z0-9_\-\p{L}\p{N}]", f"\\Q{term}\\E"
+    return F.coalesce(low.contains(f" {term} ") | (low.contains(term) & low.rlike(f"{quoted}(?!{token})(?<!{token}{quoted})")), F.lit(False))
 
 
 def query_terms(query: str) -> list[str]:
@@ -103,7 +104,7 @@ def canonical_text(c: Column, normalise: bool = True) -> Column:
 
 def terms(c: Column, normalise: bool = True) -> Column:
     """Distinct lower-case tokens, in the order of their first place."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(nfkc(c) if normalise else c), F.lit(r"[\p{L}\p{N}_-]+"), F.lit(0)))
+    return F.array_distinct(F.regexp_extract_all(F.lower(nfkc(c) if normalise else c), F.lit(r"[a-z0-9_\-\p{L}\p{N}]+"), F.lit(0)))
 
 
 # What a text with a secret of each code has in it, in lower case: a cheap test before the patterns.

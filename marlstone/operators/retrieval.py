@@ -90,6 +90,11 @@ def raw_score(query: Column, fields: dict[str, Column]) -> Column:
     return out
 
 
+def settled(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """df with columns that later expressions read and don't evaluate again, as the optimiser would have them do for each use and each filter."""
+    return df.select("*", F.explode(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))).alias("_s")).select(*df.columns, "_s.*")
+
+
 def text_score(query: list[str], fields: dict[str, Column]) -> Column:
     """The same from lower-case texts, without a list of each text's tokens: a term is looked for until its first place."""
     out = F.lit(0)
@@ -134,8 +139,10 @@ def hits(concepts: DataFrame, query: str, normalise: bool = True) -> DataFrame:
     wanted = query_terms(query)
     form = nfkc if normalise else (lambda c: c)
     low = {"title": F.coalesce("title", F.col("concept_id").cast("string")), "tags": F.array_join("tags", " "), "description": F.col("description"), "body": F.col("body")}
-    score = text_score(wanted, {k: F.lower(form(c)) for k, c in low.items()})
-    return written(concepts.select("mount_id", "concept_id", "title", "tier", score.alias("score"), "is_stale").where("score > 0"))
+    keep = ["mount_id", "concept_id", "title", "tier", "is_stale"]
+    c = settled(concepts.select(*keep, *[form(v).alias(f"_{k}") for k, v in low.items()]), {f"_low_{k}": F.lower(f"_{k}") for k in low})
+    c = settled(c.select(*keep, *[f"_low_{k}" for k in low]), {"score": text_score(wanted, {k: F.col(f"_low_{k}") for k in low})})
+    return written(c.select("mount_id", "concept_id", "title", "tier", "score", "is_stale").where("score > 0"))
 
 
 def search(concepts: DataFrame, mounts: DataFrame, query: str, *, mode: str = "wiki-only", minimum_trust: str = "unverified", stale_behavior: str = "warn", today: str = "2026-01-01", limit: int = 20, normalise: bool = True, principal: DataFrame | None = None) -> DataFrame:

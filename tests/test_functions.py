@@ -113,3 +113,12 @@ def test_plain_json_has_bounds():
 
 def test_query_terms_are_the_tokens():
     assert text.query_terms("Ｔhe licence_x, the ﬁne-print Ünïcode 12!") == ["the", "licence_x", "fine-print", "ünïcode", "12"]
+
+
+def test_inert_characters_are_those_that_the_form_leaves_alone():
+    import re
+    import unicodedata
+
+    inert = re.compile(f"[{text.INERT}]")
+    assert all((unicodedata.normalize("NFKC", chr(i)) == chr(i)) == bool(inert.match(chr(i))) for i in range(0x300))
+    assert all(unicodedata.normalize("NFC", chr(i)) == chr(i) for i in range(0x300))
