@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import io
+import struct
 import urllib.parse
 import zipfile
 import zlib
@@ -53,6 +54,39 @@ def gif(frames: int) -> bytes:
     return b"GIF89a\x01\x00\x01\x00\x80\x00\x00\x00\x00\x00\xff\xff\xff" + frame * frames + b";"
 
 
+def msg(properties: dict[str, str]) -> bytes:
+    """A compound file of one message: properties by their number; short ones in the small store, those from 4,096 bytes on in sectors of their own."""
+    streams = [(f"__substg1.0_{k}001F", v.encode("utf-16-le")) for k, v in properties.items()]
+    store, minifat, entries, large = b"", [], [], []
+    for name, data in streams:
+        if len(data) >= 4096:
+            large.append((name, data))
+            continue
+        n = max(1, -(-len(data) // 64))
+        entries.append((name, 2, len(minifat), len(data)))
+        minifat += [len(minifat) + i + 1 for i in range(n - 1)] + [-2]
+        store += data.ljust(64 * n, b"\0")
+    blocks: list[bytes] = []  # sectors after the first, which is the table of sectors
+    fat = [-3]
+
+    def put(data: bytes) -> int:
+        at, n = len(fat), max(1, -(-len(data) // 512))
+        blocks.append(data.ljust(512 * n, b"\0"))
+        fat.extend([at + i + 1 for i in range(n - 1)] + [-2])
+        return at
+
+    small = put(struct.pack(f"<{len(minifat)}i", *minifat).ljust(512, b"\xff"))
+    root = put(store)
+    entries += [(name, 2, put(data), len(data)) for name, data in large]
+    rows = b""
+    for name, kind, start, size in [("Root Entry", 5, root, len(store)), *entries]:
+        raw = name.encode("utf-16-le") + b"\0\0"
+        rows += raw.ljust(64, b"\0") + struct.pack("<HBBiii", len(raw), kind, 1, -1, -1, -1) + bytes(36) + struct.pack("<iQ", start, size)
+    directory = put(rows)
+    head = bytes.fromhex("d0cf11e0a1b11ae1") + bytes(16) + struct.pack("<HHHHH6xiiiiIiiii", 0x3E, 3, 0xFFFE, 9, 6, 0, 1, directory, 0, 4096, small, 1, -2, 0) + struct.pack("<109i", 0, *[-1] * 108)
+    return head + struct.pack(f"<{len(fat)}i", *fat).ljust(512, b"\xff") + b"".join(blocks)
+
+
 def pdf(pages: list[list[str]], packed: bool, objects: bool = False) -> bytes:
     """Pages of lines; packed: Flate streams; objects: dictionaries in an object stream."""
     kids = " ".join(f"{3 + 2 * i} 0 R" for i in range(len(pages)))
@@ -90,7 +124,7 @@ def pdf(pages: list[list[str]], packed: bool, objects: bool = False) -> bytes:
 
 
 def office_file(kind: str, text: str) -> bytes:
-    return {"docx": docx, "xlsx": xlsx, "pptx": pptx, "vsdx": vsdx, "drawio": lambda t: drawio(t, False), "drawio-packed": lambda t: drawio(t, True), "pdf": lambda t: pdf([[t, "(second) line"], ["page two"]], False), "pdf-packed": lambda t: pdf([[t, "(second) line"], ["page two"]], True, True)}[kind](text)
+    return {"docx": docx, "xlsx": xlsx, "pptx": pptx, "vsdx": vsdx, "drawio": lambda t: drawio(t, False), "drawio-packed": lambda t: drawio(t, True), "pdf": lambda t: pdf([[t, "(second) line"], ["page two"]], False), "pdf-packed": lambda t: pdf([[t, "(second) line"], ["page two"]], True, True), "msg": lambda t: msg({"0037": t, "0C1A": "ann@example.org", "1000": f"Body of {t}"}), "msg-long": lambda t: msg({"0037": t, "0C1A": "ann@example.org", "1000": f"Body of {t}" + "x" * 3000})}[kind](text)
 
 
 def built(rows: DataFrame) -> DataFrame:

@@ -227,6 +227,14 @@ def pdf_units(nation):
     return normalizers.normalize(files).select("source_id", "kind", F.get_json_object("locator", "$.page").cast("int").alias("page"), "text")
 
 
+@query("nation", sql="""WITH n AS (SELECT CAST(n_nationkey AS VARCHAR) AS s, n_name AS t, CASE WHEN n_nationkey % 2 = 1 THEN repeat('x', 3000) ELSE '' END AS more FROM nation)
+SELECT s AS source_id, 'email-header' AS kind, 'subject' AS name, t AS text FROM n UNION ALL SELECT s, 'email-header', 'from', 'ann@example.org' FROM n UNION ALL SELECT s, 'email-body', NULL, 'Body of ' || t || more FROM n""")
+def msg_units(nation):
+    """Compound files of messages, with bodies in the small store and in sectors of their own by turns."""
+    files = fixtures.built(nation.select(source_id(F.col("n_nationkey")), pick(F.col("n_nationkey"), "msg", "msg-long").alias("kind"), F.col("n_name").alias("text")))
+    return normalizers.normalize(files).where("kind <> 'email-structure'").select("source_id", "kind", F.get_json_object("locator", "$.name").alias("name"), "text")
+
+
 @query("nation", sql="SELECT CAST(n_nationkey AS VARCHAR) AS source_id, n_nationkey % 4 + 1 AS frames FROM nation")
 def gif_frames(nation):
     files = fixtures.built(nation.select(source_id(F.col("n_nationkey")), F.lit("gif").alias("kind"), (F.col("n_nationkey") % 4 + 1).cast("string").alias("text")))
