@@ -19,6 +19,7 @@ PLACES = {
     "op8_vector_packed_shards": "sharding",
     "op9_quotation_threads": "quotes",
     "op10_superminhash_near_dup": "near_dup",
+    "op11_context_triggered_hash": "fuzzy_hash",
 }
 
 
