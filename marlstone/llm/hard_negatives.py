@@ -197,7 +197,10 @@ def index(rows: DataFrame, known: Space, scale: float, shard_rows: int) -> DataF
         if held:
             yield out()
 
-    return stash(in_batches(ranged, paged, PAGES))
+    pages = stash(in_batches(ranged, paged, PAGES))
+    size = pages.agg((F.max(F.shiftright("page", 32)) + 1).alias("tasks"), F.sum("size").alias("rows")).first()
+    together = max(1, shard_rows * size.tasks // size.rows)  # tasks of few rows share a shard
+    return pages.withColumn("shard", F.floor(F.shiftright("shard", 32) / together)) if together > 1 else pages
 
 
 KINDS = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary()}

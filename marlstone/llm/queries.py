@@ -20,6 +20,7 @@ PLACES = {
     "op9_quotation_threads": "quotes",
     "op10_superminhash_near_dup": "near_dup",
     "op11_context_triggered_hash": "fuzzy_hash",
+    "op12_token_alignment": "alignment",
     "op13_distance_key_negatives": "hard_negatives",
 }
 
