@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.canonical import reference_list
 from marlstone.functions.text import directory_title, links, markdown_text, redirects_out
+from marlstone.operators.components import strongly_connected
 from marlstone.operators.stage import written
 
 MOST_HOPS = 16
@@ -74,22 +75,9 @@ def stage_levels(stages: DataFrame, most: int = 1000) -> DataFrame:
     raise ValueError("the stages have a cycle, or need one that is missing")
 
 
-def cyclic(edges: DataFrame, most: int = 64) -> DataFrame:
-    """node of every cycle: what still has both a way in and a way out after all that has not is peeled off, and reaches itself. edges: node, depends_on."""
-    e = written(edges.where("depends_on is not null").select("node", "depends_on").distinct())
-    while True:
-        inner = e.join(e.select(F.col("depends_on").alias("node")).distinct(), "node", "left_semi").join(e.select(F.col("node").alias("depends_on")).distinct(), "depends_on", "left_semi").select("node", "depends_on")
-        now = written(inner)
-        if now.count() == e.count():
-            break
-        e = now
-    reach = e
-    for _ in range(most):  # paths of doubled length: what lies on a cycle reaches itself
-        further = written(reach.union(reach.join(reach.select(F.col("node").alias("depends_on"), F.col("depends_on").alias("to")), "depends_on").select("node", F.col("to").alias("depends_on"))).distinct())
-        if further.count() == reach.count():
-            return further.where("node = depends_on").select("node").distinct()
-        reach = further
-    raise RuntimeError("the cycles have not settled")
+def cyclic(edges: DataFrame) -> DataFrame:
+    """node of every cycle, of any length. edges: node, depends_on."""
+    return strongly_connected(edges).select("node")
 
 
 def traversed(files: DataFrame, most_indexes: int = 10_000, most_concepts: int = 100_000) -> DataFrame:

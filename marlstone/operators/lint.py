@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.temporal import is_stale
 from marlstone.functions.text import byte_hash, citations, links
-from marlstone.operators.graph import directory_indexes, resolved_aliases
+from marlstone.operators.components import endless
+from marlstone.operators.graph import directory_indexes
 
 
 def _found(df: DataFrame, subject: str, code: str) -> DataFrame:
@@ -54,7 +55,8 @@ def broken_links(concepts: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def alias_cycles(aliases: DataFrame) -> DataFrame:
-    return _found(resolved_aliases(aliases).where("state = 'cycle'"), "from_id", "ALIAS_CYCLE")
+    """Aliases that are on a cycle, of any length, or lead into one: neither resolves."""
+    return _found(endless(aliases), "from_id", "ALIAS_CYCLE")
 
 
 def duplicate_concepts(concepts: DataFrame) -> DataFrame:
