@@ -44,7 +44,10 @@ PAIRS = 1 << 20
 BREAK = r"(?<=[\p{L}\p{N}\p{P}])(?= [\p{L}\p{N}\p{P}])"
 #: Ids are under 2**SHIFT; a pair is a * 2**SHIFT + b.
 SHIFT = 24
-TOKENS = "array<struct<id:int,size:int>>"
+#: A token is a number, id * 2**SIZE + its bytes.
+SIZE = 20
+#: Tokens are this many times the rows that the session's partitions are made for.
+FINER = 4
 SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
@@ -88,17 +91,15 @@ def tokenised(parts: DataFrame, a_path: str, b_path: str) -> DataFrame:
         made = []
         for text, ids in zip(texts, encode(texts), strict=True):
             known = [table[i] for i in ids]
-            made.append((ids, [len(x) for x in known]) if b"".join(known) == text.encode() else None)
-        ids = pa.array([x and x[0] for x in made], pa.list_(pa.int32()))
-        sizes = pa.array([y for x in made if x for y in x[1]], pa.int32())
-        return pa.ListArray.from_arrays(ids.offsets, pa.StructArray.from_arrays([ids.values, sizes], ["id", "size"]), mask=ids.is_null())
+            made.append([(i << SIZE) + len(x) for i, x in zip(ids, known, strict=True)] if b"".join(known) == text.encode() else None)
+        return pa.array(made, pa.list_(pa.int64()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch["part"].to_pylist()
             yield pa.RecordBatch.from_arrays([batch["part"], batch["times"], tokens(byte_bpe, a_path, texts), tokens(pieces, b_path, texts)], ["part", "times", "a", "b"])
 
-    return in_batches(parts.select("part", "times"), run, f"part string, times long, a {TOKENS}, b {TOKENS}")
+    return in_batches(parts.select("part", "times"), run, "part string, times long, a array<long>, b array<long>")
 
 
 def links(parts: DataFrame, *keys: str) -> DataFrame:
@@ -109,11 +110,9 @@ def links(parts: DataFrame, *keys: str) -> DataFrame:
     without tokens has one row of nulls. The first key alone tells parts apart.
     """
 
-    def side(n: int):
-        return F.transform(F.col("ab"[n]), lambda x: F.struct(F.lit(n).alias("side"), x["id"].alias("id"), x["size"].alias("size")))
-
-    both = F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), F.concat(side(0), side(1)))
-    rows = parts.select(*keys, F.posexplode_outer(both).alias("place", "token")).select(*keys, "place", "token.*")
+    tokens = F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), F.concat("a", "b"))
+    rows = parts.select(*keys, F.size("a").alias("_n"), F.posexplode_outer(tokens).alias("place", "token"))
+    rows = rows.select(*keys, "place", (F.col("place") >= F.col("_n")).cast("int").alias("side"), F.shiftright("token", SIZE).cast("int").alias("id"), (F.col("token") % (1 << SIZE)).alias("size"))
     ends = rows.withColumn("end", F.sum("size").over(Window.partitionBy(keys[0], "side").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)))
     met = ends.groupBy(*keys, "end").agg(F.max(F.when(F.col("side") == 0, F.col("id"))).alias("own_a"), F.max(F.when(F.col("side") == 1, F.col("id"))).alias("own_b"))
     down = Window.partitionBy(keys[0]).orderBy(F.desc("end")).rowsBetween(Window.unboundedPreceding, 0)
@@ -174,9 +173,10 @@ def aligned(docs: DataFrame, folder: str = FOLDER) -> DataFrame:
     base = rows.select(F.monotonically_increasing_id().alias("row"), F.col(rows.columns[place(docs, "doc_id")]).alias("doc_id"), F.col(rows.columns[place(docs, "text")]).alias("text"))
     a_path, b_path = f"{folder}/{BYTE_BPE}", f"{folder}/{PIECES}"
     whole = not breakable(b_path)
+    finer = FINER * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     occurring = base.select("row", F.explode(parts_of(F.col("text"), whole)).alias("part"))
     counted = occurring.groupBy("part").agg(F.count("*").alias("times"))
-    parts = stash(described(tokenised(counted, a_path, b_path).repartition("part"), "part", "times"))
+    parts = stash(described(tokenised(counted, a_path, b_path).repartition(finer, "part"), "part", "times"))
     # a document with a part that has no tokens has none, and its other parts don't count either
     bad = parts.where("n_links IS NULL").select("part")
     if not bad.isEmpty():
