@@ -104,11 +104,12 @@ def text_score(query: list[str], fields: dict[str, Column]) -> Column:
     return out
 
 
-def normalized(candidates: DataFrame) -> DataFrame:
-    """score over the mount's largest, plus a small clamp of the mount's priority. Expects mount_id, score, priority."""
-    most = candidates.groupBy("mount_id").agg(F.max("score").alias("_most"))  # a row a mount
+def normalized(candidates: DataFrame, most: DataFrame | None = None, keys: list[str] | None = None) -> DataFrame:
+    """score over the mount's largest, plus a small clamp of the mount's priority. Expects mount_id, score, priority; most has the largest by keys, if it is known."""
+    keys = keys or ["mount_id"]
+    most = candidates.groupBy(*keys).agg(F.max("score").alias("_most")) if most is None else most  # a row a mount (and query)
     bonus = F.least(F.greatest(F.col("priority") / PRIORITY_UNIT, F.lit(-PRIORITY_MOST)), F.lit(PRIORITY_MOST))
-    return candidates.join(most, "mount_id").withColumn("normalized", F.col("score") / F.col("_most") + bonus).drop("_most")
+    return candidates.join(most, keys).withColumn("normalized", F.col("score") / F.col("_most") + bonus).drop("_most")
 
 
 def mount_order(mounts: DataFrame) -> DataFrame:

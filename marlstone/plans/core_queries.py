@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from marlstone.functions import policy, temporal, text
 from marlstone.functions.policy import CLASSIFICATIONS
 from marlstone.operators import evaluation, governance, graph, lint, relational, retrieval
-from marlstone.sources.tables import entity, with_entities
+from marlstone.sources.tables import TABLES, entity, with_entities
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,7 +26,7 @@ def query(*entities: str, sql: str | None = None):
     def wrap(f):
         QUERIES[f.__name__] = lambda spark, sf_dir: f(*[entity(spark, sf_dir, e) for e in entities])
         if sql:
-            head = [e for e in entities if e not in ("orders", "documents", "events", "lineitem", "nation", "customer", "part", "supplier", "pages", "conversations", "labels", "region")]
+            head = [e for e in entities if e not in TABLES]
             body = sql.strip()
             if head:
                 clauses = "WITH " + ("RECURSIVE " if "WITH RECURSIVE" in body else "") + with_entities(*head)

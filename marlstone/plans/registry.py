@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import core_queries, format_queries, lint_queries, record_queries, source_queries, workflow_queries
+from . import core_queries, format_queries, lint_queries, record_queries, search_queries, source_queries, workflow_queries
 
-MODULES = (core_queries, format_queries, workflow_queries, lint_queries, record_queries, source_queries)
+MODULES = (core_queries, format_queries, workflow_queries, lint_queries, record_queries, source_queries, search_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
