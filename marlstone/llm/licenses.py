@@ -40,7 +40,9 @@ from .textkit import NOT_ALNUM, Words, chunks, one_hash
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
 # Public license texts and notices as templates, with their labels.
-_WARRANTY = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND <<beginOptional>>NONINFRINGEMENT<<endOptional>> <<beginOptional>>NON-INFRINGEMENT<<endOptional>>'
+_WARRANTY = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND '
+_ARISING = "ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE"
+_INFRINGEMENT = ("NONINFRINGEMENT", "NON-INFRINGEMENT")
 _BSD = (
     "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: <<beginOptional>>1.<<endOptional>> Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
     "<<beginOptional>>2.<<endOptional>> Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
@@ -52,14 +54,14 @@ _BSD_END = (
     "WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE"
 )
 _ISC_END = (
-    'THE SOFTWARE IS PROVIDED "AS IS" AND <<var;author;THE AUTHOR;.{1,8}>> <<beginOptional>>DISCLAIMS<<endOptional>> <<beginOptional>>DISCLAIM<<endOptional>> ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL <<var;holder;THE AUTHOR;.{1,8}>> BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER '
+    'THE SOFTWARE IS PROVIDED "AS IS" AND <<var;author;THE AUTHOR;.{1,8}>> <<var;verb;DISCLAIMS;disclaims?>> ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL <<var;holder;THE AUTHOR;.{1,8}>> BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER '
     "RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE"
 )
-_GNU = "GNU <<beginOptional>>Lesser<<endOptional>> <<beginOptional>>Library<<endOptional>> <<beginOptional>>Affero<<endOptional>> General Public License"
+_GNU = "GNU <<beginOptional>><<var;kind;Lesser;lesser|library|affero>><<endOptional>> General Public License"
 TEMPLATES = (
     ("mit", "<<beginOptional>>Released<<endOptional>> under the <<beginOptional>>terms of the<<endOptional>> MIT License"),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice <<beginOptional>>(including the next paragraph)<<endOptional>> shall be included in all copies or substantial portions of the Software. "
-     + _WARRANTY + ". IN NO EVENT SHALL <<var;holder;THE AUTHORS OR COPYRIGHT HOLDERS;.{1,8}>> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE"),
+    *[("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice <<beginOptional>>(including the next paragraph)<<endOptional>> shall be included in all copies or substantial portions of the Software. "
+     + _WARRANTY + spelled + ". IN NO EVENT SHALL <<var;holder;THE AUTHORS OR COPYRIGHT HOLDERS;.{1,8}>> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, " + _ARISING) for spelled in _INFRINGEMENT],
     ("apache", "Licensed under the Apache License, Version 2.0"),
     ("apache", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this <<var;work;file;.{1,4}>> except in compliance with the License. You may obtain a copy of the License at <<var;place;http://www.apache.org/licenses/LICENSE-2.0;.{1,12}>> Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License"),
     ("gpl", "<<var;work;This work;.{1,6}>> is licensed under the <<beginOptional>>terms of the<<endOptional>> " + _GNU + " <<beginOptional>>as published by the Free Software Foundation<<endOptional>> <<beginOptional>>either<<endOptional>> version <<var;version;3;[23]>>"),
@@ -72,13 +74,15 @@ TEMPLATES = (
     ("bsd-3-clause", _BSD + _BSD_NAMES + _BSD_END),
     ("isc", "Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. " + _ISC_END),
     ("0bsd", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. " + _ISC_END),
-    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the <<beginOptional>>author<<endOptional>> <<beginOptional>>authors<<endOptional>> be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: "
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the <<var;who;authors;authors?>> be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: "
      "<<beginOptional>>1.<<endOptional>> The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. <<beginOptional>>2.<<endOptional>> Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. "
      "<<beginOptional>>3.<<endOptional>> This notice may not be removed or altered from any source distribution"),
-    ("boost", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: "
-     "The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor"),
-    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. "
-     "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law"),
+    *[("boost", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: "
+     "The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor. "
+     + _WARRANTY.removesuffix(" AND ") + ", TITLE AND " + spelled + ". IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, " + _ARISING) for spelled in _INFRINGEMENT],
+    *[("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. "
+     "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. "
+     + _WARRANTY + spelled + ". IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, " + _ARISING) for spelled in _INFRINGEMENT],
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0 <<beginOptional>>If a copy of the MPL was not distributed with this file, You can obtain one at <<var;place;https://mozilla.org/MPL/2.0/;.{1,8}>><<endOptional>>"),
     ("all-rights-reserved", "Copyright <<beginOptional>>(c)<<endOptional>> <<var;owner;2020 Owner;.{1,8}>> All rights reserved"),
     ("proprietary", "<<var;work;This document;.{1,4}>> is proprietary and confidential"),

@@ -1,7 +1,7 @@
 """Shards by vector bin packing: bytes, tokens and rows are balanced jointly.
 
-Documents with equal texts are a group and share a shard, unless the group is
-over a quarter of a shard in some dimension: then it is split into pieces by a
+Documents with equal texts are a group and share a shard, unless the group is over a
+whole shard in some dimension: then it is split into pieces of a quarter of a shard by a
 hash of the id and, where the group's ids repeat or are null, of the row's number. A
 group over 1/128 of a shard is an item of its own (at most 3 * 128 a shard can exist);
 all smaller groups are gathered into 128 items a shard by a hash of the text. So the
@@ -28,7 +28,7 @@ from .common import WORD, documents, numbered, place, stash
 
 #: Items of small groups for each shard; a group over 1/ITEMS of a shard is its own item.
 ITEMS = 128
-#: A group over 1/SPLIT of a shard is split.
+#: A group over a shard is split into pieces of 1/SPLIT of a shard.
 SPLIT = 4
 DIMENSIONS = ("_mk_size", "_mk_tokens", "_mk_one")
 UNIT = ("_mk_u1", "_mk_u2", "_mk_u3", "_mk_u4")
@@ -93,7 +93,7 @@ class Plan:
         total = d.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in DIMENSIONS]).first()
         most = F.greatest(*[F.sum(x) / F.lit(max(total[x] / shards, 1e-9)) for x in DIMENSIONS])
         heavy = d.groupBy("_mk_g1", "_mk_g2").agg(most.alias("most")).where(F.col("most") > 1 / ITEMS)
-        pieces = F.when(F.col("most") > 1 / SPLIT, F.ceil(F.col("most") * SPLIT)).otherwise(1).cast("long")
+        pieces = F.when(F.col("most") > 1, F.ceil(F.col("most") * SPLIT)).otherwise(1).cast("long")
         self.heavy = stash(heavy.select(F.col("_mk_g1").alias("_mk_h1"), F.col("_mk_g2").alias("_mk_h2"), pieces.alias("_mk_pieces")))
         # groups whose ids don't tell their rows apart
         copies = self.weighed(d).where("_mk_pieces is not null").groupBy("_mk_h1", "_mk_h2", "_mk_pieces", "_mk_id").agg(F.count("*").alias("n"))

@@ -271,7 +271,32 @@ def as_regex(markup):
             return re.compile(out)
         at = m.end()
         rule = m[0][2:-2].split(";", 3)[-1]
-        out += "(?:" if m[0].startswith("<<begin") else ")?" if m[0].startswith("<<end") else f"(?:[^ ]+ ){rule[1:]}" if rule.startswith(".{") else f"{rule} "
+        out += "(?:" if m[0].startswith("<<begin") else ")?" if m[0].startswith("<<end") else f"(?:[^ ]+ ){rule[1:]}" if rule.startswith(".{") else f"(?:{rule}) "
+
+
+def filled(label, nth=0):
+    """The words of a label's nth template, with its optional regions and its own examples."""
+    markup = [m for x, m in licenses.TEMPLATES if x == label][nth]
+    return licenses.TOKEN.findall(licenses.MARK.sub(lambda m: f" {m[0].split(';')[2]} " if m[0].startswith("<<var") else " ", markup).lower())
+
+
+def test_mandatory_wording_may_not_be_missing():
+    """One word of a choice has to stand, and not two; a whole license has its disclaimer."""
+    every = licenses.compiled(licenses.TEMPLATES)
+
+    def labels(words):
+        return {x[0] for x in licenses.spans_of([w.encode() for w in words], list(range(len(words))), every)}
+
+    for label, nth, gone in (("mit", 1, "noninfringement"), ("mit", 2, "infringement"), ("isc", 0, "disclaims"), ("0bsd", 0, "disclaims"), ("zlib", 0, "authors"), ("unlicense", 0, "noninfringement"), ("boost", 1, "infringement")):
+        words = filled(label, nth)
+        assert label in labels(words) and label not in labels([w for w in words if w != gone])
+        if gone != "disclaims":  # the word before it may be any, as it is the author's name
+            assert label not in labels([x for w in words for x in ([w, w] if w == gone else [w])])
+    for label, last in (("boost", "processor"), ("unlicense", "law")):
+        words = filled(label)
+        assert label not in labels(words[: words.index(last) + 1])
+    gnu = "this work is licensed under the gnu {} general public license version 3"
+    assert "gpl" in labels(gnu.format("lesser").split()) and "gpl" not in labels(gnu.format("lesser library affero").split())
 
 
 def test_templates_by_brute_force(make):
