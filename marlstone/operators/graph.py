@@ -7,9 +7,9 @@ import graphlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.functions.canonical import reference_list
 from marlstone.functions.text import directory_title, links, markdown_text, redirects_out
 from marlstone.operators.components import strongly_connected
+from marlstone.operators.json_tree import references
 from marlstone.operators.stage import written
 
 MOST_HOPS = 16
@@ -45,9 +45,8 @@ def resolved_aliases(aliases: DataFrame, most: int = MOST_HOPS) -> DataFrame:
 
 def provenance_inventory(files: DataFrame) -> DataFrame:
     """path, kind (id, hash), value: every reference to a source in governed JSON files (path, content), at any depth; a file that isn't JSON is told with kind unreadable."""
-    found = files.select("path", reference_list(F.col("content")).alias("refs"))
-    refs = found.select("path", F.explode("refs").alias("r")).select("path", F.regexp_extract("r", "^([a-z]+):", 1).alias("kind"), F.regexp_replace("r", "^[a-z]+:", "").alias("value")).distinct()
-    return refs.union(found.where("refs is null").select("path", F.lit("unreadable"), F.lit(None).cast("string")))
+    bad = files.where(F.try_parse_json("content").isNull()).select("path", F.lit("unreadable").alias("kind"), F.lit(None).cast("string").alias("value"))
+    return references(files, ["path"], F.col("content")).select("path", "kind", "value").distinct().union(bad)
 
 
 def impact_seeds(surfaces: DataFrame, source: DataFrame) -> DataFrame:

@@ -9,11 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marlstone.functions.canonical import json_differences, replaced_json, version_satisfies
+from marlstone.functions.canonical import replaced_json, version_satisfies
 from marlstone.functions.policy import CLASSIFICATIONS, SEVERITIES, TRUST_TIERS, rank
 from marlstone.functions.temporal import instant, is_date, is_instant
 from marlstone.functions.text import byte_hash, is_byte_hash, redirects_out, short_id
 from marlstone.operators.graph import closure
+from marlstone.operators.json_tree import differences
 from marlstone.operators.relational import tree_hash
 
 # Where in a policy path a changed leaf has which rule, and what counts as done with a copy.
@@ -404,8 +405,8 @@ def migration_preview(operations: DataFrame) -> DataFrame:
 
     operations: migration_id, path, pointer, before, after (JSON).
     """
-    d = operations.select("migration_id", F.col("path").alias("file"), "pointer", F.explode(json_differences(F.col("before"), F.col("after"))).alias("d"))
-    leaves = weakening(d.select("migration_id", "file", F.concat("pointer", "d.path").alias("path"), F.col("d.before").alias("before"), F.col("d.after").alias("after")))
+    d = differences(operations.withColumnRenamed("path", "file"), ["migration_id", "file", "pointer"], F.col("before"), F.col("after"))
+    leaves = weakening(d.select("migration_id", "file", F.concat("pointer", "path").alias("path"), "before", "after"))
     line = F.concat_ws("\0", "file", "path", "rule", F.coalesce("before", F.lit("-")), F.coalesce("after", F.lit("-")))
     g = leaves.groupBy("migration_id").agg(F.count("*").alias("leaves"), F.bool_or("weakening").alias("weakening"), F.array_sort(F.collect_list(line)).alias("x"))
     return g.select("migration_id", "leaves", "weakening", byte_hash(F.array_join("x", "\n")).alias("preview_hash"))

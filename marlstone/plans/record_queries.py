@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marlstone.functions import canonical, policy, temporal, text
-from marlstone.operators import evaluation, governance, graph, lint, relational, retrieval, review, workflow
+from marlstone.operators import evaluation, governance, graph, json_tree, lint, relational, retrieval, review, workflow
 from marlstone.sources import store
 
 from . import core_queries as core
@@ -188,7 +188,8 @@ def json_edits(events):
 @query("events", sql="""SELECT event_id, 'a,e' || CAST(event_id AS VARCHAR) || ',source_ids,s1,s2,n,source_hash,h' AS strings, 'hash:h,id:s1,id:s2' AS refs FROM events""")
 def json_strings_and_references(events):
     v = F.concat(F.lit('{"a":"e'), F.col("event_id").cast("string"), F.lit('","source_ids":["s1","s2"],"n":[{"source_hash":"h"},4]}'))
-    return events.select("event_id", F.array_join(canonical.string_list(v), ",").alias("strings"), F.array_join(F.array_sort(canonical.reference_list(v)), ",").alias("refs"))
+    refs = json_tree.references(events, ["event_id"], v).groupBy("event_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat("kind", F.lit(":"), "value"))), ",").alias("refs"))
+    return events.select("event_id", F.array_join(canonical.string_list(v), ",").alias("strings")).join(refs, "event_id")
 
 
 @query("events", sql="""WITH e AS (SELECT event_id, CAST(props->>'$.k' AS INTEGER) AS k FROM events)
@@ -197,7 +198,7 @@ UNION ALL SELECT event_id, '/limits/network', NULL, 'true' FROM e UNION ALL SELE
 def policy_diff(events):
     before = F.concat(F.lit('{"on":true,"gates":[{"id":"b"}],"steps":[{"id":"s1","n":1},{"id":"s2","n":5}],"k":'), F.get_json_object("props", "$.k"), F.lit("}"))
     after = F.concat(F.lit('{"on":1,"limits":{"network":true},"gates":[{"id":"a"}],"steps":[{"id":"s1","n":2}],"k":'), F.col("event_id").cast("string"), F.lit("}"))
-    found = events.select("event_id", F.explode(canonical.json_differences(before, after)).alias("d")).select("event_id", "d.*")
+    found = json_tree.differences(events, ["event_id"], before, after)
     return found.where("path <> '/steps/@s2/id'")
 
 

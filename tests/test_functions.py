@@ -50,13 +50,11 @@ def test_review_binds_named_fields_only():
     assert canonical.review_hash(a) != canonical.review_hash({**a, "body": "y"})
 
 
-def test_pointers_and_diffs():
+def test_pointers_and_merges():
     v = {"a/b": [{"x": 1}]}
     assert canonical.replaced_at(v, "/a~1b/0/x", 1, 2) == {"a/b": [{"x": 2}]}
     with pytest.raises(canonical.Invalid):
         canonical.replaced_at(v, "/a~1b/0/x", 3, 2)
-    assert canonical.differences({"g": [{"id": "a", "n": 1}, {"id": "b"}]}, {"g": [{"id": "b"}, {"id": "a", "n": 2}]}) == [("/g/@a/n", "1", "2")]
-    assert canonical.references({"source_id": "s", "in": [{"source_hashes": ["h"]}]}) == [("id", "s"), ("hash", "h")]
     assert canonical.merged({"a": {"b": 1, "c": 2}}, {"a": {"b": 3}}) == {"a": {"b": 3, "c": 2}}
     assert canonical.strings({"k": ["v", {"w": 1}]}) == ["k", "v", "w"]
 
@@ -96,16 +94,6 @@ def test_unknown_classification_denies(spark):
     assert [r[0] for r in df.select(policy.may_read(F.col("c"), F.col("h"), F.col("k"), F.col("r"))).collect()] == [True, False, False, False, False, True]
 
 
-def test_differences_of_types_absence_and_arrays():
-    d = canonical.differences
-    assert d({"blocking": True}, {"blocking": 1}) == [("/blocking", "true", "1")]
-    assert d({}, {"permissions": {"network": True}}) == [("/permissions/network", None, "true")] and d({"a": {"b": 1}}, {}) == [("/a/b", "1", None)]
-    assert d({"x": {"a": 1}}, {"x": 5}) == [("/x/a", "1", None)] and d({"x": None}, {}) == [("/x", "null", None)]
-    assert d({"gates": [{"id": "a"}]}, {"gates": [{"id": "b"}]}) == [("/gates", '[{"id":"a"}]', '[{"id":"b"}]')]
-    assert d([{"n": 1}, 2], [{"n": 3}]) == [("/0/n", "1", "3"), ("/1", "2", None)] and d([1, 2], [2, 1]) == [("", "[1,2]", "[2,1]")]
-    assert d({"a": 1}, {"a": 1.0}) == []
-
-
 def test_plain_json_has_bounds():
     assert canonical.is_plain(json.loads("[" * 101 + "]" * 101)) and not canonical.is_plain(json.loads("[" * 102 + "]" * 102))
     assert not canonical.is_plain([float("inf")]) and not canonical.is_plain([0] * 100_001) and canonical.is_plain({"a": [0] * 100_000})
