@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marlstone.functions.text import byte_hash
+from marlstone.operators.spans import following, numbered, previous
 
 # Allowed next states.
 JOB_STATES = {"queued": ("running", "cancelled"), "running": ("completed", "failed", "cancelled", "parked", "awaiting_input"), "awaiting_input": ("queued", "cancelled"), "parked": ("queued", "cancelled"), "completed": (), "failed": (), "cancelled": ()}
@@ -53,22 +54,21 @@ def latest(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
 
 def transitions(events: DataFrame, key: str, order: list[str], states: dict[str, tuple[str, ...]]) -> DataFrame:
     """Each event with the state before it and allowed; the first state of a key is allowed if it is the machine's first."""
-    before = F.lag("state").over(Window.partitionBy(key).orderBy(*order))
     table = F.create_map(*[F.lit(x) for k, v in states.items() for x in (k, ",".join(v))])
-    following = F.split(table[F.col("previous")], ",")
+    allowed = F.split(table[F.col("previous")], ",")
     first = next(iter(states))
-    return events.withColumn("previous", before).withColumn("allowed", F.when(F.col("previous").isNull(), F.col("state") == first).otherwise(F.coalesce(F.array_contains(following, F.col("state")), F.lit(False))))
+    return previous(events, [key], order, F.col("state"), "previous").withColumn("allowed", F.when(F.col("previous").isNull(), F.col("state") == first).otherwise(F.coalesce(F.array_contains(allowed, F.col("state")), F.lit(False))))
 
 
 def sequenced(events: DataFrame, key: str, order: list[str]) -> DataFrame:
     """A contiguous sequence from 1 in each key."""
-    return events.withColumn("sequence", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+    return numbered(events, [key], order, "sequence")
 
 
 def sequence_gaps(events: DataFrame, key: str) -> DataFrame:
     """Rows whose sequence isn't one more than the one before (from 1)."""
-    before = F.coalesce(F.lag("sequence").over(Window.partitionBy(key).orderBy("sequence")), F.lit(0))
-    return events.withColumn("expected", before + 1).where("sequence <> expected")
+    before = previous(events, [key], ["sequence"], F.col("sequence"), "_before")
+    return before.withColumn("expected", F.coalesce("_before", F.lit(0)) + 1).drop("_before").where("sequence <> expected")
 
 
 def idempotent(requests: DataFrame, key: str, payload: str) -> DataFrame:
@@ -148,7 +148,7 @@ def tree_hash(files: DataFrame, key: str, path: str, content: str) -> DataFrame:
 
 def superseded(history: DataFrame, key: str, order: list[str], entry: str) -> DataFrame:
     """Each entry of a key's history with the one that came after it (null for the active one)."""
-    return history.withColumn("superseded_by", F.lead(entry).over(Window.partitionBy(key).orderBy(*order)))
+    return following(history, [key], order, F.col(entry), "superseded_by")
 
 
 def within_caps(items: DataFrame, keys: list[str], order: str, size: Column, most_bytes: int, most_items: int) -> DataFrame:
@@ -182,8 +182,8 @@ def health(diagnostics: DataFrame, key: str) -> DataFrame:
 def appended(log: DataFrame, events: DataFrame, key: str = "stream", idempotency: str = "idempotency_key", payload: str = "payload") -> DataFrame:
     """key, idempotency key, payload, sequence, state of each new event: appended with the next numbers of its stream, a repeat (the same payload is there) or a conflict.
 
-    log: key, idempotency key, payload, sequence. Of events with one idempotency key the
-    first payload counts.
+    log: key, idempotency key, payload, sequence. Events with one idempotency key and
+    different payloads are one conflict, told with the smallest payload.
     """
     keys = [key, idempotency]
     one = events.groupBy(*keys).agg(F.min(payload).alias(payload), (F.min(payload) != F.max(payload)).alias("_split"))
@@ -191,8 +191,8 @@ def appended(log: DataFrame, events: DataFrame, key: str = "stream", idempotency
     state = F.when(F.col("_split") | (F.col("_was") != F.col(payload)), "conflict").when(F.col("_was").isNotNull(), "repeat").otherwise("appended")
     last = log.groupBy(key).agg(F.max("sequence").alias("_last"))
     j = j.withColumn("state", state).join(last, key, "left")
-    number = F.row_number().over(Window.partitionBy(key, "state").orderBy(idempotency))
-    return j.select(*keys, payload, F.when(F.col("state") == "appended", F.coalesce("_last", F.lit(0)) + number).when(F.col("state") == "repeat", F.col("_at")).alias("sequence"), "state")
+    j = numbered(j, [key, "state"], [idempotency], "_number")
+    return j.select(*keys, payload, F.when(F.col("state") == "appended", F.coalesce("_last", F.lit(0)) + F.col("_number")).when(F.col("state") == "repeat", F.col("_at")).alias("sequence"), "state")
 
 
 def acquired(leases: DataFrame, requests: DataFrame, now: Column) -> DataFrame:

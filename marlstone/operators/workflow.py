@@ -7,7 +7,6 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from marlstone.functions.canonical import replaced_json, version_satisfies
 from marlstone.functions.policy import CLASSIFICATIONS, SEVERITIES, TRUST_TIERS, rank
@@ -16,6 +15,7 @@ from marlstone.functions.text import byte_hash, is_byte_hash, redirects_out, sho
 from marlstone.operators.graph import closure
 from marlstone.operators.json_tree import differences
 from marlstone.operators.relational import tree_hash
+from marlstone.operators.spans import numbered
 
 # Where in a policy path a changed leaf has which rule, and what counts as done with a copy.
 BOUNDARY_WORDS = ("network", "execute", "macro", "subprocess", "credential", "permission", "security", "filesystem", "access", "rights", "resource", "memory", "cpu", "output", "budget", "limit")
@@ -232,8 +232,8 @@ def usable_evidence(cases: DataFrame, evidence: DataFrame, carried: list[str] |
 
 def drafting_slice(units: DataFrame, first: int, last: int) -> DataFrame:
     """Text units number first to last of each source, from 1, with an excerpt of 120 characters."""
-    n = F.row_number().over(Window.partitionBy("source_id").orderBy("order"))
-    return units.where(F.coalesce(F.col("text"), F.lit("")) != "").withColumn("n", n).where(F.col("n").between(first, last)).select("source_id", "n", "unit_id", F.substring("text", 1, 120).alias("excerpt"))
+    texts = units.where(F.coalesce(F.col("text"), F.lit("")) != "")
+    return numbered(texts, ["source_id"], ["order"], "n").where(F.col("n").between(first, last)).select("source_id", "n", "unit_id", F.substring("text", 1, 120).alias("excerpt"))
 
 
 def graph_view(catalog: DataFrame, relations: DataFrame) -> DataFrame:

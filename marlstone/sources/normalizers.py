@@ -33,9 +33,9 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from marlstone.functions.text import short_id
+from marlstone.operators.spans import carried
 from marlstone.sources import pdf
 
 # Limits of one document, and extensions and locator kinds by format.
@@ -653,8 +653,8 @@ def line_units(docs: DataFrame, source: str, text: str) -> DataFrame:
 
 def headings(units: DataFrame) -> DataFrame:
     """Each line unit with the last Markdown heading before it."""
-    w = Window.partitionBy("source_id").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    return units.withColumn("heading", F.last(F.when(F.col("text").rlike(r"^#{1,6}\s"), F.regexp_replace("text", r"^#+\s+", "")), ignorenulls=True).over(w))
+    title = F.when(F.col("text").rlike(r"^#{1,6}\s"), F.regexp_replace("text", r"^#+\s+", ""))
+    return carried(units, ["source_id"], ["line"], title, "heading")
 
 
 def with_probabilistic(units: DataFrame, model_units: DataFrame, allowed: DataFrame) -> DataFrame:
