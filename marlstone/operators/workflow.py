@@ -8,10 +8,11 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.functions.canonical import replaced_json, version_satisfies
+from marlstone.functions.canonical import replaced_json
 from marlstone.functions.policy import CLASSIFICATIONS, SEVERITIES, TRUST_TIERS, rank
 from marlstone.functions.temporal import instant, is_date, is_instant
 from marlstone.functions.text import byte_hash, is_byte_hash, redirects_out, short_id
+from marlstone.functions.versions import range_intervals, version_point, within
 from marlstone.operators.graph import closure
 from marlstone.operators.json_tree import differences
 from marlstone.operators.relational import tree_hash
@@ -212,8 +213,9 @@ def plugin_errors(lock: DataFrame, scans: DataFrame, needs: DataFrame) -> DataFr
     """
     j = lock.join(scans.select("plugin", F.col("package_hash").alias("_h"), F.lit(True).alias("_scanned")), "plugin", "full_outer")
     drift = j.where(~F.col("_h").eqNullSafe(F.col("package_hash"))).select("plugin", F.when(F.col("_scanned").isNull(), "GRAPH_INVALID").when(F.col("package_hash").isNull(), "GRAPH_INVALID").otherwise("LOCK_MISMATCH").alias("code"))
-    d = needs.join(scans.select(F.col("plugin").alias("dependency"), F.col("version").alias("_v")), "dependency", "left")
-    ok = version_satisfies(F.col("_v"), F.col("range"))
+    have = scans.select(F.col("plugin").alias("dependency"), F.col("version").alias("_v"), version_point(F.col("version")).alias("_point"))
+    d = needs.withColumn("_intervals", range_intervals(F.col("range"))).join(have, "dependency", "left")
+    ok = within(F.col("_point"), F.col("_intervals"))
     code = F.when(F.col("_v").isNull() & ~F.col("optional"), "DEPENDENCY_MISSING").when(F.col("_v").isNotNull() & ~F.coalesce(ok, F.lit(False)), "DEPENDENCY_INCOMPATIBLE")
     return drift.union(d.select("plugin", code.alias("code")).where("code is not null")).distinct()
 
