@@ -1,10 +1,10 @@
-"""Searches of whole tables of queries through the inverted index, beside their SQL."""
+"""Searches of whole tables of queries, and access of whole tables of principals, beside their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from marlstone.operators import inverted
+from marlstone.operators import containment, inverted
 from marlstone.plans import core_queries
 from marlstone.plans.core_queries import TODAY, mounts, source_like, sql_terms
 
@@ -53,3 +53,22 @@ def search_batch(concept, benchmark):
 def search_batch_trusted_fresh(concept, benchmark):
     return answers(concept, benchmark, mode="trusted-only", stale_behavior="exclude")
 
+
+
+# --- access -----------------------------------------------------------------------------------------
+
+
+@query("customer", "documents", sql="""WITH p AS (SELECT c_custkey AS principal_id, CASE WHEN c_acctbal < 0 THEN 0 WHEN c_acctbal < 3000 THEN 1 WHEN c_acctbal < 6000 THEN 2 WHEN c_acctbal < 9500 THEN 3 END AS clearance,
+   list_filter([CASE WHEN c_nationkey < 18 THEN 'en' END, CASE WHEN c_nationkey % 3 = 0 THEN 'fr' END, CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'de' END, CASE WHEN c_mktsegment <> 'AUTOMOBILE' THEN 'src0' END, CASE WHEN c_acctbal > 5000 THEN 'src1' END, 'src2'], lambda x: x IS NOT NULL) AS held FROM customer),
+ m AS (SELECT doc_id, CASE WHEN n_chars < 500 THEN 0 WHEN n_chars < 2000 THEN 1 WHEN n_chars < 8000 THEN 2 ELSE 3 END AS need, list_filter([CASE WHEN n_chars > 300 THEN lang END, CASE WHEN n_chars > 1000 THEN source END], lambda x: x IS NOT NULL) AS compartments FROM documents),
+ r AS (SELECT principal_id, count(*) AS readable FROM p JOIN m ON clearance >= need AND list_has_all(held, compartments) GROUP BY 1)
+SELECT principal_id, coalesce(readable, 0) AS readable FROM p LEFT JOIN r USING (principal_id)""")
+def readable_documents(customer, documents):
+    """Every customer as a principal against every document: clearance by balance, compartments by language and source."""
+    balance, size = F.col("c_acctbal"), F.col("n_chars")
+    clearance = F.when(balance < 0, "public").when(balance < 3000, "internal").when(balance < 6000, "confidential").when(balance < 9500, "restricted").otherwise("unknown")
+    held = [(F.col("c_nationkey") < 18, "en"), (F.col("c_nationkey") % 3 == 0, "fr"), (F.col("c_mktsegment").isin("BUILDING", "MACHINERY"), "de"), (F.col("c_mktsegment") != "AUTOMOBILE", "src0"), (balance > 5000, "src1"), (F.lit(True), "src2")]
+    principals = customer.select(F.col("c_custkey").alias("principal_id"), clearance.alias("clearance"), F.array_compact(F.array(*[F.when(c, F.lit(x)) for c, x in held])).alias("held"))
+    need = F.when(size < 500, "public").when(size < 2000, "internal").when(size < 8000, "confidential").otherwise("restricted")
+    materials = documents.select(need.alias("classification"), F.array_compact(F.array(F.when(size > 300, F.col("lang")), F.when(size > 1000, F.col("source")))).alias("compartments"))
+    return containment.readable_counts(principals, materials)
