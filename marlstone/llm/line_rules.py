@@ -2,7 +2,8 @@
 
 The chain's weights are learned in numpy by maximum likelihood (forward-backward)
 on the lines of a bounded sample of labelled documents, whose lines carry the
-document's label; Viterbi decoding then labels the lines of every whole text, and a
+document's label, and on as many sequences spliced from stretches of good and bad
+ones, from which it learns where labels change; Viterbi decoding then labels the lines of every whole text, and a
 document is kept if the share of its words in content lines reaches ``SHARE`` and
 the base rules hold.
 
@@ -29,6 +30,8 @@ from .textkit import BLANKS, Words, chunks, mix, span_hash, windows
 
 #: Labelled documents of each class that the chain is fitted on, at most, lines of each of them that it learns from (spread evenly over the text), and steps of the fit.
 FIT_PER_CLASS, FIT_LINES, FIT_STEPS = 500, 600, 150
+#: Lines of a stretch between two changes of label that the chain learns from, on average.
+STRETCH = 5
 #: The least share of words in content lines.
 SHARE = 0.5
 SYMBOLS = np.zeros(256, bool)
@@ -159,12 +162,40 @@ def viterbi(score: np.ndarray, move: np.ndarray, text: np.ndarray, n: int) -> np
     return label
 
 
-def fit(sequences: list[np.ndarray], labels: list[int], steps: int = FIT_STEPS, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
-    """(features x 2 emission weights, 2 x 2 transition weights) of the chain, by Adam on the likelihood."""
-    parts = [(s[k : k + 200], y) for s, y in zip(sequences, labels, strict=True) for k in range(0, len(s), 200)]  # so that few long texts don't set the number of rounds
+def spliced(sequences: list[np.ndarray], labels: list[int], seed: int = 17) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The sequences, and as many more that change between stretches of documents of both labels, with a label a line.
+
+    A document's lines all have its label; what the chain has to know of changes it learns
+    from stretches of STRETCH lines on average, one after the other as they stand in their
+    documents, of a good and a bad one by turns.
+    """
+    r = np.random.default_rng(seed)
+    both = [[s for s, y in zip(sequences, labels, strict=True) if y == k and len(s)] for k in (0, 1)]
+    out, marks = list(sequences), [np.full(len(s), y) for s, y in zip(sequences, labels, strict=True)]
+    if not all(both):
+        return out, marks
+    for _ in range(len(sequences)):
+        pair, at, now, parts, given = [x[r.integers(len(x))] for x in both], [0, 0], int(r.integers(2)), [], []
+        for _ in range(int(r.integers(2, 7))):
+            stretch = pair[now][at[now] : at[now] + 1 + int(r.geometric(1 / STRETCH))]
+            at[now] += len(stretch)
+            parts.append(stretch)
+            given.append(np.full(len(stretch), now))
+            now = 1 - now
+        whole = np.concatenate(parts)
+        whole[:, -2:] = 0  # first and last
+        whole[0, -2] = whole[-1, -1] = 1
+        out.append(whole)
+        marks.append(np.concatenate(given))
+    return out, marks
+
+
+def fit(sequences: list[np.ndarray], labels: list[np.ndarray], steps: int = FIT_STEPS, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+    """(features x 2 emission weights, 2 x 2 transition weights) of the chain, by Adam on the likelihood; labels: one a line."""
+    parts = [(s[k : k + 200], y[k : k + 200]) for s, y in zip(sequences, labels, strict=True) for k in range(0, len(s), 200)]  # so that few long texts don't set the number of rounds
     sequences, labels = [s for s, _ in parts], [y for _, y in parts]
     order = sorted(range(len(sequences)), key=lambda i: -len(sequences[i]))
-    x, y = np.concatenate([sequences[i] for i in order]), np.concatenate([np.full(len(sequences[i]), labels[i]) for i in order])
+    x, y = np.concatenate([sequences[i] for i in order]), np.concatenate([labels[i] for i in order])
     lines = np.array([len(sequences[i]) for i in order])
     first = np.concatenate([[0], np.cumsum(lines)])[:-1]
     active = np.searchsorted(-lines, -np.arange(lines.max()), "left")
@@ -174,7 +205,7 @@ def fit(sequences: list[np.ndarray], labels: list[int], steps: int = FIT_STEPS,
     v = [np.zeros_like(emit), np.zeros_like(move)]
     same = np.zeros((2, 2))
     for i, s in enumerate(order):
-        same[labels[s], labels[s]] += (lines[i] - 1) / lines[i]
+        np.add.at(same, (labels[s][:-1], labels[s][1:]), 1 / lines[i])
     for step in range(1, steps + 1):
         score = x @ emit
         ahead, behind = score.copy(), np.zeros_like(score)
@@ -222,7 +253,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, per_class: int = FIT_PER_CLASS
     rows = sorted(in_batches(sample.select("doc_id", "text", "y"), lines, f"doc_id {kind}, f binary, y int").collect(), key=lambda r: (str(r.doc_id), bytes(r.f)))
     if len({r.y for r in rows if r.f}) < 2:
         return None
-    return fit([np.frombuffer(r.f, np.float32).astype(np.float64).reshape(-1, len(FEATURES)) for r in rows], [r.y for r in rows])
+    return fit(*spliced([np.frombuffer(r.f, np.float32).astype(np.float64).reshape(-1, len(FEATURES)) for r in rows], [r.y for r in rows]))
 
 
 def label_lines(docs: DataFrame, chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -58,6 +58,29 @@ def test_line_rules_follow_the_labels(spark):
     assert np.mean([r.kept for r in sure if labels[r.doc_id].quality]) > 0.98
 
 
+def test_lines_of_one_document_get_both_labels(spark):
+    """The chain learns changes from spliced sequences: documents of the table with junk among sentences are split."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    emit, move = line_rules.fit_chain(docs, labels)
+    assert move[0, 0] > move[0, 1] and move[1, 1] > move[1, 0]
+    got = line_rules.label_lines(docs, (emit, move)).where("n_lines > 1").collect()
+    split = [r for r in got if 0 < r.content_words < r.n_words]
+    assert len(split) >= 5
+    marks = {r.doc_id: r.quality for r in labels.collect() if r.quality is not None}
+    assert np.mean([(r.content_words >= r.n_words / 2) == (marks[r.doc_id] == 1) for r in got if r.doc_id in marks]) > 0.98
+
+
+def test_splices_keep_the_order_of_lines():
+    a, b = np.zeros((30, 15)), np.ones((20, 15))
+    a[:, 0], b[:, 0] = np.arange(30), 100 + np.arange(20)
+    sequences, marks = line_rules.spliced([a, b], [0, 1])
+    assert len(sequences) == len(marks) == 4 and all(len(s) == len(m) for s, m in zip(sequences, marks, strict=True))
+    for s, m in zip(sequences[2:], marks[2:], strict=True):
+        assert {0, 1} == set(m) and all(np.diff(s[m == k, 0]).tolist() == [1.0] * (int((m == k).sum()) - 1) for k in (0, 1))
+        assert s[0, 13] == s[-1, 14] == 1 and s[:, 13].sum() == s[:, 14].sum() == 1
+    assert len(line_rules.spliced([a], [0])[0]) == 1
+
+
 def test_line_rules_of_held_out_documents_and_mixed_ones(spark, make):
     """Fitted on two thirds of the labels; the rest, and texts spliced from good and bad ones, go by the share of content."""
     big = "/root/testdata/sf0.1"
