@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from marlstone.operators import containment, inverted
+from marlstone.operators import containment, intervals, inverted
 from marlstone.plans import core_queries
 from marlstone.plans.core_queries import TODAY, mounts, source_like, sql_terms
 
@@ -72,3 +72,22 @@ def readable_documents(customer, documents):
     need = F.when(size < 500, "public").when(size < 2000, "internal").when(size < 8000, "confidential").otherwise("restricted")
     materials = documents.select(need.alias("classification"), F.array_compact(F.array(F.when(size > 300, F.col("lang")), F.when(size > 1000, F.col("source")))).alias("compartments"))
     return containment.readable_counts(principals, materials)
+
+
+# --- evidence in force ----------------------------------------------------------------------------
+
+
+@query("orders", "events", sql="""WITH c AS (SELECT o_orderkey AS case_key, TIMESTAMP '2024-01-01' + to_seconds(CAST(floor(o_totalprice * 7) AS BIGINT) % 2592000) AS starts, CASE o_orderstatus WHEN 'F' THEN ['view', 'click'] WHEN 'O' THEN ['purchase'] ELSE ['error', 'signup'] END AS labels
+   FROM orders WHERE o_orderpriority = '1-URGENT'),
+ e AS (SELECT event_id, ts, CASE WHEN event_type <> 'error' THEN ts + to_minutes(CAST(floor(value) AS BIGINT) % 60) END AS ends, event_type FROM events),
+ m AS (SELECT case_key, count(*) AS sources, min(event_id) AS least FROM c JOIN e ON list_contains(labels, event_type) AND ts <= starts + INTERVAL 1 HOUR AND (ends IS NULL OR ends >= starts) GROUP BY 1)
+SELECT case_key, coalesce(sources, 0) AS sources, least FROM c LEFT JOIN m USING (case_key)""")
+def evidence_in_force(orders, events):
+    """Urgent orders as cases of an hour against all events, which hold for some minutes, errors for good: no key is shared beforehand."""
+    moment = F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(secs=(F.floor(F.col("o_totalprice") * 7) % 2592000).cast("decimal(18,6)"))
+    labels = F.when(F.col("o_orderstatus") == "F", F.array(F.lit("view"), F.lit("click"))).when(F.col("o_orderstatus") == "O", F.array(F.lit("purchase"))).otherwise(F.array(F.lit("error"), F.lit("signup")))
+    cases = orders.where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("id"), moment.alias("starts"), (moment + F.expr("INTERVAL 1 HOUR")).alias("ends"), labels.alias("labels"))
+    ends = F.when(F.col("event_type") != "error", F.col("ts").cast("timestamp") + F.make_dt_interval(mins=(F.floor("value") % 60).cast("int")))
+    evidence = events.select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("starts"), ends.alias("ends"), F.array("event_type").alias("labels"))
+    met = intervals.overlapping(cases, evidence).groupBy(F.col("left_id").alias("case_key")).agg(F.count("*").alias("sources"), F.min("right_id").alias("least"))
+    return cases.select(F.col("id").alias("case_key")).join(met, "case_key", "left").select("case_key", F.coalesce("sources", F.lit(0)).alias("sources"), "least")
