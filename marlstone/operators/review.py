@@ -220,3 +220,13 @@ def shown_packets(packets: DataFrame, claims: DataFrame, units: DataFrame) -> Da
     first = units.groupBy("source_id", "locator").agg(F.min("text").alias("text"))
     c = claims.join(first, ["source_id", "locator"], "left").groupBy("proposal_id").agg(F.array_sort(F.collect_list(F.struct("claim_id", "text"))).alias("x"))
     return packets.select("proposal_id", "packet_hash").join(c, "proposal_id", "left").select("proposal_id", "packet_hash", F.transform("x", lambda r: r["text"]).alias("excerpts"))
+
+
+def awaiting_ratification(rationales: DataFrame, proposals: DataFrame) -> DataFrame:
+    """workflow_id, proposal_id, title, subject, auto_approved_at of the drafts that were approved by rule and that nobody has ratified; a proposal that is gone lends its id as the title.
+
+    rationales: workflow_id, proposal_id, auto, ratified, decided_at; proposals: workflow_id, proposal_id, title, subject.
+    """
+    open_ = rationales.where(F.coalesce("auto", F.lit(False)) & ~F.coalesce("ratified", F.lit(False)))
+    j = open_.join(proposals.select("workflow_id", "proposal_id", "title", "subject"), ["workflow_id", "proposal_id"], "left")
+    return j.select("workflow_id", "proposal_id", F.coalesce("title", F.col("proposal_id").cast("string")).alias("title"), "subject", F.col("decided_at").alias("auto_approved_at"))

@@ -1,10 +1,10 @@
-"""Searches of whole tables of queries, and access of whole tables of principals, beside their SQL."""
+"""Searches of whole tables of queries, access of whole tables of principals, evidence in force and queues, beside their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from marlstone.operators import containment, intervals, inverted
+from marlstone.operators import containment, intervals, inverted, review
 from marlstone.plans import core_queries
 from marlstone.plans.core_queries import TODAY, mounts, source_like, sql_terms
 
@@ -91,3 +91,17 @@ def evidence_in_force(orders, events):
     evidence = events.select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("starts"), ends.alias("ends"), F.array("event_type").alias("labels"))
     met = intervals.overlapping(cases, evidence).groupBy(F.col("left_id").alias("case_key")).agg(F.count("*").alias("sources"), F.min("right_id").alias("least"))
     return cases.select(F.col("id").alias("case_key")).join(met, "case_key", "left").select("case_key", F.coalesce("sources", F.lit(0)).alias("sources"), "least")
+
+
+# --- queues ---------------------------------------------------------------------------------------
+
+
+@query("orders", "customer", sql="""SELECT o_custkey AS workflow_id, o_orderkey AS proposal_id, coalesce(p.c_name || ' ' || o_orderpriority, CAST(o_orderkey AS VARCHAR)) AS title, p.c_mktsegment AS subject, o_orderdate AS auto_approved_at
+FROM orders LEFT JOIN (FROM customer WHERE c_acctbal >= 0) p ON c_custkey = o_custkey WHERE o_orderpriority IN ('4-NOT SPECIFIED', '5-LOW') AND o_orderstatus <> 'F'""")
+def awaiting_ratification(orders, customer):
+    """Orders of low priority are approved by rule, finished ones are ratified; proposals of customers in debt are gone."""
+    low = F.col("o_orderpriority").isin("4-NOT SPECIFIED", "5-LOW")
+    rationales = orders.select(F.col("o_custkey").alias("workflow_id"), F.col("o_orderkey").alias("proposal_id"), low.alias("auto"), (F.col("o_orderstatus") == "F").alias("ratified"), F.col("o_orderdate").alias("decided_at"))
+    there = orders.join(customer.where("c_acctbal >= 0"), F.col("o_custkey") == F.col("c_custkey"))
+    proposals = there.select(F.col("o_custkey").alias("workflow_id"), F.col("o_orderkey").alias("proposal_id"), F.concat_ws(" ", "c_name", "o_orderpriority").alias("title"), F.col("c_mktsegment").alias("subject"))
+    return review.awaiting_ratification(rationales, proposals)
