@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import graphlib
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.functions.text import directory_title, links, markdown_text, redirects_out
+from marlstone.functions.text import directory_title, links, markdown_text, redirects_out, utf16
 from marlstone.operators.components import strongly_connected
 from marlstone.operators.json_tree import references
+from marlstone.operators.spans import numbered
 from marlstone.operators.stage import written
 
 MOST_HOPS = 16
@@ -109,9 +108,34 @@ def traversed(files: DataFrame, most_indexes: int = 10_000, most_concepts: int =
     return seen
 
 
-def stage_order(stages: dict[str, list[str]]) -> list[str]:
-    """Stages after all that they need; an error names a cycle. A workflow's stages are few."""
-    return list(graphlib.TopologicalSorter(stages).static_order())
+def stage_order(stages: DataFrame, needs: DataFrame, most: int = 1000) -> DataFrame:
+    """stage, place: every stage after all that it needs, from 1, as a walk in declaration order that first goes down to what a stage needs, in the stage's own order, would leave them.
+
+    stages: stage, declared (numbers, none twice); needs: stage, place, needs (numbers; of a
+    need told twice the first counts). Without cycles that walk reaches a stage by the least
+    of all ways to it, compared place by place, and the ways to a stage are settled once
+    those to all its dependents are: a level of dependents a round, at most so many. Sorted
+    by their ways with an end after every place, stages stand behind all below them. A cycle,
+    an unknown need, or a declaration that stands twice is an error.
+    """
+    every = written(stages.select("stage", F.col("declared").cast("long").alias("declared")))
+    n = every.agg(F.count("*").alias("rows"), F.count_distinct("stage").alias("stages"), F.count_distinct("declared").alias("places")).first()
+    if not n.rows == n.stages == n.places:
+        raise ValueError("a stage or its place is missing or stands twice")
+    edges = written(needs.where("needs is not null").groupBy("stage", "needs").agg(F.min("place").cast("long").alias("place")))
+    ends = edges.select("stage").union(edges.select("needs"))
+    if not ends.join(every, "stage", "left_anti").isEmpty():
+        raise ValueError("a stage needs one that is missing")
+    turned = every.select("stage", F.lit(None).cast(edges.schema["stage"].dataType).alias("needs")).union(edges.select(F.col("needs").alias("stage"), F.col("stage").alias("needs")))
+    levels = written(every.join(stage_levels(turned, most), "stage"))
+    into = written(edges.join(levels.select(F.col("stage").alias("needs"), "level"), "needs"))
+    own = lambda level: levels.where(F.col("level") == level).select("stage", F.array("declared").alias("way"))
+    placed = written(own(0))
+    for level in range(1, (levels.agg(F.max("level")).first()[0] or 0) + 1):
+        ways = into.where(F.col("level") == level).join(placed, "stage").select(F.col("needs").alias("stage"), F.concat("way", F.array("place")).alias("way"))
+        placed = placed.union(written(ways.union(own(level)).groupBy("stage").agg(F.min("way").alias("way"))))
+    after = placed.select("stage", F.concat("way", F.array(F.lit((1 << 63) - 1))).alias("way"))
+    return numbered(after, [], ["way"], "place").select("stage", "place")
 
 
 def ancestors(paths: DataFrame, path: str) -> DataFrame:
@@ -133,6 +157,6 @@ def directory_indexes(concepts: DataFrame, normalise: bool = True) -> DataFrame:
     folders = ancestors(concepts, "path").where("not leaf").select("directory", "child").distinct()
     rows = own.union(folders.select("directory", directory_title(F.col("child")), F.concat("child", F.lit("/")), F.lit("")))
     line = F.concat(F.lit("* ["), F.col("title"), F.lit("]("), F.col("path"), F.lit(")"), F.when(F.col("description") != "", F.concat(F.lit(" - "), F.col("description"))).otherwise(""))
-    g = rows.groupBy("directory").agg(F.array_sort(F.collect_list(F.struct(F.lower("title").alias("k"), "path", line.alias("line")))).alias("rows"))
+    g = rows.groupBy("directory").agg(F.array_sort(F.collect_list(F.struct(utf16(F.lower("title")).alias("k"), utf16(F.col("path")).alias("p"), line.alias("line")))).alias("rows"))
     head = F.concat(F.lit("<!-- generated; do not edit -->\n# "), directory_title(F.col("directory")), F.lit("\n\n"))
     return g.select("directory", F.size("rows").alias("n_rows"), F.concat(head, F.array_join(F.transform("rows", lambda r: r["line"]), "\n"), F.lit("\n")).alias("index_text"))

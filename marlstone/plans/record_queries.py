@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import canonical, policy, temporal, text
 from marlstone.operators import evaluation, governance, graph, json_tree, lint, relational, retrieval, review, workflow
+from marlstone.operators.spans import numbered
 from marlstone.sources import store
 
 from . import core_queries as core
@@ -593,6 +594,19 @@ def stage_levels(nation, region):
     return graph.stage_levels(stages)
 
 
+@query("part", sql="""WITH RECURSIVE r AS (SELECT p_partkey AS k, p_brand AS b, p_size AS z, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey) AS n FROM part),
+ e AS (SELECT a.k AS stage, c.k AS needs, c.z * 1000000000000 + c.k AS place FROM r a JOIN r c ON a.b = c.b AND c.n BETWEEN 2 * a.n AND 2 * a.n + 2),
+ w AS (SELECT k AS stage, [k] AS way FROM r UNION ALL SELECT e.needs, list_append(w.way, e.place) FROM w JOIN e ON w.stage = e.stage),
+ m AS (SELECT stage, min(way) AS way FROM w GROUP BY 1)
+SELECT stage, CAST(row_number() OVER (ORDER BY list_append(way, 9223372036854775807)) AS INTEGER) AS place FROM m""")
+def stage_order(part):
+    """Parts as stages, declared by number: of a brand's parts by price, the n-th needs those at 2n to 2n + 2, the smaller ones first, so that many are needed twice."""
+    ranked = numbered(part.select("p_partkey", "p_brand", "p_size", "p_retailprice"), ["p_brand"], ["p_retailprice", "p_partkey"], "n")
+    below = ranked.select("p_brand", F.col("n").alias("at"), F.col("p_partkey").alias("needs"), (F.col("p_size").cast("long") * 1_000_000_000_000 + F.col("p_partkey")).alias("place"))
+    edges = ranked.select("p_brand", F.col("p_partkey").alias("stage"), F.explode(F.sequence(2 * F.col("n"), 2 * F.col("n") + 2)).alias("at")).join(below, ["p_brand", "at"])
+    return graph.stage_order(part.select(F.col("p_partkey").alias("stage"), F.col("p_partkey").alias("declared")), edges.select("stage", "place", "needs"))
+
+
 @query("part", sql="SELECT p_partkey AS node FROM part WHERE p_partkey % 10 IN (3, 4, 5) AND (p_partkey - p_partkey % 10) + 5 <= (SELECT max(p_partkey) FROM part)")
 def stage_cycles(part):
     """Every ten: 1 needs 2 needs 3, 3 needs 4 needs 5 needs 3, and 5 needs 6: the middle is a cycle."""

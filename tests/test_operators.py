@@ -18,12 +18,6 @@ def test_alias_limit_and_cycle(spark):
     assert got[0].state == "limit" and got[100].state == "cycle" and got[200].state == "cycle"
 
 
-def test_stage_order():
-    assert graph.stage_order({"c": ["b"], "b": ["a"], "a": []}) == ["a", "b", "c"]
-    with pytest.raises(ValueError):
-        graph.stage_order({"a": ["b"], "b": ["a"]})
-
-
 def test_index_text(spark):
     c = spark.createDataFrame([("policies/auth.md", "Auth [x]", "How  to\nlog in"), ("policies/deep/z.md", "", None), ("top.md", "Top", "")], "path string, title string, description string")
     got = {r.directory: r.index_text for r in graph.directory_indexes(c).collect()}
