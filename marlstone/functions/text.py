@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
@@ -87,6 +87,22 @@ def byte_hash(c: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(c.cast("binary"), 256))
 
 
+def utf16(c: Column) -> Column:
+    """A key that sorts strings by their UTF-16 units: U+1F600 stands before U+FB01, where UTF-8 bytes have it after."""
+    return F.encode(c, "UTF-16BE")
+
+
+def ordered(df: DataFrame, name: str) -> Column:
+    """The column as a sort key: strings by their UTF-16 units, all else as it is."""
+    return utf16(F.col(name)) if df.schema[name].dataType == StringType() else F.col(name)
+
+
+def utf16_sorted(c: Column) -> Column:
+    """An array of strings by their UTF-16 units, nulls last."""
+    keyed = F.array_sort(F.transform(F.filter(c, lambda x: x.isNotNull()), lambda x: F.struct(utf16(x).alias("k"), x.alias("v"))))
+    return F.concat(F.transform(keyed, lambda x: x["v"]), F.filter(c, lambda x: x.isNull()))
+
+
 def is_byte_hash(c: Column) -> Column:
     return F.coalesce(c.rlike("^sha256:[0-9a-f]{64}$"), F.lit(False))
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.canonical import canonical_json
 from marlstone.functions.temporal import instant, is_date, is_instant, utc_date
+from marlstone.functions.text import utf16_sorted
 from marlstone.operators.stage import written
 
 # Which built-in sensor runs at which gate.
@@ -81,7 +82,7 @@ def gate_report(findings: DataFrame, matrix: DataFrame, waivers: DataFrame, now:
 
 def propagated(materials: DataFrame, key: str) -> DataFrame:
     """key, compartments, obligations: distinct and sorted over a key's materials."""
-    lists = materials.groupBy(key).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("compartments")))).alias("compartments"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("obligations")))).alias("obligations"))
+    lists = materials.groupBy(key).agg(utf16_sorted(F.array_distinct(F.flatten(F.collect_set("compartments")))).alias("compartments"), utf16_sorted(F.array_distinct(F.flatten(F.collect_set("obligations")))).alias("obligations"))
     return lists
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marlstone.functions.text import byte_hash
+from marlstone.functions.text import byte_hash, utf16_sorted
 from marlstone.operators.spans import following, numbered, previous
 
 # Allowed next states.
@@ -141,7 +141,7 @@ def tree_hash(files: DataFrame, key: str, path: str, content: str) -> DataFrame:
     """
     line = F.concat(F.col(path), F.lit("\0"), F.sha2(F.col(content).cast("binary"), 256))
     rows = files.select(F.col(key), F.substring(F.sha2(F.col(path).cast("binary"), 256), 1, 3).alias("part"), line.alias("line"))
-    digest = lambda lines: F.sha2(F.array_join(F.array_sort(F.collect_list(lines)), "\n").cast("binary"), 256)
+    digest = lambda lines: F.sha2(F.array_join(utf16_sorted(F.collect_list(lines)), "\n").cast("binary"), 256)
     parts = rows.groupBy(key, "part").agg(digest("line").alias("d"), F.count("*").alias("n"))
     return parts.groupBy(key).agg(F.sum("n").alias("n_files"), F.concat(F.lit("sha256:"), digest(F.concat("part", F.lit(":"), "d"))).alias("tree_hash"))
 

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from marlstone.functions.canonical import artifact_hash
 from marlstone.functions.policy import TRUST_TIERS, may_read, rank
 from marlstone.functions.temporal import is_stale
-from marlstone.functions.text import has_term, nfkc, query_terms
+from marlstone.functions.text import has_term, nfkc, ordered, query_terms
 from marlstone.operators.stage import written
 
 # Query modes, those that see everything, and relationship types that are conflicts.
@@ -114,14 +114,14 @@ def normalized(candidates: DataFrame, most: DataFrame | None = None, keys: list[
 
 def mount_order(mounts: DataFrame) -> DataFrame:
     """mounts with their place: by falling priority, then by id. Mounts are few."""
-    return mounts.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("priority").desc(), "mount_id")))
+    return mounts.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("priority").desc(), ordered(mounts, "mount_id"))))
 
 
 def ranked(candidates: DataFrame, limit: int) -> DataFrame:
     """The first limit rows (1 to 100) by score, mount and concept, with their place from 1."""
     if not LIMITS[0] <= limit <= LIMITS[1]:
         raise ValueError("the limit is out of bounds")
-    order = [F.col("normalized").desc(), F.col("mount_id"), F.col("concept_id")]
+    order = [F.col("normalized").desc(), ordered(candidates, "mount_id"), ordered(candidates, "concept_id")]
     top = candidates.orderBy(*order).limit(limit)
     return top.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
 

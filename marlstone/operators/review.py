@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from marlstone.functions.canonical import artifact_hash_column, canonical_json_column
 from marlstone.functions.policy import CLASSIFICATIONS, rank
 from marlstone.functions.temporal import instant, is_instant
-from marlstone.functions.text import byte_hash, is_byte_hash
+from marlstone.functions.text import byte_hash, is_byte_hash, utf16_sorted
 from marlstone.operators.governance import retention, treatment
 from marlstone.operators.graph import closure, impact_seeds
 
@@ -20,7 +20,7 @@ _filled = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
 
 
 def _sorted(c: str) -> Column:
-    return F.array_sort(F.array_distinct(F.coalesce(c, F.array().cast("array<string>")))).alias(c)
+    return utf16_sorted(F.array_distinct(F.coalesce(c, F.array().cast("array<string>")))).alias(c)
 
 
 # --- gates ------------------------------------------------------------------------------

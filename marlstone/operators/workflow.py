@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from marlstone.functions.canonical import replaced_json
 from marlstone.functions.policy import CLASSIFICATIONS, SEVERITIES, TRUST_TIERS, rank
 from marlstone.functions.temporal import instant, is_date, is_instant
-from marlstone.functions.text import byte_hash, is_byte_hash, redirects_out, short_id
+from marlstone.functions.text import byte_hash, is_byte_hash, ordered, redirects_out, short_id
 from marlstone.functions.versions import range_intervals, version_point, within
 from marlstone.operators.graph import closure
 from marlstone.operators.json_tree import differences
@@ -258,7 +258,8 @@ def remaining(treatments: DataFrame, done: DataFrame) -> DataFrame:
 
 def sidecar_lines(claims: DataFrame) -> Column:
     """Aggregate: a concept's sidecar as JSON lines, by assertion key and id."""
-    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("assertion_key", "id", "json"))), lambda x: x["json"]), "\n")
+    by = [ordered(claims, c).alias(f"k{i}") for i, c in enumerate(("assertion_key", "id"))]
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*by, "json"))), lambda x: x["json"]), "\n")
 
 
 def sidecar_hash(claims: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import canonical, text, versions
 from marlstone.functions.canonical import parse_concept
-from marlstone.operators import relational
+from marlstone.operators import merkle, relational
 from marlstone.sources import federation, normalizers, scan
 
 from . import core_queries as core
@@ -119,9 +119,43 @@ def catalog_errors(documents):
     return scan.catalog_errors(catalog, documents.where("doc_id % 6 <> 3").select(path.alias("path"), F.col("text").cast("binary").alias("content")))
 
 
-@query("documents", sql="""WITH f AS (SELECT lang || '/' || CAST(doc_id AS VARCHAR) AS path, text FROM documents) SELECT count(*) AS n_files, CAST(sum(strlen(text)) AS BIGINT) AS n_bytes, 'sha256:' || sha256(string_agg(path || chr(0) || 'sha256:' || sha256(text), chr(10) ORDER BY path)) AS tree_hash FROM f""")
+def _digest_tree(files: str) -> str:
+    """CTEs l (path, prefix, line) and n0 to n6 (prefix, digest), by level, over a relation of path and text."""
+    levels = [f"l AS (SELECT path, sha256(path)[1:6] AS prefix, path || chr(0) || coalesce('sha256:' || sha256(text), '') AS line FROM {files})", "n6 AS (SELECT prefix, sha256(string_agg(line, chr(10) ORDER BY line)) AS digest FROM l GROUP BY 1)"]
+    levels += [f"n{k} AS (SELECT prefix[1:{k}] AS prefix, sha256(string_agg(prefix || ':' || digest, chr(10) ORDER BY prefix)) AS digest FROM n{k + 1} GROUP BY 1)" for k in range(5, 0, -1)]
+    return ", ".join([*levels, "n0 AS (SELECT '' AS prefix, sha256(string_agg(prefix || ':' || digest, chr(10) ORDER BY prefix)) AS digest FROM n1)"])
+
+
+FILES = "f AS (SELECT lang || '/' || CAST(doc_id AS VARCHAR) AS path, text, source FROM documents)"
+
+
+def _files(documents):
+    return documents.select(F.concat("lang", F.lit("/"), F.col("doc_id").cast("string")).alias("path"), F.col("text").cast("binary").alias("content"), F.octet_length("text").cast("long").alias("length"), "source")
+
+
+@query("documents", sql=f"""WITH {FILES}, {_digest_tree("f")} SELECT (SELECT count(*) FROM f) AS n_files, (SELECT CAST(sum(strlen(text)) AS BIGINT) FROM f) AS n_bytes, 'sha256:' || digest AS tree_hash FROM n0""")
 def snapshot_digest(documents):
-    return scan.snapshot(documents.select(F.concat("lang", F.lit("/"), F.col("doc_id").cast("string")).alias("path"), F.col("text").cast("binary").alias("content"), F.octet_length("text").cast("long").alias("length")))
+    return scan.snapshot(_files(documents), limits=None)
+
+
+@query("documents", sql=f"""WITH {FILES}, {_digest_tree("f")} SELECT path, (SELECT count(*) FROM l x WHERE x.prefix = l.prefix) AS n_bucket, 'sha256:' || digest AS root FROM l, n0""")
+def inclusion_proofs(documents):
+    """A proof of every document's file, and the root that it leads to."""
+    rows = merkle.lines(_files(documents), F.col("path"), F.col("content"))
+    p = merkle.proofs(merkle.tree(rows), rows, rows)
+    return p.select("path", F.size("bucket").cast("long").alias("n_bucket"), merkle.proven_root(F.col("path"), F.col("line"), F.col("bucket"), F.col("way")).alias("root"))
+
+
+@query("documents", sql=f"""WITH {FILES}, g AS (SELECT path, CASE WHEN source = (SELECT min(source) FROM documents) THEN text || chr(10) ELSE text END AS text FROM f WHERE coalesce(text NOT LIKE '%license%', true)), {_digest_tree("g")} SELECT 'sha256:' || digest AS tree_hash FROM n0""")
+def updated_snapshot(documents):
+    """The tree of all documents after those that name a license went and one source's were edited."""
+    files = _files(documents)
+    source = documents.agg(F.min("source").alias("_least"))
+    gone, edited = F.coalesce(F.col("content").cast("string").like("%license%"), F.lit(False)), F.col("source").eqNullSafe(F.col("_least"))
+    j = files.join(F.broadcast(source))  # one row
+    after = j.where(~gone).withColumn("content", F.when(edited, F.concat("content", F.lit("\n").cast("binary"))).otherwise(F.col("content")))
+    before = merkle.tree(merkle.lines(files, F.col("path"), F.col("content")))
+    return merkle.root(merkle.updated(before, merkle.lines(after, F.col("path"), F.col("content")), j.where(gone | edited).select("path")))
 
 
 # --- Markdown concepts ------------------------------------------------------------------------

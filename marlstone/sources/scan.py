@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from marlstone.functions.canonical import parse_concept
 from marlstone.functions.temporal import is_instant
 from marlstone.functions.text import byte_hash, is_byte_hash, redirects_out, secret_looking
+from marlstone.operators import merkle
 from marlstone.operators.stage import written
 
 # Directories that a scan skips, providers with their kinds of revision, and the other closed sets.
@@ -48,13 +49,16 @@ def concepts(found: DataFrame) -> DataFrame:
     return found.where(F.col("path").endswith(".md")).select("path", parse_concept(F.col("content")).alias("c")).select("path", "c.*")
 
 
-def snapshot(found: DataFrame) -> DataFrame:
-    """n_files, n_bytes, tree_hash of a tree: one digest over path and hash of each file; beyond a limit it is an error, not a cut."""
+def snapshot(found: DataFrame, limits: Mapping[str, int] | None = SNAPSHOT_LIMITS) -> DataFrame:
+    """n_files, n_bytes, tree_hash of a tree: the root of a digest tree over path and hash of each file; beyond a limit (None: there is none) it is an error, not a cut."""
+    f = found.select("path", "content", "length")
     depth = F.size(F.split("path", "/"))
-    t = found.select(F.concat("path", F.lit("\0"), byte_hash(F.col("content"))).alias("line"), "length", depth.alias("depth")).agg(F.count("*").alias("n_files"), F.coalesce(F.sum("length"), F.lit(0)).alias("n_bytes"), F.max("length").alias("most"), F.max("depth").alias("depth"), F.array_sort(F.collect_list("line")).alias("lines"))
-    over = (F.col("n_files") > SNAPSHOT_LIMITS["files"]) | (F.col("n_bytes") > SNAPSHOT_LIMITS["bytes"]) | (F.col("most") > SNAPSHOT_LIMITS["file_bytes"]) | (F.col("depth") > SNAPSHOT_LIMITS["depth"])
-    digest = F.concat(F.lit("sha256:"), F.sha2(F.array_join("lines", "\n").cast("binary"), 256))
-    return t.select("n_files", "n_bytes", F.when(over, F.raise_error(F.lit("the snapshot is over its limits")).cast("string")).otherwise(digest).alias("tree_hash"))
+    t = f.agg(F.count("*").alias("n_files"), F.coalesce(F.sum("length"), F.lit(0)).alias("n_bytes"), F.max("length").alias("most"), F.max(depth).alias("depth"))
+    if limits is not None:
+        over = (F.col("n_files") > limits["files"]) | (F.col("n_bytes") > limits["bytes"]) | (F.col("most") > limits["file_bytes"]) | (F.col("depth") > limits["depth"])
+        t = written(t.withColumn("n_files", F.when(over, F.raise_error(F.lit("the snapshot is over its limits")).cast("long")).otherwise(F.col("n_files"))))
+    root = merkle.root(merkle.tree(merkle.lines(f, F.col("path"), F.col("content"))))
+    return t.select("n_files", "n_bytes").crossJoin(F.broadcast(root))  # a row each
 
 
 def catalog_errors(catalog: DataFrame, found: DataFrame) -> DataFrame:
