@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from marlstone.operators import workflow
+from marlstone.operators.stage import shared_folder
+from marlstone.streaming import leases
 
 from .core_queries import query as _query
 
@@ -133,3 +138,23 @@ def plugin_errors(supplier):
     scans = supplier.where("s_suppkey % 10 <> 0").select(k.alias("plugin"), F.when(k % 3 == 0, "2.0.0").otherwise("1.4.0").alias("version"), F.when(k % 7 == 0, "x").otherwise("h").alias("package_hash"))
     needs = supplier.select(k.alias("plugin"), (k + 1).alias("dependency"), F.lit("^1.2.0").alias("range"), F.lit(False).alias("optional"))
     return workflow.plugin_errors(lock, scans, needs)
+
+
+LEASED = ("claim", "move", "release")
+MOVES = ("running", "awaiting_approval", "completed", "failed")
+
+
+def leased_events(events):
+    """Events as requests for leases and moves: users as workflows, types as kinds, the amount as owner, the lease's length and the revision that is expected."""
+    types = events.select("event_type").distinct().withColumn("n", F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy("event_type")))  # a row a type
+    value = F.coalesce(F.floor("value"), F.lit(0)).cast("long")
+    kind, to = F.array(*map(F.lit, LEASED)), F.array(*map(F.lit, MOVES))
+    j = events.join(types, "event_type")
+    return j.select(F.col("user_id").alias("workflow_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"), F.get(kind, (F.col("n") - 1) % 3).alias("kind"), F.concat(F.lit("o"), (value % 2).cast("string")).alias("owner"),
+                    ((value + 1) * 3_600_000).alias("lease_ms"), F.when(value % 3 == 2, 1).otherwise(0).cast("long").alias("expected_revision"), F.get(to, (value % 4).cast("int")).alias("to"))
+
+
+@query("events")
+def leased_workflows(events):
+    """The stream over all events, as a finished table."""
+    return leases.replayed(leased_events(events), f"{shared_folder(events.sparkSession)}/leases-{uuid.uuid4().hex}")
