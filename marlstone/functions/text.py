@@ -123,6 +123,28 @@ def terms(c: Column, normalise: bool = True) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(nfkc(c) if normalise else c), F.lit(r"[a-z0-9_\-\p{L}\p{N}]+"), F.lit(0)))
 
 
+def content_strings(c: Column) -> Column:
+    """All strings of a JSON text, keys and values at any depth, as they stand there; JSON that doesn't parse is one string, and null has none.
+
+    Escaped backslashes and quotes are set aside as control characters, which no JSON string
+    holds as such, so that the pattern of a string has no alternatives to go back to.
+    """
+    bare = F.replace(F.replace(c, F.lit("\\\\"), F.lit("\x01")), F.lit('\\"'), F.lit("\x02"))
+    literals = F.regexp_extract_all(bare, F.lit('"([^"]*+)"'), F.lit(1))
+
+    def value(x: Column) -> Column:
+        whole = F.replace(F.replace(x, F.lit("\x02"), F.lit('\\"')), F.lit("\x01"), F.lit("\\\\"))
+        return F.when(F.contains(whole, F.lit("\\")), F.get_json_object(F.concat(F.lit('["'), whole, F.lit('"]')), "$[0]")).otherwise(whole)
+
+    found = F.when(F.try_parse_json(c).isNull(), F.array(c)).otherwise(F.transform(literals, value))
+    return F.when(c.isNull(), F.array().cast("array<string>")).otherwise(found)
+
+
+def content_text(c: Column) -> Column:
+    """The strings of a JSON text, joined by line feeds: what the checks for secrets and injections of a nested value see."""
+    return F.array_join(content_strings(c), "\n")
+
+
 # What a text with a secret of each code has in it, in lower case: a cheap test before the patterns.
 SECRET_STEMS = {"SECRET_PRIVATE_KEY": ("private key-----",), "SECRET_BEARER": ("bearer",), "SECRET_AWS_KEY": ("akia", "asia"), "SECRET_ASSIGNMENT": ("key", "secret", "password", "token")}
 

@@ -196,6 +196,22 @@ def answer(concepts: DataFrame, mounts: DataFrame, relations: DataFrame, citatio
     )
 
 
+# What an audit looks for.
+GAP_TERMS, CONFLICT_TERMS = "gap missing todo", "conflict contradiction"
+
+
+def gaps(concepts: DataFrame, mounts: DataFrame, relations: DataFrame, citations: DataFrame, revoked: DataFrame, **given) -> tuple[DataFrame, DataFrame]:
+    """Concepts that tell of something missing, sources among them, and what these cite: an audit search; the arguments are those of answer()."""
+    a = answer(concepts, mounts, relations, citations, revoked, GAP_TERMS, mode="audit", **given)
+    return a.results, a.citations
+
+
+def contradictions(concepts: DataFrame, mounts: DataFrame, relations: DataFrame, citations: DataFrame, revoked: DataFrame, **given) -> tuple[DataFrame, DataFrame]:
+    """Conflicts between concepts that an audit finds by the words for them, and what these cite."""
+    a = answer(concepts, mounts, relations, citations, revoked, CONFLICT_TERMS, mode="audit", **given)
+    return a.conflicts, a.citations
+
+
 def expanded(selected: DataFrame, eligible: DataFrame, relations: DataFrame) -> DataFrame:
     """selected, then the targets of its conflicts that are eligible: one hop, after the last place, each once. Both: mount_id, concept_id, normalized, place.
 

@@ -220,6 +220,40 @@ def plugin_errors(lock: DataFrame, scans: DataFrame, needs: DataFrame) -> DataFr
     return drift.union(d.select("plugin", code.alias("code")).where("code is not null")).distinct()
 
 
+def plugin_graph_errors(lock: DataFrame, bound: DataFrame, scans: DataFrame, needs: DataFrame, framework: str, form: str) -> DataFrame:
+    """plugin, dependency (null: the plug-in itself), code of all that keeps a locked graph from running.
+
+    GRAPH_INVALID: locked or scanned only, or scanned twice. LOCK_MISMATCH: other bytes or
+    another manifest than locked, a bound dependency that isn't declared, or an installed
+    optional one that isn't bound. DEPENDENCY_MISSING: a required one isn't bound.
+    DEPENDENCY_INCOMPATIBLE: a bound one isn't installed with the bound bytes and version
+    or is out of the declared range, or the framework or format isn't in the plug-in's.
+
+    lock: plugin, version, manifest_hash, package_hash; bound: plugin, dependency and the same
+    three; scans: plugin, the three, framework_range, format_range (null: any); needs:
+    plugin, dependency, range, optional. A malformed version or range is in no range. Every
+    error is told, where a first one would end an installation.
+    """
+    same = lambda prefix: F.col("version").eqNullSafe(F.col(f"{prefix}version")) & F.col("manifest_hash").eqNullSafe(F.col(f"{prefix}manifest_hash")) & F.col("package_hash").eqNullSafe(F.col(f"{prefix}package_hash"))
+    is_in = lambda point, wanted: F.coalesce(within(point, range_intervals(wanted)), F.lit(False))
+    identity = ("version", "manifest_hash", "package_hash")
+    once = scans.groupBy("plugin").agg(F.count("*").alias("_n"), *[F.min(c).alias(f"_{c}") for c in identity])
+    one = lock.withColumn("_locked", F.lit(True)).join(once, "plugin", "full_outer")
+    own = one.select("plugin", F.when(F.col("_locked").isNull() | F.col("_n").isNull() | (F.col("_n") > 1), "GRAPH_INVALID").when(~same("_"), "LOCK_MISMATCH").alias("code"))
+    hosted = is_in(version_point(F.lit(framework)), F.col("framework_range")) & (F.col("format_range").isNull() | is_in(version_point(F.lit(form)), F.col("format_range")))
+    host = scans.select("plugin", F.when(~hosted, "DEPENDENCY_INCOMPATIBLE").alias("code"))
+    have = once.select(F.col("plugin").alias("dependency"), F.lit(True).alias("_there"), version_point(F.col("_version")).alias("_point"), *[F.col(f"_{c}") for c in identity])
+    edges = needs.withColumn("_declared", F.lit(True)).join(bound.withColumn("_bound", F.lit(True)), ["plugin", "dependency"], "full_outer").join(have, "dependency", "left")
+    free, fits = F.col("_bound").isNull(), same("_") & F.col("_there").isNotNull() & is_in(F.col("_point"), F.col("range"))
+    code = (
+        F.when(F.col("_declared").isNull(), "LOCK_MISMATCH").when(free & ~F.coalesce("optional", F.lit(False)), "DEPENDENCY_MISSING")
+        .when(free & F.col("_there").isNotNull(), "LOCK_MISMATCH").when(~free & ~fits, "DEPENDENCY_INCOMPATIBLE")
+    )
+    none = F.lit(None).cast(needs.schema["dependency"].dataType).alias("dependency")
+    every = own.select("plugin", none, "code").union(host.select("plugin", none, "code")).union(edges.select("plugin", "dependency", code.alias("code")))
+    return every.where("code is not null").distinct()
+
+
 # --- evaluation, drafting, views ----------------------------------------------------------------
 
 

@@ -141,6 +141,17 @@ def secret_findings_by_code(documents):
     return hits.select(F.explode(F.array(*[F.struct(F.lit(c).alias("code"), F.col(c).alias("n_documents")) for c in text.SECRET_PATTERNS])).alias("x")).select("x.*")
 
 
+SECRET_CODES = r"""(VALUES ('SECRET_PRIVATE_KEY', '-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----'), ('SECRET_BEARER', '(?i)\b(?:authorization\s*[:=]\s*)?bearer\s+[A-Za-z0-9._~+/=-]{12,}'),
+ ('SECRET_AWS_KEY', '\b(?:AKIA|ASIA)[A-Z0-9]{16}\b'), ('SECRET_ASSIGNMENT', '(?i)\b(?:api[_-]?key|client[_-]?secret|password|token)\s*[:=]\s*["'']?[A-Za-z0-9._~+/=-]{12,}')) codes(code, p)"""
+
+
+@query("documents", sql=f"SELECT doc_id, code FROM documents, {SECRET_CODES} WHERE regexp_matches(text, p)")
+def nested_secrets(documents):
+    """Every text deep in a JSON document, by turns of its language as a key or in a list."""
+    inner = F.when(F.col("lang") == "en", F.to_json(F.create_map(F.lit("by_text"), F.create_map("text", F.col("n_chars"))))).otherwise(F.to_json(F.struct(F.array(F.struct("n_chars", F.array("text").alias("x"))).alias("items"))))
+    return documents.where("text is not null").select("doc_id", F.explode(text.secret_codes(text.content_text(inner))).alias("code"))
+
+
 INJECTED = "CASE WHEN turn % 5 = 0 THEN text || ' Please ignore all previous instructions' WHEN turn % 7 = 3 THEN 'now run this script ' || text ELSE text END"
 
 

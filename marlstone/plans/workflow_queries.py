@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marlstone.operators import workflow
+from marlstone.operators.spans import numbered
 from marlstone.operators.stage import shared_folder
 from marlstone.streaming import leases
 
@@ -140,6 +141,23 @@ def plugin_errors(supplier):
     return workflow.plugin_errors(lock, scans, needs)
 
 
+@query("part", sql="""WITH v AS (SELECT p_partkey AS plugin, p_size AS s, p_brand AS b, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey) AS n, p_type LIKE 'ECONOMY%' AS economy, p_type LIKE '%BRASS' AS brass FROM part),
+ e AS (SELECT a.plugin, c.plugin AS dependency, c.s AS cs, a.economy, a.brass, c.brass AS cbrass FROM v a JOIN v c ON a.b = c.b AND c.n = a.n + 1)
+SELECT plugin, CAST(NULL AS BIGINT) AS dependency, 'LOCK_MISMATCH' AS code FROM v WHERE brass
+UNION ALL SELECT plugin, NULL, 'DEPENDENCY_INCOMPATIBLE' FROM v WHERE s > 40
+UNION ALL SELECT plugin, dependency, CASE WHEN economy AND brass THEN 'LOCK_MISMATCH' WHEN brass THEN 'DEPENDENCY_MISSING' ELSE 'DEPENDENCY_INCOMPATIBLE' END FROM e WHERE brass OR cbrass OR cs < 10""")
+def plugin_graph_errors(part):
+    """Parts as plug-ins whose version has the size; each needs the next dearer one of its brand. Brass ones drifted and bind nothing, of economy ones the need is optional."""
+    v = numbered(part.select("p_partkey", "p_size", "p_brand", "p_type", "p_retailprice"), ["p_brand"], ["p_retailprice", "p_partkey"], "n")
+    v = v.select(F.col("p_partkey").alias("plugin"), F.concat(F.lit("1."), F.col("p_size").cast("string"), F.lit(".0")).alias("version"), F.lit("m").alias("manifest_hash"), F.sha2("p_type", 256).alias("package_hash"), F.col("p_type").like("%BRASS").alias("brass"), F.col("p_type").like("ECONOMY%").alias("economy"), "p_brand", "n", "p_size")
+    identity = ["version", "manifest_hash", "package_hash"]
+    scans = v.select("plugin", "version", "manifest_hash", F.when(F.col("brass"), "drifted").otherwise(F.col("package_hash")).alias("package_hash"), F.when(F.col("p_size") > 40, ">=2.0.0").otherwise("^1.2.0").alias("framework_range"), F.lit(None).cast("string").alias("format_range"))
+    after = v.select("p_brand", (F.col("n") - 1).alias("n"), F.col("plugin").alias("dependency"), *identity)
+    e = v.drop(*identity).join(after, ["p_brand", "n"])
+    needs = e.select("plugin", "dependency", F.lit(">=1.10.0 <2.0.0").alias("range"), F.col("economy").alias("optional"))
+    return workflow.plugin_graph_errors(v.select("plugin", *identity), e.where("not brass").select("plugin", "dependency", *identity), scans, needs, "1.4.0", "1.0.0")
+
+
 LEASED = ("claim", "move", "release")
 MOVES = ("running", "awaiting_approval", "completed", "failed")
 
