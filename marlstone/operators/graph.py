@@ -1,4 +1,4 @@
-"""Closures over edges, alias chains, dependency order, directory trees and their indexes."""
+"""Closures over edges, alias chains, the order of stages, directory trees and their indexes."""
 
 from __future__ import annotations
 
