@@ -31,6 +31,12 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """df in as many partitions as the session's shuffles and cores have: for work that is heavy a row, on a table whose files are few, or whose bytes are."""
+    spark = df.sparkSession
+    return df.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *columns)
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _written:

@@ -63,3 +63,11 @@ def test_aliases_of_all_parts(spark, tmp_path):
     assert got == want
     cycles = {r.subject for r in QUERIES["lint_alias_cycles"](spark, str(tmp_path)).collect()}
     assert cycles == {str(k) for k, (_, _, state) in want.items() if state == "cycle"}
+
+
+def test_csv_of_more_rows_than_one_document_may_have(spark, tmp_path):
+    """A nation of 200,200 rows is partial, one of 1,000 complete, and the one of null stays one."""
+    rows = [(k, 1) for k in range(1001)] + [(k, 2) for k in range(2000, 2005)] + [(k, None) for k in range(3000, 3002)]
+    spark.createDataFrame(rows, "c_custkey long, c_nationkey int").write.parquet(str(tmp_path / "customer.parquet"))
+    got = QUERIES["csv_samples"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got), key=repr) == [("1", "partial", 1000), ("2", "complete", 1000), (None, "complete", 400)]
