@@ -154,3 +154,10 @@ def test_snapshot_store(spark, tmp_path):
     s.commit({"t": merged(s.read("t"), b, ["k"], replace=True)}, 1)
     assert sorted(map(tuple, s.read("t").collect())) == [(1, "y"), (2, "z")]
     assert sorted(map(tuple, merged(a, b, ["k"], replace=False).collect())) == [(1, "x"), (2, "z")]
+
+
+def test_documents_are_spread_over_all_cores(spark):
+    """One file of small rows is one partition; its documents are many tasks' work."""
+    files = spark.range(100).coalesce(1).selectExpr("cast(id as string) source_id", "'a.txt' filename", "cast('x' as binary) content")
+    got = n.normalize(files)
+    assert got.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and got.count() == 100
