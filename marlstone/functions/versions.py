@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The form of a version and of a comparator of a range.
@@ -91,3 +91,9 @@ def within(point: Column, intervals: Column) -> Column:
 def version_satisfies(v: Column, wanted: Column) -> Column:
     """Whether a version is in a range; prereleases count; null if either is malformed."""
     return within(version_point(v), range_intervals(wanted))
+
+
+def with_satisfied(df: DataFrame, version: str, wanted: str, name: str = "ok") -> DataFrame:
+    """df with version_satisfies() of a column and one range as name: its intervals are made once and sent to all tasks."""
+    intervals = df.sparkSession.range(1).select(range_intervals(F.lit(wanted)).alias("_intervals"))
+    return df.crossJoin(F.broadcast(intervals)).withColumn(name, within(version_point(F.col(version)), F.col("_intervals"))).drop("_intervals")

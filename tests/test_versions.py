@@ -85,3 +85,17 @@ def test_random_pairs(spark):
 def test_no_python_in_the_plans(spark, sf, name):
     plan = registry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "NestedLoop" not in plan
+
+
+def test_one_range_is_read_once(spark, tmp_path):
+    """The intervals of a range of the query's own aren't made for each row, and one partition becomes many."""
+    from marlstone.plans import registry
+
+    spark.range(60).selectExpr("id p_partkey", "cast(id % 5 as int) p_size").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    found = registry.queries()["version_ranges"](spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() > 1 and "BroadcastNestedLoopJoin" in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.p_partkey: r.ok for r in found.collect()} == {k: k % 3 == 1 and k % 7 >= 2 or k % 3 == 2 and k % 7 == 3 for k in range(60)}
+    odd = spark.createDataFrame([("1.2.3",), ("x",), (None,)], "v string")
+    for wanted in ("^1.2.0", "1.x || >3", "bad range", ""):
+        got = versions.with_satisfied(odd, "v", wanted).select("v", "ok").collect()
+        assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, odd.select("v", versions.version_satisfies(F.col("v"), F.lit(wanted)).alias("ok")).collect()), key=repr)
