@@ -7,7 +7,7 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.functions.canonical import artifact_hash_column, canonical_json_column
+from marlstone.functions.canonical import artifact_hash_column, canonical_json_column, canonical_struct
 from marlstone.functions.policy import CLASSIFICATIONS, rank
 from marlstone.functions.temporal import instant, is_instant
 from marlstone.functions.text import byte_hash, is_byte_hash, utf16_sorted
@@ -75,7 +75,7 @@ def review_packets(proposals: DataFrame, claims: DataFrame, sensors: DataFrame)
     s = sensors.groupBy("proposal_id").agg(F.array_sort(F.collect_set("code")).alias("codes"), F.bool_or("blocking").alias("blocked"))
     j = proposals.join(c, "proposal_id", "left").join(s, "proposal_id", "left")
     body = F.struct("claims", F.coalesce("codes", F.array().cast("array<string>")).alias("codes"), F.col("proposal_id").alias("proposal"), "review_hash", "revision", "sources")
-    packets = j.select("proposal_id", canonical_json_column(F.to_json(body)).alias("packet"), _true(F.col("blocked")).alias("blocked"))
+    packets = j.select("proposal_id", canonical_struct(body).alias("packet"), _true(F.col("blocked")).alias("blocked"))
     return packets.withColumn("packet_hash", byte_hash(F.col("packet")))
 
 
@@ -83,7 +83,7 @@ def review_receipts(packets: DataFrame, decisions: DataFrame) -> DataFrame:
     """receipt_id, proposal_id, decision, packet_hash, receipt_hash, state of decisions (receipt_id, proposal_id, decision, reviewer, reviewed_at) on packets: issued to human reviewers at a known instant, else refused."""
     j = decisions.join(packets.select("proposal_id", "packet_hash"), "proposal_id", "left")
     ok = F.col("packet_hash").isNotNull() & F.col("reviewer").startswith("human:") & F.col("decision").isin(*DECISIONS) & is_instant(F.col("reviewed_at"))
-    body = artifact_hash_column(F.to_json(F.struct("decision", F.col("receipt_id").alias("id"), "packet_hash", F.col("proposal_id").alias("proposal"), "reviewed_at", "reviewer")))
+    body = byte_hash(canonical_struct(F.struct("decision", F.col("receipt_id").alias("id"), "packet_hash", F.col("proposal_id").alias("proposal"), "reviewed_at", "reviewer")))
     state = F.when(_true(ok), "issued").otherwise("refused")
     return j.select("receipt_id", "proposal_id", "decision", "packet_hash", F.when(state == "issued", body).alias("receipt_hash"), state.alias("state"))
 
@@ -98,7 +98,7 @@ def freshness_authorizations(packets: DataFrame, requests: DataFrame, active: Da
     may = F.col("packet_hash").isNotNull() & F.col("freshness_mode").eqNullSafe("separate") & F.col("role").eqNullSafe("governance-reviewer")
     state = F.when(~may, "denied").when(~F.col("_active").eqNullSafe(F.col("expected_hash")), "conflict").otherwise("granted")
     j = j.select("*", state.alias("state"), F.when(state == "granted", byte_hash(F.concat(F.lit('"'), "stale_after", F.lit('"')))).alias("value_hash"))
-    body = artifact_hash_column(F.to_json(F.struct("actor", "packet_hash", F.col("proposal_id").alias("proposal"), "value_hash")))
+    body = byte_hash(canonical_struct(F.struct("actor", "packet_hash", F.col("proposal_id").alias("proposal"), "value_hash")))
     return j.select("proposal_id", "value_hash", F.when(F.col("state") == "granted", body).alias("authorization_hash"), "state")
 
 
@@ -107,7 +107,7 @@ def prepared(stored: DataFrame, regenerated: DataFrame, assessed: DataFrame, rec
     j = stored.select("proposal_id", F.col("packet_hash").alias("_was")).join(regenerated.select("proposal_id", F.col("packet_hash").alias("_now")), "proposal_id", "left")
     j = j.join(assessed.select("proposal_id", "allowed"), "proposal_id", "left").join(receipts.select("proposal_id", "receipt_id"), "proposal_id", "left")
     state = F.when(~F.col("_was").eqNullSafe(F.col("_now")), "review-input-drift").when(~_true(F.col("allowed")), "denied").otherwise("prepared")
-    intent = canonical_json_column(F.to_json(F.struct(F.col("_was").alias("packet_hash"), F.lit(now).alias("prepared_at"), F.col("proposal_id").alias("proposal"), F.col("receipt_id").alias("receipt"))))
+    intent = canonical_struct(F.struct(F.col("_was").alias("packet_hash"), F.lit(now).alias("prepared_at"), F.col("proposal_id").alias("proposal"), F.col("receipt_id").alias("receipt")))
     return j.select("proposal_id", state.alias("state"), F.when(state == "prepared", intent).alias("intent"))
 
 

@@ -106,3 +106,20 @@ def test_inert_characters_are_those_that_the_form_leaves_alone():
     inert = re.compile(f"[{text.INERT}]")
     assert all((unicodedata.normalize("NFKC", chr(i)) == chr(i)) == bool(inert.match(chr(i))) for i in range(0x300))
     assert all(unicodedata.normalize("NFC", chr(i)) == chr(i) for i in range(0x300))
+
+
+def test_canonical_structs_are_canonical_json(spark):
+    """What Spark writes itself is what the canonical form is, and plain texts don't go to Python."""
+    texts = ["plain /path 'q'", 'a"b', "back\\slash", "tab\t", "\x1f", "\x7f", "é", "e\u0301", "漢", "", None]
+    df = spark.createDataFrame([(t, [t, "x"], i, i % 2 == 0) for i, t in enumerate(texts)], "a string, b array<string>, c long, d boolean")
+    body = F.struct("a", "b", F.struct("c", "d").alias("e"))
+    got = df.select(canonical.canonical_struct(body).alias("x"), canonical.canonical_json_column(F.to_json(body)).alias("y")).collect()
+    assert all(r.x == r.y and r.x is not None for r in got)
+
+
+def test_packets_of_a_query_are_made_once(spark, sf):
+    """What is used again is read from a written table: the claims are not scanned in the plan."""
+    from marlstone.plans import registry
+
+    plan = registry.queries()["review_receipts"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem" not in plan and "l_orderkey" not in plan
