@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from marlstone.functions import canonical, policy, temporal, text
 from marlstone.operators import evaluation, governance, graph, json_tree, lint, relational, retrieval, review, workflow
 from marlstone.operators.spans import numbered
+from marlstone.operators.stage import written
 from marlstone.sources import store
 
 from . import core_queries as core
@@ -333,7 +334,7 @@ def review_packets(claim):
 @query("claim", sql=f"""WITH {PACKETS} SELECT 'rc' || proposal_id AS receipt_id, proposal_id, CASE WHEN CAST(proposal_id AS INTEGER) % 5 IN (1, 2) THEN 'refused' ELSE 'issued' END AS state,
  CASE WHEN CAST(proposal_id AS INTEGER) % 5 NOT IN (1, 2) THEN 'sha256:' || sha256('{{"decision":"approved","id":"rc' || proposal_id || '","packet_hash":"sha256:' || sha256(packet) || '","proposal":"' || proposal_id || '","reviewed_at":"2026-01-01T00:00:00Z","reviewer":"human:ann"}}') END AS receipt_hash FROM k""")
 def review_receipts(claim):
-    p = packets_of(claim)
+    p = written(packets_of(claim))
     k = F.col("proposal_id").cast("int") % 5
     d = p.select(F.concat(F.lit("rc"), "proposal_id").alias("receipt_id"), "proposal_id", F.lit("approved").alias("decision"), F.when(k == 1, "process:bot").otherwise("human:ann").alias("reviewer"), F.when(k == 2, "2026-01-01").otherwise(NOW).alias("reviewed_at"))
     return review.review_receipts(p, d).select("receipt_id", "proposal_id", "state", "receipt_hash")
@@ -351,7 +352,7 @@ def freshness_authorizations(orders):
 @query("claim", sql=f"""WITH {PACKETS} SELECT proposal_id, CASE WHEN CAST(proposal_id AS INTEGER) % 4 = 0 THEN 'review-input-drift' WHEN CAST(proposal_id AS INTEGER) % 4 = 1 THEN 'denied' ELSE 'prepared' END AS state,
  CASE WHEN CAST(proposal_id AS INTEGER) % 4 > 1 THEN '{{"packet_hash":"sha256:' || sha256(packet) || '","prepared_at":"2026-01-01T00:00:00Z","proposal":"' || proposal_id || '","receipt":"rc' || proposal_id || '"}}' END AS intent FROM k""")
 def prepared_publications(claim):
-    stored, k = packets_of(claim), F.col("proposal_id").cast("int") % 4
+    stored, k = written(packets_of(claim)), F.col("proposal_id").cast("int") % 4
     other = packets_of(claim, "r2").where(k == 0)
     again = stored.where(k != 0).unionByName(other)
     return review.prepared(stored, again, stored.select("proposal_id", (k != 1).alias("allowed")), stored.select("proposal_id", F.concat(F.lit("rc"), "proposal_id").alias("receipt_id")), NOW)
