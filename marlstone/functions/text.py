@@ -33,14 +33,15 @@ INJECTION_PATTERNS = (
 INERT = "\u0000-\u009f\u00a1-\u00a7\u00a9\u00ab-\u00ae\u00b0\u00b1\u00b6\u00b7\u00bb\u00bf-\u0131\u0134-\u013e\u0141-\u0148\u014a-\u017e\u0180-\u01c3\u01cd-\u01f0\u01f4-\u02af\u02b9-\u02d7\u02de\u02df\u02e5-\u02ff"
 
 
-@F.pandas_udf(StringType())
-def _nfc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
+# Rows of plain functions go to Python a hundred at a time: a batch of Arrow would hold 10,000 whole texts.
+@F.udf(StringType(), useArrow=False)
+def _nfc(x: str | None) -> str | None:
+    return None if x is None else unicodedata.normalize("NFC", x)
 
 
-@F.pandas_udf(StringType())
-def _nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+@F.udf(StringType(), useArrow=False)
+def _nfkc(x: str | None) -> str | None:
+    return None if x is None else unicodedata.normalize("NFKC", x)
 
 
 def nfc(c: Column) -> Column:

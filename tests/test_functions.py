@@ -123,3 +123,12 @@ def test_packets_of_a_query_are_made_once(spark, sf):
 
     plan = registry.queries()["review_receipts"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "lineitem" not in plan and "l_orderkey" not in plan
+
+
+def test_texts_to_normalise_are_few_at_a_time(spark):
+    """NFC and NFKC take rows in small batches, not thousands of whole texts at once."""
+    df = spark.createDataFrame([("e\u0301",), ("plain",), (None,), ("\ufb01",)], "t string")
+    got = df.select(text.nfc(F.col("t")).alias("c"), text.nfkc(F.col("t")).alias("k"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+    assert [tuple(r) for r in got.collect()] == [("é", "é"), ("plain", "plain"), (None, None), ("\ufb01", "fi")]
