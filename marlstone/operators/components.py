@@ -1,4 +1,8 @@
-"""Cycles of any length: pointer doubling along chains and rings, colouring of what branches."""
+"""Cycles of any length: pointer doubling along chains and rings, colouring of what branches.
+
+Tables of nodes compress to a few bytes a row, so that Spark takes large ones for small and
+would send them to the driver and from there to all tasks: their joins are told to shuffle.
+"""
 
 from __future__ import annotations
 
@@ -16,13 +20,13 @@ def jumped(succ: DataFrame, rows: int) -> DataFrame:
     meet. The steps double each time, so that there are log2(rows) of them, two in a job,
     with a row a node.
     """
-    inner = succ.select(F.col("node").alias("to"), F.lit(True).alias("_inner"))
+    inner = succ.select(F.col("node").alias("to"), F.lit(True).alias("_inner")).hint("merge")
     goes = F.coalesce("_inner", F.lit(False))
     now = written(succ.join(inner, "to", "left").select("node", F.when(goes, F.col("to")).otherwise(F.col("node")).alias("last"), F.when(goes, F.least("node", "to")).otherwise(F.col("node")).alias("least"), (~goes).alias("ended")))
 
     def twice(df: DataFrame) -> DataFrame:
         on = df.select(F.col("node").alias("last"), F.col("last").alias("_last"), F.col("least").alias("_least"), "ended")
-        return df.drop("ended").join(on, "last").select("node", F.col("_last").alias("last"), F.least("least", "_least").alias("least"), "ended")
+        return df.drop("ended").join(on.hint("merge"), "last").select("node", F.col("_last").alias("last"), F.least("least", "_least").alias("least"), "ended")
 
     for _ in range((max(1, rows).bit_length() + 2) // 2):
         now = written(twice(twice(now)))
@@ -47,17 +51,17 @@ def _contracted(e: DataFrame) -> tuple[DataFrame | None, DataFrame | None, DataF
     """rings (node, root), inner nodes (node, enters, leaves), closed nodes (node), and e with each chain of nodes of one way in and one out as an edge."""
     outs = e.groupBy("node").agg(F.count("*").alias("n_out"), F.max("depends_on").alias("to"))
     ins = e.groupBy(F.col("depends_on").alias("node")).agg(F.count("*").alias("n_in"))
-    through = written(outs.join(ins, "node").where("n_out = 1 and n_in = 1").select("node", "to"))
+    through = written(outs.join(ins.hint("merge"), "node").where("n_out = 1 and n_in = 1").select("node", "to"))
     rows = through.count()
     if not rows:
         return None, None, None, e
     ends = jumped(through, rows)
     rings, chains = ends.where("not ended").select("node", F.col("least").alias("root")), ends.where("ended").select("node", "last")
-    own, others = through.select("node"), through.select(F.col("node").alias("depends_on"))
-    enters = e.join(others, "depends_on", "left_semi").join(own, "node", "left_anti").select(F.col("node").alias("enters"), F.col("depends_on").alias("node")).join(chains, "node").select("last", "enters")
-    leaves = through.join(chains.where("node = last").select("node"), "node", "left_semi").select(F.col("node").alias("last"), F.col("to").alias("leaves"))
-    spans = written(enters.join(leaves, "last"))
-    inner = written(chains.join(spans, "last").select("node", "enters", "leaves"))
+    own, others = through.select("node").hint("merge"), through.select(F.col("node").alias("depends_on")).hint("merge")
+    enters = e.join(others, "depends_on", "left_semi").join(own, "node", "left_anti").select(F.col("node").alias("enters"), F.col("depends_on").alias("node")).join(chains.hint("merge"), "node").select("last", "enters")
+    leaves = through.join(chains.where("node = last").select("node").hint("merge"), "node", "left_semi").select(F.col("node").alias("last"), F.col("to").alias("leaves"))
+    spans = written(enters.join(leaves.hint("merge"), "last"))
+    inner = written(chains.join(spans.hint("merge"), "last").select("node", "enters", "leaves"))
     rest = e.join(own, "node", "left_anti").join(others, "depends_on", "left_anti").select("node", "depends_on")
     new = rest.union(spans.where("enters <> leaves").select(F.col("enters").alias("node"), F.col("leaves").alias("depends_on"))).distinct()
     return written(rings), inner, spans.where("enters = leaves").select(F.col("enters").alias("node")).distinct(), written(new)
@@ -85,7 +89,7 @@ def _coloured(e: DataFrame) -> DataFrame:
 def _trimmed(e: DataFrame) -> DataFrame:
     """Edges whose two nodes have both a way in and a way out."""
     with_out, with_in = e.select(F.col("node").alias("depends_on")).distinct(), e.select(F.col("depends_on").alias("node")).distinct()
-    return e.join(with_out, "depends_on", "left_semi").join(with_in, "node", "left_semi").select("node", "depends_on")
+    return e.join(with_out.hint("merge"), "depends_on", "left_semi").join(with_in.hint("merge"), "node", "left_semi").select("node", "depends_on")
 
 
 def strongly_connected(edges: DataFrame) -> DataFrame:
@@ -112,10 +116,10 @@ def strongly_connected(edges: DataFrame) -> DataFrame:
         e = written(e.join(some.select("node"), "node", "left_anti").join(some.select(F.col("node").alias("depends_on")), "depends_on", "left_anti").select("node", "depends_on"))
         size = e.count()
     for inner, closed in reversed(trail):
-        found = written(found.union(closed.join(found, "node", "left_anti").select("node", F.col("node").alias("root"))))
+        found = written(found.union(closed.join(found.hint("merge"), "node", "left_anti").select("node", F.col("node").alias("root"))))
         at = lambda c: found.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))  # noqa: B023, E731
-        found = written(found.union(inner.join(at("enters"), "enters").join(at("leaves"), "leaves").where("enters_root = leaves_root").select("node", F.col("enters_root").alias("root"))))
-    members = found.union(loops.join(found, "node", "left_anti").select("node", F.col("node").alias("root")))
+        found = written(found.union(inner.join(at("enters").hint("merge"), "enters").join(at("leaves").hint("merge"), "leaves").where("enters_root = leaves_root").select("node", F.col("enters_root").alias("root"))))
+    members = found.union(loops.join(found.hint("merge"), "node", "left_anti").select("node", F.col("node").alias("root")))
     sizes = members.groupBy("root").agg(F.min("node").alias("least"), F.count("*").alias("n"))
-    kept = members.join(sizes, "root").join(loops.withColumn("_loop", F.lit(True)), "node", "left")
+    kept = members.join(sizes.hint("merge"), "root").join(loops.withColumn("_loop", F.lit(True)).hint("merge"), "node", "left")
     return kept.where("n > 1 or _loop").select("node", F.col("least").alias("root"))
