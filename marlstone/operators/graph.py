@@ -30,7 +30,7 @@ def closure(seeds: DataFrame, edges: DataFrame, most: int = 1000) -> DataFrame:
 
 def resolved_aliases(aliases: DataFrame, most: int = MOST_HOPS) -> DataFrame:
     """from_id, to_id, hops, state (resolved, cycle, limit): each alias followed to its end, at most so many hops."""
-    step = aliases.select(F.col("from_id").alias("_from"), F.col("to_id").alias("_to"))
+    step = aliases.select(F.col("from_id").alias("_from"), F.col("to_id").alias("_to")).hint("merge")  # else each task holds it whole, a hop
     now = aliases.select("from_id", "to_id", F.lit(1).alias("hops"), F.array("from_id").alias("seen"))
     now = now.withColumn("state", F.when(F.col("to_id") == F.col("from_id"), "cycle"))
     for hop in range(2, most + 2):

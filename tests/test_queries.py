@@ -71,3 +71,9 @@ def test_csv_of_more_rows_than_one_document_may_have(spark, tmp_path):
     spark.createDataFrame(rows, "c_custkey long, c_nationkey int").write.parquet(str(tmp_path / "customer.parquet"))
     got = QUERIES["csv_samples"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got), key=repr) == [("1", "partial", 1000), ("2", "complete", 1000), (None, "complete", 400)]
+
+
+@pytest.mark.parametrize("name", ["alias_chain", "stage_cycles"])
+def test_tables_of_nodes_are_not_sent_to_all_tasks(spark, sf, name):
+    """They grow with the parts, so that the joins along them shuffle."""
+    assert "BroadcastHashJoin" not in QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
