@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.operators.stage import written
+from marlstone.operators.stage import spread, written
 
 # The keys that refer to sources, by what they hold.
 REFERENCE_KEYS = {"source_id": "id", "source_ids": "id", "source_hash": "hash", "source_hashes": "hash"}
@@ -75,7 +75,7 @@ def differences(df: DataFrame, keys: list[str], before: Column, after: Column) -
     in a path with an atomic word are leaves.
     """
     sides = F.struct(F.try_parse_json(before).alias("before"), F.try_parse_json(after).alias("after")).alias("_v")
-    level = written(df.select(*keys, F.monotonically_increasing_id().alias("_row"), F.lit("").alias("path"), sides).select(*keys, "_row", "path", "_v.before", "_v.after"))
+    level = written(spread(df).select(*keys, F.monotonically_increasing_id().alias("_row"), F.lit("").alias("path"), sides).select(*keys, "_row", "path", "_v.before", "_v.after"))
     own, found = [*keys, "_row", "path"], []
     for _ in range(MOST_DEPTH + 1):
         changed = level.where(~_alike(F.col("before"), F.col("after"))).withColumn("inner", F.lit(None).cast("string"))

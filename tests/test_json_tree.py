@@ -52,3 +52,14 @@ def test_no_python_in_the_plans(spark, sf):
     for name in ("policy_diff", "provenance_inventory"):
         plan = registry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_documents_of_one_partition_are_spread(spark, monkeypatch):
+    """The first level is parsed by many tasks, however few files the documents are in."""
+    from marlstone.operators import json_tree as tree
+
+    parts, write = [], tree.written
+    monkeypatch.setattr(tree, "written", lambda df: (parts or parts.append(df.rdd.getNumPartitions()), write(df))[1])
+    df = spark.range(20).coalesce(1).selectExpr("id", "'{\"a\":1}' b", "'{\"a\":2}' c")
+    got = tree.differences(df, ["id"], df["b"], df["c"])
+    assert parts[0] > 1 and sorted(map(tuple, got.collect())) == [(i, "/a", "1", "2") for i in range(20)]
