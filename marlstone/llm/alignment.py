@@ -144,6 +144,11 @@ def parts_of(text, whole: bool):
     return F.when(F.length(text) > 0, F.array(full) if whole else F.split(full, BREAK))
 
 
+def key_of(part):
+    """What tells parts apart: a short part itself, which begins with a space, else its digest, which doesn't. Rows of tokens carry it, so that it must not grow with the part."""
+    return F.when(F.octet_length(part) <= SHORT, part).otherwise(F.sha2(part.cast("binary"), 256))
+
+
 def cut_off(counts: DataFrame, column: str, most: int) -> int:
     """A count that at most `most` rows reach: from a histogram with eight steps a doubling."""
     steps = counts.groupBy(F.floor(F.log2(column) * 8).alias("step")).agg(F.min(column).alias("least"), F.count("*").alias("rows")).orderBy(F.desc("step")).collect()
@@ -173,10 +178,12 @@ def aligned(docs: DataFrame, folder: str = FOLDER) -> DataFrame:
     base = rows.select(F.monotonically_increasing_id().alias("row"), F.col(rows.columns[place(docs, "doc_id")]).alias("doc_id"), F.col(rows.columns[place(docs, "text")]).alias("text"))
     a_path, b_path = f"{folder}/{BYTE_BPE}", f"{folder}/{PIECES}"
     whole = not breakable(b_path)
-    finer = FINER * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shuffled = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     occurring = base.select("row", F.explode(parts_of(F.col("text"), whole)).alias("part"))
     counted = occurring.groupBy("part").agg(F.count("*").alias("times"))
-    parts = stash(described(tokenised(counted, a_path, b_path).repartition(finer, "part"), "part", "times"))
+    occurring = occurring.withColumn("part", key_of(F.col("part")))
+    tokens = tokenised(counted, a_path, b_path).withColumn("part", key_of(F.col("part")))
+    parts = stash(described(tokens.repartition(FINER * shuffled, "part"), "part", "times"))
     # a document with a part that has no tokens has none, and its other parts don't count either
     bad = parts.where("n_links IS NULL").select("part")
     if not bad.isEmpty():
@@ -188,7 +195,7 @@ def aligned(docs: DataFrame, folder: str = FOLDER) -> DataFrame:
     highest = F.broadcast(pairs.groupBy("b").agg(F.max("count").alias("highest")))  # a row an id of the vocabulary, at most
     pairs = stash(pairs.join(highest, "b").select("pair", "count", "parts", (F.col("count") == F.col("highest")).cast("long").alias("best")))
     least_pair = cut_off(pairs, "parts", PAIRS)
-    brief = F.octet_length("part") <= SHORT
+    brief = F.col("part").startswith(" ")
     least = cut_off(parts.where(brief & (F.col("times") > 0)).select("times"), "times", FREQUENT)
     often = brief & (F.col("times") >= least)
 
@@ -196,17 +203,18 @@ def aligned(docs: DataFrame, folder: str = FOLDER) -> DataFrame:
         return some.join(scored(some, pairs, least_pair), "part").drop("links")
 
     sent = F.broadcast(stash(complete(parts.where(often & F.col("n_links").isNotNull()).drop("times"))))
-    placed = base.repartition("row").select("row", "doc_id", F.posexplode_outer(parts_of(F.col("text"), whole)).alias("nth", "part")).join(sent, "part", "left")
+    placed = base.repartition(shuffled, "row").select("row", "doc_id", F.posexplode_outer(parts_of(F.col("text"), whole)).alias("nth", "part")).withColumn("part", key_of(F.col("part"))).join(sent, "part", "left")
     totals = [F.sum(c).alias(c) for c in SUMS]
     texts = F.collect_list(F.when(F.col("n_links").isNotNull(), F.struct("nth", "groups"))).alias("texts")
     main = placed.groupBy("row", "doc_id").agg(*totals, texts, F.count(F.when(F.col("part").isNotNull() & F.col("n_links").isNull(), 1)).alias("open"))
     lone = complete(parts.where(~often & F.col("n_links").isNotNull()).drop("times"))
-    rest = placed.where("part IS NOT NULL AND n_links IS NULL").select("row", "nth", "part").join(lone, "part").groupBy("row").agg(*[F.sum(c).alias(f"_{c}") for c in SUMS], F.collect_list(F.struct("nth", "groups")).alias("_texts"), F.count("*").alias("met"))
+    # doc_id as in main, so that both read one shuffle of the texts
+    rest = placed.where("part IS NOT NULL AND n_links IS NULL").select("row", "doc_id", "nth", "part").join(lone, "part").groupBy("row").agg(F.first("doc_id").alias("_id"), *[F.sum(c).alias(f"_{c}") for c in SUMS], F.collect_list(F.struct("nth", "groups")).alias("_texts"), F.count("*").alias("met"))
     both = main.join(rest, "row", "left")
     right = F.col("open") == F.coalesce("met", F.lit(0))  # else a part has no tokens
     joined = both.withColumn("all", F.array_sort(F.concat("texts", F.coalesce("_texts", F.array().cast("array<struct<nth:int,groups:string>>")))))
     out = {c: F.when(right, F.coalesce(F.col(c), F.lit(0)) + F.coalesce(F.col(f"_{c}"), F.lit(0))).otherwise(0).cast("long") for c in SUMS}
-    return joined.select("doc_id", *[v.alias(k) for k, v in out.items()], F.when(right, F.array_join(F.transform("all", lambda x: x["groups"]), ";")).otherwise("").alias("groups"))
+    return joined.select(F.coalesce("doc_id", "_id").alias("doc_id"), *[v.alias(k) for k, v in out.items()], F.when(right, F.array_join(F.transform("all", lambda x: x["groups"]), ";")).otherwise("").alias("groups"))
 
 
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:

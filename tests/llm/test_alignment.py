@@ -105,6 +105,26 @@ def test_rare_parts_and_pairs_by_shuffle(spark, make, monkeypatch, few):
     assert got(spark, make(rows, extra=False)) == sorted(((d, *x) for (d, _), x in zip(rows, plain([t for _, t in rows]), strict=True)), key=repr)
 
 
+def test_no_row_carries_a_long_part(spark, make, monkeypatch):
+    """A part of any length goes by a key of at most 64 bytes; a digest that stands as a text is another part."""
+    from marlstone.llm import common
+
+    lines = "line\n" * 3000
+    digest = hashlib.sha256((" " + lines).encode()).hexdigest()
+    rows = [(1, lines), (2, "a b"), (3, lines), (4, digest), (5, f"a {digest}"), (6, lines + " a b")]
+    longest = []
+
+    def stash(df):
+        out = common.stash(df)
+        if "part" in out.columns:
+            longest.append(out.agg(F.max(F.octet_length("part"))).first()[0])
+        return out
+
+    monkeypatch.setattr(al, "stash", stash)
+    assert got(spark, make(rows, extra=False)) == sorted(((d, *x) for (d, _), x in zip(rows, plain([t for _, t in rows]), strict=True)), key=repr)
+    assert longest and max(longest) <= al.SHORT
+
+
 def test_parts_joined_are_the_whole(spark, monkeypatch):
     """Splitting before tokenising changes nothing: whole texts give the same tokens as their parts."""
     t = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).to_pydict()["text"][:300]
