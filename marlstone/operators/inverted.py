@@ -1,7 +1,8 @@
 """An inverted index over concepts, and top-k search of a table of queries that stops early.
 
-The index is three written tables: postings (a row a term, concept and field, sorted by
-term), what is known of each term of a mount, and the catalog without texts. A search reads
+The index is three written tables: postings (a row a term, concept and field; each file
+sorted by term), what is known of each term of a mount, and the catalog without texts. Where
+all terms that will be asked for are known, it has the postings of these alone. A search reads
 no text. Terms of a query go from rare to frequent: the rare ones open candidates, whose
 scores bound the last place; a term whose weight and all more frequent ones' together stay
 under that bound opens no candidates and only completes the scores of those that are left.
@@ -31,8 +32,13 @@ class Index:
     catalog: DataFrame  # all columns of the concepts but the texts
 
 
-def indexed(concepts: DataFrame, normalise: bool = True) -> Index:
-    """The index of concepts (mount_id, concept_id, title, description, tags, body and what eligible() needs)."""
+def vocabulary(queries: DataFrame, normalise: bool = True) -> DataFrame:
+    """term: all terms of queries (text)."""
+    return queries.select(F.explode(terms(F.col("text"), normalise)).alias("term")).distinct()
+
+
+def indexed(concepts: DataFrame, normalise: bool = True, asked: DataFrame | None = None) -> Index:
+    """The index of concepts (mount_id, concept_id, title, description, tags, body and what eligible() needs); asked: the terms that it will be searched for, if they are known."""
     fields = {"title": F.coalesce("title", F.col("concept_id").cast("string")), "tags": F.array_join("tags", " "), "description": F.col("description"), "body": F.col("body")}
 
     def weighed(name: str):
@@ -41,7 +47,9 @@ def indexed(concepts: DataFrame, normalise: bool = True) -> Index:
 
     found = [weighed(name) for name in fields]
     rows = concepts.select(*ID, F.explode(F.concat(*found)).alias("_p")).select("_p.term", *ID, "_p.weight")
-    postings = written(rows.repartitionByRange("term", *ID).sortWithinPartitions("term", *ID))
+    if asked is not None:
+        rows = rows.join(written(asked.select("term").distinct()), "term", "left_semi")  # written, so that its size is known
+    postings = written(rows.sortWithinPartitions("term", *ID))  # where the texts are read: ranges of terms would have them read twice
     by_field = postings.groupBy("term", "mount_id", "weight").agg(F.count("*").alias("n"))
     known = written(by_field.groupBy("term", "mount_id").agg(F.sum("n").alias("postings"), F.sum("weight").alias("most")))
     return Index(postings, known, written(concepts.drop("body", "description", "tags")))

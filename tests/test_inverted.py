@@ -50,3 +50,13 @@ def test_no_text_is_scanned(spark, sf, concepts):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "body" not in plan and "documents.parquet" not in plan
     assert "body" not in index.catalog.columns
+
+
+def test_an_index_of_asked_terms_only(spark, concepts):
+    """Where the terms are known before, no other term has postings, the texts are read once, and the rows are the same."""
+    queries = spark.createDataFrame([(1, "the license of er and"), (2, "er er zzzz the xx")], "query_id int, text string")
+    want = rows(inverted.search_batch(inverted.indexed(concepts), mounts(concepts), queries, today=TODAY))
+    some = inverted.indexed(concepts, asked=inverted.vocabulary(queries))
+    assert {x.term for x in some.postings.select("term").distinct().collect()} <= {"the", "license", "of", "er", "and", "zzzz", "xx"}
+    assert want and rows(inverted.search_batch(some, mounts(concepts), queries, today=TODAY)) == want
+    assert inverted.indexed(concepts, asked=inverted.vocabulary(queries.limit(0))).postings.isEmpty()
