@@ -92,6 +92,19 @@ def test_a_finished_table(spark, tmp_path):
     assert [x[5] for x in rows(leases.replayed(spark.createDataFrame(odd, SCHEMA), str(tmp_path / "c")))] == ["busy", "busy", "locked"]
 
 
+def test_in_order_is_the_stream(spark, tmp_path):
+    """One pass over sorted events gives what the stream gives, with ids that repeat, bad rows and many workflows a task, and starts no stream."""
+    events = made(80, 7)
+    odd = [(None, 1, T0, "claim", "a", 1, 0, ""), ("w1", None, T0, "claim", "a", 1, 0, ""), ("w1", 900, None, "claim", "a", 1, 0, ""), ("w", 1, T0, "claim", None, 5, 0, ""), ("w", 2, T0, "claim", "a", None, 0, ""), ("w", 3, T0, None, None, None, None, None),
+           ("v", 5, T0, "move", "a", None, 0, "running"), ("v", 5, T0, "claim", "b", 60_000, 0, ""), ("v", 5, T0, "claim", "a", 60_000, 0, "")]
+    table = spark.createDataFrame([*events, *odd], SCHEMA)
+    found = leases.in_order(table)
+    assert found.schema.simpleString() == leases.replayed(table.limit(0), str(tmp_path / "a")).schema.simpleString()
+    assert rows(found) == rows(leases.replayed(table, str(tmp_path / "b")))
+    assert rows(leases.in_order(table.repartition(7))) == rows(leases.in_order(table.coalesce(1)))
+    assert rows(leases.in_order(table.limit(0))) == []
+
+
 def test_all_events(spark, sf):
     """The query over all events of the smallest table, against the plain replay."""
     from marlstone.plans import registry, workflow_queries
