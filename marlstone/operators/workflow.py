@@ -17,6 +17,7 @@ from marlstone.operators.graph import closure
 from marlstone.operators.json_tree import differences
 from marlstone.operators.relational import tree_hash
 from marlstone.operators.spans import numbered
+from marlstone.operators.stage import spread
 
 # Where in a policy path a changed leaf has which rule, and what counts as done with a copy.
 BOUNDARY_WORDS = ("network", "execute", "macro", "subprocess", "credential", "permission", "security", "filesystem", "access", "rights", "resource", "memory", "cpu", "output", "budget", "limit")
@@ -127,9 +128,10 @@ def scoped(requests: DataFrame, scopes: DataFrame) -> DataFrame:
 
 def provenance_failures(concepts: DataFrame, sources: DataFrame, sidecar: DataFrame) -> DataFrame:
     """path, code: source ids that stand twice, malformed hashes, claims of unknown sources or of another hash."""
-    twice = sources.groupBy("path", "id").agg(F.count("*").alias("n")).where("n > 1").select("path", F.lit("SOURCE_DUPLICATE").alias("code"))
+    apart = spread(sources, "path", "id")  # as small rows, else few tasks would hold the groups of all ids
+    twice = apart.groupBy("path", "id").agg(F.count("*").alias("n")).where("n > 1").select("path", F.lit("SOURCE_DUPLICATE").alias("code"))
     malformed = sources.where(F.col("source_hash").isNotNull() & ~is_byte_hash(F.col("source_hash"))).select("path", F.lit("SOURCE_HASH_INVALID"))
-    j = sidecar.join(sources.select("path", F.col("id").alias("source_entry_id"), F.col("source_hash").alias("_h"), F.lit(True).alias("_there")), ["path", "source_entry_id"], "left")
+    j = sidecar.join(apart.select("path", F.col("id").alias("source_entry_id"), F.col("source_hash").alias("_h"), F.lit(True).alias("_there")), ["path", "source_entry_id"], "left")
     code = F.when(F.col("_there").isNull(), "CLAIM_SOURCE_UNKNOWN").when(~F.col("_h").eqNullSafe(F.col("source_hash")), "CLAIM_HASH_MISMATCH")
     lost = concepts.join(sources.select("path").distinct(), "path", "left_anti").where("not source_exempt").select("path", F.lit("SOURCE_MISSING"))
     return twice.union(malformed).union(j.select("path", code.alias("code")).where("code is not null")).union(lost).distinct()

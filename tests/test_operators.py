@@ -121,3 +121,16 @@ def test_streams(spark, tmp_path):
     keys = spark.read.parquet(source).select("idempotency_key").distinct().count()
     assert spark.table("dedup").count() == keys
     assert spark.table("states").count() == 1000
+
+
+def test_provenance_spreads_its_sources(spark):
+    """Ids are counted and met in as many parts as the session has at least, however small their rows are."""
+    from marlstone.operators import workflow
+
+    h, g = "sha256:" + "0" * 64, "sha256:" + "1" * 64
+    sources = spark.createDataFrame([("a", "1", h), ("a", "1", h), ("a", "2", "x"), ("b", "1", h), ("b", "2", None)], "path string, id string, source_hash string")
+    sidecar = spark.createDataFrame([("a", "3", h), ("b", "1", g), ("b", "2", None)], "path string, source_entry_id string, source_hash string")
+    concepts = spark.createDataFrame([("a", False), ("c", False), ("d", True)], "path string, source_exempt boolean")
+    found = workflow.provenance_failures(concepts, sources, sidecar)
+    assert sorted(map(tuple, found.collect())) == [("a", "CLAIM_SOURCE_UNKNOWN"), ("a", "SOURCE_DUPLICATE"), ("a", "SOURCE_HASH_INVALID"), ("b", "CLAIM_HASH_MISMATCH"), ("c", "SOURCE_MISSING")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression [path") == 2
