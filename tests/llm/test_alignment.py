@@ -137,3 +137,69 @@ def test_parts_joined_are_the_whole(spark, monkeypatch):
             parts = regex.split(r"(?<=[\p{L}\p{N}\p{P}])(?= [\p{L}\p{N}\p{P}])", " " + text, flags=regex.V1)
             assert "".join(parts) == " " + text
             assert [i for x in encode(parts) for i in x] == encode([" " + text])[0]
+
+
+def test_neither_texts_nor_parts_are_kept_or_shuffled(spark, make, monkeypatch):
+    """Between the two readings stand pairs of ids alone, and the documents leave the second without an exchange."""
+    from marlstone.llm import common
+
+    r = random.Random(5)
+    rows = [(i, " ".join("".join(r.choice("aeinst") for _ in range(r.randint(2, 9))) for _ in range(60))) for i in range(200)]
+    kept = []
+
+    def stash(df):
+        out = common.stash(df)
+        kept.append((sorted(out.columns), out.count()))
+        return out
+
+    monkeypatch.setattr(al, "stash", stash)
+    monkeypatch.setattr(al, "FREQUENT", 100)
+    docs = make(rows, extra=False).repartition(2 * spark.sparkContext.defaultParallelism)
+    found = al.aligned(docs)
+    pairs = len({tuple(p) for x in rows for p in zip(*linked(x[1]))})
+    assert kept and all(n <= max(100, pairs) for _, n in kept)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1  # of the test's own repartition
+    assert sorted(map(tuple, found.drop("groups").collect())) == sorted((d, *x[:-1]) for (d, _), x in zip(rows, plain([t for _, t in rows]), strict=True))
+
+
+def linked(text):
+    """The ids of both sides that cover the bytes before each end."""
+    found = []
+    for load, path in ((al.byte_bpe, al.BYTE_BPE), (al.pieces, al.PIECES)):
+        encode, table = load(f"{al.FOLDER}/{path}")
+        ids = encode([" " + text])[0]
+        found.append([i for i in ids for _ in table[i]])
+    return found
+
+
+@pytest.mark.parametrize("most", [1, 40, 1 << 20])
+def test_parts_of_a_batch_tokenised_at_once(most, monkeypatch):
+    """Parts joined, or cut off one by one where a whole isn't right, have the tokens that each has alone; looked up ones too."""
+    import numpy as np
+    import pyarrow as pa
+    import regex
+
+    monkeypatch.setattr(al, "JOINED", most)
+    texts = [*ODD, "one ▁two three four ▁ five", "ünder çédille 漢字 ende", "😀 emoji 😀", "a" * 300 + " b", "x  y", "ab  cd", "a ́b"]
+    parts, first = al.parts_in(pa.array(texts), False)
+    want = [regex.split(r"(?<=[\p{L}\p{N}\p{P}])(?= [\p{L}\p{N}\p{P}])", " " + t, flags=regex.V1) for t in texts]
+    assert [parts[i:j].to_pylist() for i, j in zip(first, first[1:])] == want
+    paths = [f"{al.FOLDER}/{al.BYTE_BPE}", f"{al.FOLDER}/{al.PIECES}"]
+    given = parts.unique()
+    found = al.matched(given, paths, False, None)
+    alone = [al.matched(given.slice(i, 1).take(pa.array([0])), paths, False, None) for i in range(len(given))]
+    assert [bool(found.good[k]) for k in found.rank] == [bool(x.good[0]) for x in alone] and not found.good.all()
+    for side in (0, 1):
+        starts = np.concatenate([[0], np.cumsum(found.n[side])])
+        assert [found.ids[side][starts[k] : starts[k + 1]].tolist() for k in found.rank] == [x.ids[side].tolist() for x in alone]
+    some = [i for i in range(0, len(given), 2) if alone[i].good[0]]
+    memo = al.Memo(given.take(pa.array(some)), [(np.concatenate([alone[i].ids[s] for i in some]), np.concatenate([[0], np.cumsum([len(alone[i].ids[s]) for i in some])])) for s in (0, 1)])
+    again = al.matched(given, paths, False, memo)
+    texts_of = [al.shown(x) for x in (found, again)]
+    assert [texts_of[0][int(k)].as_py() for k in found.rank] == [texts_of[1][int(k)].as_py() for k in again.rank]
+
+
+def test_one_row_group_is_many_tasks(spark, make, monkeypatch):
+    """Rows that lie in one task are dealt out before they are tokenised."""
+    docs = make([(i, f"text {i} of some words") for i in range(400)], extra=False).coalesce(1)
+    assert al.aligned(docs).select(F.spark_partition_id()).distinct().count() > 1
