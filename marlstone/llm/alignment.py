@@ -370,7 +370,6 @@ def summed(base: DataFrame, paths: list[str], whole: bool, memo, frequent) -> Da
 
 def joined(parts: pa.StringArray, x: Texts, rows: int) -> pa.StringArray:
     """The groups of each row: those of its parts in a row, without the first sign."""
-    edges, data = layout(parts)
     begin = pc.utf8_slice_codeunits(parts, 1)
     first, lengths = x.first[:-1], np.diff(x.first)
     index = x.index.copy()
@@ -402,10 +401,10 @@ def aligned(docs: DataFrame, folder: str = FOLDER, kept: Callable[[Column], Colu
     whole = not breakable(paths[1])
     context = docs.sparkSession.sparkContext
     there = base.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("rows")).agg(F.count("*").alias("tasks"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows")).first()
-    if there.tasks < context.defaultParallelism:  # a file of one row group would be one task
+    memo = context.broadcast(often(base, there.rows, paths, whole))
+    if 2 * there.tasks <= context.defaultParallelism:  # a file of one row group would be one task
         most = max(context.defaultParallelism, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         base = base.withColumn("row", F.monotonically_increasing_id()).repartition(most, "row").drop("row")
-    memo = context.broadcast(often(base, there.rows, paths, whole))
     pairs = counted_pairs(base, paths, whole, memo)
     least = cut_off(pairs, "count", PAIRS)
     frequent = pairs.where(F.col("count") >= least).orderBy("pair").toArrow()
