@@ -59,6 +59,14 @@ def test_html():
     assert code("a.html", b"") == "malformed"
 
 
+def test_html_without_end_tags():
+    """Paragraphs and list items that no tag ends stand side by side, however many, and aren't taken for depth."""
+    got = units("a.html", b"<h1>t</h1><div>" + b"<p><b>x<br>" * 400 + b"</div><ul>" + b"<li>y" * 400 + b"<li><ul><li>z</ul></ul>")
+    assert [(u["kind"], u["text"]) for u in got[1:]] == [("heading", "t")] + [("paragraph", "x")] * 400 + [("list-item", "y")] * 400 + [("list-item", "z")]
+    assert [json.loads(u["locator"])["path"] for u in (got[401], got[801], got[802])] == ["/div[1]/p[400]", "/ul[1]/li[400]", "/ul[1]/li[401]/ul[1]/li[1]"]
+    assert [u["text"] for u in units("a.html", b"<p>a<div><p>b</p></div>c</p>")[1:]] == ["b", "ac"]
+
+
 def test_eml():
     raw = b"From: =?utf-8?q?J=C3=BCrgen?= <j@x.org>\r\nSubject: =?utf-8?b?SGVsbG8=?=\r\nMIME-Version: 1.0\r\nContent-Type: multipart/mixed; boundary=b\r\n\r\n--b\r\nContent-Type: text/html; charset=utf-8\r\nContent-Transfer-Encoding: quoted-printable\r\n\r\n<p>Caf=C3=A9</p><script>x</script>\r\n--b\r\nContent-Type: application/pdf\r\nContent-Disposition: attachment; filename=a.pdf\r\nContent-Transfer-Encoding: base64\r\n\r\nQUJD\r\n--b--\r\n"
     got = {u["kind"]: u for u in units("a.eml", raw)}
