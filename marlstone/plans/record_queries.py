@@ -149,7 +149,9 @@ def strict_texts(documents):
 
 @query("documents", sql=r"SELECT doc_id, sha256(trim(regexp_replace(text, '\s+', ' ', 'g')) || ' 1 fine') AS digest FROM documents")
 def canonical_answers(documents):
-    return documents.select("doc_id", F.sha2(text.canonical_answer(F.concat(F.lit(" \n"), "text", F.lit("\t ① ﬁne "))).cast("binary"), 256).alias("digest"))
+    """A text and an ending, each canonical by itself: of a blank text the blank between them stays. An ideographic space takes every text through NFKC."""
+    parts = text.canonical_answer(F.concat(F.lit(" \n"), "text", F.lit("\u3000\t "))), text.canonical_answer(F.lit(" ① ﬁne "))
+    return documents.select("doc_id", F.sha2(F.concat(parts[0], F.lit(" "), parts[1]).cast("binary"), 256).alias("digest"))
 
 
 @query("customer", sql=r"SELECT c_custkey, 'topics/' || CAST(c_custkey AS VARCHAR) || '-' || regexp_replace(lower(c_name), '[^a-z0-9/_-]+', '-', 'g') AS path FROM customer")

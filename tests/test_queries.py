@@ -42,6 +42,15 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
+def test_canonical_answers_of_blank_texts(spark, tmp_path):
+    texts = ["", " ", "\n \t\r\n", "a", " é \n\n b\t", None]
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(path)
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{path}/*.parquet'")
+    assert sorted(map(tuple, QUERIES["canonical_answers"](spark, str(tmp_path)).collect())) == sorted(c.sql(ORACLES["canonical_answers"]).fetchall())
+
+
 def test_access_filter_stands_before_the_text_is_used(spark, sf):
     """The plan reads no body for a catalog decision: the scan's columns don't have the text."""
     plan = QUERIES["access_subset"](spark, sf)._jdf.queryExecution().executedPlan().toString()
